@@ -35,6 +35,15 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), default_tokenizer(), end_id=0, size=2048)
 
 
+def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.quality_crf import fit_quality, held_out, score_quality
+
+    docs = _documents(spark, sf_dir)
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = score_quality(docs, model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.simhash import near_duplicates
 
@@ -58,6 +67,6 @@ FROM keyed k LEFT JOIN common c ON k.key = c.key
 GROUP BY rn, doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_store, op6_best_fit_packing, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_store, op6_best_fit_packing, op8_quality_crf, op10_simhash)}
 
 ORACLES: dict[str, str] = {"op1_line_dedup": _OP1_SQL}
