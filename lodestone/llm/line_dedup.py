@@ -1,8 +1,8 @@
 """Line dedup: a sharded minimal perfect hash over distinct line hashes, probed by the documents.
 
-Plan: every document is split into lines on the JVM and each line's key is
-hashed twice (128 bits). A map-side-combined aggregate counts, for each key,
-the documents that hold it. The keys are cut into shards of a bounded number
+Plan: every document is split into lines and each line's key is hashed to 128
+bits; these hashes are written once. A map-side-combined aggregate counts, for
+each key, the documents that hold it. The keys are cut into shards of a bounded number
 of keys; each shard becomes one minimal perfect hash with an array of 32-bit
 fingerprints and an array of counts (about 10 bytes a key). The documents'
 line hashes are dealt to the shards and look their counts up in these arrays;
@@ -15,13 +15,15 @@ positions of lines to drop come back to the documents.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACE, ascii_lower, dropped, longs, scratch, written
+from lodestone.llm.common import SPACE, dropped, longs, scratch, signed, text_bytes, written
 from lodestone.llm.perfect_hash import PerfectTable
 
 KEYS_PER_SHARD = 1 << 16
@@ -29,19 +31,29 @@ PROBE_ROWS = 1 << 18
 _MOST = np.iinfo(np.uint32).max
 
 
-def line_key(line: Column) -> Column:
+def line_key(line: bytes) -> bytes:
     """ASCII white space stripped at both ends, A-Z lower-cased."""
-    return ascii_lower(F.btrim(line, F.lit(SPACE)))
-
-
-def _hashes(lines: Column) -> Column:
-    """For each line a struct of two 64-bit hashes; null where its key is empty."""
-
-    def one(line: Column) -> Column:
-        key = line_key(line)
-        return F.when(key != "", F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b")))
-
-    return F.transform(lines, one)
+    return line.strip(SPACE.encode()).lower()
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line with a key: the row's content hashes, the position, the key's hashes, 1 if the key is new in its text."""
+    digest = xxhash.xxh3_128_digest
+    for batch in batches:
+        row, pos, first, keys = [], [], [], []
+        for number, text in enumerate(text_bytes(batch["text"])):
+            seen: set[bytes] = set()
+            for at, line in enumerate(text.split(b"\n")):
+                if key := line_key(line):
+                    hashed = digest(key)
+                    row.append(number)
+                    pos.append(at)
+                    first.append(hashed not in seen)
+                    seen.add(hashed)
+                    keys.append(hashed)
+        both = np.frombuffer(b"".join(keys), dtype=np.uint64).reshape(-1, 2)
+        take = pa.array(row, pa.int64())
+        yield pa.record_batch({"k1": batch["k1"].take(take), "k2": batch["k2"].take(take), "pos": pa.array(pos, pa.int32()), "a": signed(both[:, 0]), "b": signed(both[:, 1]), "first": pa.array(np.array(first, dtype=np.int32), pa.int32())})
 
 
 def _build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -66,15 +78,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", tex
     # The two hashes identify a row's content; rows that agree in both have the same lines, so sharing hits is right.
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumns({"lines": F.split("text", "\n", -1), "k1": F.xxhash64("text"), "k2": F.xxhash64("text", F.lit(7))})
-    hashed = rows.select("k1", "k2", _hashes(F.col("lines")).alias("h"))
-
-    both = F.concat(
-        F.transform(F.array_distinct("h"), lambda h: F.struct(h.alias("h"), F.lit(1).alias("d"), F.lit(0).alias("r"))),
-        F.transform("h", lambda h: F.struct(h.alias("h"), F.lit(0).alias("d"), F.lit(1).alias("r"))),
-    )
-    keyed = hashed.select(F.explode(both).alias("x")).where("x.h is not null")
+    lines_at = scratch(spark, "lines")
+    lines = written(rows.select("text", "k1", "k2").mapInArrow(_lines, "k1 long, k2 long, pos int, a long, b long, first int"), lines_at)
     where = scratch(spark, "line-counts")
-    counts = written(keyed.groupBy("x.h.a", "x.h.b").agg(F.sum("x.d").alias("n_docs"), F.sum("x.r").alias("n_rows")), where)
+    counts = written(lines.groupBy("a", "b").agg(F.sum("first").alias("n_docs"), F.count("*").alias("n_rows")), where)
     shards = max(1, math.ceil(counts.count() / keys_per_shard))
     shard = F.pmod(F.col("a"), F.lit(shards))
     counts = counts.withColumn("shard", shard)
@@ -88,23 +95,23 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", tex
     plan = written(plan, plan_at)
     dropped(spark, where)
 
-    probes = hashed.select("k1", "k2", F.posexplode("h").alias("pos", "x")).where("x is not null")
-    probes = probes.select("k1", "k2", "pos", "x.a", "x.b").withColumn("shard", shard).join(plan, "shard")
+    probes = lines.drop("first").withColumn("shard", shard).join(plan, "shard")
     # The salt goes by the row's content and position, so that copies of one line, and of one document, spread.
     probes = probes.withColumn("salt", F.pmod(F.xxhash64("k1", "k2", "pos"), F.col("salts")).cast("int")).drop("salts")
     copies = index.join(plan, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "index")
 
-    def probe(lines: pa.Table, held: pa.Table) -> pa.Table:
-        out = lines.select(["k1", "k2", "pos"])
-        if not len(lines) or not len(held):
+    def probe(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = asked.select(["k1", "k2", "pos"])
+        if not len(asked) or not len(held):
             return out.slice(0, 0)
         table = PerfectTable.from_bytes(held["index"][0].as_py())
-        slots = table.find(longs(lines["a"]), longs(lines["b"]))
+        slots = table.find(longs(asked["a"]), longs(asked["b"]))
         return out.filter(pa.array((slots >= 0) & (table.values["count"][np.maximum(slots, 0)] >= min_docs)))
 
     hits = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(probe, "k1 long, k2 long, pos int")
     # Copies of a text repeat its hits: they are made distinct before the collect, which is bounded by one text's lines.
-    drop = hits.distinct().groupBy("k1", "k2").agg(F.collect_list("pos").alias("drop"))
+    drop = written(hits.distinct().groupBy("k1", "k2").agg(F.collect_list("pos").alias("drop")), scratch(spark, "line-drops"))
+    dropped(spark, lines_at, index_at, plan_at)
     out = rows.join(drop, ["k1", "k2"], "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<int>")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
     return out.select(
