@@ -29,12 +29,25 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(docs.select("doc_id")).withColumnRenamed("key", "doc_id")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.substring_dedup import dedup_substrings
+
+    out = dedup_substrings(_documents(spark, sf_dir), width=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.packing import pack
 
     return pack(_documents(spark, sf_dir), default_tokenizer(), end_id=0, size=2048)
 
 
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.class_lm import score_texts
+
+    return score_texts(_documents(spark, sf_dir), folds=7, fold=2)
+
+
 def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.quality_crf import fit_quality, held_out, score_quality
 
@@ -67,6 +80,6 @@ FROM keyed k LEFT JOIN common c ON k.key = c.key
 GROUP BY rn, doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_store, op6_best_fit_packing, op8_quality_crf, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_store, op5_substring_dedup, op6_best_fit_packing, op7_class_lm, op8_quality_crf, op10_simhash)}
 
 ORACLES: dict[str, str] = {"op1_line_dedup": _OP1_SQL}
