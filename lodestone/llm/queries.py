@@ -29,6 +29,12 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(docs.select("doc_id")).withColumnRenamed("key", "doc_id")
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.exact_topk import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.substring_dedup import dedup_substrings
 
@@ -80,6 +86,21 @@ FROM keyed k LEFT JOIN common c ON k.key = c.key
 GROUP BY rn, doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_store, op5_substring_dedup, op6_best_fit_packing, op7_class_lm, op8_quality_crf, op10_simhash)}
+#: DuckDB: every query against every candidate, in integers.
+_OP4_SQL = """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+), parts AS (
+  SELECT vec_id, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM good
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sum(q.x * c.x) AS score
+  FROM parts q JOIN parts c ON q.d = c.d WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id GROUP BY 1, 2
+)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_store, op4_exact_topk, op5_substring_dedup, op6_best_fit_packing, op7_class_lm, op8_quality_crf, op10_simhash)}
 
-ORACLES: dict[str, str] = {"op1_line_dedup": _OP1_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op4_exact_topk": _OP4_SQL}
