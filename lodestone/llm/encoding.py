@@ -1,19 +1,28 @@
 """Whole texts to token ids with a public tokenizer file, in Arrow batches.
 
 The byte-level tokenizer encodes each piece of its pre-tokenizer's pattern by
-itself, so every distinct piece is encoded once a worker (by the tokenizers
-library) and its ids are kept as bytes; a text is the join of its pieces'
-bytes. The cache is bounded and only saves time.
+itself, and no piece reaches over a space that a visible character follows. So
+a text is cut at such spaces, and each part's ids are kept as bytes; a new
+part is cut into pieces by the pattern, and only new pieces go through the
+merges of the tokenizers library's model, in its byte alphabet. A text is the
+join of its parts' bytes. Both caches are bounded and only save time.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+import sys
+from array import array
 
 import numpy as np
 
-CACHE_PIECES = 500_000
+CACHE_PARTS, CACHE_PIECES = 700_000, 500_000
+
+#: The byte alphabet: bytes that print stand for themselves, the others for the code points from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 _encoders: dict[str, Encoder] = {}
 
@@ -28,30 +37,46 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.piecewise = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        self.piecewise = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and spec["model"]["type"] == "BPE" and sys.byteorder == "little"
         if self.piecewise:
             import public_tokenizers
 
             self.pieces = regex.compile(public_tokenizers.PATTERN).findall
+            self.blank = re.compile(r" (?=\s|\Z)").search
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # of pieces
+        self.parts: dict[str, bytes] = {}  # of what follows a space, up to the next
+
+    def _pieces(self, pieces: list[str]) -> None:
+        """Fill the cache with these pieces."""
+        new = [x for x in dict.fromkeys(pieces) if x not in self.cache]
+        if len(self.cache) + len(new) > CACHE_PIECES:
+            self.cache.clear()
+            new = list(dict.fromkeys(pieces))
+        merged, kind = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        for piece in new:
+            shown = piece.encode().decode("latin-1").translate(_ALPHABET)
+            self.cache[piece] = array(kind, [x.id for x in merged(shown)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens."""
         if not self.piecewise:
             return [np.array(x.ids, dtype=self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        out = []
-        for text in texts:
-            pieces, cache = self.pieces(text), self.cache
-            new = [x for x in set(pieces) if x not in cache]
-            if new:
-                if len(cache) + len(new) > CACHE_PIECES:
-                    cache.clear()
-                    new = list(set(pieces))
-                for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    cache[piece] = np.array(got.ids, dtype=self.dtype).tobytes()
-            out.append(np.frombuffer(b"".join(map(cache.__getitem__, pieces)), dtype=self.dtype))
-        return out
+        return [np.frombuffer(self._bytes(x), dtype=self.dtype) for x in texts]
+
+    def _bytes(self, text: str) -> bytes:
+        head, *parts = [text] if self.blank(text) else text.split(" ")
+        new = [x for x in dict.fromkeys(parts) if x not in self.parts]
+        if len(self.parts) + len(new) > CACHE_PARTS:
+            self.parts.clear()
+            new = list(dict.fromkeys(parts))
+        cut = [self.pieces(" " + x) for x in new]
+        first = self.pieces(head)
+        self._pieces([*first, *(y for x in cut for y in x)])
+        get = self.cache.__getitem__
+        for part, pieces in zip(new, cut, strict=True):
+            self.parts[part] = b"".join(map(get, pieces))
+        return b"".join(map(get, first)) + b"".join(map(self.parts.__getitem__, parts))
 
 
 def encoder(path: str) -> Encoder:
