@@ -70,6 +70,20 @@ def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+#: Wanted shares of the expected tokens of the domains that the labelled table names.
+MIX_WEIGHTS = {"good": 0.90, "low": 0.05, "toxic": 0.05}
+
+
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.soft_mixing import label_domain, mix
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labelled = labels.select("doc_id", label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
+    out = mix(_documents(spark, sf_dir), labelled, MIX_WEIGHTS)
+    shares = [F.get("p", k).alias(f"p_{d}") for k, d in enumerate(MIX_WEIGHTS)]
+    return out.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.simhash import near_duplicates
 
@@ -108,6 +122,6 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, CAST(score AS BIGINT) AS sco
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_quality_rules, op4_exact_topk, op5_substring_dedup, op6_best_fit_packing, op7_class_lm, op8_quality_crf, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_quality_rules, op4_exact_topk, op5_substring_dedup, op6_best_fit_packing, op7_class_lm, op8_quality_crf, op9_soft_mixing, op10_simhash)}
 
 ORACLES: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op4_exact_topk": _OP4_SQL}

@@ -113,7 +113,9 @@ def repeated_spans(chunks: Chunks, width: int = 50) -> DataFrame:
     seeds_at = scratch(spark, "seeds")
     found = chunks.table.where("id is not null").mapInArrow(_anchors(width), f"id {kind}, rid long, chunk int, anchor long, frame long, at int, most int, least int")
     seeds = written(found, seeds_at)
+    # Aggregates are written before they are joined, so that the join's sides are plain shuffles, which Spark can split where a key is hot.
     shared = seeds.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
+    shared = written(shared, scratch(spark, "shared"))
     held_at, classes_at = scratch(spark, "held"), scratch(spark, "classes")
     held = written(seeds.join(shared, "anchor"), held_at)
     dropped(spark, seeds_at)
@@ -150,9 +152,10 @@ def repeated_spans(chunks: Chunks, width: int = 50) -> DataFrame:
     windows_at = scratch(spark, "windows")
     windows = written(chunks.map(extend, "anchor long, frame long, most int, least int, offset int, hash long"), windows_at)
     windows = windows.join(ask.select(*keys, "id"), keys)
-    best = windows.groupBy("anchor", "offset", "hash").agg(F.min("id").alias("best"))
+    best = written(windows.groupBy("anchor", "offset", "hash").agg(F.min("id").alias("best")), scratch(spark, "best"))
     # For every class of a contested anchor, at most width - k + 1 offsets with the smallest id that holds the window.
     by_class = windows.join(best, ["anchor", "offset", "hash"]).groupBy(*keys).agg(F.collect_list(F.struct("offset", "best")).alias("offsets"))
+    by_class = written(by_class, scratch(spark, "by-class"))
     settled = held.join(by_class, keys, "left").join(classes.select(*keys, F.col("id").alias("lo")), keys)
     alone = settled.where("offsets is null and lo < id").select("chunk", "rid", (F.col("at") - F.col("most")).alias("start"), (F.col("at") - F.col("least") + width).alias("end"))
     open_ = settled.where("offsets is not null").select("chunk", "rid", "id", "at", F.explode("offsets").alias("o")).where("o.best < id")
