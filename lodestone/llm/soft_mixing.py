@@ -40,20 +40,22 @@ def label_domain(quality: Column, toxic: Column) -> Column:
 
 
 def _tokens(docs: DataFrame, id_col: str, text_col: str, extra: list[Column]) -> DataFrame:
-    """id, text, ``n_tokens`` and ``seen``: the words, lower-cased, and marks (which hold white space, as no word does)."""
+    """id, ``n_tokens``, ``kinds`` (the distinct words, lower-cased) and ``marks`` (which hold white space, as no word does)."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *extra)
-    rows = rows.withColumn("words", F.filter(F.split(F.lower("text"), SPACES), lambda w: w != ""))
+    bare = F.btrim(F.lower("text"), F.lit(" \t\n\x0b\x0c\r"))
+    rows = rows.withColumn("words", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACES)))
+    # Columns that the next step uses more than once are not folded into it, so each is worked out once a row.
+    rows = rows.withColumns({"n_tokens": F.size("words").cast("long"), "kinds": F.array_distinct("words")})
     share = lambda pattern: F.length(F.regexp_replace("text", pattern, "")) / F.greatest(F.length("text"), F.lit(1))
-    n, kinds = F.size("words"), F.size(F.array_distinct("words"))
-    marks = F.filter(
+    n, kinds = F.col("n_tokens"), F.size("kinds")
+    marks = F.array_compact(
         F.array(
             F.when(share(r"[^#*$%&|<>]+") > 0.02, " symbols"),
-            F.when(share(r"[^\p{Lu}]+") > 0.3, " upper"),
+            F.when(share(r"[^A-Z]+") > 0.3, " upper"),
             F.when((n >= 20) & (kinds < 0.3 * n), " repeats"),
-        ),
-        lambda x: x.isNotNull(),
+        )
     )
-    return rows.withColumns({"n_tokens": n.cast("long"), "seen": F.concat("words", marks)}).drop("words", "text")
+    return rows.withColumn("marks", marks).drop("words", "text")
 
 
 @dataclass
@@ -65,22 +67,21 @@ class DomainModel:
     absent: list[float]
     shifts: dict[str, list[float]]
 
-    def posterior(self, seen: Column) -> Column:
-        """array<double> over ``domains`` for a column of tokens."""
-        k = len(self.domains)
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """Adds ``p``, array<double> over ``domains``, to rows with ``kinds`` and ``marks``, and drops these."""
         base = [p + a for p, a in zip(self.prior, self.absent, strict=True)]
-        start = F.array(*map(F.lit, base))
+        score = F.array(*map(F.lit, base))
         if self.shifts:
             names = sorted(self.shifts)
-            held = F.array_intersect(seen, F.array(*map(F.lit, names)))
-            table = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.array(*map(F.lit, self.shifts[w])) for w in names)))
-            score = F.aggregate(held, start, lambda a, w: F.zip_with(a, table[w], lambda x, y: x + y))
-        else:
-            score = start
-        top = F.array_max(score)
-        odds = F.transform(score, lambda x: F.exp(x - top))
-        total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(odds, lambda x: x / total) if k else F.array().cast("array<double>")
+            known = F.array(*map(F.lit, names))
+            held = F.concat(F.array_intersect("kinds", known), F.array_intersect("marks", known))
+            table = F.map_from_arrays(known, F.array(*(F.array(*map(F.lit, self.shifts[w])) for w in names)))
+            score = F.aggregate(held, score, lambda a, w: F.zip_with(a, table[w], lambda x, y: x + y))
+        rows = rows.withColumn("score", score).drop("kinds", "marks")
+        top = F.array_max("score")
+        rows = rows.withColumn("odds", F.transform("score", lambda x: F.exp(x - top))).drop("score")
+        total = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
+        return rows.withColumn("p", F.transform("odds", lambda x: x / total)).drop("odds")
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", fit_docs: int = FIT_DOCS, words: int = WORDS_PER_DOMAIN) -> DomainModel:
@@ -96,7 +97,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col
     prior = [math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains]
     if not total:
         return DomainModel(domains, prior, [0.0] * len(domains), {})
-    counts = sample.select("domain", F.explode(F.array_distinct("seen")).alias("token")).groupBy("token").pivot("domain", domains).count().na.fill(0)
+    counts = sample.select("domain", F.explode(F.concat("kinds", "marks")).alias("token")).groupBy("token").pivot("domain", domains).count().na.fill(0)
     n = {d: sizes.get(d, 0) for d in domains}
     share = {d: (F.col(f"`{d}`") + 0.5) / (n[d] + 1) for d in domains}
     held = sum((F.col(f"`{d}`") for d in domains), F.lit(0))
@@ -156,7 +157,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total:
     chance = F.pmod(F.xxhash64(id_col, text_col, F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     carried = [F.col(x).alias(f"keep_{x}") for x in keep]
     rows = _tokens(docs, id_col, text_col, [chance.alias("chance"), *carried])
-    scored = rows.withColumn("p", model.posterior(F.col("seen"))).drop("seen")
+    scored = model.scored(rows)
     # Only the few numbers of a document are written, for the steps to read; the texts carried along are not.
     small = written(scored.select("id", "n_tokens", "p", "chance"), scratch(docs.sparkSession, "posteriors"))
     held = [float(x or 0) for x in small.agg(*(F.sum(F.col("n_tokens") * F.get("p", k)).alias(f"t{k}") for k in range(len(domains)))).first()]

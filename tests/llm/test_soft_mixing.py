@@ -17,7 +17,7 @@ def seen(text):
     text = text or ""
     words = [w for w in re.split("[\x20\x09-\x0d]+", text.lower()) if w]
     n = max(1, len(text))
-    marks = [" symbols"] * (len(re.findall(r"[#*$%&|<>]", text)) / n > 0.02) + [" upper"] * (sum(c.isupper() for c in text) / n > 0.3)
+    marks = [" symbols"] * (len(re.findall(r"[#*$%&|<>]", text)) / n > 0.02) + [" upper"] * (sum("A" <= c <= "Z" for c in text) / n > 0.3)
     return words, {*words, *marks, *([" repeats"] if len(words) >= 20 and len(set(words)) < 0.3 * len(words) else [])}
 
 
@@ -60,7 +60,7 @@ def test_posteriors_are_bernoulli(spark):
     n = Counter(known.values())
     counts = {d: Counter(w for i, t in rows if known.get(i) == d for w in seen(t)[1]) for d in "ab"}
     assert {"red", " symbols"} <= set(model.shifts) and "blue" not in model.shifts and "fish" in model.shifts
-    for r in docs.select("doc_id", model.posterior(F.split("text", " ")).alias("p")).collect():
+    for r in model.scored(docs.select("doc_id", F.split("text", " ").alias("kinds"), F.array().cast("array<string>").alias("marks"))).collect():
         words = set(rows[r["doc_id"]][1].split(" "))
         logs = []
         for d in "ab":
