@@ -7,7 +7,7 @@ stage's rows below the shared folder and reads them again for the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import scratch, written

@@ -62,7 +62,7 @@ def _build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"shard": [key[0].as_py()], "index": pa.array([shard.to_bytes()], pa.binary())})
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", keys_per_shard: int = KEYS_PER_SHARD, probe_rows: int = PROBE_ROWS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", keys_per_shard: int = KEYS_PER_SHARD, probe_rows: int = PROBE_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drop, from every document, the lines found in at least ``min_docs`` documents.
 
     Returns ``docs``' id column, ``n_lines`` and ``n_dropped`` (long) and
@@ -71,12 +71,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", tex
     Each row is a document of its own: repeated rows all count, and all come
     back. A null or empty text is one empty line. Lines that are blank after
     stripping never count and always stay. A null id is kept as it is. Texts
-    of any length are split whole. An empty table gives an empty result. Other
-    columns of ``docs``, whatever their names, are not read.
+    of any length are split whole. An empty table gives an empty result.
+    ``keep`` names columns to carry along; others, whatever their names, are
+    not read.
     """
     spark = docs.sparkSession
     # The two hashes identify a row's content; rows that agree in both have the same lines, so sharing hits is right.
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(x).alias(f"keep_{x}") for x in keep))
     rows = rows.withColumns({"lines": F.split("text", "\n", -1), "k1": F.xxhash64("text"), "k2": F.xxhash64("text", F.lit(7))})
     lines_at = scratch(spark, "lines")
     lines = written(rows.select("text", "k1", "k2").mapInArrow(_lines, "k1 long, k2 long, pos int, a long, b long, first int"), lines_at)
@@ -119,4 +120,5 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", tex
         F.size("lines").cast("long").alias("n_lines"),
         F.size("drop").cast("long").alias("n_dropped"),
         F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n").alias("kept_text"),
+        *(F.col(f"keep_{x}").alias(x) for x in keep),
     )
