@@ -52,7 +52,7 @@ def authors(c: Column) -> Column:
     def parts(sep: str) -> Column:
         return F.filter(F.transform(F.split(text, sep), lambda x: F.btrim(x, F.lit(" ,"))), lambda x: x != "")
 
-    halves = F.transform(F.split(text, ","), F.btrim)
+    halves = F.transform(F.split(text, ","), lambda x: F.btrim(x))
     one_comma = (F.size(halves) == 2) & F.forall(halves, lambda x: x != "")
     return (
         F.when(text == "", F.array().cast("array<string>"))

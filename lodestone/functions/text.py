@@ -55,7 +55,7 @@ def compact(c: Column, limit: int = 220) -> Column:
 
 def split_commas(c: Column) -> Column:
     """The non-blank parts between commas, trimmed."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.btrim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.btrim(x)), lambda x: x != "")
 
 
 def topic_candidate(c: Column) -> Column:
@@ -103,7 +103,7 @@ def first_words(c: Column, most: int = 340) -> Column:
 def front_matter(c: Column) -> Column:
     """map<string,string> of the leading '---' block's 'key: value' lines; empty without one."""
     block = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?s)\A---\s*\n(.*?)\n---\s*\n", 1)
-    lines = F.filter(F.transform(F.split(block, "\n"), F.btrim), lambda x: x.contains(":") & ~x.startswith("#"))
+    lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.btrim(x)), lambda x: x.contains(":") & ~x.startswith("#"))
     pairs = F.transform(
         lines,
         lambda x: F.struct(
@@ -173,7 +173,7 @@ def _entities(c: Column) -> Column:
 
 def markdown_headings(c: Column, most: int = 15) -> Column:
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?m)^#{1,3}\s+(.+)$"), F.lit(1))
-    return F.slice(F.array_distinct(F.filter(F.transform(found, F.btrim), lambda h: h != "")), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(found, lambda x: F.btrim(x)), lambda h: h != "")), 1, most)
 
 
 def page_number(c: Column) -> Column:

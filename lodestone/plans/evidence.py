@@ -103,7 +103,7 @@ def mechanism_inventory(framework: DataFrame, cross: DataFrame) -> DataFrame:
 def fronts(records: DataFrame, scores: DataFrame) -> DataFrame:
     """Front summaries: category, size, value, and means taken from the papers' scores where the front has none."""
     label = first_present(F.col("label"), F.col("title"), F.col("name"), F.col("front_id"))
-    papers = F.filter(F.transform(F.coalesce("papers", "paper_ids", F.array().cast("array<string>")), F.btrim), lambda x: x != "")
+    papers = F.filter(F.transform(F.coalesce("papers", "paper_ids", F.array().cast("array<string>")), lambda x: F.btrim(x)), lambda x: x != "")
     rows = records.select("front_id", F.coalesce(label, F.lit("Unlabeled front")).alias("name"), papers.alias("paper_ids"), F.coalesce(F.nullif("size", F.lit(0)), F.size(papers)).cast("long").alias("n"), F.coalesce("mean_credence", F.lit(0.0)).alias("c"), F.coalesce(F.nullif("mean_omega", F.lit(0.0)), "mean_warrant", F.lit(0.0)).alias("o"), F.coalesce("shared_theories", "theories").alias("shared_theories"), F.coalesce("shared_constructs", "topic_ids").alias("shared_constructs"), F.coalesce("maturity", "maturity_label", F.lit("unknown")).alias("maturity"), F.coalesce("n_contradictions", "contradiction_count", F.lit(0)).alias("contradictions"), F.coalesce("n_replications", "replication_count", F.lit(0)).alias("replications"))
     means = rows.select("front_id", F.explode("paper_ids").alias("paper_id")).join(scores, "paper_id").groupBy("front_id").agg(F.avg(F.nullif("mean_credence", F.lit(0.0))).alias("pc"), F.avg(F.nullif("mean_omega", F.lit(0.0))).alias("po"))
     rows = rows.join(means, "front_id", "left").withColumns({"mean_credence": F.when(F.col("c") > 0, F.col("c")).otherwise(F.coalesce("pc", "c")), "mean_omega": F.when(F.col("o") > 0, F.col("o")).otherwise(F.coalesce("po", "o"))})

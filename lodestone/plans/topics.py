@@ -28,7 +28,7 @@ def flat_memberships(memberships: DataFrame, defended_only: bool = False) -> Dat
     if defended_only:
         rows = rows.where(F.coalesce("confidence", F.lit(0.0)) >= 0.75)
     primary = F.nullif(F.btrim("primary_topic_id"), F.lit(""))
-    listed = F.array_distinct(F.filter(F.transform(F.concat(F.array(primary), _list("topic_ids")), F.btrim), lambda x: x.isNotNull() & (x != "")))
+    listed = F.array_distinct(F.filter(F.transform(F.concat(F.array(primary), _list("topic_ids")), lambda x: F.btrim(x)), lambda x: x.isNotNull() & (x != "")))
     rows = rows.where(present(F.col("paper_id")).isNotNull()).select("paper_id", primary.alias("p"), "confidence", F.explode(listed).alias("topic_id"))
     return rows.select("paper_id", "topic_id", F.when(F.col("topic_id") == F.col("p"), "primary").otherwise("secondary").alias("role"), "confidence")
 
@@ -144,7 +144,7 @@ def level_counts(assigned: DataFrame) -> DataFrame:
 
 def crosswalk(defended: DataFrame, working: DataFrame) -> DataFrame:
     """One row a defended topic with its defended and working counts, largest first."""
-    ids = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast(NONE)), F.btrim), lambda x: x != "")))
+    ids = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast(NONE)), lambda x: F.btrim(x)), lambda x: x != "")))
     w = working.select(F.col("id").alias("topic_id"), F.col("paper_count").alias("w_count"), F.size(ids("paper_ids")).alias("w_size"))
     rows = defended.where(present(F.col("id")).isNotNull()).select(
         F.btrim("id").alias("topic_id"), F.coalesce(present(F.col("label")), F.btrim("id")).alias("topic_label"),
