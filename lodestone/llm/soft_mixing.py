@@ -157,15 +157,14 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total:
     chance = F.pmod(F.xxhash64(id_col, text_col, F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     carried = [F.col(x).alias(f"keep_{x}") for x in keep]
     rows = _tokens(docs, id_col, text_col, [chance.alias("chance"), *carried])
-    scored = model.scored(rows)
-    # Only the few numbers of a document are written, for the steps to read; the texts carried along are not.
-    small = written(scored.select("id", "n_tokens", "p", "chance"), scratch(docs.sparkSession, "posteriors"))
-    held = [float(x or 0) for x in small.agg(*(F.sum(F.col("n_tokens") * F.get("p", k)).alias(f"t{k}") for k in range(len(domains)))).first()]
+    # Written once, with what is carried along: the steps read the few numbers of a document alone, and no later filter works a posterior out again.
+    scored = written(model.scored(rows), scratch(docs.sparkSession, "posteriors"))
+    held = [float(x or 0) for x in scored.agg(*(F.sum(F.col("n_tokens") * F.get("p", k)).alias(f"t{k}") for k in range(len(domains)))).first()]
     share = sum(weights.values())
     if total is None:
         total = held[domains.index(keep_total_of)] * share / weights[keep_total_of] if keep_total_of else sum(held)
-    steps = fit_rates(small, [total * w / share for w in weights.values()])
-    out = (scored if keep else small).withColumn("rate", _rate("p", steps))
-    whole = F.round("rate")
-    copies = F.when(F.abs(F.col("rate") - whole) <= slack, whole).otherwise(F.floor(F.col("rate") + F.col("chance"))).cast("long")
+    steps = fit_rates(scored, [total * w / share for w in weights.values()])
+    chance = F.greatest(F.lit(slack), F.least(F.lit(1 - slack), F.col("chance")))
+    copies = F.floor(F.col("rate") + chance).cast("long")
+    out = scored.withColumn("rate", _rate("p", steps))
     return out.withColumn("copies", copies).select(F.col("id").alias(id_col), "n_tokens", "p", "rate", "copies", *(F.col(f"keep_{x}").alias(x) for x in keep))
