@@ -5,7 +5,8 @@ itself, and no piece reaches over a space that a visible character follows. So
 a text is cut at such spaces, and each part's ids are kept as bytes; a new
 part is cut into pieces by the pattern, and only new pieces go through the
 merges of the tokenizers library's model, in its byte alphabet. A text is the
-join of its parts' bytes. Both caches are bounded and only save time.
+join of its parts' bytes. Both caches are bounded, last for one task and only
+save time.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from array import array
 
 import numpy as np
 
-CACHE_PARTS, CACHE_PIECES = 700_000, 500_000
+CACHE_PARTS, CACHE_PIECES = 500_000, 400_000
 
 #: The byte alphabet: bytes that print stand for themselves, the others for the code points from 256 on.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -79,8 +80,13 @@ class Encoder:
         return b"".join(map(get, first)) + b"".join(map(self.parts.__getitem__, parts))
 
 
+    def forget(self) -> None:
+        """Empty the caches, so that an idle worker keeps no memory for them."""
+        self.cache, self.parts = {}, {}
+
+
 def encoder(path: str) -> Encoder:
-    """This process's encoder for a tokenizer file."""
+    """This process's encoder for a tokenizer file; a task that is done with it makes it ``forget``."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -86,6 +86,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str
                     for col, value in zip(cols, (piece, start, length, zlib.crc32(ids[start : start + length])), strict=True):
                         col.append(value)
             yield pa.record_batch({"id": batch["id"].take(pa.array(which, pa.int64())), "piece": pa.array(cols[0], pa.int32()), "start": pa.array(cols[1], pa.int64()), "length": pa.array(cols[2], pa.int64()), "ids_crc32": pa.array(cols[3], pa.int64())})
+        enc.forget()
 
     return picked.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 

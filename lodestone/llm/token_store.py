@@ -166,6 +166,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
             yield pa.record_batch({"key": batch["key"].take(pa.array(rows[0], pa.int64())), "shard": pa.array([shard] * took, pa.int64()), "file": pa.array([file] * took, pa.string()), "offset": pa.array(rows[1], pa.int64()), "length": pa.array(rows[2], pa.int64())})
         if out:
             out.close()
+        enc.forget()
 
     rows = written(dealt.mapInArrow(run, f"key {kind}, shard long, file string, offset long, length long"), f"{path}/rows")
     spans = rows.groupBy("shard", "file").agg(F.sum("length").alias("n_ids"))
