@@ -155,8 +155,9 @@ def repeated_spans(chunks: Chunks, width: int = 50) -> DataFrame:
     best = written(windows.groupBy("anchor", "offset", "hash").agg(F.min("id").alias("best")), scratch(spark, "best"))
     # For every class of a contested anchor, at most width - k + 1 offsets with the smallest id that holds the window.
     by_class = windows.join(best, ["anchor", "offset", "hash"]).groupBy(*keys).agg(F.collect_list(F.struct("offset", "best")).alias("offsets"))
-    by_class = written(by_class, scratch(spark, "by-class"))
-    settled = held.join(by_class, keys, "left").join(classes.select(*keys, F.col("id").alias("lo")), keys)
+    # One join of the many holders with one row a class: a second join on the same keys would keep Spark from splitting hot ones.
+    known = written(classes.select(*keys, F.col("id").alias("lo")).join(by_class, keys, "left"), scratch(spark, "known"))
+    settled = held.join(known, keys)
     alone = settled.where("offsets is null and lo < id").select("chunk", "rid", (F.col("at") - F.col("most")).alias("start"), (F.col("at") - F.col("least") + width).alias("end"))
     open_ = settled.where("offsets is not null").select("chunk", "rid", "id", "at", F.explode("offsets").alias("o")).where("o.best < id")
     several = open_.select("chunk", "rid", (F.col("at") - F.col("o.offset")).alias("start"), (F.col("at") - F.col("o.offset") + width).alias("end"))
