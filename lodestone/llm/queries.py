@@ -122,6 +122,56 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, CAST(score AS BIGINT) AS sco
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
 """
 
+#: DuckDB: the same counts and line rules. The patterns stand for those of quality_rules.
+_OP3_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT rn, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d
+), windows AS (
+  SELECT rn, i, list_slice(ws, i, i + 7) AS v FROM (SELECT rn, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)
+), again AS (
+  SELECT rn, i FROM (SELECT rn, i, count(*) OVER (PARTITION BY rn, v) AS n FROM windows) WHERE n > 1
+), repeated AS (
+  SELECT rn, count(DISTINCT p) AS n FROM (SELECT rn, unnest(range(i, i + 8)) AS p FROM again) GROUP BY rn
+), lines AS (
+  SELECT rn, unnest(string_split(t, chr(10))) AS l FROM d
+), measured AS (
+  SELECT rn, l, length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) AS chars, length(regexp_replace(l, '[^#*$%&|<>]+', '', 'g')) AS symbols, length(regexp_replace(l, '[^\p{Lu}]+', '', 'g')) AS upper,
+    len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM lines
+), judged AS (
+  SELECT rn, l, chars, chars > 0 AND (symbols > 0.05 * chars OR (upper > 0.5 * chars AND chars >= 8) OR regexp_matches(l, '(^|\s)[|»›](\s|$)')
+    OR (length(l) < 200 AND regexp_matches(l, '(?i)\b(all rights reserved|privacy policy|terms of (use|service)|cookie (policy|settings)|click here|subscribe (now|to our)|sign (in|up) to|enable javascript|skip to (main )?content|powered by|back to top|read more)\b'))
+    OR (NOT regexp_matches(l, '[.!?…:;"''”’»)\]。！？]\s*$') AND words < 5)) AS fails FROM measured
+), lost AS (
+  SELECT rn, coalesce(sum(chars) FILTER (WHERE fails), 0) AS gone, count(*) FILTER (WHERE chars > 0) - count(DISTINCT l) FILTER (WHERE chars > 0) AS dup FROM judged GROUP BY rn
+), counted AS (
+  SELECT doc_id, len(ws) AS n_words, length(regexp_replace(d.t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(d.t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    CAST(dup AS BIGINT) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, gone
+  FROM d JOIN w USING (rn) JOIN lost USING (rn) LEFT JOIN repeated USING (rn)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND gone <= 0.3 * word_chars AS kept FROM counted
+"""
+
+#: DuckDB: every window of every document, by digest.
+_OP5_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS rn, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), windows AS (
+  SELECT rn, doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) AS h FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS i FROM w)
+), first AS (
+  SELECT h, min(doc_id) AS lo FROM windows GROUP BY h
+), gone AS (
+  SELECT DISTINCT rn, unnest(range(i, i + 50)) AS p FROM windows JOIN first USING (h) WHERE lo < doc_id
+), words AS (
+  SELECT rn, generate_subscripts(ws, 1) AS p, unnest(ws) AS word FROM w
+), kept AS (
+  SELECT words.rn, count(gone.p) AS n, string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS t FROM words LEFT JOIN gone ON gone.rn = words.rn AND gone.p = words.p GROUP BY words.rn
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (rn)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_quality_rules, op4_exact_topk, op5_substring_dedup, op6_best_fit_packing, op7_class_lm, op8_quality_crf, op9_soft_mixing, op10_simhash)}
 
-ORACLES: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op4_exact_topk": _OP4_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op3_quality_rules": _OP3_SQL, "op4_exact_topk": _OP4_SQL, "op5_substring_dedup": _OP5_SQL}
