@@ -1,4 +1,6 @@
+import functools
 import math
+import random
 import zlib
 from collections import defaultdict
 
@@ -6,16 +8,28 @@ import numpy as np
 from helpers import ODD, SF, given, table
 from tokenizers import Tokenizer
 
-from lodestone.llm.encoding import default_tokenizer
+from lodestone.llm.encoding import default_tokenizer, encoder
 from lodestone.llm.packing import BestFit, pack
 from lodestone.llm.queries import op2_token_store, op6_best_fit_packing
 from lodestone.llm.token_store import write_tokens
 
 
-def ids(text):
+@functools.cache
+def plain():
     t = Tokenizer.from_file(default_tokenizer())
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+def ids(text):
+    return plain().encode(text or "", add_special_tokens=False).ids
+
+
+def test_parts_and_pieces_encode_like_whole_texts():
+    rng = random.Random(1)
+    some = [" ", "  ", "\n", "\t", " \n", "a", "bc", "é", "'s", "'", "12", "!", "?.", "\x1c", "<|endoftext|>", "日本", "🙂", "\x85", "\u200b", "word"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(12))) for _ in range(2000)]
+    assert [x.tolist() for x in encoder(default_tokenizer()).encode(texts)] == [ids(x) for x in texts]
 
 
 def crc(x):
