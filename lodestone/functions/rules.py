@@ -204,7 +204,7 @@ def excluded_from_topics(missing_environment: Column, missing_outcome: Column, t
     return missing_environment & missing_outcome & (F.coalesce(title, F.lit("")).rlike(f"(?i){pattern}") | thin)
 
 
-#: Fields of a page address in a site of courses and an atlas.
+#: Fields of a page address, by words of its name.
 AREA_WORDS = (("evidence", ("evidence", "claim")), ("gaps", ("gap",)), ("topics", ("topic",)), ("articles", ("article",)), ("contribute", ("contribute",)), ("admin", ("admin", "approve")), ("site-utility", ("sitemap", "search")))
 
 

@@ -67,7 +67,7 @@ def article_details(articles_: DataFrame, beliefs: DataFrame, arguments: DataFra
 
 
 def paper_pnus(artifacts: DataFrame) -> DataFrame:
-    """Paper notes, rows with a place in the atlas first."""
+    """Paper notes, rows that have a topic node first."""
     blank = F.coalesce(present(F.col("node_id")), F.lit("unspecified"))
     return artifacts.select("paper_id", blank.alias("node_id"), compact(F.col("summary"), 400).alias("summary")).orderBy(blank == "unspecified", "node_id", "paper_id")
 
