@@ -5,7 +5,7 @@ itself, and no piece reaches over a space that a visible character follows. So
 a text is cut at such spaces, and each part's ids are kept as bytes; a new
 part is cut into pieces by the pattern, and only new pieces go through the
 merges of the tokenizers library's model, in its byte alphabet. A text is the
-join of its parts' bytes. Both caches are bounded, last for one task and only
+join of its parts' bytes. The caches are bounded, last for one task and only
 save time.
 """
 
@@ -19,7 +19,7 @@ from array import array
 
 import numpy as np
 
-CACHE_PARTS, CACHE_PIECES = 500_000, 400_000
+CACHE_PARTS, CACHE_PIECES = 700_000, 100_000
 
 #: The byte alphabet: bytes that print stand for themselves, the others for the code points from 256 on.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -45,19 +45,24 @@ class Encoder:
             self.pieces = regex.compile(public_tokenizers.PATTERN).findall
             self.blank = re.compile(r" (?=\s|\Z)").search
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.cache: dict[str, bytes] = {}  # of pieces
-        self.parts: dict[str, bytes] = {}  # of what follows a space, up to the next
-
-    def _pieces(self, pieces: list[str]) -> None:
-        """Fill the cache with these pieces."""
-        new = [x for x in dict.fromkeys(pieces) if x not in self.cache]
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-            new = list(dict.fromkeys(pieces))
-        merged, kind = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
-        for piece in new:
-            shown = piece.encode().decode("latin-1").translate(_ALPHABET)
-            self.cache[piece] = array(kind, [x.id for x in merged(shown)]).tobytes()
+        self.merge = self.tokenizer.model.tokenize
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
+        self.parts: dict[str, bytes] = {}  # the ids of a space and what follows it, by what follows
+        self.cache: dict[str, bytes] = {}  # of pieces that are no space and letters
+
+    def _merged(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(_ALPHABET)
+        return array(self.kind, [x.id for x in self.merge(shown)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece's ids; a space and letters are a part by themselves."""
+        word = piece[1:]
+        cache, key = (self.parts, word) if piece[0] == " " and word.isalpha() else (self.cache, piece)
+        if (got := cache.get(key)) is None:
+            if cache is self.cache and len(cache) >= CACHE_PIECES:
+                cache.clear()
+            got = cache[key] = self._merged(piece)
+        return got
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens."""
@@ -67,18 +72,14 @@ class Encoder:
 
     def _bytes(self, text: str) -> bytes:
         head, *parts = [text] if self.blank(text) else text.split(" ")
-        new = [x for x in dict.fromkeys(parts) if x not in self.parts]
-        if len(self.parts) + len(new) > CACHE_PARTS:
-            self.parts.clear()
-            new = list(dict.fromkeys(parts))
-        cut = [self.pieces(" " + x) for x in new]
-        first = self.pieces(head)
-        self._pieces([*first, *(y for x in cut for y in x)])
-        get = self.cache.__getitem__
-        for part, pieces in zip(new, cut, strict=True):
-            self.parts[part] = b"".join(map(get, pieces))
-        return b"".join(map(get, first)) + b"".join(map(self.parts.__getitem__, parts))
-
+        known = self.parts
+        new = set(parts).difference(known)
+        if len(known) + 2 * len(new) > CACHE_PARTS:
+            known.clear()
+            new = set(parts)
+        for x in new:
+            known[x] = self._merged(" " + x) if x.isalpha() else b"".join(map(self._piece, self.pieces(" " + x)))
+        return b"".join(map(self._piece, self.pieces(head))) + b"".join(map(known.__getitem__, parts))
 
     def forget(self) -> None:
         """Empty the caches, so that an idle worker keeps no memory for them."""
