@@ -5,8 +5,8 @@ itself, and no piece reaches over a space that a visible character follows. So
 a text is cut at such spaces, and each part's ids are kept as bytes; a new
 part is cut into pieces by the pattern, and only new pieces go through the
 merges of the tokenizers library's model, in its byte alphabet. A text is the
-join of its parts' bytes. The caches are bounded, last for one task and only
-save time.
+join of its parts' bytes. The caches are bounded and only save time; a task
+may make them last for the next one.
 """
 
 from __future__ import annotations
@@ -47,6 +47,7 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.merge = self.tokenizer.model.tokenize
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
+        self.most_parts = CACHE_PARTS
         self.parts: dict[str, bytes] = {}  # the ids of a space and what follows it, by what follows
         self.cache: dict[str, bytes] = {}  # of pieces that are no space and letters
 
@@ -74,7 +75,7 @@ class Encoder:
         head, *parts = [text] if self.blank(text) else text.split(" ")
         known = self.parts
         new = set(parts).difference(known)
-        if len(known) + 2 * len(new) > CACHE_PARTS:
+        if len(known) + 2 * len(new) > self.most_parts:
             known.clear()
             new = set(parts)
         for x in new:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import scratch, written
-from lodestone.llm.encoding import encoder
+from lodestone.llm.encoding import CACHE_PARTS, encoder
 
 OPEN_BINS = 1024
 PIECES_PER_PACKER = 100_000
@@ -75,6 +75,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        enc.most_parts = CACHE_PARTS
         for batch in batches:
             which, cols = [], [[], [], [], []]
             for row, text in enumerate(batch["text"].to_pylist()):

@@ -30,6 +30,8 @@ from lodestone.llm.encoding import encoder
 from lodestone.llm.perfect_hash import PerfectTable
 
 KEYS_PER_INDEX = 1 << 17
+#: Parts of texts whose ids a worker keeps from task to task while it writes (about 200 MB).
+KEPT_PARTS = 1_200_000
 
 
 def _key(c: Column) -> list[Column]:
@@ -144,6 +146,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
         from pyspark import TaskContext
 
         enc, out, file, at, last = encoder(tokenizer), None, "", 0, object()
+        enc.most_parts = KEPT_PARTS
         shard = TaskContext.get().partitionId()
         end = np.array([end_id], dtype=dtype).tobytes()
         for batch in batches:
@@ -166,7 +169,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
             yield pa.record_batch({"key": batch["key"].take(pa.array(rows[0], pa.int64())), "shard": pa.array([shard] * took, pa.int64()), "file": pa.array([file] * took, pa.string()), "offset": pa.array(rows[1], pa.int64()), "length": pa.array(rows[2], pa.int64())})
         if out:
             out.close()
-        enc.forget()
 
     rows = written(dealt.mapInArrow(run, f"key {kind}, shard long, file string, offset long, length long"), f"{path}/rows")
     spans = rows.groupBy("shard", "file").agg(F.sum("length").alias("n_ids"))
