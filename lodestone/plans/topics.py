@@ -129,7 +129,11 @@ def chosen_pairs(pairs: DataFrame, iv: DataFrame, dv: DataFrame, id_col: str = "
 
 def hierarchy(assigned: DataFrame) -> DataFrame:
     """One row a topic: labels, distinct papers, theories and sensors, over (paper_id, iv_node, dv_focus, theories, sensors)."""
-    rows = assigned.withColumns({"iv_node": tx.environment_focus(F.col("iv_node")), "dv_focus": tx.outcome_focus(F.col("dv_focus"))})
+    # Ids are few and rows are many: each distinct id is normalised once, and the rows look it up.
+    iv_names = assigned.select("iv_node").distinct().withColumn("__iv", tx.environment_focus(F.col("iv_node")))
+    dv_names = assigned.select("dv_focus").distinct().withColumn("__dv", tx.outcome_focus(F.col("dv_focus")))
+    rows = assigned.join(iv_names, assigned.iv_node.eqNullSafe(iv_names.iv_node)).drop("iv_node").join(dv_names, assigned.dv_focus.eqNullSafe(dv_names.dv_focus)).drop("dv_focus")
+    rows = rows.withColumnsRenamed({"__iv": "iv_node", "__dv": "dv_focus"})
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.col(c), F.array().cast(NONE))))))
     out = rows.groupBy("iv_node", "dv_focus").agg(F.array_sort(F.collect_set("paper_id")).alias("paper_ids"), flat("theories").alias("theories"), flat("sensors").alias("sensors"))
     iv, dv = F.col("iv_node"), F.col("dv_focus")
