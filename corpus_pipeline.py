@@ -7,7 +7,7 @@ stage's rows below the shared folder and reads them again for the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import scratch, written
@@ -44,19 +44,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles) the document of the smallest id stays.
+    """Of each group of near-duplicates (five-word shingles) the row of the smallest id stays, a null id last.
 
-    Documents without words are no copies of each other's content: each of
-    them stays. Fingerprints link at two differing bits of 64.
+    Rows are numbered and go by their number: of rows with the same id and
+    different texts each is kept or goes with its own group. Documents without
+    words are no copies of each other's content: each of them stays.
+    Fingerprints link at two differing bits of 64.
     """
-    groups = near_duplicates(docs, width=5)
-    # The representative carries its group's smallest id, so what stays are ids; a row that repeats an id is a copy too.
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    worded = docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    first = worded.join(stay, "doc_id", "left_semi").withColumn("n", one).where("n = 1").drop("n")
-    blank = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return first.unionByName(blank).select(*COLUMNS)
+    at = scratch(spark, "numbered")
+    numbered = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), at)
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    groups = near_duplicates(numbered.where(worded), width=5, id_col="row").withColumnRenamed("component_id", "component")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    first = groups.join(numbered.select("row", "doc_id"), "row").groupBy("component").agg(F.min(order).alias("least")).select("least.row")
+    return numbered.where(worded).join(first, "row", "left_semi").unionByName(numbered.where(~worded)).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
