@@ -12,7 +12,7 @@ to the scores so far, and what is left of any score is at most the query's
 norm times the row's rest norm. When the k-th best lower bound shows that only
 few rows can still be members, processing stops, on that proof alone; if it
 never does, all segments are read. The possible members are then rescored
-exactly, in integers, and the k best of each block meet in a window per query.
+exactly, in integers, and the k best ids of each block meet in a window per query.
 """
 
 from __future__ import annotations
@@ -76,13 +76,14 @@ _BLOCK_SQL = "block long, level int, width int, ids binary, dims binary, docs bi
 
 
 def _search(queries: np.ndarray, query_ids: np.ndarray, block: pa.Table, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, ids, scores) of a block's k best rows for each query; ties go to the smaller id."""
+    """(query ids, ids, scores) of a block's k best ids for each query, each by its best row; ties go to the smaller id."""
     block = block.sort_by([("level", "descending")])
     levels = block["level"].to_pylist()
     raw = {name: [x.as_buffer() for x in block[name]] for name in ("dims", "docs", "impacts", "rest")}
     ids = np.frombuffer(block["ids"][levels.index(0)].as_py(), np.int64)
     n, width = len(ids), max(int(block["width"][0].as_py()), queries.shape[1])
     order = np.argsort(ids, kind="stable")
+    firsts = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1]))) if n else np.zeros(0, np.int64)  # of each distinct id, in that order
     segments, x = [], np.zeros((n, width), dtype=np.int64)
     for at in range(len(levels) - 1):
         dims, docs = np.frombuffer(raw["dims"][at], np.int32), np.frombuffer(raw["docs"][at], np.int32)
@@ -102,12 +103,14 @@ def _search(queries: np.ndarray, query_ids: np.ndarray, block: pa.Table, k: int)
         score = np.zeros((len(q), n))
         score[own_q, own_x] = -np.inf
         member = np.isfinite(score)
-        take = min(k, n)
+        take = min(k, len(firsts))
         for part, rest in segments:
             score += q.astype(float) @ part.T
             slack = norm[:, None] * rest[None, :]
             low, high = score - slack, score + slack
-            bar = np.partition(low, n - take, axis=1)[:, n - take] if take else np.zeros(len(q))
+            # An id that repeats counts once, by its best row: the bar is the k-th best id's.
+            best_low = low if len(firsts) == n else np.maximum.reduceat(low[:, order], firsts, axis=1)
+            bar = np.partition(best_low, len(firsts) - take, axis=1)[:, len(firsts) - take] if take else np.zeros(len(q))
             # Bounds in doubles: the margin covers their rounding, so that the proof holds.
             member = (high >= bar[:, None] - 1e-6 * (1 + np.abs(bar[:, None]))) & np.isfinite(score) if take else member
             if member.sum() <= len(q) * max(8 * k, FEW * n):
@@ -116,6 +119,10 @@ def _search(queries: np.ndarray, query_ids: np.ndarray, block: pa.Table, k: int)
         exact = np.einsum("ij,ij->i", q[row], x[col])
         best = np.lexsort((ids[col], -exact, row))
         row, col, exact = row[best], col[best], exact[best]
+        if len(firsts) < n:
+            _, once = np.unique(np.stack((row, ids[col]), axis=1), axis=0, return_index=True)
+            once.sort()
+            row, col, exact = row[once], col[once], exact[once]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
         keep = rank < k
         yield mine[row[keep]], ids[col[keep]], exact[keep]
@@ -136,7 +143,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     spark = vectors.sparkSession
     picked = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("asks"))
     whole_at = scratch(spark, "vectors")
-    whole = written(picked.where(F.col("id").isNotNull() & usable(F.col("vector"))).withColumn("vector", quantised(F.col("vector"), scale)), whole_at)
+    whole = written(picked.where(F.col("id").isNotNull() & usable(F.col("vector"))).withColumn("vector", quantised(F.col("vector"), scale)).distinct(), whole_at)
     n, asked = (int(x or 0) for x in whole.agg(F.count("*"), F.sum(F.col("asks").cast("long"))).first())
     blocks, groups = max(1, math.ceil(n / block_rows)), max(1, math.ceil(asked / group_rows))
     dealt = whole.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(blocks)), "grp": F.pmod(F.xxhash64("id", F.lit(3)), F.lit(groups))})
