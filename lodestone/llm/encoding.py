@@ -5,7 +5,8 @@ itself, and no piece reaches over a space that a visible character follows. So
 a text is cut at such spaces, and each part's ids are kept as bytes; a new
 part is cut into pieces by the pattern, and only new pieces go through the
 merges of the tokenizers library's model, in its byte alphabet. A text is the
-join of its parts' bytes. The caches are bounded and only save time; a task
+join of its parts' bytes. A text that holds the string of an added token (such
+as ``<|endoftext|>``) is encoded by the library whole. The caches are bounded and only save time; a task
 may make them last for the next one.
 """
 
@@ -35,10 +36,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.piecewise = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and spec["model"]["type"] == "BPE" and sys.byteorder == "little"
+        added = [x["content"] for x in spec.get("added_tokens") or [] if x["content"]]
+        self.holds_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         if self.piecewise:
             import public_tokenizers
 
@@ -66,10 +68,11 @@ class Encoder:
         return got
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, without special tokens."""
+        """The ids of each text as the library's plain ``encode(text, add_special_tokens=False)`` gives them."""
         if not self.piecewise:
             return [np.array(x.ids, dtype=self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return [np.frombuffer(self._bytes(x), dtype=self.dtype) for x in texts]
+        # The strings of added tokens are found before any piece is: a text that holds one goes to the library whole.
+        return [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype=self.dtype) if self.holds_added(x) else np.frombuffer(self._bytes(x), dtype=self.dtype) for x in texts]
 
     def _bytes(self, text: str) -> bytes:
         head, *parts = [text] if self.blank(text) else text.split(" ")
