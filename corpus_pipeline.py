@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import scratch, written
 from lodestone.llm.encoding import default_tokenizer
 from lodestone.llm.line_dedup import dedup_lines
+from lodestone.llm.near_copies import near_copies
 from lodestone.llm.packing import pack
 from lodestone.llm.quality_crf import fit_quality, score_quality
-from lodestone.llm.simhash import near_duplicates
 from lodestone.llm.soft_mixing import label_domain, mix
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -48,13 +48,14 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows are numbered and go by their number: of rows with the same id and
     different texts each is kept or goes with its own group. Documents without
-    words are no copies of each other's content: each of them stays.
-    Fingerprints link at two differing bits of 64.
+    words are no copies of each other's content: each of them stays. Links are
+    those of Jaccard similarity 0.8 or more (``near_copies``): SimHash bits do
+    not tell such pairs from others.
     """
     at = scratch(spark, "numbered")
     numbered = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), at)
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    groups = near_duplicates(numbered.where(worded), width=5, id_col="row").withColumnRenamed("component_id", "component")
+    groups = near_copies(numbered.where(worded), width=5, similarity=0.8, id_col="row")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     first = groups.join(numbered.select("row", "doc_id"), "row").groupBy("component").agg(F.min(order).alias("least")).select("least.row")
     return numbered.where(worded).join(first, "row", "left_semi").unionByName(numbered.where(~worded)).select(*COLUMNS)
