@@ -6,12 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def upper_median(c: Column) -> Column:
-    """The element at n // 2 of the sorted values (from 0); null without values. An aggregate; its memory is the group's values."""
-    values = F.array_sort(F.collect_list(c))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
-
-
 def move_to_front(a: Column, x: Column) -> Column:
     return F.concat(F.array(x), F.array_remove(F.coalesce(a, F.array().cast("array<string>")), x))
 
@@ -39,16 +33,6 @@ def capped_ratio(a: Column, b: Column) -> Column:
     return F.when(F.coalesce(b, F.lit(0)) == 0, 0).otherwise(F.least(F.lit(100), F.floor(100 * a / b + 0.5))).cast("int")
 
 
-def round_python(c: Column, digits: int = 0) -> Column:
-    """Half to even, as Python's round on decimal values."""
-    return F.bround(c, digits)
-
-
-def later_wins(earlier: Column, later: Column) -> Column:
-    """The later value unless it is null or blank."""
-    return F.coalesce(F.nullif(later, F.lit("")), earlier)
-
-
 def lexicon_score(text: Column, hints: list[tuple[str, str]], weight: float = 1.0) -> Column:
     """map<node, score>: ``weight`` for each (node, hint) whose hint the lower-cased text holds."""
     low = F.lower(F.coalesce(text, F.lit("")))

@@ -51,13 +51,22 @@ ROLES = {"mechanism_claim": "mechanism", "validation_claim": "capacity", "synthe
 MEASURED = ("measured_result_to_indicator_field", "condition_or_group_contrast_to_comparative_field")
 
 
-def bridge_type(raw: Column, role: Column, statement: Column, theory_text: Column, primary: Column | None = None) -> Column:
+#: What a synthesis may fall back to, in this order.
+FALLBACKS = ("mechanism", "functional", "theory_derived", "empirical_association")
+
+
+def bridge_type(raw: Column, role: Column, statement: Column, theory_text: Column, primary: Column | None = None, likely: Column | None = None) -> Column:
     """The canonical warrant type of a claim.
 
     Order: analogy in the statement; the extraction's own field; indicator,
     synthesis and measurement fields with their markers; the claim's role; a
     theory marker where the article's primary type is theory; the primary type.
+    A synthesis without a marker takes the first fallback among ``likely``, the
+    warrant types (array<string>) that a policy table gives for the article's
+    type; without the policy that is empirical association alone.
     """
+    likely = F.transform(F.coalesce(likely, F.array().cast("array<string>")), lambda x: F.lower(F.btrim(x))) if likely is not None else F.array(F.lit("empirical_association"))
+    first_likely = F.coalesce(F.get(F.filter(F.array(*map(F.lit, FALLBACKS)), lambda x: F.array_contains(likely, x)), 0), F.lit("functional"))
     raw, role = F.lower(F.btrim(F.coalesce(raw, F.lit("")))), F.lower(F.btrim(F.coalesce(role, F.lit(""))))
     said, theory = F.lower(F.coalesce(statement, F.lit(""))), F.lower(F.coalesce(theory_text, F.lit("")))
     base = F.lower(F.btrim(F.coalesce(primary, F.lit("")))) if primary is not None else F.lit("")
@@ -66,7 +75,7 @@ def bridge_type(raw: Column, role: Column, statement: Column, theory_text: Colum
     for field, kind in EXTRACTED.items():
         out = out.when(raw == field, kind)
     out = out.when(raw == "indicator_pattern_plus_author_interpretation_to_construct_field", F.when(any_marker(said, CONSTITUTION), "constitutive").when(any_marker(said, CAPACITY), "capacity").otherwise("functional"))
-    out = out.when(raw == "multi_result_integration_to_synthesis_field", F.when(any_marker(said, THEORY), "theory_derived").when(any_marker(said, CAPACITY), "capacity").otherwise("functional"))
+    out = out.when(raw == "multi_result_integration_to_synthesis_field", F.when(any_marker(said, THEORY), "theory_derived").when(any_marker(said, CAPACITY), "capacity").otherwise(first_likely))
     out = out.when(raw.isin(*MEASURED), F.when(any_marker(said, CONSTITUTION), "constitutive").otherwise("empirical_association"))
     for claim_role, kind in ROLES.items():
         out = out.when(role == claim_role, kind)
@@ -228,11 +237,75 @@ def page_area(path: Column, prefix: str, course: str) -> Column:
     return F.struct(area.alias("area"), which.alias("track"))
 
 
-def pdf_check(content: Column, least: int = 1024, most: int = 50 * 1024 * 1024, tail: int = 1024) -> Column:
-    """struct<valid, problem> of PDF bytes: the size, the leading magic and an end mark near the end."""
-    size = F.length(content)
-    head = F.substring(content, 1, 5) == F.to_binary(F.lit("%PDF-"), F.lit("utf-8"))
+def _magic(content: Column) -> Column:
+    return F.substring(content, 1, 5) == F.to_binary(F.lit("%PDF-"), F.lit("utf-8"))
+
+
+def _end_mark(content: Column, tail: int) -> Column:
     # Bytes as Latin-1 text keep their places.
-    end = F.decode(F.substring(content, -tail, tail), "ISO-8859-1").contains("%%EOF")
-    problem = F.when(content.isNull() | (size < least), "too_small").when(size > most, "too_large").when(~head, "no_magic").when(~end, "no_eof")
-    return F.struct(problem.isNull().alias("valid"), problem.alias("problem"))
+    return F.decode(F.substring(content, -tail, tail), "ISO-8859-1").contains("%%EOF")
+
+
+def pdf_check(content: Column, most: int = 50 * 1024 * 1024) -> Column:
+    """struct<valid, problem, warning> of uploaded bytes: magic, then size; a missing end mark is a warning only."""
+    problem = F.when(content.isNull() | ~_magic(content), "no_magic").when(F.length(content) > most, "too_large")
+    warning = F.when(problem.isNull() & ~_end_mark(content, 1024), "no_eof")
+    return F.struct(problem.isNull().alias("valid"), problem.alias("problem"), warning.alias("warning"))
+
+
+def pdf_quarantine(content: Column, name: Column, most: int = 100 * 1024 * 1024) -> Column:
+    """The strict verdict on a file: missing, bad_file, oversize, malformed (no end mark), encrypted or accepted.
+
+    Encrypted is a file that names an encryption dictionary.
+    """
+    named = F.lower(name).endswith(".pdf")
+    sealed = F.decode(content, "ISO-8859-1").rlike(r"/Encrypt\b")
+    return (
+        F.when(content.isNull(), "missing").when(F.length(content) == 0, "bad_file").when(F.length(content) > most, "oversize")
+        .when(~F.coalesce(named, F.lit(False)) | ~_magic(content), "bad_file").when(~_end_mark(content, 2048), "malformed").when(sealed, "encrypted").otherwise("accepted")
+    )
+
+
+#: Priority and effort of a critique by its rating, and how its suggestion begins.
+PRIORITIES = {"major": "High", "minor": "Medium", "pass": "Low"}
+EFFORTS = {"major": "Half day", "minor": "30–60 min"}
+OPENINGS = {"major": ("Address the '", "' violation"), "minor": ("Tighten the '", "' dimension")}
+REMEDY = "Review the heuristic's standard remedies (see Nielsen/Shneiderman/Tufte source) and apply the smallest change that resolves the issue."
+
+
+def _by_name(key: Column, names: dict[str, str], default: str) -> Column:
+    return F.coalesce(*(F.when(key == k, v) for k, v in names.items()), F.lit(default))
+
+
+def priority(rating: Column) -> Column:
+    return _by_name(rating, PRIORITIES, "Low")
+
+
+def critique(rating: Column, label: Column, note: Column) -> dict[str, Column]:
+    """``suggestion``, ``priority`` and ``effort`` that a rating alone suggests for a heuristic."""
+    opening = F.concat(F.lit("Review '"), label, F.lit("'"))
+    for name, (before, after) in OPENINGS.items():
+        opening = F.when(rating == name, F.concat(F.lit(before), label, F.lit(after))).otherwise(opening)
+    said = F.btrim(F.coalesce(note, F.lit("")))
+    seen = F.when(said != "", F.concat(F.lit(' Student observed: "'), said, F.lit('"'))).otherwise("")
+    return {"suggestion": F.concat(opening, F.lit(" on this page."), seen, F.lit(" "), F.lit(REMEDY)), "priority": priority(rating), "effort": _by_name(rating, EFFORTS, "15 min")}
+
+
+#: Points of an embedded picture and of a rendered page for each kind of page it stands on, and the least size of a picture.
+PICTURE_POINTS = {"figure": 6, "context": 5, "results": 3}
+PAGE_POINTS = {"table": 8, "results": 6, "figure": 4, "sample": 2}
+PICTURE_WIDTH, PICTURE_HEIGHT = 220, 160
+
+
+def picture_score(figure: Column, context: Column, results: Column) -> dict[str, Column]:
+    """``score`` and ``kind`` of an embedded picture by the kinds of its page (booleans)."""
+    points = lambda c, n: F.when(c, PICTURE_POINTS[n]).otherwise(0)
+    kind = F.when(figure, "stimulus_or_result_figure").when(context, "experimental_context").when(results, "results_surface").otherwise("supplemental_visual")
+    return {"score": F.lit(1) + points(figure, "figure") + points(context, "context") + points(results, "results"), "kind": kind}
+
+
+def page_score(table: Column, results: Column, figure: Column, sample: Column) -> dict[str, Column]:
+    """``score`` and ``kind`` of a rendered page; a score of 0 makes it no candidate."""
+    parts = {"table": table, "results": results, "figure": figure, "sample": sample}
+    score = sum((F.when(parts[n], p).otherwise(0) for n, p in PAGE_POINTS.items()), F.lit(0))
+    return {"score": score, "kind": F.when(table | results, "results_surface").otherwise("experimental_context")}

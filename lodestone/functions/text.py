@@ -42,11 +42,6 @@ def humanize(c: Column) -> Column:
     return _title(F.btrim(plain))
 
 
-def title_ascii(c: Column) -> Column:
-    """Title case where words are ASCII letters split by single spaces: JVM only."""
-    return F.initcap(c)
-
-
 def compact(c: Column, limit: int = 220) -> Column:
     """Collapsed text of at most ``limit`` characters; a cut ends in an ellipsis."""
     text = collapsed(c)
@@ -127,6 +122,7 @@ def kept_order(a: Column) -> Column:
     return F.aggregate(trimmed, F.array().cast("array<string>"), lambda seen, x: F.when(F.exists(seen, lambda y: F.lower(y) == F.lower(x)), seen).otherwise(F.array_append(seen, x)))
 
 
+#: Parts of a page that hold no text.
 _DROP = (r"(?s)<!--.*?-->", r"(?is)<(script|style|svg|noscript)\b[^>]*>.*?</\1>")
 
 
@@ -145,15 +141,17 @@ def html_page(c: Column, decode: bool = True, headings: int = 30, excerpt: int =
     """``title``, distinct ``headings`` (h1 to h3, in order), ``excerpt`` and ``full_len`` of raw HTML.
 
     With ``decode`` entities are decoded by an Arrow-batched Python function
-    over title and body; headings are decoded by the numeric-free common names.
-    Without it everything stays on the JVM and entities stay as written.
+    over title, headings and body. Without it everything stays on the JVM and
+    entities stay as written.
     """
     clean = F.coalesce(c, F.lit(""))
     for pattern in _DROP:
         clean = F.regexp_replace(clean, pattern, " ")
     title = F.regexp_extract(clean, r"(?is)<title[^>]*>(.*?)</title>", 1)
     raw = F.regexp_extract_all(clean, F.lit(r"(?is)(<h([1-3])[^>]*>.*?</h\2>)"), F.lit(1))
-    plain = F.transform(raw, lambda h: collapsed(_entities(F.regexp_replace(h, r"<[^>]+>", " ")) if decode else F.regexp_replace(h, r"<[^>]+>", " ")))
+    # Headings are decoded in one call, joined by a character that no text of a heading holds once its blanks are collapsed.
+    bare = F.transform(raw, lambda h: F.regexp_replace(F.regexp_replace(h, r"<[^>]+>", " "), "\n", " "))
+    plain = F.transform(F.split(_unescape(F.array_join(bare, "\n")) if decode else F.array_join(bare, "\n"), "\n"), collapsed)
     text = _shown(F.regexp_replace(clean, r"<[^>]+>", " "), decode)
     return {
         "title": _shown(title, decode),
@@ -163,19 +161,46 @@ def html_page(c: Column, decode: bool = True, headings: int = 30, excerpt: int =
     }
 
 
-#: The entities that headings use.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
-
-
-def _entities(c: Column) -> Column:
-    return reduce(lambda a, e: F.replace(a, F.lit(e), F.lit(ENTITIES[e])), ENTITIES, c)
-
-
 def markdown_headings(c: Column, most: int = 15) -> Column:
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?m)^#{1,3}\s+(.+)$"), F.lit(1))
     return F.slice(F.array_distinct(F.filter(F.transform(found, lambda x: F.btrim(x)), lambda h: h != "")), 1, most)
 
 
+def science_sections(c: Column) -> Column:
+    """map<string,string>: the sections of a JSON summary that have text, else prose up to its first second-level heading as 'Core Finding'.
+
+    Null and blank summaries give an empty map.
+    """
+    said = F.coalesce(c, F.lit(""))
+    listed = F.from_json(F.get_json_object(said, "$.sections"), "map<string,string>")
+    cleaned = F.map_filter(F.transform_values(listed, lambda k, v: clean_markdown(v)), lambda k, v: v != "")
+    prose = F.btrim(F.regexp_replace(clean_markdown(said), r"(?s)\n##\s+.*\z", ""), F.lit(" \t\r\n"))
+    plain = F.when(clean_markdown(said) == "", F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("Core Finding"), prose))
+    return F.when(F.size(listed) > 0, cleaned).otherwise(plain)
+
+
+#: Where an abstract stands in a text, and how lines begin that are no title.
+ABSTRACT = r"(?i)\babstract\b[:\s]*(.{50,800}?)(?:\n\n|\bintroduction\b|\bkeywords\b)"
+NO_TITLE = ("http", "doi", "volume", "journal")
+_BLANK = " \t\r\n\x0b\x0c"
+
+
+def abstract_of(c: Column) -> Column:
+    """The abstract that a text names, else its first 300 characters; '' for a blank text."""
+    said = F.coalesce(c, F.lit(""))
+    found = F.regexp_extract(said, ABSTRACT, 1)
+    return F.btrim(F.when(found != "", found).otherwise(F.substring(said, 1, 300)), F.lit(_BLANK))
+
+
+def title_of(c: Column, fallback: Column | str = "") -> Column:
+    """The first line of over ten characters, cut to 200, if it has over 15 and does not begin like a reference; else the fallback."""
+    other = fallback if isinstance(fallback, Column) else F.lit(fallback)
+    lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.btrim(x, F.lit(_BLANK)))
+    first = F.substring(F.get(F.filter(lines, lambda x: F.length(x) > 10), 0), 1, 200)
+    bad = reduce(lambda a, b: a | b, (F.lower(first).startswith(x) for x in NO_TITLE))
+    return F.when(first.isNull() | bad | (F.length(first) <= 15), other).otherwise(first)
+
+
 def page_number(c: Column) -> Column:
     return F.try_to_number(F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?i)page[_ ]?(\d+)", 1), F.lit("")), F.lit("999999999")).cast("long")
 

@@ -3,20 +3,31 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.collections import half_open_bin, upper_median
+from lodestone.functions.collections import half_open_bin
 from lodestone.operators.filters import filled
+from lodestone.operators.ordering import counted_values
 
 
 def summary(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
-    """n, mean, median, upper median, min and max; without values they are 0."""
-    v = F.col(value)
+    """n, mean, median, upper median, min and max; without values they are 0.
+
+    Medians are read off counted values (``counted_values``), so no task holds
+    a group's values. The upper median is the one at n // 2 from 0.
+    """
+    by, v = list(by), F.col(value)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return df.groupBy(*by).agg(F.count(v).alias("n"), zero(F.avg(v)).alias("mean"), zero(F.median(v)).alias("median"), zero(upper_median(v)).alias("upper_median"), zero(F.min(v)).alias("min"), zero(F.max(v)).alias("max"))
+    base = df.groupBy(*by).agg(F.count(v).alias("n"), zero(F.avg(v)).alias("mean"), zero(F.min(v)).alias("min"), zero(F.max(v)).alias("max"))
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col(value)))
+    low, high = at(F.floor((F.col("total") + 1) / 2)), at(F.floor(F.col("total") / 2) + 1)
+    middle = counted_values(df, value, by).groupBy(*by).agg(((low + high) / 2).alias("median"), high.alias("upper_median"))
+    middle = middle.withColumnsRenamed({c: f"__{c}" for c in by})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by), F.lit(True))
+    both = base.join(middle, same, "left") if by else base.crossJoin(F.broadcast(middle))
+    return both.select(*by, "n", "mean", zero("median").alias("median"), zero("upper_median").alias("upper_median"), "min", "max")
 
 
 def status_totals(df: DataFrame, by: list[str], status: Column, values: list[str], amount: Column) -> DataFrame:
@@ -234,10 +245,6 @@ def verdict(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return row.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
 
 
-def total_of(*cs: Column) -> Column:
-    return reduce(add, cs)
-
-
 def compared_files(a: DataFrame, b: DataFrame) -> DataFrame:
     """(path, state) of two sets of (path, content): same, differs, only_left, only_right."""
     x, y = (d.select("path", F.sha2("content", 256).alias(h)) for d, h in ((a, "l"), (b, "r")))

@@ -1,11 +1,16 @@
-"""Duplicate detection for articles: exact hash, exact DOI, then titles within a word."""
+"""Duplicate detection for articles: exact hash, exact DOI, then titles within a word or within each other."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.matching import duplicate_kind, match_confidence, titles_match, word_distance
+from lodestone.functions.matching import duplicate_kind, match_confidence, titles_match
 from lodestone.functions.text import normalised, tokens
 
 
@@ -20,56 +25,185 @@ def exact_groups(df: DataFrame, key: str, text: Column, kept: str = "keep_id") -
     return rows.join(groups, "hash").select(key, "hash", kept, "n")
 
 
-def one_gap_keys(words: Column) -> Column:
-    """Keys that two word lists within one edit share: the list itself, and the list without each of its words."""
-    whole = F.array_join(words, " ")
-    without = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.array_join(F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, F.size(words))), " "))
-    return F.array_distinct(F.concat(F.array(whole), without))
+_BASE = 0x9E3779B97F4A7C15
+_SEEDS = ("lodestone-first-", "lodestone-second")
+
+
+def _gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each list: a 128-bit hash of the whole (pos -1), and of the list without each of its words (pos from 0)."""
+    for batch in batches:
+        row, pos, sides = [], [], ([], [])
+        for number, words in enumerate(batch["w"].to_pylist()):
+            n = len(words)
+            row.append(np.full(n + 1, number))
+            pos.append(np.arange(-1, n))
+            held = np.array(words, dtype=object)
+            for seed, out in zip(_SEEDS, sides, strict=True):
+                hashes = pd.util.hash_array(held, hash_key=seed, categorize=False)
+                power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _BASE, np.uint64))), dtype=np.uint64)
+                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power[:n], dtype=np.uint64)))
+                without = sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(pow(_BASE, -1, 2**64))
+                out.append(np.concatenate((sums[-1:], without)))
+        take = pa.array(np.concatenate(row) if row else [], pa.int64())
+        longs = [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in sides]
+        at = np.concatenate(pos).astype(np.int32) if pos else np.zeros(0, np.int32)
+        yield pa.record_batch({"lo": batch["lo"].take(take), "pos": pa.array(at), "a": pa.array(longs[0]), "b": pa.array(longs[1])})
+
+
+def _gap_rows(lists: DataFrame) -> DataFrame:
+    """(lo, pos, a, b) of lists (lo, w): two lists are one substitution apart if they share the hash without a word at one place, one insertion if one's whole hash is the other's without a word."""
+    kind = lists.schema["lo"].dataType.simpleString()
+    return lists.select("lo", "w").mapInArrow(_gaps, f"lo {kind}, pos int, a long, b long")
+
+
+def _half_keys(w: Column) -> Column:
+    """Four keys of a list such that lists one word apart share one: an edit leaves one half of the shorter list as it is.
+
+    Halves of a list of the same length, and of a list one word shorter.
+    """
+    n = F.size(w)
+
+    def halves(m: Column) -> list[Column]:
+        first = F.floor(m / 2).cast("int")
+        head, tail = F.slice(w, F.lit(1), first), F.slice(w, n - (m - first) + 1, m - first)
+        return [F.struct(m.alias("m"), F.lit(i).alias("half"), F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("g")) for i, x in enumerate((head, tail))]
+
+    return F.array(*halves(n), *halves(n - 1))
 
 
 def within_one_word(df: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, match): for each row the smallest other key whose word list is at most one word edit away.
 
-    Joined by deletion keys and verified; equal lists collapse to one before
-    they are joined, so copies make no pairs.
+    Lists of at least three words. Equal lists collapse to one first; then only
+    lists that share half of their words with another go on, so a unique text
+    costs four hashes. Matches are minima of groups of equal hashes (128 bits):
+    no pairs are made, however many lists lie one word apart.
     """
     rows = df.select(F.col(key).alias("id"), tokens(text).alias("w")).where(F.size("w") >= 3)
     lists = rows.groupBy("w").agg(F.min("id").alias("lo"), F.count("*").alias("n"))
-    keyed = lists.select("lo", "w", F.explode(one_gap_keys(F.col("w"))).alias("k"))
-    hits = keyed.alias("a").join(keyed.alias("b"), "k").where("a.lo <> b.lo").select(F.col("a.lo").alias("a"), F.col("b.lo").alias("b"), F.col("a.w").alias("x"), F.col("b.w").alias("y")).distinct()
-    near = hits.where(word_distance(F.col("x"), F.col("y")) <= 1).groupBy("a").agg(F.min("b").alias("near"))
-    out = rows.join(lists.select("w", "lo", "n"), "w").join(near, F.col("lo") == F.col("a"), "left")
+    keyed = lists.select("lo", F.explode(_half_keys(F.col("w"))).alias("k"))
+    shared = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    gaps = _gap_rows(lists.join(keyed.join(shared, "k").select("lo").distinct(), "lo", "left_semi"))
+    gone, whole = gaps.where("pos >= 0"), gaps.where("pos < 0")
+    # Of a place's group the two smallest: a list takes the smallest that it is not itself.
+    least = gone.groupBy("a", "b", "pos").agg(F.min("lo").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = gone.join(least, ["a", "b", "pos"])
+    second = members.where("lo <> first").groupBy("a", "b", "pos").agg(F.min("lo").alias("second"))
+    first_ones = least.join(second, ["a", "b", "pos"]).select(F.col("first").alias("lo"), F.col("second").alias("near"))
+    others = members.where("lo <> first").select("lo", F.col("first").alias("near"))
+    shorter = whole.select("a", "b", F.col("lo").alias("whole"))
+    longer = gone.groupBy("a", "b").agg(F.min("lo").alias("near")).join(shorter, ["a", "b"]).select(F.col("whole").alias("lo"), "near")
+    inner = gone.join(shorter, ["a", "b"]).select("lo", F.col("whole").alias("near"))
+    near = first_ones.union(others).union(longer).union(inner).groupBy("lo").agg(F.min("near").alias("near"))
+    out = rows.join(lists.select("w", "lo", "n"), "w").join(near, "lo", "left")
     # Among equal lists the lowest key, or for that key itself the next row of its list.
-    second = rows.join(lists.select("w", "lo"), "w").where("id <> lo").groupBy("lo").agg(F.min("id").alias("second"))
-    out = out.join(second, "lo", "left").withColumn("match", F.least(F.when(F.col("id") == F.col("lo"), F.col("second")).otherwise(F.col("lo")), "near"))
+    again = rows.join(lists.where("n > 1").select("w", "lo"), "w").where("id <> lo").groupBy("lo").agg(F.min("id").alias("again"))
+    equal = F.when(F.col("id") == F.col("lo"), F.col("again")).otherwise(F.col("lo"))
+    out = out.join(again, "lo", "left").withColumn("match", F.least(equal, "near"))
     return out.where("match is not null").select(F.col("id").alias(key), F.col("match"))
 
 
+def _one_edit(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(t, id): titles (t, lo) of ``held`` at most one word from those of ``asked``, both of three words at least: the least id of each kind."""
+    lists = lambda d, lo: d.select(F.col(lo).alias("lo"), F.split("t", " ").alias("w")).where(F.size("w") >= 3)
+    mine, theirs = _gap_rows(lists(asked, "t")), _gap_rows(lists(held, "lo"))
+    place = theirs.where("pos >= 0").groupBy("a", "b", "pos").agg(F.min("lo").alias("id"))
+    any_place = theirs.where("pos >= 0").groupBy("a", "b").agg(F.min("lo").alias("id"))
+    same = mine.where("pos >= 0").join(place, ["a", "b", "pos"])
+    longer = mine.where("pos < 0").join(any_place, ["a", "b"])
+    shorter = mine.where("pos >= 0").join(theirs.where("pos < 0").select("a", "b", F.col("lo").alias("id")), ["a", "b"])
+    return same.select("lo", "id").union(longer.select("lo", "id")).union(shorter.select("lo", "id")).withColumnRenamed("lo", "t")
+
+
+#: Sizes of the pieces by which a title of one word is looked for in longer words.
+GRAMS = (1, 2, 4, 8)
+_EDGE = 3
+
+
+def _runs(w: Column, size: int, first: Column | int, last: Column) -> Column:
+    """The runs of ``size`` words that begin at places first to last (from 1), tagged by size; none if last < first."""
+    first = F.lit(first) if isinstance(first, int) else first
+    made = F.transform(F.sequence(first, F.greatest(first, last)), lambda i: F.concat(F.lit(f"{size}|"), F.array_join(F.slice(w, i, size), " ")))
+    return F.when(last >= first, made).otherwise(F.array().cast("array<string>"))
+
+
+def _inside_keys(w: Column) -> Column:
+    """Keys of a title, each of which any title that contains it has too.
+
+    The outer words may stand at the ends of longer words; the inner ones are
+    whole. Two words meet at their inner edges, a single word by its beginning.
+    """
+    n = F.size(w)
+    a, b = F.get(w, 0), F.get(w, 1)
+    edge = F.concat(F.lit("b|"), F.right(a, F.least(F.length(a), F.lit(_EDGE))), F.lit(" "), F.left(b, F.least(F.length(b), F.lit(_EDGE))))
+    gram = F.lit(None).cast("string")
+    for size in GRAMS:
+        gram = F.when(F.length(a) >= size, F.concat(F.lit(f"g{size}|"), F.left(a, F.lit(size)))).otherwise(gram)
+    return F.when(n >= 5, _runs(w, 3, 2, n - 3)).when(n == 4, _runs(w, 2, 2, F.lit(2))).when(n == 3, _runs(w, 1, 2, F.lit(2))).when(n == 2, F.array(edge)).otherwise(F.array(gram))
+
+
+def _holder_keys(w: Column) -> Column:
+    """All keys that a title has for those that it may contain."""
+    n = F.size(w)
+    sizes = [(i, j) for i in range(1, _EDGE + 1) for j in range(1, _EDGE + 1)]
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.get(w, i - 1).alias("u"), F.coalesce(F.get(w, i), F.lit("")).alias("v")))
+    edges = F.flatten(F.transform(pairs, lambda p: F.array(*(F.concat(F.lit("b|"), F.right(p["u"], F.lit(i)), F.lit(" "), F.left(p["v"], F.lit(j))) for i, j in sizes))))
+
+    def grams(size: int) -> Column:
+        def of(x: Column) -> Column:
+            places = F.sequence(F.lit(1), F.greatest(F.length(x) - size + 1, F.lit(1)))
+            return F.transform(places, lambda i: F.concat(F.lit(f"g{size}|"), F.substring(x, i, F.lit(size))))
+
+        return F.flatten(F.transform(w, of))
+
+    return F.array_distinct(F.concat(_runs(w, 3, 1, n - 2), _runs(w, 2, 1, n - 1), _runs(w, 1, 1, n), edges, *map(grams, GRAMS)))
+
+
+def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(s, l): titles s (column t) that may stand in titles l: those that have the key of s that the fewest titles have.
+
+    Every candidate is verified by the caller. A key that no title has ends the search for its title.
+    """
+    words = F.split("t", " ")
+    keys = short.select(F.col("t").alias("s"), F.explode(_inside_keys(words)).alias("k"))
+    held = long.select(F.col("t").alias("l"), F.explode(_holder_keys(words)).alias("k")).join(keys.select("k").distinct(), "k", "left_semi")
+    counts = held.groupBy("k").agg(F.count("*").alias("n"))
+    rarest = keys.join(counts, "k").groupBy("s").agg(F.min_by("k", F.struct("n", "k")).alias("k"))
+    return rarest.join(held, "k").where(F.col("l").contains(F.col("s"))).select("s", "l")
+
+
 def duplicate_cascade(new: DataFrame, known: DataFrame, key: str = "article_id") -> DataFrame:
     """(key, match_id, match_type, confidence): the first tier that hits decides; in a tier the lowest known id.
 
-    Columns of both: key, pdf_hash, doi, title, authors. The title tier asks
-    only rows whose trimmed title has over ten characters. Its candidates are
-    title pairs that share a deletion key (one word edit), and pairs where one
-    title's words begin or end with the other's (truncation): blocked on the
-    first three and last three words.
+    Columns of both: key (unique), pdf_hash, doi, title, authors. The title
+    tier asks only rows whose trimmed title has over ten characters. Equal
+    hashes, DOIs and titles meet as one row each. A title that stands in
+    another, at any place, is found by the rarest of its inner runs of words;
+    titles one word apart by hashes without a word.
     """
     n = new.select(F.col(key).alias("id"), *(F.col(c) for c in ("pdf_hash", "doi", "title", "authors")))
     k = known.select(F.col(key).alias("match_id"), *(F.col(c).alias(f"k_{c}") for c in ("pdf_hash", "doi", "title", "authors")))
-    by_hash = n.join(k, n.pdf_hash == k.k_pdf_hash).select("id", "match_id", F.lit(1).alias("tier"), F.lit("exact_hash").alias("match_type"))
-    doi = lambda c: F.lower(F.btrim(c))
-    by_doi = n.where(F.coalesce(doi(F.col("doi")), F.lit("")) != "").join(k, doi(n.doi) == F.lower(k.k_doi)).select("id", "match_id", F.lit(2).alias("tier"), F.lit("exact_doi").alias("match_type"))
-
-    def keys(c: Column) -> Column:
-        w = tokens(c)
-        ends = F.array(F.concat(F.lit("<"), F.array_join(F.slice(w, 1, 3), " ")), F.concat(F.array_join(F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), F.lit(3)), " "), F.lit(">")))
-        return F.array_distinct(F.concat(one_gap_keys(w), ends))
-
-    asked = n.where((F.length(F.btrim("title")) > 10) & (normalised(F.col("title")) != "")).withColumn("k", F.explode(keys(F.col("title"))))
-    held = k.where(F.coalesce("k_title", F.lit("")) != "").withColumn("k", F.explode(keys(F.col("k_title"))))
-    pairs = asked.join(held, "k").drop("k").distinct()
-    kind = duplicate_kind(titles_match(F.col("title"), F.col("k_title")), F.col("authors"), F.col("k_authors"))
-    by_title = pairs.withColumn("match_type", kind).where("match_type is not null").select("id", "match_id", F.lit(3).alias("tier"), "match_type")
+    tier = lambda d, number: d.select("id", "match_id", F.lit(number).alias("tier"))
+    least = lambda d, c: d.groupBy(c.alias("value")).agg(F.min("match_id").alias("match_id"))
+    hashes = least(k.where("k_pdf_hash is not null"), F.col("k_pdf_hash"))
+    by_hash = n.join(hashes, F.col("pdf_hash") == F.col("value"))
+    doi = F.nullif(F.lower(F.btrim("doi")), F.lit(""))
+    by_doi = n.withColumn("d", doi).join(least(k, F.lower("k_doi")), F.col("d") == F.col("value"))
+
+    titled = n.where(F.length(F.btrim("title")) > 10).select("id", normalised(F.col("title")).alias("t")).where("t <> ''")
+    asked = titled.select("t").distinct()
+    held = k.select("match_id", normalised(F.col("k_title")).alias("t")).where("t <> ''").groupBy("t").agg(F.min("match_id").alias("lo"))
+    named = held.select(F.col("t").alias("h"), "lo")
+    equal = asked.join(held, "t").select("t", F.col("lo").alias("id"))
+    inside = _contained(asked, held).join(named, F.col("l") == F.col("h")).select(F.col("s").alias("t"), F.col("lo").alias("id"))
+    around = _contained(held, asked).join(named, F.col("s") == F.col("h")).select(F.col("l").alias("t"), F.col("lo").alias("id"))
+    best = equal.union(_one_edit(asked, held)).union(inside).union(around).groupBy("t").agg(F.min("id").alias("match_id"))
+    by_title = titled.join(best, "t")
+
     first = F.row_number().over(Window.partitionBy("id").orderBy("tier", "match_id"))
-    found = by_hash.union(by_doi).union(by_title).withColumn("n", first).where("n = 1")
-    return found.select(F.col("id").alias(key), "match_id", "match_type", match_confidence(F.col("match_type")).alias("confidence"))
+    found = tier(by_hash, 1).union(tier(by_doi, 2)).union(tier(by_title, 3)).withColumn("n", first).where("n = 1").drop("n")
+    found = found.join(n.select("id", "title", "authors"), "id").join(k, "match_id")
+    by_words = duplicate_kind(titles_match(F.col("title"), F.col("k_title")), F.col("authors"), F.col("k_authors"))
+    kind = F.when(F.col("tier") == 1, "exact_hash").when(F.col("tier") == 2, "exact_doi").otherwise(by_words)
+    out = found.withColumn("match_type", kind)
+    return out.select(F.col("id").alias(key), "match_id", "match_type", match_confidence(F.col("match_type")).alias("confidence"))

@@ -50,6 +50,21 @@ def with_constant(df: DataFrame, totals: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(totals.limit(1)))
 
 
+def by_name(df: DataFrame, table: DataFrame, name: str, table_name: str) -> DataFrame:
+    """Left join on names without regard to case; of the table's rows that share a name one stays, the greatest row."""
+    known = table.withColumn("__k", F.lower(F.coalesce(F.col(table_name).cast("string"), F.lit(""))))
+    last = known.groupBy("__k").agg(F.max(F.struct(*table.columns)).alias("__row")).select("__k", "__row.*")
+    rest = [c for c in table.columns if c not in df.columns]
+    return df.withColumn("__k", F.lower(F.coalesce(F.col(name), F.lit("")))).join(last.select("__k", *rest), "__k", "left").drop("__k")
+
+
+def single_value(df: DataFrame, table: DataFrame, on: list[str], value: str) -> DataFrame:
+    """A scalar lookup: the value of the key's row; null without one, an error if a key has several."""
+    one = table.groupBy(*on).agg(F.count("*").alias("__n"), F.first(value).alias(value))
+    checked = F.when(F.col("__n") > 1, F.raise_error(F.lit("a key has several rows"))).otherwise(F.col(value))
+    return df.join(one.select(*on, checked.alias(value)), on, "left")
+
+
 def missing_pairs(left: DataFrame, right: DataFrame, group: list[str], present: DataFrame, keys: list[str]) -> DataFrame:
     """All pairs of the sides that agree in ``group`` (a keyed join, such as an offering) and are not present."""
     return left.join(right, group).join(present.select(*keys).distinct(), keys, "left_anti")

@@ -7,19 +7,67 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.scratch import scratch, written
+
+
+def _joined(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on key columns in which nulls are equal; the keys come from ``df``, the other columns from both."""
+    other = table.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys))
+    return df.join(other, same, how).drop(*(f"__key_{k}" for k in keys))
+
+
+def _ranged(df: DataFrame, *order: Column) -> DataFrame:
+    """The rows in ranges of the order, written once with ``__at``: the range in its upper bits, the place in it below.
+
+    The numbers stand in files, so every later reader sees the same ones,
+    whatever adaptive execution does to a plan and whatever runs again.
+    """
+    spark = df.sparkSession
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(sorted_.withColumn("__at", F.monotonically_increasing_id()), scratch(spark, "ranged"))
+
+
+def _before(ranged: DataFrame, amount: Column) -> DataFrame:
+    """(__p, __b): for each range the sum over the ranges before it. A row a range, so one window over them is small."""
+    sums = ranged.groupBy(F.shiftright("__at", 33).alias("__p")).agg(F.sum(amount).alias("__s"))
+    w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("__p", F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__b"))
+
+
+def running_total(df: DataFrame, amount: str, name: str, *order: Column) -> DataFrame:
+    """The sum of ``amount`` (a long) up to each row of a total order, without a task that sees all rows."""
+    ranged = _ranged(df, *order)
+    parts = ranged.withColumn("__p", F.shiftright("__at", 33))
+    inner = Window.partitionBy("__p").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = parts.withColumn("__i", F.sum(amount).over(inner))
+    return inside.join(_before(ranged, F.col(amount)), "__p").withColumn(name, F.col("__b") + F.col("__i")).drop("__p", "__i", "__b", "__at")
+
+
+def counted_values(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """(by, value, n, upto, total): each distinct value of a group, its rows, the rows up to it, and the group's rows.
+
+    Null values are left out; null group keys are a group. Values are counted
+    with map-side combination, and the counts summed over ranges of (by, value),
+    so neither a hot group nor a table without groups lands in one task.
+    """
+    by = by or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    upto = running_total(counts, "n", "__upto", *(F.col(c) for c in (*by, value)))
+    groups = upto.groupBy(*by).agg(F.min(F.col("__upto") - F.col("n")).alias("__start"), F.sum("n").alias("total"))
+    joined = _joined(upto, groups, by) if by else upto.crossJoin(F.broadcast(groups))
+    return joined.select(*by, value, "n", (F.col("__upto") - F.col("__start")).alias("upto"), "total")
+
 
 def percentile_rank(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """100 times the share of rows at or below, to one decimal.
+    """100 times the share of rows at or below, to one decimal; null for a null value.
 
-    Values are counted first; within a group the window runs over its distinct
-    values, and the rows get their value's rank by a join.
+    Values are counted first (``counted_values``) and the rows get their
+    value's rank by a join.
     """
     by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = F.sum("__n").over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counts.withColumn("percentile", F.bround(100.0 * upto / F.sum("__n").over(w), 1)).drop("__n")
-    return df.join(ranked, [*by, value], "left")
+    ranked = counted_values(df, value, by).withColumn("percentile", F.bround(100.0 * F.col("upto") / F.col("total"), 1)).drop("n", "upto", "total")
+    return _joined(df, ranked, [*by, value], "left")
 
 
 def top_per_group(df: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
@@ -57,16 +105,16 @@ def page(df: DataFrame, size: int, offset: int, *order: Column) -> tuple[DataFra
 
 
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
-    """A number from 1 in the order.
+    """A number from 1 in the order, which must be total to be repeatable.
 
-    Rows are range-partitioned by the order; each partition counts its rows,
-    and the partitions' counts (not the rows) are summed up.
+    Rows are written once in ranges of the order with their place in the
+    range; the ranges' counts (not the rows) are summed up and join the rows.
     """
-    parts = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    inner = Window.partitionBy("__p").orderBy(*order)
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("__c"))
-    before = sizes.withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__b")
-    return parts.withColumn("__r", F.row_number().over(inner)).join(before, "__p").withColumn(name, F.col("__b") + F.col("__r")).drop("__p", "__r", "__b")
+    ranged = _ranged(df, *order)
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    parts = ranged.withColumns({"__p": F.shiftright("__at", 33), "__i": place})
+    before = _before(ranged, F.lit(1))
+    return parts.join(before, "__p").withColumn(name, F.col("__b") + F.col("__i")).drop("__p", "__i", "__b", "__at")
 
 
 def sampled(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
@@ -105,7 +153,3 @@ def within(c: Column, least: float, most: float) -> Column:
 def matching(c: Column, pattern: str) -> Column:
     """How many values match; an aggregate."""
     return F.count_if(c.rlike(pattern))
-
-
-def all_of(*cs: Column) -> Column:
-    return reduce(lambda a, b: a & b, cs)

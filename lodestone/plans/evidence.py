@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import rules
-from lodestone.functions.text import any_marker, compact, first_present, humanize, present, slugify
+from lodestone.functions.text import any_marker, compact, first_present, present, slugify
 from lodestone.operators.aggregates import most_common
+from lodestone.operators.joins import first_per_key
 from lodestone.operators.ordering import numbered, percentile_rank, top_per_group
 
 #: Instruments by what a text says.
@@ -20,17 +21,36 @@ def instruments(text):
     return F.filter(F.array(*(F.when(any_marker(low, marks), name) for name, marks in INSTRUMENTS.items())), lambda x: x.isNotNull())
 
 
+#: The order in which the page lists give their reasons; methods pages give none.
+REASON_ORDER = {"figure": 0, "sample": 1, "table": 2, "results": 3, "methods": 9}
+
+#: The fields of a claim in which instruments are looked for.
+HAYSTACK = ("statement", "iv", "dv", "abstract_clean_text", "structured_result_row.comparison", "structured_result_row.outcome")
+
+
+def said_with(df: DataFrame, *names: str):
+    """The fields that ``df`` has, joined by spaces; nulls count as empty."""
+    has = set(df.columns) | {f"{f.name}.{g.name}" for f in df.schema if hasattr(f.dataType, "fields") for g in f.dataType.fields}
+    return F.concat_ws(" ", *(F.coalesce(F.col(n), F.lit("")) for n in names if n in has))
+
+
 def evidence_rows(claims: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """A numbered evidence row for each claim with a paper: statement, bridge type, chain and credence discount.
 
-    Claims without a paper id go (``dropped_claims`` counts them).
+    Claims without a paper id go (``dropped_claims`` counts them). Columns
+    ``primary_type`` and ``likely_types``, where the claims have them, give the
+    warrant policy of their article's type.
     """
     rows = claims.where(present(F.col("paper_id")).isNotNull())
     said = first_present(F.col("statement"), F.col("claim"), F.col("claim_text"), F.col("quote"))
     raw = first_present(F.col("evidence_profile.warrant_type"), F.col("warrant_type"))
     theory = F.concat_ws(" ", "theory_name", F.array_join(F.coalesce("theory_names", F.array().cast("array<string>")), " "))
-    kind = rules.bridge_type(raw, F.col("claim_role"), F.concat_ws(" ", "statement", "claim_text", "quote"), theory)
-    rows = rows.select(ordinal, F.btrim("paper_id").alias("paper_id"), said.alias("statement"), kind.alias("bridge"), raw.alias("raw"), "claim_role", F.col("structured_result_row.test_statistic").alias("statistic"), instruments(said).alias("instruments"))
+    primary, likely = (F.col(c) if c in rows.columns else None for c in ("primary_type", "likely_types"))
+    spoken = F.concat_ws(" ", "statement", "claim_text", "quote")
+    kind = rules.bridge_type(raw, F.col("claim_role"), spoken, theory, primary, likely)
+    statistic = F.col("structured_result_row.test_statistic").alias("statistic")
+    named = instruments(said_with(rows, *HAYSTACK)).alias("instruments")
+    rows = rows.select(ordinal, F.btrim("paper_id").alias("paper_id"), said.alias("statement"), kind.alias("bridge"), raw.alias("raw"), "claim_role", statistic, named)
     rows = rows.withColumns({"chain": rules.warrant_chain(F.col("bridge"), F.col("raw"), F.col("claim_role"), F.col("statistic")), "discount": rules.discount(F.col("bridge"))})
     return numbered(rows, "evidence_no", F.col(ordinal)).drop("raw", "statistic")
 
@@ -46,7 +66,7 @@ def articles(claims: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     def first(c):
         return F.min_by(c, F.when(c.isNotNull(), F.col(ordinal)))
 
-    base = rows.groupBy("paper_id").agg(first(first_present(F.col("paper_title"), F.col("title"))).alias("title"), first(present(F.col("doi"))).alias("doi"), first(F.col("year").try_cast("int")).alias("year"), F.count("*").alias("claim_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(instruments(first_present(F.col("statement"), F.col("claim"), F.col("claim_text"))))))).alias("instruments"))
+    base = rows.groupBy("paper_id").agg(first(first_present(F.col("paper_title"), F.col("title"))).alias("title"), first(present(F.col("doi"))).alias("doi"), first(F.col("year").try_cast("int")).alias("year"), F.count("*").alias("claim_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(instruments(said_with(rows, *HAYSTACK)))))).alias("instruments"))
     named = rows.select("paper_id", ordinal, F.explode(F.coalesce("theory_names", F.array().cast("array<string>"))).alias("theory")).where("theory <> ''")
     top = most_common(named, ["paper_id"], "theory", ordinal, 3).groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "theory"))), lambda x: x["theory"]).alias("theories"))
     return base.join(top, "paper_id", "left")
@@ -118,17 +138,27 @@ def gaps(fronts_: DataFrame) -> DataFrame:
     return rows.orderBy(F.when(F.col("voi") == "high", 0).when(F.col("voi") == "medium", 1).otherwise(2), "title")
 
 
-def page_candidates(scans: DataFrame, adjudicated: DataFrame, k: int = 5) -> DataFrame:
-    """Image pages of a paper from two lists with different scores: ranked scans by place, adjudicated pages by 100 and a bonus."""
-    a = scans.select("paper_id", "page", (F.lit(50) - 5 * F.col("place")).cast("double").alias("score"))
-    b = adjudicated.select("paper_id", "page", F.when(F.col("accepted"), 100.0).otherwise(20.0).alias("score"))
-    return top_per_group(a.unionByName(b).groupBy("paper_id", "page").agg(F.sum("score").alias("score")), ["paper_id"], k, F.desc("score"), F.col("page"))
+def page_candidates(ranked: DataFrame, pictures: DataFrame, pages: DataFrame, k: int = 8) -> DataFrame:
+    """The k best pictures and rendered pages of each paper: score, kind, reasons and rank.
 
-
-def display_name(c):
-    return humanize(c)
-
-
-def first_of_paper(df: DataFrame, ordinal: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("paper_id").orderBy(ordinal))
-    return df.withColumn("n", n).where("n = 1").drop("n")
+    ``ranked`` (paper_id, list, page, place, reasons): pages by list (figure,
+    sample, methods, results, table); of each list the first six (figure) or
+    four count. ``pictures`` (paper_id, page, filename, width, height) under the
+    least size go; ``pages`` (paper_id, page, filename) need a score. Both
+    lists meet as one, ordered by score, page and file name; of rows with the
+    same file the first stays.
+    """
+    most = F.when(F.col("list") == "figure", 6).otherwise(4)
+    of = ranked.where(F.col("place") <= most).groupBy("paper_id", "page")
+    has = {n: F.coalesce(F.bool_or(F.col("list") == n), F.lit(False)).alias(n) for n in ("figure", "sample", "methods", "results", "table")}
+    why = F.array_sort(F.collect_list(F.struct(F.coalesce(*(F.when(F.col("list") == n, F.lit(o)) for n, o in REASON_ORDER.items())).alias("o"), "place", "reasons")))
+    surface = of.agg(*has.values(), F.flatten(F.transform(F.filter(why, lambda x: x["o"] < 9), lambda x: x["reasons"])).alias("reasons"))
+    kinds = lambda d: d.join(surface, ["paper_id", "page"], "left").na.fill(False, list(has))
+    a = kinds(pictures.where((F.col("width") >= rules.PICTURE_WIDTH) & (F.col("height") >= rules.PICTURE_HEIGHT)))
+    p = rules.picture_score(F.col("figure"), F.col("sample") | F.col("methods"), F.col("table") | F.col("results"))
+    b = kinds(pages)
+    q = rules.page_score(F.col("table"), F.col("results"), F.col("figure"), F.col("sample"))
+    shape = lambda d, s, render: d.select("paper_id", "page", "filename", s["score"].alias("score"), s["kind"].alias("kind"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"), F.lit(render).alias("render_type"))
+    both = shape(a, p, "embedded").unionByName(shape(b, q, "full_page").where("score > 0"))
+    order = [F.desc("score"), F.col("page"), F.coalesce("filename", F.lit(""))]
+    return top_per_group(first_per_key(both, ["paper_id", "filename"], *order), ["paper_id"], k, *order)

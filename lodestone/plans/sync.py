@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import present
 from lodestone.operators.aggregates import edges_by_paper, participation, sorted_set
-from lodestone.operators.filters import filled
+from lodestone.operators.filters import any_filled, filled
 from lodestone.operators.joins import keyword_matches, paper_of, with_constant
 
 
@@ -63,11 +63,18 @@ def synced(registry: DataFrame, *passes: DataFrame) -> DataFrame:
     return out
 
 
-def pass_summary(registry: DataFrame, result: DataFrame, least: float) -> DataFrame:
-    """One row: papers synced, skipped (not in the registry), eligible, and whether enough were synced."""
-    known = registry.select("paper_id", F.lit(1).alias("k")).distinct()
-    counts = result.select("paper_id").join(known, "paper_id", "left").agg(F.count("k").alias("synced"), F.count_if(F.col("k").isNull()).alias("skipped"))
-    return counts.withColumn("passed", F.col("synced") >= least * F.col("synced"))
+def pass_summary(source: DataFrame, after: DataFrame, columns: list[str], least: float) -> DataFrame:
+    """One row: source papers that the registry knows (eligible), those filled after the pass (synced), those it lacks, and the verdict.
+
+    ``source`` names the papers that the pass has something for, ``after`` is
+    the registry after the pass; a paper is synced if any of ``columns`` is
+    filled there. The pass holds if synced reaches ``least`` of eligible.
+    """
+    known = after.groupBy("paper_id").agg(F.bool_or(any_filled(after, columns)).alias("__filled"))
+    rows = source.select("paper_id").where(F.col("paper_id").isNotNull()).distinct().join(known, "paper_id", "left")
+    filled_ = F.col("__filled")
+    counts = rows.agg(F.count_if(filled_.isNotNull()).alias("eligible"), F.count_if(filled_).alias("synced"), F.count_if(filled_.isNull()).alias("skipped"))
+    return counts.withColumn("passed", F.col("synced") >= least * F.col("eligible"))
 
 
 def verified(registry: DataFrame, columns: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.text import body, compact, front_matter, html_page, markdown_headings
+from lodestone.functions.text import body, front_matter, html_page, markdown_headings
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -170,28 +170,30 @@ def pdf_files(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(glob).select("path", "content", "length")
 
 
-def pdf_text(files: DataFrame, most: int = 20_000) -> DataFrame:
-    """path and text of PDF bytes, in Arrow batches: by pypdf where it is installed, else the literal strings of uncompressed streams."""
+def pdf_text(files: DataFrame, most: int | None = None) -> DataFrame:
+    """path, text and status of PDF bytes, in Arrow batches: by pypdf where it is installed, else the literal strings of uncompressed streams.
 
-    def plain(data: bytes) -> str:
+    ``status`` is 'text', 'empty' (no text found) or the reason why a file
+    could not be read. ``most`` cuts the text; by default it is whole.
+    """
+
+    def plain(data: bytes) -> tuple[str, str]:
         try:
             import io
 
             import pypdf
-
-            return " ".join((page.extract_text() or "") for page in pypdf.PdfReader(io.BytesIO(data)).pages)
         except ImportError:
-            return " ".join(x.decode("latin-1") for x in re.findall(rb"\(((?:[^()\\]|\\.)*)\)\s*Tj", data))
-        except Exception:  # a damaged file has no text
-            return ""
+            found = " ".join(x.decode("latin-1") for x in re.findall(rb"\(((?:[^()\\]|\\.)*)\)\s*Tj", data))
+        else:
+            try:
+                found = " ".join((page.extract_text() or "") for page in pypdf.PdfReader(io.BytesIO(data)).pages)
+            except Exception as e:  # noqa: BLE001 - any damage of a file is its row's status
+                return "", f"unreadable: {type(e).__name__}: {e}"
+        return found, "text" if found.strip() else "empty"
 
     def run(batches: Iterator) -> Iterator:
         for pdf in batches:
-            yield pdf[["path"]].assign(text=[plain(bytes(x))[:most] for x in pdf["content"]])
-
-    return files.select("path", "content").mapInPandas(run, "path string, text string")
-
+            read = [plain(bytes(x)) for x in pdf["content"]]
+            yield pdf[["path"]].assign(text=[t[:most] for t, _ in read], status=[s for _, s in read])
 
-def compact_panel(a, most: int = 6):
-    """The first rows of an array of panel structs, with trimmed fields."""
-    return F.transform(F.slice(a, 1, most), lambda x: F.struct(*(compact(x[n], 200).alias(n) for n in ("panel_id", "role", "status"))))
+    return files.select("path", "content").mapInPandas(run, "path string, text string, status string")

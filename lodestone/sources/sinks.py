@@ -44,10 +44,6 @@ def roster_line(columns: list[str], grade: str):
     return F.concat_ws(",", *(shown if c == grade else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
 
 
-def appended(df: DataFrame, rows: DataFrame) -> DataFrame:
-    return df.unionByName(rows, allowMissingColumns=True)
-
-
 def upserted(df: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with changed non-null columns by key, and new keys' rows. Keys must be unique in ``changes``."""
     other = [c for c in df.columns if c not in keys]

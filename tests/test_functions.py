@@ -119,9 +119,14 @@ def test_rules(spark):
 
 def test_pdf_bytes(spark):
     ok = b"%PDF-1.4" + b" " * 2000 + b"%%EOF"
-    rows = [(ok,), (b"GIF" + ok[3:],), (ok[:-5] + b"xxxxx",), (b"%PDF-",), (None,)]
-    got = values(spark, rows, rules.pdf_check(F.col("b")), schema="b binary")
-    assert [tuple(x) for x in got] == [(True, None), (False, "no_magic"), (False, "no_eof"), (False, "too_small"), (False, "too_small")]
+    short = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\ntrailer\n<<>>\n%%EOF\n"
+    rows = [(ok,), (short,), (b"GIF" + ok[3:],), (ok[:-5] + b"xxxxx",), (b"%PDF-",), (None,)]
+    got = values(spark, rows, rules.pdf_check(F.col("b"), most=3000), schema="b binary")
+    assert [tuple(x) for x in got] == [(True, None, None), (True, None, None), (False, "no_magic", None), (True, None, "no_eof"), (True, None, "no_eof"), (False, "no_magic", None)]
+    assert values(spark, [(ok,)], rules.pdf_check(F.col("b"), most=100)["problem"], schema="b binary") == ["too_large"]
+    files = [(short, "a.PDF"), (short, "a.txt"), (b"not a pdf", "a.pdf"), (b"", "a.pdf"), (None, "a.pdf"), (b"%PDF-1.4 x", "a.pdf"), (short.replace(b"<<>>\n%%", b"<</Encrypt 2 0 R>>\n%%"), "a.pdf")]
+    want = ["accepted", "bad_file", "bad_file", "bad_file", "missing", "malformed", "encrypted"]
+    assert values(spark, files, rules.pdf_quarantine(F.col("b"), F.col("n")), schema="b binary, n string") == want
 
 
 @pytest.mark.parametrize(("a", "b", "want"), [(1, 3, 33), (5, 3, 100), (1, 0, 0), (1, 8, 13)])
@@ -134,6 +139,4 @@ def test_collections(spark):
     assert values(spark, ['["a","b"]', "bad", None], collections.json_strings(c)) == [["a", "b"], None, None]
     assert values(spark, ['{"k": 2}', '{"k": "x"}', "bad"], collections.json_number(c, "$.k")) == [2.0, None, None]
     assert values(spark, ["Bright daylight and noise"], collections.lexicon_score(c, [("lum", "daylight"), ("lum", "bright"), ("ac", "noise"), ("x", "zebra")], 1.5)) == [{"lum": 3.0, "ac": 1.5}]
-    df = spark.createDataFrame([(x,) for x in (5.0, 1.0, 3.0, 2.0)], "v double")
-    assert df.agg(collections.upper_median(F.col("v"))).first()[0] == 3.0
     assert values(spark, [(["a", "b", "A", " ", "b"],)], text.kept_order(F.col("a")), collections.move_to_front(F.col("a"), F.lit("b")), schema="a array<string>") == [(["a", "b"], ["b", "a", "A", " "])]

@@ -132,3 +132,80 @@ def test_related(spark):
         want += [(i, j, float(-s_), n) for n, (s_, j) in enumerate(sorted(scored)[:4], 1)]
     df = frame(spark, "id int, f array<string>, t array<string>, s boolean", *rows)
     assert got(related.related(df, "id", {"f": (1.0, 2.0), "t": (2.0, None)}, "s")) == sorted(want, key=repr)
+
+
+def test_numbering_of_millions_of_rows_in_small_partitions(spark):
+    """Adaptive execution with a small advisory size gives every row once, numbered 1 to n in order."""
+    keys = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        n = 2_000_000
+        df = spark.range(n).select(F.xxhash64("id").alias("h"), "id")
+        out = ordering.numbered(df, "n", F.col("h")).withColumn("by_h", F.col("n"))
+        seen = out.agg(F.count("*"), F.count_distinct("n"), F.min("n"), F.max("n"), F.count_distinct("id")).first()
+        assert tuple(seen) == (n, n, 1, n, n)
+        # In order: the greatest hash of each thousand lies below the least of the next.
+        blocks = out.groupBy(F.floor(F.col("n") / 1000).alias("b")).agg(F.min("h").alias("lo"), F.max("h").alias("hi")).orderBy("b").collect()
+        assert all(a["hi"] < b["lo"] for a, b in zip(blocks, blocks[1:], strict=False))
+        total = ordering.running_total(spark.range(50_000).select("id", (F.col("id") % 7).alias("w")), "w", "t", F.col("id"))
+        assert total.where(F.col("id") == 49_999).first()["t"] == sum(i % 7 for i in range(50_000))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_summary_and_percentiles_with_nulls(spark):
+    rows = [("a", 5.0), ("a", 1.0), ("a", 3.0), ("a", 2.0), ("b", None), (None, 4.0), (None, 4.0), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    assert got(agg.summary(df, "v", ["g"])) == sorted([("a", 4, 2.75, 2.5, 3.0, 1.0, 5.0), ("b", 0, 0.0, 0.0, 0.0, 0.0, 0.0), (None, 3, 3.0, 4.0, 4.0, 1.0, 4.0)], key=repr)
+    assert got(agg.summary(df.where("v < 0"), "v")) == [(0, 0.0, 0.0, 0.0, 0.0, 0.0)]
+    assert got(ordering.percentile_rank(df, "v", ["g"]).select("g", "v", "percentile")) == sorted([("a", 5.0, 100.0), ("a", 1.0, 25.0), ("a", 3.0, 75.0), ("a", 2.0, 50.0), ("b", None, None), (None, 4.0, 100.0), (None, 4.0, 100.0), (None, 1.0, 33.3)], key=repr)
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_lists_one_word_apart_by_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 7)))) for i in range(300)] + [(1000 + i, f"annual report {i}") for i in range(50)] + [(2000, "same title here"), (2001, "same title here")]
+    words = {i: t.split() for i, t in rows if len(t.split()) >= 3}
+    want = {i: min((j for j, y in words.items() if j != i and _edits(x, y) <= 1), default=None) for i, x in words.items()}
+    found = dict(map(tuple, dedup.within_one_word(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t")).collect()))
+    assert found == {i: j for i, j in want.items() if j is not None}
+
+
+def test_cascade_by_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: rng.choice(["light", "day", "daylight", "in", "offices", "circadian", "lighting", "x"])
+    titles = [" ".join(word() for _ in range(rng.randrange(1, 9))) for _ in range(160)] + ["Circadian lighting", "The Circadian Lighting, in Offices", "lighting", "arcadian lightings", None, "", "!!!"]
+    schema = "article_id string, pdf_hash string, doi string, title string, authors string"
+    new = [(f"n{i:03}", None, None, t, rng.choice([None, "A B", "C"])) for i, t in enumerate(titles)]
+    known = [(f"k{i:03}", None, None, t, rng.choice([None, "A B"])) for i, t in enumerate(rng.sample(titles, 60))]
+    norm = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    want = {}
+    for i, _, _, t, _ in new:
+        x = norm(t)
+        if len((t or "").strip()) <= 10 or not x:
+            continue
+        for j, _, _, u, _ in known:
+            y = norm(u)
+            if not y:
+                continue
+            a, b = " ".join(x), " ".join(y)
+            if a in b or b in a or (min(len(x), len(y)) >= 3 and _edits(x, y) <= 1):
+                want[i] = min(want.get(i, j), j)
+    out = dedup.duplicate_cascade(spark.createDataFrame(new, schema), spark.createDataFrame(known, schema)).collect()
+    assert {r["article_id"]: r["match_id"] for r in out} == want and all(r["match_type"] and r["confidence"] for r in out)

@@ -68,7 +68,7 @@ def test_evidence(spark):
         (3, None, "lost", None, None, None, None, None, None, None, None, None, None, None, None, None),
     )
     rows = evidence.evidence_rows(claims).orderBy("evidence_no").collect()
-    assert [(r["evidence_no"], r["paper_id"], r["bridge"], r["discount"], r["instruments"]) for r in rows] == [(1, "P1", "mechanism", 0.8, ["EEG"]), (2, "P1", "empirical_association", 0.8, ["Self-report"])]
+    assert [(r["evidence_no"], r["paper_id"], r["bridge"], r["discount"], r["instruments"]) for r in rows] == [(1, "P1", "mechanism", 0.8, ["EEG"]), (2, "P1", "empirical_association", 0.8, [])]
     assert rows[0]["chain"] == "Mechanism bridge (d=0.80) · claim role: Mechanism Claim · statistic: t=2" and evidence.dropped_claims(claims).first()[0] == 1
     a = evidence.articles(claims).first()
     assert (a["title"], a["doi"], a["year"], a["claim_count"], a["theories"]) == ("A title", "10.1/x", 2020, 2, ["B", "A"])
@@ -79,6 +79,32 @@ def test_evidence(spark):
     assert got(evidence.theories(t)) == [("a", "A", 2, ["P2", "P1"]), ("b", "B", 1, ["P1"])]
 
 
+def test_instruments_and_policies(spark):
+    schema = "ordinal int, paper_id string, statement string, claim string, claim_text string, quote string, claim_role string, warrant_type string, evidence_profile struct<warrant_type:string>, theory_name string, theory_names array<string>, structured_result_row struct<test_statistic:string,comparison:string,outcome:string>, iv string, dv string, abstract_clean_text string, primary_type string, likely_types array<string>"
+    none = (None,) * 3
+    claims = frame(
+        spark, schema,
+        (1, "P1", "x", *none, None, None, None, "Prospect theory", None, (None, "skin conductance rose", "cortisol"), "light", "PVT ", "eeg  eeg used", "theory_derived", None),
+        (2, "P2", "x", *none, None, "multi_result_integration_to_synthesis_field", None, None, None, None, None, None, None, None, ["FUNCTIONAL", "Theory_Derived"]),
+        (3, "P3", "x", *none, None, "multi_result_integration_to_synthesis_field", None, None, None, None, None, None, None, None, []),
+    )
+    rows = {r["paper_id"]: r for r in evidence.evidence_rows(claims).collect()}
+    assert rows["P1"]["instruments"] == ["EEG", "EDA", "Cortisol", "PVT"] and rows["P1"]["bridge"] == "theory_derived"
+    assert rows["P2"]["bridge"] == "functional" and rows["P3"]["bridge"] == "functional"
+    assert {r["bridge"] for r in evidence.evidence_rows(claims.drop("likely_types")).where("paper_id <> 'P1'").collect()} == {"empirical_association"}
+
+
+def test_page_candidates(spark):
+    ranked = frame(spark, "paper_id string, list string, page int, place int, reasons array<string>", ("P", "figure", 3, 1, ["big"]), ("P", "table", 3, 2, ["tab"]), ("P", "sample", 4, 1, ["who"]), ("P", "table", 5, 5, ["late"]), ("P", "results", 6, 4, []))
+    pictures = frame(spark, "paper_id string, page int, filename string, width int, height int", ("P", 3, "a", 220, 160), ("P", 4, "b", 500, 500), ("P", 5, "c", 500, 500), ("P", 3, "d", 219, 900))
+    pages = frame(spark, "paper_id string, page int, filename string", ("P", 3, "p3"), ("P", 5, "p5"), ("P", 6, "p6"), ("P", 4, "p4"))
+    out = [(r["filename"], r["score"], r["kind"], r["reasons"]) for r in evidence.page_candidates(ranked, pictures, pages).orderBy("rank").collect()]
+    assert out == [
+        ("p3", 12, "results_surface", ["big", "tab"]), ("a", 10, "stimulus_or_result_figure", ["big", "tab"]), ("b", 6, "experimental_context", ["who"]),
+        ("p6", 6, "results_surface", []), ("p4", 2, "experimental_context", ["who"]), ("c", 1, "supplemental_visual", []),
+    ]
+
+
 def test_fronts_and_gaps(spark):
     schema = "front_id string, label string, title string, name string, size long, papers array<string>, paper_ids array<string>, mean_credence double, mean_omega double, mean_warrant double, shared_theories array<string>, theories array<string>, shared_constructs array<string>, topic_ids array<string>, maturity string, maturity_label string, n_contradictions long, contradiction_count long, n_replications long, replication_count long"
     none = (None,) * 4
@@ -108,7 +134,10 @@ def test_sync(spark):
     reg = frame(spark, "paper_id string, n_constraints_from_paper long", ("P1", 0), ("P3", 0))
     out = sync.synced(reg, sync.constraint_pass(c), sync.interpretation_pass(reg, q))
     assert got(out) == [("P1", 2, 2), ("P3", None, 2)]
-    assert sync.pass_summary(reg, sync.constraint_pass(c), 0.95).first()[:2] == (1, 1)
+    assert tuple(sync.pass_summary(sync.constraint_pass(c), out, ["n_constraints_from_paper"], 0.95).first()) == (1, 1, 1, True)
+    unfilled = sync.synced(reg.drop("n_constraints_from_paper"), frame(spark, "paper_id string, n_constraints_from_paper long", ("P9", 1)))
+    source = frame(spark, "paper_id string", ("P1",), ("P3",), ("P9",), (None,))
+    assert tuple(sync.pass_summary(source, unfilled, ["n_constraints_from_paper"], 0.95).first()) == (2, 0, 1, False)
     assert got(sync.verified(out, ["n_constraints_from_paper"])) == [("all_empty", 1, 2), ("n_constraints_from_paper", 1, 2)]
 
 

@@ -63,7 +63,9 @@ def test_database_and_pdf(spark, tmp_path):
         db.executemany("INSERT INTO t VALUES (?, ?)", [("x", 1), ("y", None)])
     assert sorted(r["a"] for r in files.sqlite_table(spark, f"{tmp_path}/x.db", "SELECT a, n FROM t", "a string, n long").collect()) == ["x", "y"]
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4\nBT (Hello) Tj ET\n%%EOF")
-    assert files.pdf_text(files.pdf_files(spark, str(tmp_path))).count() == 1
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4 no text")
+    rows = {r["path"][-5:]: r["status"] for r in files.pdf_text(files.pdf_files(spark, str(tmp_path))).collect()}
+    assert set(rows) == {"a.pdf", "b.pdf"} and rows["b.pdf"] != "text"
 
 
 def test_sinks(spark, tmp_path):
