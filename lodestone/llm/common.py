@@ -1,52 +1,42 @@
-"""Shared helpers: the shared scratch folder, written tables and byte-level text access."""
+"""Shared helpers: files in the shared folder, and byte-level text access."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.scratch import cleared, dropped, scope, scratch, shared_root, written
+
+__all__ = ["cleared", "dropped", "scope", "scratch", "shared_root", "written"]
+
 #: The white space that separates words, as characters.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (single-machine tests) a temporary folder
-    is made and set as the checkpoint folder.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-        root = sc.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder; nothing is created yet."""
-    return f"{shared_root(spark)}/lodestone/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+def saved(path: str, data: bytes) -> None:
+    """Write a file whole: under another name first, so that a retried task never leaves half of one."""
+    fs, at = filesystem(path)
+    part = f"{at}.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part) as out:
+        out.write(data)
+    fs.move(part, at)
 
 
-def written(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to ``path`` and read it back: lineage ends in shared files."""
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(partition_by) if partition_by else out).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def loaded(path: str) -> bytes:
+    fs, at = filesystem(path)
+    with fs.open_input_file(at) as f:
+        return f.read()
 
 
-def dropped(spark: SparkSession, *paths: str) -> None:
-    """Remove scratch tables that no remaining plan reads."""
-    jvm = spark._jvm
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def made(path: str) -> None:
+    """Create a folder of the shared file system."""
+    fs, at = filesystem(path)
+    fs.create_dir(at, recursive=True)
 
 
 def filesystem(path: str):

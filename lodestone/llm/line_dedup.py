@@ -37,8 +37,9 @@ def line_key(line: bytes) -> bytes:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line with a key: the row's content hashes, the position, the key's hashes, 1 if the key is new in its text."""
+    """A row for each line with a key: the row's content hashes, the position, the key's hashes, 1 if the key is new in its text, and a running number."""
     digest = xxhash.xxh3_128_digest
+    before = 0
     for batch in batches:
         row, pos, first, keys = [], [], [], []
         for number, text in enumerate(text_bytes(batch["text"])):
@@ -53,7 +54,19 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keys.append(hashed)
         both = np.frombuffer(b"".join(keys), dtype=np.uint64).reshape(-1, 2)
         take = pa.array(row, pa.int64())
-        yield pa.record_batch({"k1": batch["k1"].take(take), "k2": batch["k2"].take(take), "pos": pa.array(pos, pa.int32()), "a": signed(both[:, 0]), "b": signed(both[:, 1]), "first": pa.array(np.array(first, dtype=np.int32), pa.int32())})
+        turn = ((before + np.arange(len(keys))) % (1 << 30)).astype(np.int32)
+        before += len(keys)
+        yield pa.record_batch(
+            {
+                "k1": batch["k1"].take(take),
+                "k2": batch["k2"].take(take),
+                "pos": pa.array(pos, pa.int32()),
+                "a": signed(both[:, 0]),
+                "b": signed(both[:, 1]),
+                "first": pa.array(np.array(first, dtype=np.int32), pa.int32()),
+                "turn": pa.array(turn),
+            }
+        )
 
 
 def _build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -62,6 +75,15 @@ def _build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"shard": [key[0].as_py()], "index": pa.array([shard.to_bytes()], pa.binary())})
 
 
+def _dealt(lines: DataFrame, plan: DataFrame) -> DataFrame:
+    """Lines (shard, turn) dealt to the salted groups of their shard.
+
+    The salt goes by the running number that a line was written with, not by
+    content: copies of one line, and of one document, spread evenly.
+    """
+    return lines.join(plan, "shard").withColumn("salt", F.pmod("turn", "salts")).drop("salts", "turn")
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", keys_per_shard: int = KEYS_PER_SHARD, probe_rows: int = PROBE_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drop, from every document, the lines found in at least ``min_docs`` documents.
 
@@ -80,7 +102,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(x).alias(f"keep_{x}") for x in keep))
     rows = rows.withColumns({"lines": F.split("text", "\n", -1), "k1": F.xxhash64("text"), "k2": F.xxhash64("text", F.lit(7))})
     lines_at = scratch(spark, "lines")
-    lines = written(rows.select("text", "k1", "k2").mapInArrow(_lines, "k1 long, k2 long, pos int, a long, b long, first int"), lines_at)
+    lines = written(rows.select("text", "k1", "k2").mapInArrow(_lines, "k1 long, k2 long, pos int, a long, b long, first int, turn int"), lines_at)
     where = scratch(spark, "line-counts")
     counts = written(lines.groupBy("a", "b").agg(F.sum("first").alias("n_docs"), F.count("*").alias("n_rows")), where)
     shards = max(1, math.ceil(counts.count() / keys_per_shard))
@@ -96,9 +118,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", tex
     plan = written(plan, plan_at)
     dropped(spark, where)
 
-    probes = lines.drop("first").withColumn("shard", shard).join(plan, "shard")
-    # The salt goes by the row's content and position, so that copies of one line, and of one document, spread.
-    probes = probes.withColumn("salt", F.pmod(F.xxhash64("k1", "k2", "pos"), F.col("salts")).cast("int")).drop("salts")
+    probes = _dealt(lines.drop("first").withColumn("shard", shard), plan)
     copies = index.join(plan, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "index")
 
     def probe(asked: pa.Table, held: pa.Table) -> pa.Table:

@@ -46,5 +46,19 @@ def test_odd_rows_and_hot_lines(spark):
         assert sorted((str(r[0]), *r[1:]) for r in got) == brute(rows, 3)
 
 
+def test_copies_of_a_document_spread_over_groups(spark):
+    """3,000 copies of one line make one hot key; its probes are dealt to groups of about probe_rows rows."""
+    from pyspark.sql import functions as F
+
+    from lodestone.llm.line_dedup import _dealt, _lines
+
+    rows = given(spark, [(i, "one line") for i in range(3000)]).repartition(3)
+    keyed = rows.select("text", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(7)).alias("k2"))
+    lines = keyed.mapInArrow(_lines, "k1 long, k2 long, pos int, a long, b long, first int, turn int").withColumn("shard", F.lit(0).cast("long"))
+    plan = spark.createDataFrame([(0, 30)], "shard long, salts int")
+    sizes = [r["count"] for r in _dealt(lines, plan).groupBy("shard", "salt").count().collect()]
+    assert len(sizes) == 30 and sum(sizes) == 3000 and max(sizes) <= 110
+
+
 def test_empty_table(spark):
     assert dedup_lines(given(spark, []), 2).collect() == []
