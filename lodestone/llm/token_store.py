@@ -8,8 +8,15 @@ Layout of a store (a folder below the shared folder):
 * ``manifest/`` (Parquet): which shard files belong to the store, their order
   and the number of ids before each. A retried task writes a file of another
   name, and only the files of the committed attempts are in the manifest.
-* ``index/`` (Parquet): for each slice of the keys' hash space a minimal
-  perfect hash with arrays: 32-bit fingerprint, shard, offset, length.
+* ``index/``: a file for each slice of the entries' hash space, named by the
+  slice: a minimal perfect hash with arrays of 32-bit fingerprints, shards,
+  offsets, lengths and the number of documents of the key.
+* ``meta/`` (Parquet): one row of the store's figures.
+
+An entry is a key with a number from 0: documents that share a key follow each
+other in the store and are its entries 0, 1 and so on. A lookup hashes the
+entry, opens the slice that the hash names, probes its arrays and reads one
+range of a shard file: no scan and no Spark job.
 """
 
 from __future__ import annotations
@@ -18,24 +25,46 @@ import math
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import dropped, filesystem, longs, scratch, written
+from lodestone.llm.common import dropped, filesystem, loaded, longs, made, saved, scratch, signed, written
 from lodestone.llm.encoding import encoder
 from lodestone.llm.perfect_hash import PerfectTable
 
 KEYS_PER_INDEX = 1 << 17
 #: Parts of texts whose ids a worker keeps from task to task while it writes (about 200 MB).
 KEPT_PARTS = 1_200_000
+#: Index slices that an open store keeps for later lookups.
+OPEN_SLICES = 64
+VALUES = ("shard", "offset", "length", "n_docs")
+
+
+def _entry(key: str | None, number: int) -> bytes:
+    return xxhash.xxh3_128_digest(b"\0" if key is None else key.encode(), seed=number)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the halves ``a`` and ``b`` of each entry's hash; drops the key's text."""
+    for batch in batches:
+        names, numbers = batch["name"].to_pylist(), batch["number"].to_pylist()
+        both = np.frombuffer(b"".join(map(_entry, names, numbers)), dtype=np.uint64).reshape(-1, 2)
+        rest = [n for n in batch.schema.names if n not in ("name", "number")]
+        yield pa.RecordBatch.from_arrays([*(batch[n] for n in rest), signed(both[:, 0]), signed(both[:, 1])], [*rest, "a", "b"])
 
 
-def _key(c: Column) -> list[Column]:
-    return [F.xxhash64(c).alias("a"), F.xxhash64(c, F.lit(1)).alias("b")]
+def _with_hash(rows: DataFrame) -> DataFrame:
+    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("name", "number")]
+    return rows.mapInArrow(_hashed, ", ".join([*rest, "a long", "b long"]))
+
+
+def _slice_file(path: str, number: int) -> str:
+    return f"{path}/index/{number:08d}.mph"
 
 
 @dataclass
@@ -43,51 +72,78 @@ class TokenStore:
     spark: SparkSession
     path: str
     dtype: str
-    indexes: int
-    id_col: str
+    slices: int
+    repeats: bool
+    _slices: dict[int, PerfectTable] = field(default_factory=dict, repr=False)
+    _files: dict[int, str] | None = field(default=None, repr=False)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> TokenStore:
+        """A store that was written before."""
+        row = spark.read.parquet(f"{path}/meta").first()
+        return cls(spark, path, row["dtype"], row["slices"], row["repeats"])
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+    def _manifest(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/manifest")
 
     def locate(self, keys: DataFrame) -> DataFrame:
-        """(key, shard, offset, length) of the first key column's values, through the index; unknown keys give no row."""
-        asked = keys.select(F.col(keys.columns[0]).alias("key")).distinct().select("key", *_key(F.col("key")))
-        kind = asked.schema["key"].dataType.simpleString()
-        asked = asked.withColumn("slice", F.pmod("a", F.lit(self.indexes)))
-
-        def probe(wanted: pa.Table, held: pa.Table) -> pa.Table:
-            if len(wanted) and len(held):
-                table = PerfectTable.from_bytes(held["index"][0].as_py())
-                slots = table.find(longs(wanted["a"]), longs(wanted["b"]))
-                known = slots >= 0
-                wanted, slots = wanted.filter(pa.array(known)), slots[known]
-                found = [pa.array(table.values[x][slots], pa.int64()) for x in ("shard", "offset", "length")]
-            else:
-                wanted, found = wanted.slice(0, 0), [pa.array([], pa.int64())] * 3
-            return pa.table([wanted["key"], *found], ["key", "shard", "offset", "length"])
-
-        return asked.groupBy("slice").cogroup(self._table("index").groupBy("slice")).applyInArrow(probe, f"key {kind}, shard long, offset long, length long")
-
-    def get(self, key) -> np.ndarray | None:
-        """One document's ids: one index slice, one probe of its arrays, one ranged read."""
-        a, b = self.spark.range(1).select(*_key(F.lit(key).cast(self._table("keytype").schema[0].dataType))).first()
-        held = self._table("index").where(F.col("slice") == int(a % self.indexes)).select("index").first()
-        if held is None:
-            return None
-        table = PerfectTable.from_bytes(bytes(held[0]))
-        slot = table.find(np.array([a], np.int64).view(np.uint64), np.array([b], np.int64).view(np.uint64))[0]
-        if slot < 0:
+        """(key, shard, offset, length) of the first key column's values, a row a document, through the index; unknown keys give no row."""
+        key = F.col(keys.columns[0])
+        asked = keys.select(key.alias("key")).distinct().select("key", F.col("key").cast("string").alias("name"), F.lit(0).alias("number"))
+        first = self._probed(asked)
+        if not self.repeats:
+            return first.drop("n_docs")
+        more = first.where("n_docs > 1").select("key", F.explode(F.sequence(F.lit(1), (F.col("n_docs") - 1).cast("int"))).alias("number"))
+        return first.union(self._probed(more.select("key", F.col("key").cast("string").alias("name"), "number"))).drop("n_docs")
+
+    def _probed(self, asked: DataFrame) -> DataFrame:
+        kind, path = asked.schema["key"].dataType.simpleString(), self.path
+        dealt = _with_hash(asked).withColumn("slice", F.pmod("a", F.lit(self.slices)))
+
+        def probe(key: tuple[pa.Scalar, ...], wanted: pa.Table) -> pa.Table:
+            table = PerfectTable.from_bytes(loaded(_slice_file(path, key[0].as_py())))
+            slots = table.find(longs(wanted["a"]), longs(wanted["b"]))
+            known = slots >= 0
+            found = [pa.array(table.values[x][slots[known]].astype(np.int64)) for x in VALUES]
+            return pa.table([wanted["key"].filter(pa.array(known)), *found], ["key", *VALUES])
+
+        # A slice's file is read by the task that probes it; the index is never shuffled.
+        return dealt.groupBy("slice").applyInArrow(probe, f"key {kind}, " + ", ".join(f"{x} long" for x in VALUES))
+
+    def _lookup(self, key: str | None, number: int) -> tuple[int, int, int, int] | None:
+        a, b = np.frombuffer(_entry(key, number), dtype=np.uint64)
+        at = int(a.astype(np.int64) % self.slices)
+        if at not in self._slices:
+            if len(self._slices) >= OPEN_SLICES:
+                self._slices.pop(next(iter(self._slices)))
+            self._slices[at] = PerfectTable.from_bytes(loaded(_slice_file(self.path, at)))
+        table = self._slices[at]
+        slot = int(table.find(np.array([a]), np.array([b]))[0])
+        return None if slot < 0 else tuple(int(table.values[x][slot]) for x in VALUES)
+
+    def get(self, key, number: int = 0) -> np.ndarray | None:
+        """The ids of a key's document (of several the ``number``-th): one index slice, one probe of its arrays, one ranged read."""
+        found = self._lookup(None if key is None else str(key), number)
+        if found is None:
             return None
-        file = self._table("manifest").where(F.col("shard") == int(table.values["shard"][slot])).first()["file"]
-        fs, at = filesystem(file)
+        if self._files is None:
+            self._files = {r["shard"]: r["file"] for r in self._manifest().select("shard", "file").collect()}
+        shard, offset, length, _ = found
+        fs, at = filesystem(self._files[shard])
         size = np.dtype(self.dtype).itemsize
         with fs.open_input_file(at) as f:
-            f.seek(int(table.values["offset"][slot]) * size)
-            return np.frombuffer(f.read(int(table.values["length"][slot]) * size), dtype=self.dtype)
+            f.seek(offset * size)
+            return np.frombuffer(f.read(length * size), dtype=self.dtype)
+
+    def count(self, key) -> int:
+        """How many documents have this key."""
+        found = self._lookup(None if key is None else str(key), 0)
+        return found[3] if found else 0
 
     def read(self, keys: DataFrame) -> DataFrame:
-        """(key, start, n_tokens, ids_crc32) read back from the shard files; start counts all ids before the document."""
-        where = self.locate(keys).join(F.broadcast(self._table("manifest").select("shard", "file", "before")) if self._few_shards() else self._table("manifest").select("shard", "file", "before"), "shard")
+        """(key, start, n_tokens, ids_crc32), a row a document, read back from the shard files; start counts all ids before the document."""
+        manifest = self._manifest().select("shard", "file", "before")
+        where = self.locate(keys).join(F.broadcast(manifest) if manifest.count() <= 10_000 else manifest, "shard")
         kind = where.schema["key"].dataType.simpleString()
         # Neighbours in a file are read by one task, in file order.
         where = where.repartition(F.col("file")).sortWithinPartitions("file", "offset")
@@ -112,23 +168,23 @@ class TokenStore:
 
         return where.mapInArrow(run, f"key {kind}, start long, n_tokens long, ids_crc32 long")
 
-    def _few_shards(self) -> bool:
-        return self._table("manifest").count() <= 10_000
 
-
-def _slice(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    values = {x: table[x].to_numpy().astype(np.int64) for x in ("shard", "offset", "length")}
-    built = PerfectTable.build(longs(table["a"]), longs(table["b"]), **values)
-    return pa.table({"slice": [key[0].as_py()], "index": pa.array([built.to_bytes()], pa.binary())})
-
-
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keys_per_index: int = KEYS_PER_INDEX) -> TokenStore:
+def write_tokens(
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    path: str | None = None,
+    keys_per_index: int = KEYS_PER_INDEX,
+) -> TokenStore:
     """Encode every whole text, append ``end_id`` and write ids and index; see the module for the layout.
 
     Documents are dealt to shards by ranges of the key, so the shards' order
     is the order of keys (a null key comes first). A null or empty text is its
-    end id alone. Rows that repeat a key are one document of the store: the
-    greatest text stays. An empty table gives an empty store. Other columns
+    end id alone. Rows that share a key are all kept, each a document of its
+    own, in the order in which they are read; a key of very many rows spreads
+    over several shards. An empty table gives an empty store. Other columns
     are not read.
     """
     spark = docs.sparkSession
@@ -136,49 +192,70 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
     dtype = encoder(tokenizer).dtype
     size = dtype.itemsize
     shards = f"{path}/shards"
-    fs, at = filesystem(shards)
-    fs.create_dir(at, recursive=True)
-    picked = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    made(shards)
+    made(f"{path}/index")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    picked = docs.select(F.col(id_col).alias("key"), text.alias("text"), F.monotonically_increasing_id().alias("rid"))
     kind = picked.schema["key"].dataType.simpleString()
-    dealt = picked.repartitionByRange("key").sortWithinPartitions("key", F.desc("text"))
+    dealt = picked.repartitionByRange("key", "rid").sortWithinPartitions("key", "rid").drop("rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, out, file, at, last = encoder(tokenizer), None, "", 0, object()
+        enc, out, file, at, place = encoder(tokenizer), None, "", 0, 0
         enc.most_parts = KEPT_PARTS
         shard = TaskContext.get().partitionId()
         end = np.array([end_id], dtype=dtype).tobytes()
         for batch in batches:
-            keys, rows = batch["key"].to_pylist(), [[], [], []]
-            for row, (key, text) in enumerate(zip(keys, batch["text"].to_pylist(), strict=True)):
-                if key == last:
-                    continue
-                last = key
-                if out is None:
-                    file = f"{shards}/{shard:07d}-{uuid.uuid4().hex}.ids"
-                    fs, where = filesystem(file)
-                    out = fs.open_output_stream(where, buffer_size=1 << 20)
-                data = enc.encode([text])[0].tobytes() + end
+            if out is None and len(batch):
+                file = f"{shards}/{shard:07d}-{uuid.uuid4().hex}.ids"
+                fs, where = filesystem(file)
+                out = fs.open_output_stream(where, buffer_size=1 << 20)
+            starts, lengths = [], []
+            for one in batch["text"].to_pylist():
+                data = enc.encode([one])[0].tobytes() + end
                 out.write(data)
-                n = len(data) // size
-                for col, value in zip(rows, (row, at, n), strict=True):
-                    col.append(value)
-                at += n
-            took = len(rows[0])
-            yield pa.record_batch({"key": batch["key"].take(pa.array(rows[0], pa.int64())), "shard": pa.array([shard] * took, pa.int64()), "file": pa.array([file] * took, pa.string()), "offset": pa.array(rows[1], pa.int64()), "length": pa.array(rows[2], pa.int64())})
+                starts.append(at)
+                lengths.append(len(data) // size)
+                at += lengths[-1]
+            took = len(starts)
+            places = pa.array(np.arange(place, place + took))
+            place += took
+            fixed = {"shard": pa.array([shard] * took, pa.int64()), "file": pa.array([file] * took, pa.string())}
+            yield pa.record_batch({"key": batch["key"], **fixed, "place": places, "offset": pa.array(starts, pa.int64()), "length": pa.array(lengths, pa.int64())})
         if out:
             out.close()
 
-    rows = written(dealt.mapInArrow(run, f"key {kind}, shard long, file string, offset long, length long"), f"{path}/rows")
-    spans = rows.groupBy("shard", "file").agg(F.sum("length").alias("n_ids"))
-    # One row a shard, not a document: the running sum in one task stays small.
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    written(spans.withColumn("before", before), f"{path}/manifest")
-    written(rows.select("key").limit(0), f"{path}/keytype")
-    n = rows.count()
+    rows = written(dealt.mapInArrow(run, f"key {kind}, shard long, file string, place long, offset long, length long"), f"{path}/rows")
+    spans = rows.groupBy("shard", "file").agg(F.sum("length").alias("n_ids"), F.count("*").alias("n_docs"))
+    # One row a shard, not a document: the running sums in one task stay small.
+    upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = {x: F.coalesce(F.sum(y).over(upto), F.lit(0)) for x, y in (("before", "n_ids"), ("docs_before", "n_docs"))}
+    manifest = written(spans.withColumns(before), f"{path}/manifest")
+    # Documents that share a key stand in a row: a document's number is its place after the key's first.
+    placed = rows.join(manifest.select("shard", "docs_before"), "shard").withColumn("nth", F.col("docs_before") + F.col("place"))
+    keys = placed.groupBy("key").agg(F.min("nth").alias("first"), F.count("*").alias("n_docs"))
+    n, most = (int(x or 0) for x in keys.agg(F.sum("n_docs"), F.max("n_docs")).first())
     slices = max(1, math.ceil(n / keys_per_index))
-    keyed = rows.select(*_key(F.col("key")), "shard", "offset", "length").withColumn("slice", F.pmod("a", F.lit(slices)))
-    written(keyed.groupBy("slice").applyInArrow(_slice, "slice long, index binary"), f"{path}/index")
+    if most > 1:
+        shared = keys.where("n_docs > 1").select(F.col("key").alias("k"), "first", "n_docs")
+        placed = placed.join(shared, F.col("key").eqNullSafe(F.col("k")), "left").drop("k")
+        number, n_docs = F.coalesce(F.col("nth") - F.col("first"), F.lit(0)).cast("int"), F.coalesce("n_docs", F.lit(1)).cast("long")
+    else:
+        number, n_docs = F.lit(0), F.lit(1).cast("long")
+    entries = placed.select(F.col("key").cast("string").alias("name"), number.alias("number"), "shard", "offset", "length", n_docs.alias("n_docs"))
+    sliced = _with_hash(entries).withColumn("slice", F.pmod("a", F.lit(slices)))
+
+    def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+        values = {x: small(table[x].to_numpy()) for x in VALUES}
+        saved(_slice_file(path, key[0].as_py()), PerfectTable.build(longs(table["a"]), longs(table["b"]), **values).to_bytes())
+        return pa.table({"slice": [key[0].as_py()], "n": pa.array([len(table)], pa.int64())})
+
+    held = {r["slice"] for r in sliced.groupBy("slice").applyInArrow(build, "slice long, n long").collect()}
+    for empty in set(range(slices)) - held:
+        none = np.zeros(0, np.uint64)
+        saved(_slice_file(path, empty), PerfectTable.build(none, none, **{x: none for x in VALUES}).to_bytes())
+    spark.createDataFrame([(dtype.str, slices, most > 1)], "dtype string, slices int, repeats boolean").write.parquet(f"{path}/meta")
     dropped(spark, f"{path}/rows")
-    return TokenStore(spark, path, dtype.str, slices, id_col)
+    return TokenStore(spark, path, dtype.str, slices, most > 1)

@@ -11,14 +11,13 @@ from tokenizers import Tokenizer
 from lodestone.llm.encoding import default_tokenizer, encoder
 from lodestone.llm.packing import BestFit, pack
 from lodestone.llm.queries import op2_token_store, op6_best_fit_packing
-from lodestone.llm.token_store import write_tokens
+from lodestone.llm.token_store import TokenStore, write_tokens
 
 
 @functools.cache
 def plain():
-    t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
-    return t
+    """The tokenizer as its file gives it: the call of the contract, nothing set."""
+    return Tokenizer.from_file(default_tokenizer())
 
 
 def ids(text):
@@ -49,15 +48,32 @@ def test_keyed_access_and_odd_rows(spark):
     store = write_tokens(given(spark, ODD), default_tokenizer(), keys_per_index=4)
     text = {i: t for i, t in ODD}
     for key, t in text.items():
-        if key is not None:
-            assert store.get(key).tolist() == [*ids(t), 2]
-    assert store.get(12345) is None
-    got = {r[0]: tuple(r)[1:] for r in store.read(spark.createDataFrame([(4,), (4,), (777,), (None,)], "k long")).collect()}
-    assert sorted(got, key=str) == [4, None] and got[None][0] == 0 and got[4][1] == len(ids(text[4])) + 1
+        assert store.get(key).tolist() == [*ids(t), 2]
+    assert store.get(12345) is None and store.get(4, 1).tolist() == store.get(4).tolist() and store.get(4, 2) is None and store.count(4) == 2
+    got = [tuple(r) for r in store.read(spark.createDataFrame([(4,), (4,), (777,), (None,)], "k long")).collect()]
+    assert sorted((r[0] for r in got), key=str) == [4, 4, None] and {r[0]: r[1] for r in got}[None] == 0 and {r[0]: r[2] for r in got}[4] == len(ids(text[4])) + 1
     empty = write_tokens(given(spark, []), default_tokenizer())
     assert empty.read(spark.createDataFrame([(1,)], "k long")).collect() == [] and empty.get(1) is None
 
 
+def test_rows_that_share_an_id_are_documents_each(spark):
+    """A hot key, null keys and string keys: every row is kept, in one run, and the store can be opened again."""
+    rows = [(1, "alpha beta"), (1, "other text here"), (None, "x"), (None, "y")] + [(2, f"copy {i % 3}") for i in range(200)] + [(3, "last")]
+    store = write_tokens(given(spark, rows), default_tokenizer(), keys_per_index=16)
+    got = sorted((tuple(r) for r in store.read(given(spark, rows).select("doc_id")).collect()), key=lambda r: r[1])
+    assert len(got) == len(rows) and [r[0] for r in got] == [None] * 2 + [1] * 2 + [2] * 200 + [3]
+    want = sorted((str(i), len(ids(t)) + 1, crc([*ids(t), 2])) for i, t in rows)
+    assert sorted((str(r[0]), r[2], r[3]) for r in got) == want
+    at = 0
+    for r in got:
+        assert r[1] == at
+        at += r[2]
+    again = TokenStore.open(spark, store.path)
+    assert again.count(2) == 200 and sorted(again.get(1, i).tolist() for i in (0, 1)) == sorted([*ids(t), 2] for i, t in rows if i == 1)
+    named = write_tokens(spark.createDataFrame([("b", "one"), ("a", "two")], "doc_id string, text string"), default_tokenizer())
+    assert named.get("a").tolist() == [*ids("two"), 2] and named.get("c") is None
+
+
 def checked(rows, out, size, end):
     """Pieces, places and how many sequences, against plain encoding."""
     want = defaultdict(int)
