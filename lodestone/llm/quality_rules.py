@@ -1,7 +1,7 @@
 """Line-first cleaning and document quality rules, in DataFrame expressions only.
 
 Each line is judged by itself: symbols among its characters, shouting,
-navigation separators, boilerplate phrases, and short fragments without a
+navigation separators, the share of boilerplate phrases, and short fragments without a
 sentence end. Failing lines are removed, and a document that loses too much of
 its text with them is rejected, as is one that fails the base rules (too few
 words, or too much of it in repeated eight-word windows).
@@ -21,30 +21,63 @@ NO_SYMBOL = r"[^#*$%&|<>]+"
 NOT_UPPER = r"[^\p{Lu}]+"
 NAVIGATION = r"(^|\s)[|»›](\s|$)"
 SENTENCE_END = "[.!?…:;\"'”’»)\\]。！？]\\s*$"
-BOILERPLATE = r"(?i)\b(all rights reserved|privacy policy|terms of (use|service)|cookie (policy|settings)|click here|subscribe (now|to our)|sign (in|up) to|enable javascript|skip to (main )?content|powered by|back to top|read more)\b"
-#: A boilerplate line is short; longer lines are prose that mentions one of the phrases.
-BOILERPLATE_CHARS = 200
+#: Phrases of boilerplate by language, as regular expressions that begin with an ASCII letter.
+BOILERPLATE = {
+    "en": (
+        "all rights reserved", "privacy policy", "terms of (?:use|service)", "cookie (?:policy|settings)", "click here", "subscribe (?:now|to our)", "sign (?:in|up) to",
+        "enable javascript", "skip to (?:main )?content", "powered by", "back to top", "read more",
+    ),
+    "fr": ("tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "gestion des cookies", "cliquez ici", "lire la suite", "retour en haut"),
+    "de": ("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookie-einstellungen", "hier klicken", "weiterlesen", "nach oben"),
+    "es": ("todos los derechos reservados", "política de privacidad", "aviso legal", "condiciones de uso", "haga clic aquí", "leer más", "volver arriba"),
+}
+
+
+def boilerplate_pattern(phrases: dict[str, tuple[str, ...]], flags: str = "iu") -> str:
+    """One pattern of all languages' phrases: a line is judged by what it says, not by the language it is marked with."""
+    return rf"(?{flags})\b(?:{'|'.join(x for said in phrases.values() for x in said)})"
+
 
 WINDOW = 8
 
 
-def line_fails(line: Column, symbol_share: float = 0.05, upper_share: float = 0.5, short_words: int = 5) -> Column:
-    """Whether a line with words breaks a line rule; a blank line never does."""
+def line_fails(
+    line: Column,
+    symbol_share: float = 0.05,
+    upper_share: float = 0.5,
+    short_words: int = 5,
+    boilerplate_share: float = 0.5,
+    phrases: dict[str, tuple[str, ...]] = BOILERPLATE,
+) -> Column:
+    """Whether a line with words breaks a line rule; a blank line never does.
+
+    Boilerplate phrases break it where they make up ``boilerplate_share`` of
+    its characters, however long it is; prose that mentions one stays.
+    """
     chars = F.length(F.regexp_replace(line, SPACES + "+", ""))
     symbols = F.length(F.regexp_replace(line, NO_SYMBOL, ""))
     upper = F.length(F.regexp_replace(line, NOT_UPPER, ""))
     words = F.size(F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), SPACES + "+"))
+    said = F.length(F.regexp_replace(F.regexp_replace(line, boilerplate_pattern(phrases), ""), SPACES + "+", ""))
     broken = (
         (symbols > symbol_share * chars)
         | ((upper > upper_share * chars) & (chars >= 8))
         | line.rlike(NAVIGATION)
-        | ((F.length(line) < BOILERPLATE_CHARS) & line.rlike(BOILERPLATE))
+        | (chars - said >= boilerplate_share * chars)
         | (~line.rlike(SENTENCE_END) & (words < short_words))
     )
     return (chars > 0) & broken
 
 
-def judge(docs: DataFrame, min_words: int = 20, max_repeat: int = 30, max_lost: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(
+    docs: DataFrame,
+    min_words: int = 20,
+    max_repeat: int = 30,
+    max_lost: float = 0.3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    phrases: dict[str, tuple[str, ...]] = BOILERPLATE,
+) -> DataFrame:
     """Per row: the id, counts, verdicts and the cleaned text.
 
     Columns: ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
@@ -65,7 +98,7 @@ def judge(docs: DataFrame, min_words: int = 20, max_repeat: int = 30, max_lost:
     spoken = F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.select(
         "id", "text", F.size("words").alias("n_words"), windows.alias("hashes"), spoken.alias("spoken"), "lines",
-        F.transform("lines", lambda x: line_fails(x)).alias("fails"),
+        F.transform("lines", lambda x: line_fails(x, phrases=phrases)).alias("fails"),
     )
     repeats = F.size(F.array_distinct("hashes")) < F.size("hashes")
     ranked = F.when(repeats, F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))

@@ -44,4 +44,8 @@ def test_lines(spark):
     row = judge(given(spark, [(1, text)])).first()
     assert row["clean_text"] == "\n".join([prose, "", prose + " 100% true & more."])
     assert row["n_lines_removed"] == 5 and row["kept"] is False and 0.3 < row["lost"] < 0.7
+    phrases = "All rights reserved. Privacy policy. Terms of service. Cookie settings. Back to top. "
+    for line, gone in ((phrases.strip(), 1), ((phrases * 4).strip(), 1), (phrases[:20] + prose, 0), ("Tous droits réservés, mentions légales.", 1), ("DATENSCHUTZERKLÄRUNG und Nutzungsbedingungen.", 1), ("Para leer más, volver arriba.", 1)):
+        assert judge(given(spark, [(1, line)])).first()["n_lines_removed"] == gone, line
+    assert judge(given(spark, [(1, "mehr dazu gibt es hier zu sehen.")]), phrases={"de": ("mehr dazu gibt es hier",)}).first()["n_lines_removed"] == 1
     assert judge(given(spark, [(1, f"{prose}\nAnother line with quite a few different words stands below it here.\nthe end")])).first()["kept"] is True
