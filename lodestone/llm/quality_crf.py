@@ -5,9 +5,10 @@ the line and of the lines beside it, and from the labels' transitions. The
 marginal of "good" (forward-backward) is averaged over the lines, weighted by
 their length, to the document's quality.
 
-The model is fitted on a bounded sample of labelled documents (``fit_docs``
-documents, of each at most ``fit_lines`` lines); a line takes its document's
-label. Everything else reads all rows and whole texts. The label, the
+The model is fitted on a bounded sample of labelled documents: at most
+``fit_docs`` documents of at most ``fit_lines`` lines in all, each with all its
+lines. A line takes its document's label; a long document is fitted in
+stretches of ``CHAIN`` lines. Everything else reads all rows and whole texts. The label, the
 language, the source and the id are never features.
 """
 
@@ -19,13 +20,15 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import text_bytes
+from lodestone.llm.common import dropped, scratch, text_bytes, written
 
 FIT_DOCS = 6000
-FIT_LINES = 400
+FIT_LINES = 400_000
+#: Lines of one chain while fitting; a longer document gives several, so that no line is left out and steps stay short.
+CHAIN = 400
 
 #: Characters that mark machine-made or navigation lines, and sentence ends.
 SYMBOLS, ENDS = b"#*$%&|<>", b".!?;:\"'"
@@ -146,38 +149,71 @@ def held_out(id_column: Column, folds: int = 5, fold: int = 0) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit(""))) % folds == fold
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_docs: int = FIT_DOCS, fit_lines: int = FIT_LINES) -> LineCRF:
-    """Fit on at most ``fit_docs`` labelled documents outside the held-out fold (those of the smallest id hashes).
-
-    A document labelled more than once takes the smallest label. Without any
-    label the model is blank: every score is 0.5.
+def fit_quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    fit_docs: int = FIT_DOCS,
+    fit_lines: int = FIT_LINES,
+) -> LineCRF:
+    """Fit on whole labelled documents outside the held-out fold: those of the smallest id hashes, within both bounds.
+
+    A document that would exceed ``fit_lines`` lines in all is not sampled. A
+    document labelled more than once takes the smallest label; of rows that
+    share a labelled id one is sampled. Null ids have no label. Without any
+    label the model is blank: every score is 0.5. With labels of one kind
+    alone every line is taken for that kind.
     """
+    spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("known_id")).agg(F.min(label_col).cast("int").alias("label"))
-    known = known.orderBy(F.xxhash64("known_id"), "known_id").limit(fit_docs)
+    known = known.withColumn("turn", F.xxhash64("known_id")).orderBy("turn", "known_id").limit(fit_docs)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # At most fit_docs rows of two numbers: the bound of this broadcast.
-    rows = picked.join(F.broadcast(known), picked.id == known.known_id).select("text", "label")
+    # At most fit_docs rows of three numbers: the bound of this broadcast.
+    rows = picked.join(F.broadcast(known), picked.id == known.known_id).select("turn", "known_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row")
+    rows = rows.groupBy("turn", "known_id", "label").agg(one).select("turn", "label", "row.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs = [text_features(x)[:fit_lines].tobytes() for x in text_bytes(batch["text"])]
-            yield pa.record_batch({"label": batch["label"], "x": pa.array(xs, pa.binary())})
-
-    sample = rows.mapInArrow(run, "label int, x binary").collect()
-    if not sample:
+            xs = [text_features(x) for x in text_bytes(batch["text"])]
+            sizes = pa.array([len(x) for x in xs], pa.int64())
+            yield pa.record_batch({"turn": batch["turn"], "label": batch["label"], "n_lines": sizes, "x": pa.array([x.tobytes() for x in xs], pa.binary())})
+
+    at = scratch(spark, "crf-sample")
+    sample = written(rows.mapInArrow(run, "turn long, label int, n_lines long, x binary"), at)
+    # At most fit_docs rows: whole documents in order of their hash as long as they fit.
+    order = Window.orderBy("turn", "n_lines", F.xxhash64("x")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = sample.where(F.col("n_lines") <= fit_lines).withColumn("upto", F.sum("n_lines").over(order))
+    taken = sizes.where(F.col("upto") <= fit_lines).select("label", "x").toArrow()
+    dropped(spark, at)
+    if not len(taken):
         return LineCRF.blank()
-    texts = [np.frombuffer(bytes(r["x"]), dtype=np.float32).reshape(-1, FEATURES) for r in sample]
-    return LineCRF.fit(texts, np.array([r["label"] for r in sample]))
-
-
-def score_quality(docs: DataFrame, model: LineCRF, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    texts, marks = [], []
+    for label, data in zip(taken["label"].to_pylist(), taken["x"], strict=True):
+        lines = np.frombuffer(data.as_buffer(), dtype=np.float32).reshape(-1, FEATURES)
+        for begin in range(0, len(lines), CHAIN):
+            texts.append(lines[begin : begin + CHAIN])
+            marks.append(label)
+    return LineCRF.fit(texts, np.array(marks))
+
+
+def score_quality(
+    docs: DataFrame,
+    model: LineCRF,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
     """Per row: the id, ``score`` (0 to 1) and ``n_lines``, ``n_bad_lines``; ``keep`` names columns to carry along.
 
-    A null or empty text is one empty line. Repeated rows, null ids and extra
-    columns do not matter; an empty table gives an empty result.
+    A null or empty text is one empty line. Repeated rows get equal scores,
+    null ids come back, other columns are not read, whatever their names; an
+    empty table gives an empty result.
     """
-    picked = docs.select(F.col(id_col), F.col(text_col).alias("__text"), *[F.col(x).alias(f"__keep_{x}") for x in keep])
+    picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(x).alias(f"__keep_{x}") for x in keep])
     kinds = [(f.name, f.dataType.simpleString()) for f in picked.schema if f.name != "__text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,4 +230,4 @@ def score_quality(docs: DataFrame, model: LineCRF, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([*carried, pa.array(np.clip(score, 0, 1)), pa.array([len(x) for x in xs], pa.int64()), pa.array(bad)], [*(k for k, _ in kinds), "score", "n_lines", "n_bad_lines"])
 
     out = picked.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in kinds) + ", score double, n_lines long, n_bad_lines long")
-    return out.withColumnsRenamed({f"__keep_{x}": x for x in keep})
+    return out.select(F.col("__id").alias(id_col), *(F.col(f"__keep_{x}").alias(x) for x in keep), "score", "n_lines", "n_bad_lines")
