@@ -4,11 +4,12 @@ A classifier learned from the labelled table gives every document a posterior
 over domains. Each document then gets a nonnegative rate (how often it should
 be seen) so that the expected tokens of every domain, sum of rate * tokens *
 posterior, match its target. The rates stay as close to 1 as the targets
-allow: they come from projected gradient steps on the squared gaps, each gap
-divided by the domain's tokens at rate 1, starting from rate 1.
+allow: they come from projected gradient steps on the squared gaps, scaled by
+how the totals answer to the rates (the posteriors' second moments over the
+documents that still have a rate), starting from rate 1.
 
-A step needs the totals at the current rates, one aggregate of a number for
-each domain. The rate of a document is a fold over the steps' few numbers, so
+A step needs the totals and these moments at the current rates, one aggregate
+of a few numbers for each pair of domains. The rate of a document is a fold over the steps' few numbers, so
 nothing is kept or rewritten for each document between steps, and a lost
 executor costs its tasks of one aggregate.
 
@@ -21,14 +22,18 @@ hashes); all documents are scored whole.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import scratch, written
 
-FIT_DOCS, WORDS_PER_DOMAIN, MAX_STEPS = 6000, 40, 40
+FIT_DOCS, WORDS_PER_DOMAIN, MAX_STEPS = 6000, 40, 60
+#: A step that moves every total by at most this share of the budget is the last.
+STILL = 1e-6
 #: A vocabulary token is at least this many times as frequent in its domain's documents as in the others: words of one language alone say nothing.
 ODDS = 4.0
 SPACES = r"[\x20\x09-\x0D]+"
@@ -84,8 +89,20 @@ class DomainModel:
         return rows.withColumn("p", F.transform("odds", lambda x: x / total)).drop("odds")
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", fit_docs: int = FIT_DOCS, words: int = WORDS_PER_DOMAIN) -> DomainModel:
-    """Learn from at most ``fit_docs`` labelled documents; a document with several labels takes the first in the alphabet."""
+def fit_domains(
+    docs: DataFrame,
+    labelled: DataFrame,
+    domains: list[str],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    domain_col: str = "domain",
+    fit_docs: int = FIT_DOCS,
+    words: int = WORDS_PER_DOMAIN,
+) -> DomainModel:
+    """Learn from at most ``fit_docs`` labelled documents; a document with several labels takes the first in the alphabet.
+
+    ``words`` is the size of the model: the tokens that speak most for each domain are its features.
+    """
     known = labelled.where(F.col(id_col).isNotNull() & F.col(domain_col).isin(domains)).groupBy(F.col(id_col).alias("known_id")).agg(F.min(domain_col).alias("domain"))
     known = known.orderBy(F.xxhash64("known_id"), "known_id").limit(fit_docs)
     # At most fit_docs rows of an id and a name: the bound of this broadcast.
@@ -123,37 +140,89 @@ def _rate(p: str, steps: list[list[float]]) -> Column:
     return F.aggregate(taken, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(F.col(p), g, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)))
 
 
-def fit_rates(scored: DataFrame, targets: list[float], max_steps: int = MAX_STEPS, tolerance: float = 1e-4) -> list[list[float]]:
-    """The steps that bring the domains' expected tokens to ``targets`` (tokens), over (n_tokens, p)."""
-    totals = [F.coalesce(F.sum(F.col("rate") * F.col("n_tokens") * F.get("p", k)), F.lit(0.0)) for k in range(len(targets))]
+@dataclass
+class Fit:
+    """The steps of the descent, each domain's gap at the end (share of the budget), and whether all are within the tolerance.
+
+    ``settled`` is false where ``max_steps`` ended a descent that still moved.
+    """
+
+    steps: list[list[float]]
+    gaps: list[float]
+    met: bool
+    settled: bool = True
+
+
+def fit_rates(scored: DataFrame, targets: list[float], max_steps: int = MAX_STEPS, tolerance: float = 1e-4) -> Fit:
+    """Steps that bring the domains' expected tokens to ``targets`` (tokens), over (n_tokens, p).
+
+    They go on until every gap is within ``tolerance`` of the budget, until a
+    step no longer changes any total (then no nonnegative rates come closer),
+    or for ``max_steps``. The result says which, and how far the totals are.
+    """
+    k = len(targets)
+    n, p = F.col("n_tokens"), [F.get("p", i) for i in range(k)]
+    sums = [F.col("rate") * n * p[i] for i in range(k)]
+    # How the totals answer to a step, over the documents that are not at rate 0.
+    sums += [F.when(F.col("rate") > 0, n).otherwise(0) * p[i] * p[j] for i in range(k) for j in range(k)]
     steps: list[list[float]] = []
-    first: list[float] | None = None
-    for _ in range(max_steps):
-        now = [float(x) for x in scored.withColumn("rate", _rate("p", steps)).agg(*(t.alias(f"t{k}") for k, t in enumerate(totals))).first()]
-        first = first or now
-        if all(abs(a - b) <= tolerance * max(sum(targets), 1.0) for a, b in zip(now, targets, strict=True)):
-            break
-        # Posteriors sum to 1, so with gaps divided by the domains' tokens a full step never overshoots.
-        steps.append([(a - b) / m if m > 0 else 0.0 for a, b, m in zip(now, targets, first, strict=True)])
-    return steps
-
-
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None, keep_total_of: str | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", fit_docs: int = FIT_DOCS, keep: tuple[str, ...] = (), slack: float = 0.02) -> DataFrame:
+    budget, wanted = max(sum(targets), 1.0), np.array(targets)
+    before, scale = None, 1.0
+    while True:
+        rated = scored.withColumn("rate", _rate("p", steps))
+        row = np.array([float(x) for x in rated.agg(*(F.coalesce(F.sum(x), F.lit(0.0)).alias(f"s{i}") for i, x in enumerate(sums))).first()])
+        gap, answer = row[:k] - wanted, row[k:].reshape(k, k)
+        gaps = (gap / budget).tolist()
+        if (np.abs(gap) <= tolerance * budget).all():
+            return Fit(steps, gaps, True)
+        if before is not None and (np.abs(gap - before) <= STILL * budget).all():
+            return Fit(steps, gaps, False)
+        if len(steps) >= max_steps:
+            return Fit(steps, gaps, False, False)
+        # A step that made the squares grow was too long: the next ones are shorter.
+        scale = scale / 2 if before is not None and gap @ gap > before @ before else min(1.0, 1.5 * scale)
+        ridge = 1e-9 * (np.trace(answer) + 1e-300)
+        steps.append((scale * np.linalg.solve(answer + ridge * np.eye(k), gap)).tolist())
+        before = gap
+
+
+def mix(
+    docs: DataFrame,
+    labelled: DataFrame,
+    weights: dict[str, float],
+    total: float | None = None,
+    keep_total_of: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    domain_col: str = "domain",
+    fit_docs: int = FIT_DOCS,
+    words: int = WORDS_PER_DOMAIN,
+    keep: tuple[str, ...] = (),
+    slack: float = 0.0,
+    max_steps: int = MAX_STEPS,
+    report: dict[str, float] | None = None,
+) -> DataFrame:
     """Per row: id, ``n_tokens`` (words), ``p`` (posterior in the order of ``weights``), ``rate`` and ``copies``.
 
     ``weights`` are each domain's wanted share of the expected tokens. The
     budget is ``total`` tokens; without it, as many as there are; with
     ``keep_total_of`` the budget under which that domain keeps the tokens it
-    has. ``copies`` rounds the rate: to the whole number it is within ``slack``
-    of, else up or down by a hash of id and text, so that it is right on average.
+    has. ``copies`` rounds the rate up or down by a hash of id and text, so
+    that it is right on average. With ``slack`` a rate that close to a whole
+    number of at least 1 is that number: such documents stay as they are, and
+    only rates near 0 and between whole numbers are drawn.
+
+    Targets that no nonnegative rates meet (a domain without tokens, say) are
+    met as closely as the least squares allow; a warning names the gaps. A
+    ``report`` dictionary takes each domain's gap as a share of the budget.
 
     A null or empty text has no tokens; its rate is its posterior's. Repeated
-    rows get equal rates. Null ids are scored. Where nothing is labelled,
-    posteriors are equal. An empty table gives an empty result. ``keep`` names
-    columns to carry along; others are not read.
+    rows get equal rates and copies. Null ids are scored. Where nothing is
+    labelled, posteriors are equal. An empty table gives an empty result.
+    ``keep`` names columns to carry along; others are not read.
     """
     domains = list(weights)
-    model = fit_domains(docs, labelled, domains, id_col, text_col, domain_col, fit_docs)
+    model = fit_domains(docs, labelled, domains, id_col, text_col, domain_col, fit_docs, words)
     chance = F.pmod(F.xxhash64(id_col, text_col, F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     carried = [F.col(x).alias(f"keep_{x}") for x in keep]
     rows = _tokens(docs, id_col, text_col, [chance.alias("chance"), *carried])
@@ -163,8 +232,15 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total:
     share = sum(weights.values())
     if total is None:
         total = held[domains.index(keep_total_of)] * share / weights[keep_total_of] if keep_total_of else sum(held)
-    steps = fit_rates(scored, [total * w / share for w in weights.values()])
-    chance = F.greatest(F.lit(slack), F.least(F.lit(1 - slack), F.col("chance")))
-    copies = F.floor(F.col("rate") + chance).cast("long")
-    out = scored.withColumn("rate", _rate("p", steps))
+    fit = fit_rates(scored, [total * w / share for w in weights.values()], max_steps)
+    gaps = dict(zip(domains, fit.gaps, strict=True))
+    if report is not None:
+        report.update(gaps)
+    if not fit.met:
+        why = "no nonnegative rates meet the targets" if fit.settled else f"the rates did not settle in {max_steps} steps"
+        warnings.warn(f"{why}; gaps as shares of the budget: {gaps}", stacklevel=2)
+    whole = F.round("rate")
+    near = (whole >= 1) & (F.abs(F.col("rate") - whole) <= slack)
+    copies = F.when(near, whole).otherwise(F.floor(F.col("rate") + F.col("chance"))).cast("long")
+    out = scored.withColumn("rate", _rate("p", fit.steps))
     return out.withColumn("copies", copies).select(F.col("id").alias(id_col), "n_tokens", "p", "rate", "copies", *(F.col(f"keep_{x}").alias(x) for x in keep))

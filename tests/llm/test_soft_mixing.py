@@ -23,13 +23,18 @@ def seen(text):
 
 def steps(x, targets, rounds):
     """Projected gradient over a matrix of expected tokens by document and domain."""
-    r, m = np.ones(len(x)), x.sum(0)
-    p = x / np.maximum(x.sum(1, keepdims=True), 1e-300)
+    r, scale, before = np.ones(len(x)), 1.0, None
+    n = x.sum(1, keepdims=True)
+    p = x / np.maximum(n, 1e-300)
     for _ in range(rounds):
         gap = x.T @ r - targets
         if (abs(gap) <= 1e-4 * max(sum(targets), 1)).all():
             break
-        r = np.maximum(0, r - p @ np.where(m > 0, gap / np.maximum(m, 1e-300), 0))
+        scale = scale / 2 if before is not None and (gap**2).sum() > (before**2).sum() else min(1, 1.5 * scale)
+        live = (r > 0)[:, None]
+        h = (live * x).T @ p
+        r = np.maximum(0, r - scale * p @ np.linalg.solve(h + 1e-9 * np.trace(h) * np.eye(len(h)), gap))
+        before = gap
     return r
 
 
@@ -76,14 +81,38 @@ def test_rates_against_brute_force(spark, targets):
     p = rng.dirichlet([0.3, 0.3], 80)
     n = rng.integers(0, 9, 80)
     df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, p array<double>")
-    found = fit_rates(df, targets, 40)
+    found = fit_rates(df, targets)
     r = np.ones(80)
-    for g in found:
+    for g in found.steps:
         r = np.maximum(0, r - p @ np.array(g))
-    assert np.allclose(r, steps(p * n[:, None], np.array(targets), 40) if (n > 0).all() else r)
     x = p * n[:, None]
-    before = np.abs(x.sum(0) - targets).sum()
-    assert np.abs(x.T @ r - targets).sum() < 0.1 * before + 1
+    assert np.allclose((x.T @ r - targets) / sum(targets), found.gaps, atol=1e-9)
+    again = steps(x, np.array(targets), len(found.steps))
+    assert np.allclose(r[n > 0], again[n > 0])
+    assert np.abs(x.T @ r - targets).sum() < 0.1 * np.abs(x.sum(0) - targets).sum() + 1
+    assert found.met == (np.abs(found.gaps).max() <= 1e-4)
+
+
+def test_targets_out_of_reach_are_named(spark):
+    """A domain that no document belongs to cannot have tokens: the fit ends, and says so."""
+    df = spark.createDataFrame([(5, [1.0, 0.0]), (7, [1.0, 0.0])], "n_tokens long, p array<double>")
+    found = fit_rates(df, [6.0, 6.0])
+    assert not found.met and abs(found.gaps[0]) < 1e-3 and abs(found.gaps[1] + 0.5) < 1e-6
+    short = fit_rates(spark.createDataFrame([(100, [0.9, 0.1]), (50, [0.2, 0.8])], "n_tokens long, p array<double>"), [10.0, 140.0], max_steps=1)
+    assert not short.met and not short.settled and len(short.steps) == 1
+    report = {}
+    with pytest.warns(UserWarning, match="no nonnegative rates"):
+        mix(given(spark, ODD), spark.createDataFrame([], "doc_id long, domain string"), {"a": 0.9, "b": 0.1}, report=report)
+    assert abs(report["a"] + report["b"]) < 1e-3 and report["b"] > 0.3
+
+
+def test_copies_are_right_on_average(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 5} two three") for i in range(4000)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, domain string")
+    for total, slack in ((12000 * 0.013, 0.0), (12000 * 0.99, 0.0), (12000 * 0.013, 0.02), (12000 * 1.4, 0.02)):
+        got = mix(docs, none, {"a": 1.0}, total=total, slack=slack).agg(F.sum("copies"), F.sum("rate")).first()
+        assert abs(got[0] - got[1]) < 4 * (got[1] + 1) ** 0.5
+    assert mix(docs, none, {"a": 1.0}, total=12000 * 0.99, slack=0.02).where("copies = 1").count() == 4000
 
 
 def test_odd_rows_and_empty_tables(spark):
