@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import dropped, filesystem, scratch, written
 
+CHUNKS_A_FOLDER, FILES_A_FOLDER = 64, 16
+
 
 class Chunks:
     """``table``: id, text (null as empty), ``rid`` (a unique row number) and ``chunk``, in the shared folder."""
@@ -34,25 +36,39 @@ class Chunks:
         return self.table.schema["id"].dataType.simpleString()
 
     def side(self, rows: DataFrame) -> Callable[[int], pa.Table | None]:
-        """Write ``rows`` (with a ``chunk`` column) by chunk; the result loads one chunk's rows on an executor."""
+        """Write ``rows`` (with a ``chunk`` column) by chunk; the result loads one chunk's rows on an executor.
+
+        ``CHUNKS_A_FOLDER`` chunks share a folder, in files sorted by chunk, so
+        a load reads the row groups of its chunk alone and folders stay few.
+        """
         path = scratch(self.spark, "side")
         self.sides.append(path)
-        rows.repartition(F.col("chunk")).write.partitionBy("chunk").option("compression", "zstd").parquet(path)
+        folder = F.floor(F.col("chunk") / CHUNKS_A_FOLDER).cast("int")
+        dealt = rows.withColumn("folder", folder).repartition("folder", F.pmod("chunk", F.lit(FILES_A_FOLDER))).sortWithinPartitions("folder", "chunk")
+        dealt.write.partitionBy("folder").option("compression", "zstd").option("parquet.block.size", 1 << 22).parquet(path)
+        last: dict[int, pa.Table | None] = {}
 
         def load(chunk: int) -> pa.Table | None:
             import pyarrow.parquet as pq
             from pyarrow import fs as pafs
 
-            fs, at = filesystem(f"{path}/chunk={chunk}")
+            if chunk in last:
+                return last[chunk]
+            last.clear()
+            fs, at = filesystem(f"{path}/folder={chunk // CHUNKS_A_FOLDER}")
             files = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)) if x.base_name.endswith(".parquet"))
-            if not files:
-                return None
-            return pa.concat_tables([pq.read_table(x, filesystem=fs, partitioning=None) for x in files])
+            parts = [pq.read_table(x, filesystem=fs, partitioning=None, filters=[("chunk", "=", chunk)]) for x in files]
+            held = pa.concat_tables(parts) if parts else None
+            last[chunk] = held if held is not None and len(held) else None
+            return last[chunk]
 
         return load
 
-    def map(self, run: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-        """``run(chunk, batches)`` for each run of rows of one chunk in a task (a chunk may be cut into several)."""
+    def map(self, run: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, table: DataFrame | None = None) -> DataFrame:
+        """``run(chunk, batches)`` for each run of rows of one chunk in a task (a chunk may be cut into several).
+
+        Over the documents, or over another ``table`` with a ``chunk`` column.
+        """
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -64,7 +80,7 @@ class Chunks:
                     yield from run(int(chunk), iter([batch.slice(at, end - at)]))
                     at = end
 
-        return self.table.mapInArrow(each, schema)
+        return (self.table if table is None else table).mapInArrow(each, schema)
 
     def release(self, texts: bool = False) -> None:
         dropped(self.spark, *self.sides, *([self.path] if texts else []))

@@ -4,39 +4,44 @@ Every word has a class; a text's probability is the product of class
 transitions and word emissions: P(class | class before) * P(word | class).
 
 Counting covers all training texts. Each chunk of documents gives its distinct
-words with their counts; these meet by word hash, and each chunk gets back the
-corpus counts of its own words only, so no task or driver ever holds the
-vocabulary. On the way out the chunk's tokens become a row of small symbols:
-the ``frequent`` most frequent words each have a symbol, and the other words
-share the symbol of their count's power of two. Symbol bigrams are counted
-over all training texts.
-
-Exchange clustering then moves one frequent word after another to the class
-that raises the likelihood of the symbol bigrams most, until no word moves (or
-``passes`` are done). It works on a table of at most
-(frequent + 64) squared cells, whatever the corpus size. Words of a count
-class form classes of their own. Words seen once share their class with unseen
-words, which take a part of its emission set by the counts of words seen once
-and twice.
+words with their counts; these meet by word hash with map-side combination,
+and each chunk gets back the corpus counts of its own words only, so no task
+or driver ever holds the vocabulary. A text is then a row of places in its
+chunk's list of words, written once; all later steps read these small rows.
+
+Exchange clustering assigns every training word to a class. The ``frequent``
+most frequent words come first: on a table of their bigrams, one after another
+moves to the class that raises the likelihood most, until none moves (or
+``passes`` are done). While they move, the other words stand in the table as
+context only, by powers of two of their counts. Then every other word, of any
+count, is exchanged against these classes in parallel: the counts of the
+classes before and after it, over the whole corpus, decide which class raises
+the likelihood most.
+
+Transitions and emissions are counted over all training texts with the final
+classes. Unseen words are one type with a class of its own, whose transitions
+are those of the words seen once (as many unseen tokens are expected as there
+are words seen once).
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.chunks import Chunks
 from lodestone.llm.common import dropped, longs, scratch, signed, text_bytes, written
 
 FREQUENT, CLASSES, PASSES = 1000, 48, 8
-#: Symbols below BANDS are powers of two of a count (0: seen once or never); then the end symbol, then the frequent words.
-BANDS, END, WORDS = 62, 62, 63
+#: Symbols while the frequent words are clustered: powers of two of a count below END, then the end, then the frequent words.
+END, WORDS = 62, 63
 
 
 def held_out(ids: pa.Array, folds: int, fold: int) -> np.ndarray:
@@ -68,7 +73,6 @@ def exchange(bigrams: np.ndarray, fixed: np.ndarray, classes: int, passes: int)
     member[np.arange(n), of] = 1
     right, left = bigrams @ member, bigrams.T @ member  # by symbol: counts to and from each class
     table = member.T @ right
-    nlogn = lambda x: x * np.log(np.maximum(x, 1))
     for _ in range(passes):
         moved = 0
         for s in free:
@@ -105,7 +109,88 @@ def exchange(bigrams: np.ndarray, fixed: np.ndarray, classes: int, passes: int)
     return of
 
 
-def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, classes: int = CLASSES, passes: int = PASSES) -> DataFrame:
+def nlogn(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def placed(contexts: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray) -> np.ndarray:
+    """For each word (keys, counts) the class whose rows and columns gain most likelihood by it; ties go to the lower class.
+
+    ``table[c, d]`` counts class d after class c over the frequent words, and
+    contexts alone beyond its first rows. A key below the number of columns is
+    the class before the word, one above it (less that number) the class after.
+    """
+    k, width = classes_of(table), table.shape[1]
+    rows, cols = table[:k].sum(1), table[:, :k].sum(0)
+    # What one more bigram with each context adds to each class: most words are rare, and look this up.
+    once = np.concatenate((nlogn(table[:, :k] + 1) - nlogn(table[:, :k]), (nlogn(table[:k] + 1) - nlogn(table[:k])).T))
+    sizes = np.array([len(x) for x, _ in contexts])
+    key = np.concatenate([x for x, _ in contexts])
+    n = np.concatenate([x for _, x in contexts]).astype(float)
+    gains = once[key]
+    many = np.flatnonzero(n > 1)
+    for part in np.array_split(many, max(1, len(many) // 65536)):
+        held = np.where((key[part] < width)[:, None], table[key[part] % width, :k], table[:k, key[part] % width].T)
+        gains[part] = nlogn(held + n[part, None]) - nlogn(held)
+    begin = np.cumsum(sizes) - sizes
+    gain = np.add.reduceat(gains, begin, axis=0)
+    before = np.add.reduceat(np.where(key < width, n, 0), begin)[:, None]
+    after = np.add.reduceat(np.where(key < width, 0, n), begin)[:, None]
+    gain -= nlogn(rows + after) - nlogn(rows) + nlogn(cols + before) - nlogn(cols)
+    return np.argmax(gain, axis=1)
+
+
+def classes_of(table: np.ndarray) -> int:
+    """The word classes come first in a class table; the contexts of ``WORDS`` symbols follow."""
+    return len(table) - WORDS
+
+
+@dataclass
+class Model:
+    """log10 transitions between classes (word classes, then the end, then unseen words) and log10 class sizes."""
+
+    moves: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def estimated(cls, pairs: np.ndarray, single: np.ndarray, sizes: np.ndarray) -> Model:
+        """``pairs[c, d]`` counts class d after c in training texts, ``single`` the bigrams around words seen once (their class as "unseen")."""
+        counts = pairs.astype(float) + single
+        k = len(counts)
+        prior = (counts.sum(0) + 0.5) / (counts.sum() + 0.5 * k)
+        # Witten-Bell smoothing towards the class's own frequency.
+        kinds = (counts > 0).sum(1, keepdims=True) + 1
+        moves = np.log10((counts + kinds * prior) / (counts.sum(1, keepdims=True) + kinds))
+        return cls(moves, np.log10(np.maximum(sizes, 1)))
+
+    def score(self, classes: np.ndarray, counts: np.ndarray) -> float:
+        """log10 probability of a text: its words' classes and their corpus counts (0: unseen), and the end."""
+        end = len(self.moves) - 2
+        row = np.concatenate(([end], classes, [end]))
+        seen = counts > 0
+        return float(self.moves[row[:-1], row[1:]].sum() + np.log10(counts[seen]).sum() - self.sizes[classes[seen]].sum())
+
+
+def _sums(cells: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells and their sums."""
+    if n is None:
+        return np.unique(cells, return_counts=True)
+    order = np.argsort(cells, kind="stable")
+    cells, n = cells[order], n[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(cells)), bool), cells[1:] != cells[:-1])))
+    return cells[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def score_texts(
+    docs: DataFrame,
+    folds: int = 7,
+    fold: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    frequent: int = FREQUENT,
+    classes: int = CLASSES,
+    passes: int = PASSES,
+) -> DataFrame:
     """Score every whole text; learn from those outside the held-out fold.
 
     Per row: id, ``held_out``, ``n_tokens`` (with the end), ``n_known``,
@@ -114,10 +199,17 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "d
     Repeated rows count again each time. A null id is learned from or held out
     as the text '' would be. Where nothing is learned, every token is unseen.
     An empty table gives an empty result. Other columns are not read.
+    ``frequent`` is the number of words that form the classes; every other
+    training word is then placed in one.
     """
     chunks = Chunks(docs, id_col, text_col)
     spark, kind = chunks.spark, chunks.id_type
     digest = xxhash.xxh64_intdigest
+    paths: list[str] = []
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        paths.append(scratch(spark, tag))
+        return written(df, paths[-1])
 
     def count(chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned: Counter = Counter()
@@ -131,109 +223,160 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "d
         hashes = np.fromiter(map(digest, learned), dtype=np.uint64, count=len(learned))
         yield pa.record_batch({"chunk": pa.array(np.full(len(hashes), chunk, np.int32)), "word": signed(hashes), "n": pa.array(np.fromiter(learned.values(), np.int64, len(learned)))})
 
-    # A word has at most a row for each piece of a chunk, so the window over a word stays small however frequent it is.
-    by_word = Window.partitionBy("word")
-    local_at = scratch(spark, "word-counts")
-    counted = chunks.map(count, "chunk int, word long, n long").withColumns({"total": F.sum("n").over(by_word), "first": F.row_number().over(by_word.orderBy("chunk")) == 1})
-    local = written(counted.drop("n"), local_at)
-    known = local.where("first and total > 0")
+    # A word has at most a row for each piece of a chunk, however frequent it is.
+    local = kept(chunks.map(count, "chunk int, word long, n long"), "word-counts")
+    totals = kept(local.groupBy("word").agg(F.sum("n").alias("total")), "word-totals")
+    known = totals.where("total > 0")
     ends = chunks.table.select((F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % folds == fold).alias("out")).where("not out").count()
-    words = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*"), F.coalesce(F.sum((F.col("total") == 1).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("total") == 2).cast("long")), F.lit(0))).first()
+    words = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
     n_train, vocabulary = int(words[0]) + ends, int(words[1]) + (ends > 0)
-    top = known.orderBy(F.desc("total"), "word").limit(frequent).select("word").collect()
-    symbol_of = np.sort(np.array([r[0] for r in top], dtype=np.int64))
-    load = chunks.side(local.select("chunk", "word", "total").distinct())
+    top = known.orderBy(F.desc("total"), "word").limit(frequent).select("word").toArrow()["word"].to_numpy()
+    symbol_of = np.sort(top)
+    # A chunk's distinct words in order of their hash: a token is its place among them.
+    mine = kept(local.select("chunk", "word").distinct().join(totals, "word"), "chunk-words")
+    load = chunks.side(mine)
 
-    def encode(chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(chunk: int) -> tuple[np.ndarray, np.ndarray]:
         held = load(chunk)
-        word, total = (held["word"].to_numpy(), held["total"].to_numpy()) if held is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        order = np.argsort(word)
-        word, total = word[order], total[order]
-        seen: dict[bytes, int] = {}
-        numbers = np.zeros(0, np.int64)
-        log_base = np.log10(n_train + vocabulary + 1)
-        pending: list[bytes] = []
-
-        def number(texts: list[list[bytes]]) -> None:
-            """Give each new word of these texts its place in ``word``."""
-            nonlocal numbers
-            pending.clear()
-            for text in texts:
-                for w in set(text):
-                    if w not in seen:
-                        seen[w] = len(numbers) + len(pending)
-                        pending.append(w)
-            asked = np.fromiter(map(digest, pending), dtype=np.uint64, count=len(pending)).view(np.int64)
-            numbers = np.concatenate((numbers, np.searchsorted(word, asked)))
+        if held is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        order = np.argsort(held["word"].to_numpy())
+        return held["word"].to_numpy()[order], held["total"].to_numpy()[order]
 
+    def encode(chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, total = listed(chunk)
+        place: dict[bytes, int] = {}
+        base_of = np.log10(total + 1.0) - np.log10(n_train + vocabulary + 1)
+        base_end = float(np.log10(ends + 1.0) - np.log10(n_train + vocabulary + 1))
         for batch in batches:
             texts = [tokens(x) for x in text_bytes(batch["text"])]
-            number(texts)
-            count_of = total[numbers] if len(numbers) else np.zeros(0, np.int64)
-            hash_of = word[numbers] if len(numbers) else np.zeros(0, np.int64)
-            band = np.where(count_of > 1, np.frexp(count_of.astype(float))[1] - 1, 0)
-            if len(symbol_of):
-                at = np.minimum(np.searchsorted(symbol_of, hash_of), len(symbol_of) - 1)
-                is_top = symbol_of[at] == hash_of
-                symbol = np.where(is_top, WORDS + at, band)
-            else:
-                is_top, symbol = np.zeros(len(count_of), bool), band
-            log_count = np.log10(np.maximum(count_of, 1))
-            base_of = np.log10(count_of + 1.0) - log_base
-            rows = [[] for _ in range(7)]
+            new = list({w for text in texts for w in text}.difference(place))
+            asked = np.fromiter(map(digest, new), dtype=np.uint64, count=len(new)).view(np.int64)
+            place.update(zip(new, np.searchsorted(word, asked).tolist(), strict=True))
+            rows = [[] for _ in range(4)]
             for text in texts:
-                at = np.fromiter(map(seen.__getitem__, text), dtype=np.int64, count=len(text))
-                c = count_of[at]
-                tail = (~is_top[at]) & (c > 1)
-                for col, value in zip(rows, (len(text) + 1, int((c > 0).sum()) + (ends > 0), float(base_of[at].sum()) + float(np.log10(ends + 1.0) - log_base), float(log_count[at][tail].sum() + log_count[at][is_top[at]].sum()), int((c == 1).sum()), int((c == 0).sum()), symbol[at].astype("<u2").tobytes()), strict=True):
+                at = np.fromiter(map(place.__getitem__, text), dtype=np.int32, count=len(text))
+                found = (len(text) + 1, int((total[at] > 0).sum()) + (ends > 0), float(base_of[at].sum()) + base_end, at.astype("<i4").tobytes())
+                for col, value in zip(rows, found, strict=True):
                     col.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(held_out(batch["id"], folds, fold)), *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))], ["id", "held_out", "n_tokens", "n_known", "base_score", "emitted", "once", "unseen", "symbols"])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary())
+            out = [batch["id"], batch["chunk"], pa.array(held_out(batch["id"], folds, fold)), *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(out, ["id", "chunk", "held_out", "n_tokens", "n_known", "base_score", "places"])
+
+    schema = f"id {kind}, chunk int, held_out boolean, n_tokens long, n_known long, base_score double, places binary"
+    coded = written(chunks.map(encode, schema), scratch(spark, "word-places"))
+    dropped(spark, chunks.path)
+    train = coded.where("not held_out").select("chunk", "places")
+
+    def joined(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """All places of a batch's texts end to end with an end (-1) before, between and after, and where these ends are."""
+        parts = [np.frombuffer(x.as_buffer(), "<i4") for x in batch["places"]]
+        row = np.full(sum(map(len, parts)) + len(parts) + 1, -1, dtype=np.int64)
+        at = np.cumsum([1, *(len(x) + 1 for x in parts)])
+        for begin, x in zip(at, parts, strict=False):
+            row[begin : begin + len(x)] = x
+        return row, at - 1
 
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, emitted double, once long, unseen long, symbols binary"
-    coded = written(chunks.map(encode, schema), scratch(spark, "symbols"))
-    chunks.release(texts=True)
-    dropped(spark, local_at)
+    def symbols(word: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Each listed word's symbol, and the end's as the last."""
+        band = np.where(total > 1, np.frexp(total.astype(float))[1] - 1, 0)
+        if len(symbol_of):
+            at = np.minimum(np.searchsorted(symbol_of, word), len(symbol_of) - 1)
+            band = np.where(symbol_of[at] == word, WORDS + at, band)
+        return np.append(band, END)
 
     size = WORDS + frequent
 
-    def bigram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(size * size, dtype=np.int64)  # one bounded table a task
+    def bigrams(chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = symbols(*listed(chunk))
         for batch in batches:
-            for data in batch["symbols"].to_pylist():
-                row = np.concatenate(([END], np.frombuffer(data, "<u2"), [END])).astype(np.int64)
-                np.add.at(cells, row[:-1] * size + row[1:], 1)
-        at = np.flatnonzero(cells)
-        yield pa.record_batch({"cell": pa.array(at), "n": pa.array(cells[at])})
+            row = of[joined(batch)[0]]
+            at, n = _sums(row[:-1] * size + row[1:])
+            yield pa.record_batch({"cell": pa.array(at), "n": pa.array(n)})
 
-    pairs = coded.where("not held_out").select("symbols").mapInArrow(bigram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    # At most size * size cells of two numbers, packed.
+    cells = chunks.map(bigrams, "cell long, n long", train).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((size, size))
-    table.reshape(-1)[np.array([r[0] for r in pairs], dtype=np.int64)] = [r[1] for r in pairs]
-    fixed = np.arange(size) < WORDS
-    of = exchange(table, fixed, classes, passes)
-    k = int(of.max()) + 1
-    member = np.zeros((size, k))
+    table.reshape(-1)[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    of = exchange(table, np.arange(size) < WORDS, classes, passes)
+    # Word classes first, then the context symbols.
+    member = np.zeros((size, classes + WORDS))
     member[np.arange(size), of] = 1
-    moves = member.T @ table @ member
-    prior = (moves.sum(0) + 0.5) / (moves.sum() + 0.5 * k)
-    # Witten-Bell smoothing towards the class's own frequency.
-    kinds = (moves > 0).sum(1, keepdims=True) + 1
-    moves = np.log10((moves + kinds * prior) / (moves.sum(1, keepdims=True) + kinds))
-    totals = table.sum(0) @ member
-    once, twice = int(words[2]), int(words[3])
-    share = (once + 1) / (once + 2 * twice + 2)  # of the lowest class's emission, for what was never seen
-    log_total = np.log10(np.maximum(totals, 1))
-    log_once, log_unseen = np.log10((1 - share) / max(once, 1)), np.log10(share)
-    rare = int(of[0])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    by_class = member.T @ table @ member
+    width = classes + WORDS
+
+    def contexts(chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, total = listed(chunk)
+        symbol = symbols(word, total)
+        context = of[symbol]
+        rest = np.append((total > 0) & (symbol[:-1] < WORDS), False)
+        for batch in batches:
+            row, _ = joined(batch)
+            at = np.flatnonzero(rest[row])
+            cells = np.concatenate((row[at] * (2 * width) + context[row[at - 1]], row[at] * (2 * width) + width + context[row[at + 1]]))
+            cells, n = _sums(cells)
+            yield pa.record_batch({"word": pa.array(word[cells // (2 * width)]), "key": pa.array((cells % (2 * width)).astype(np.int32)), "n": pa.array(n)})
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in [batch.slice(at, 4096) for at in range(0, len(batch), 4096)]:
+                ends_ = np.cumsum(some["contexts"].value_lengths().to_numpy())
+                flat = some["contexts"].flatten()
+                key, n = flat.field("key").to_numpy(), flat.field("n").to_numpy()
+                got = placed(list(zip(np.split(key, ends_[:-1]), np.split(n, ends_[:-1]), strict=True)), by_class)
+                yield pa.record_batch({"word": some["word"], "class": pa.array(got.astype(np.int32))})
+
+    met = chunks.map(contexts, "word long, key int, n long", train).groupBy("word", "key").agg(F.sum("n").alias("n"))
+    # At most 2 * width contexts a word.
+    per_word = met.groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("contexts"))
+    rest = per_word.mapInArrow(choose, "word long, class int")
+    first = pa.table({"word": pa.array(symbol_of), "class": pa.array(of[WORDS : WORDS + len(symbol_of)].astype(np.int32))})
+    assigned = kept(rest.union(spark.createDataFrame(first).select("word", F.col("class").cast("int"))), "word-classes")
+    unseen = classes + 1
+    load_classes = chunks.side(mine.join(assigned, "word", "left").select("chunk", "word", "total", F.coalesce("class", F.lit(unseen)).alias("class")))
+    sums = known.join(assigned, "word").groupBy("class").agg(F.sum("total").alias("n")).toArrow()
+    sizes = np.zeros(classes + 2)
+    sizes[sums["class"].to_numpy()] = sums["n"].to_numpy()
+
+    def classed(chunk: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each listed word's class and count, and the end's as the last."""
+        held = load_classes(chunk)
+        if held is None:
+            return np.array([classes]), np.array([0])
+        order = np.argsort(held["word"].to_numpy())
+        return np.append(held["class"].to_numpy()[order], classes), np.append(held["total"].to_numpy()[order], 0)
+
+    def steps(chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class_of, total = classed(chunk)
+        k = classes + 2
+        for batch in batches:
+            row, _ = joined(batch)
+            c, single = class_of[row].astype(np.int64), total[row] == 1
+            plain = c[:-1] * k + c[1:]
+            as_unseen = np.where(single, unseen, c)
+            near = single[:-1] | single[1:]
+            again = as_unseen[:-1][near] * k + as_unseen[1:][near]
+            at, n = _sums(np.concatenate((plain, k * k + again)))
+            yield pa.record_batch({"cell": pa.array(at), "n": pa.array(n)})
+
+    k = classes + 2
+    cells = chunks.map(steps, "cell long, n long", train).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros(2 * k * k, dtype=np.int64)
+    pairs[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    model = Model.estimated(pairs[: k * k].reshape(k, k), pairs[k * k :].reshape(k, k), sizes)
+    dropped(spark, *paths)
+
+    def score(chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class_of, total = classed(chunk)
         for batch in batches:
             out = []
-            for data, emitted, n_once, n_unseen in zip(*(batch[x].to_pylist() for x in ("symbols", "emitted", "once", "unseen")), strict=True):
-                row = of[np.concatenate(([END], np.frombuffer(data, "<u2"), [END])).astype(np.int64)]
-                inner = row[1:-1]
-                out.append(moves[row[:-1], row[1:]].sum() + emitted - log_total[inner[inner != rare]].sum() + n_once * log_once + n_unseen * log_unseen)
-            yield pa.RecordBatch.from_arrays([*(batch[x] for x in ("id", "held_out", "n_tokens", "n_known", "base_score")), pa.array(out, pa.float64())], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            for x in batch["places"]:
+                at = np.frombuffer(x.as_buffer(), "<i4")
+                out.append(model.score(class_of[at], total[at]))
+            yield pa.RecordBatch.from_arrays([*(batch[x] for x in SHOWN), pa.array(out, pa.float64())], [*SHOWN, "score"])
 
-    scored = coded.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = chunks.map(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double", coded)
     return scored.withColumn("train_tokens", F.lit(n_train).cast("long")).withColumnRenamed("id", id_col)
+
+
+SHOWN = ("id", "held_out", "n_tokens", "n_known", "base_score")

@@ -5,7 +5,10 @@ from collections import Counter
 import numpy as np
 from helpers import ODD, SF, WORDS, given, table
 
-from lodestone.llm.class_lm import exchange, score_texts
+import xxhash
+
+from lodestone.llm.class_lm import END, exchange, score_texts
+from lodestone.llm.class_lm import WORDS as FIRST
 from lodestone.llm.queries import op7_class_lm
 
 
@@ -29,6 +32,73 @@ def test_given_documents(spark):
     assert all(r["score"] < 0 for r in got)
 
 
+def brute_scores(rows, frequent, classes, passes=8, folds=7, fold=2):
+    """The whole model in plain loops: classes of all training words, transitions, emissions and scores (exchange itself is tested below)."""
+    docs = [(zlib.crc32(b"" if i is None else str(i).encode()) % folds == fold, (t or "").encode().lower().split()) for i, t in rows]
+    train = [w for out, w in docs if not out]
+    count = Counter(w for text in train for w in text)
+    key = lambda w: np.uint64(xxhash.xxh64_intdigest(w)).astype(np.int64)
+    top = sorted(sorted(count, key=lambda w: (-count[w], key(w)))[:frequent], key=key)
+    symbol = {w: FIRST + top.index(w) if w in top else (int(math.log2(count[w])) if count[w] > 1 else 0) for w in count}
+    size = FIRST + frequent
+    table_ = np.zeros((size, size))
+    for text in train:
+        row = [END, *(symbol[w] for w in text), END]
+        for a, b in zip(row, row[1:]):
+            table_[a, b] += 1
+    of = exchange(table_, np.arange(size) < FIRST, classes, passes)
+    width = classes + FIRST
+    held = np.zeros((width, width))
+    for a, b in zip(*np.nonzero(table_)):
+        held[of[a], of[b]] += table_[a, b]
+    g = lambda x: x * math.log(x) if x > 1 else 0.0
+    class_of = {w: int(of[symbol[w]]) for w in top}
+    for w in set(count) - set(top):
+        before, after = Counter(), Counter()
+        for text in train:
+            row = [None, *text, None]
+            for n in range(1, len(row) - 1):
+                if row[n] == w:
+                    before[int(of[END if row[n - 1] is None else symbol[row[n - 1]]])] += 1
+                    after[int(of[END if row[n + 1] is None else symbol[row[n + 1]]])] += 1
+        gain = []
+        for c in range(classes):
+            x = sum(g(held[d, c] + n) - g(held[d, c]) for d, n in before.items()) + sum(g(held[c, d] + n) - g(held[c, d]) for d, n in after.items())
+            rows_, cols = held[c].sum(), held[:, c].sum()
+            gain.append(x - g(rows_ + sum(after.values())) + g(rows_) - g(cols + sum(before.values())) + g(cols))
+        class_of[w] = max(range(classes), key=lambda c: (round(gain[c], 9), -c))
+    k, end, unseen = classes + 2, classes, classes + 1
+    pairs = np.zeros((k, k))
+    for text in train:
+        plain = [end, *(class_of[w] for w in text), end]
+        again = [end, *(unseen if count[w] == 1 else class_of[w] for w in text), end]
+        for n in range(len(plain) - 1):
+            pairs[plain[n], plain[n + 1]] += 1
+            if unseen in again[n : n + 2]:
+                pairs[again[n], again[n + 1]] += 1
+    sizes = Counter()
+    for w, n in count.items():
+        sizes[class_of[w]] += n
+    prior = [(pairs[:, d].sum() + 0.5) / (pairs.sum() + 0.5 * k) for d in range(k)]
+    kinds = [(pairs[c] > 0).sum() + 1 for c in range(k)]
+    scores = []
+    for _, text in docs:
+        row = [end, *(class_of.get(w, unseen) for w in text), end]
+        x = sum(math.log10((pairs[a, b] + kinds[a] * prior[b]) / (pairs[a].sum() + kinds[a])) for a, b in zip(row, row[1:]))
+        scores.append(x + sum(math.log10(count[w] / sizes[class_of[w]]) for w in text if w in count))
+    return scores
+
+
+def test_scores_by_brute_force(spark):
+    rng = np.random.default_rng(7)
+    names = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(names[min(int(x), 39)] for x in rng.exponential(6, rng.integers(0, 30)))) for i in range(120)] + [(500, None), (501, "never seen words w1"), (None, "w2 w2")]
+    for frequent, classes in ((6, 3), (100, 4), (1, 2)):
+        got = {str(r["doc_id"]): r["score"] for r in score_texts(given(spark, rows), frequent=frequent, classes=classes).collect()}
+        want = brute_scores(rows, frequent, classes)
+        assert np.allclose([got[str(i)] for i, _ in rows], want, atol=1e-6)
+
+
 def test_odd_rows(spark):
     got = score_texts(given(spark, ODD), frequent=20, classes=4).collect()
     assert shown(got) == brute(ODD) and all(np.isfinite(r["score"]) and r["score"] < 1e-9 for r in got)
