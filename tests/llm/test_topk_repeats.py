@@ -11,6 +11,6 @@ def test_ids_that_repeat_leave_the_others_their_places(spark):
     for i, v in rows[1:]:
         best[i] = max(best.get(i, -(10**9)), int(v[0] * 256 // 1) * 256)
     want = [(0, n + 1, i, s) for n, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5])]
-    for block_rows in (4, 8192):
+    for block_rows in (1, 4, 8192):
         got = top_k(df, F.col("vec_id") == 0, k=5, block_rows=block_rows).collect()
         assert sorted(map(tuple, got)) == want
