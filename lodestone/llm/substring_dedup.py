@@ -121,8 +121,8 @@ def repeated_spans(chunks: Chunks, width: int = 50) -> DataFrame:
     dropped(spark, seeds_at)
     first = F.min(F.struct("id", "rid", "at", "chunk")).alias("first")
     classes = written(held.groupBy(*keys).agg(first).select(*keys, "first.*"), classes_at)
-    many = classes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    ask_at = scratch(spark, "ask")
+    many_at, ask_at = scratch(spark, "many"), scratch(spark, "ask")
+    many = written(classes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), many_at)
     ask = written(classes.join(many, "anchor"), ask_at)
     load = chunks.side(ask.drop("id"))
 
