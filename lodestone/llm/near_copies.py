@@ -4,12 +4,18 @@ Each text is the set of its shingles' hashes; equal sets count once. MinHash
 finds candidates: ``BANDS`` bands of ``ROWS`` minima each, and sets that agree
 in a band are joined to the smallest set of that bucket, so a bucket of any
 size gives as many rows as it has members. The components of these candidate
-links are groups; each group's texts meet once, and in a group every pair whose
-sizes allow the similarity is compared exactly until its links are known: a
-set that is linked already is compared with no further one.
+links are groups; in a group every pair whose sizes allow the similarity is
+compared exactly until its links are known: a set that is linked already is
+compared with no further one.
+
+No task holds more than two cells of ``CELL`` sets. A larger group is cut into
+cells; each cell is settled by itself, and one set of each of its components
+goes on to meet those of the other cells, as a smaller group. What is then
+still apart is compared cell by cell: sets stand in cells by their component,
+so two cells of one component need no comparison.
 
 A pair of similarity 0.8 agrees in at least one band with probability 0.997, a
-pair of 0.9 practically always. The texts of one group stand in one task.
+pair of 0.9 practically always.
 """
 
 from __future__ import annotations
@@ -23,10 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import dropped, scratch, signed, text_bytes, written
+from lodestone.llm.common import scratch, signed, text_bytes, written
 from lodestone.llm.simhash import components
+from lodestone.operators.ordering import numbered
 
 BANDS, ROWS, SEED = 32, 8, 42
+#: Sets that one cell of a group holds.
+CELL = 2000
 _RANDOM = np.random.default_rng(SEED)
 _TIMES = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _PLUS = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -98,12 +107,87 @@ def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return out
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _cells(members: DataFrame, group: str, order: list[str], cell: int) -> DataFrame:
+    """Members with ``cell``: a number within their group, of about ``cell`` members each, along ``order``."""
+    sized = members.join(members.groupBy(group).agg(F.count("*").alias("__n")), group)
+    small = sized.where(F.col("__n") <= cell).withColumn("cell", F.lit(0).cast("long"))
+    large = sized.where(F.col("__n") > cell)
+    keys = [F.col(group), *map(F.col, order)]
+    spread = numbered(large, "nth", *keys)
+    first = spread.groupBy(group).agg(F.min("nth").alias("first"))
+    spread = spread.join(first, group).withColumn("cell", F.floor((F.col("nth") - F.col("first")) / cell)).drop("nth", "first")
+    return small.unionByName(spread).drop("__n")
+
+
+def _settled(docs: DataFrame, members: DataFrame, width: int, similarity: float, cell: int) -> DataFrame:
+    """(whole, component) of members (id, whole, root): exact components within each root, by cells of bounded size."""
+    spark = docs.sparkSession
+
+    def compare(rows: pa.Table) -> pa.Table:
+        whole = rows["whole"].to_numpy()
+        of = linked([shingles(x, width) for x in text_bytes(rows["text"])], similarity)
+        return pa.table({"whole": pa.array(whole), "component": pa.array(whole[of])})
+
+    dealt = written(_cells(members, "root", ["whole"], cell), scratch(spark, "near-cells"))
+    texts = docs.join(dealt, "id").select("root", "cell", "whole", "text")
+    found = written(texts.groupBy("root", "cell").applyInArrow(compare, "whole long, component long"), scratch(spark, "near-settled"))
+    many = dealt.where("cell > 0").select("root").distinct()
+    if many.isEmpty():
+        return found
+    # One set of each component of the groups of several cells; fewer of them meet again.
+    rest = dealt.join(many, "root").join(found, "whole")
+    heads = written(rest.where("whole = component").select("id", "whole", "root"), scratch(spark, "near-heads"))
+    if heads.count() < rest.count():
+        higher = _settled(docs, heads, width, similarity, cell).toDF("component", "higher")
+        found = written(found.join(higher, "component", "left").select("whole", F.coalesce("higher", "component").alias("component")), scratch(spark, "near-merged"))
+        rest = dealt.join(many, "root").join(found, "whole")
+    return _across(docs, found, rest.select("id", "whole", "root", "component"), width, similarity, cell)
+
+
+def _across(docs: DataFrame, found: DataFrame, rest: DataFrame, width: int, similarity: float, cell: int) -> DataFrame:
+    """Links between components of one group whose sets never met: cells of a group meet in pairs, unless both are of one component."""
+    spark = docs.sparkSession
+    apart = rest.groupBy("root").agg(F.count_distinct("component").alias("k")).where("k > 1").select("root")
+    open_ = rest.join(apart, "root")
+    if open_.isEmpty():
+        return found
+    cells = written(_cells(open_, "root", ["component", "whole"], cell), scratch(spark, "near-cells"))
+    about = cells.groupBy("root", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    a, b = about.alias("a"), about.alias("b")
+    one = (F.col("a.lo") == F.col("a.hi")) & (F.col("b.lo") == F.col("b.hi")) & (F.col("a.lo") == F.col("b.lo"))
+    pairs = a.join(b, "root").where((F.col("a.cell") <= F.col("b.cell")) & ~one)
+    pairs = pairs.select("root", F.col("a.cell").alias("x"), F.col("b.cell").alias("y"))
+    asked = pairs.select("root", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("cell"))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        part = rows["component"].to_numpy()
+        of = linked([shingles(x, width) for x in text_bytes(rows["text"])], similarity)
+        edges = np.unique(np.stack((part, part[of]), axis=1), axis=0)
+        return pa.table({"a": pa.array(edges[:, 0].copy()), "b": pa.array(edges[:, 1].copy())})
+
+    met = asked.join(cells, ["root", "cell"]).join(docs, "id").select("root", "x", "y", "component", "text")
+    edges = met.groupBy("root", "x", "y").applyInArrow(compare, "a long, b long").where("a <> b").distinct()
+    roots = components(written(edges, scratch(spark, "near-across")))
+    return found.join(roots, found.component == roots.node, "left").select("whole", F.coalesce(roots.root, found.component).alias("component"))
+
+
+def near_copies(
+    docs: DataFrame,
+    width: int = 5,
+    similarity: float = 0.8,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    cell: int = CELL,
+    also: DataFrame | None = None,
+) -> DataFrame:
     """(id, component): texts whose shingle sets reach each other by links of Jaccard similarity ``similarity`` or more share a component.
 
+    ``also`` (two columns of ids) names further candidates, such as SimHash
+    links; like those of MinHash they count only as far as the similarity holds.
     ``component`` is a long. Null and empty texts have the empty set in common
     and share one. Ids must be unique and not null; ``docs`` must be a table
-    that reads the same again. Other columns are not read.
+    that reads the same again. Texts of any length count whole. An empty table
+    gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -117,22 +201,17 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col
             ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
             yield pa.RecordBatch.from_arrays([batch["id"], signed(whole), pa.ListArray.from_arrays(ends, signed(keys))], ["id", "whole", "keys"])
 
-    signed_at, edges_at = scratch(spark, "minhash"), scratch(spark, "minhash-links")
-    signatures = written(picked.mapInArrow(sign, f"id {kind}, whole long, keys array<long>"), signed_at)
+    signatures = written(picked.mapInArrow(sign, f"id {kind}, whole long, keys array<long>"), scratch(spark, "minhash"))
     least = signatures.groupBy("whole").agg(F.min("id").alias("id"))
     keyed = signatures.join(least, ["whole", "id"], "left_semi").select("whole", F.posexplode("keys").alias("band", "key"))
     buckets = keyed.groupBy("band", "key").agg(F.min("whole").alias("first"), F.count("*").alias("n")).where("n > 1")
-    edges = written(keyed.join(buckets, ["band", "key"]).where("whole <> first").select(F.col("whole").alias("a"), F.col("first").alias("b")).distinct(), edges_at)
-    groups = components(edges)
-
-    def compare(rows: pa.Table) -> pa.Table:
-        whole = rows["whole"].to_numpy()
-        of = linked([shingles(x, width) for x in text_bytes(rows["text"])], similarity)
-        return pa.table({"whole": pa.array(whole), "component": pa.array(whole[of])})
-
-    members = least.join(groups, least.whole == groups.node).select("id", "whole", "root")
-    texts = picked.join(members, "id").select("root", "whole", "text")
-    found_at = scratch(spark, "near-copies")
-    found = written(texts.groupBy("root").applyInArrow(compare, "whole long, component long"), found_at)
-    dropped(spark, edges_at)
-    return signatures.select("id", "whole").join(found, "whole", "left").select(F.col("id").alias(id_col), F.coalesce("component", "whole").alias("component"))
+    links = keyed.join(buckets, ["band", "key"]).where("whole <> first").select(F.col("whole").alias("a"), F.col("first").alias("b"))
+    if also is not None:
+        of = signatures.select("id", "whole")
+        a, b = of.toDF(also.columns[0], "a"), of.toDF(also.columns[1], "b")
+        links = links.union(also.toDF(*also.columns).join(a, also.columns[0]).join(b, also.columns[1]).where("a <> b").select("a", "b"))
+    groups = components(written(links.distinct(), scratch(spark, "minhash-links")))
+    members = written(least.join(groups, least.whole == groups.node).select("id", "whole", "root"), scratch(spark, "near-members"))
+    found = _settled(picked, members, width, similarity, cell)
+    out = signatures.select("id", "whole").join(found, "whole", "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("component", "whole").alias("component"))

@@ -28,6 +28,8 @@ from lodestone.llm.encoding import CACHE_PARTS, encoder
 
 OPEN_BINS = 1024
 PIECES_PER_PACKER = 100_000
+#: Documents whose ids go on together.
+IDS_BATCH = 500
 
 
 class BestFit:
@@ -68,32 +70,53 @@ class BestFit:
         return number, self.size - free
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row_key, piece, start, length, ids_crc32): the pieces of every whole text with its end id."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id, piece, start, length, ids_crc32[, ids]): the pieces of every whole text with its end id."""
     picked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         enc.most_parts = CACHE_PARTS
-        for batch in batches:
-            which, cols = [], [[], [], [], []]
-            for row, text in enumerate(batch["text"].to_pylist()):
-                ids = np.append(enc.encode([text])[0].astype("<u4"), np.array([end_id], dtype="<u4"))
-                first = len(ids) % size or size
-                for piece, start in enumerate([0, *range(first, len(ids), size)]):
-                    length = first if piece == 0 else size
-                    which.append(row)
-                    for col, value in zip(cols, (piece, start, length, zlib.crc32(ids[start : start + length])), strict=True):
-                        col.append(value)
-            yield pa.record_batch({"id": batch["id"].take(pa.array(which, pa.int64())), "piece": pa.array(cols[0], pa.int32()), "start": pa.array(cols[1], pa.int64()), "length": pa.array(cols[2], pa.int64()), "ids_crc32": pa.array(cols[3], pa.int64())})
+        for whole in batches:
+            # With ids a batch is heavy, so fewer rows go on at a time.
+            step = IDS_BATCH if with_ids else max(1, len(whole))
+            for batch in [whole.slice(at, step) for at in range(0, len(whole), step)]:
+                which, cols, held = [], [[], [], [], []], []
+                for row, text in enumerate(batch["text"].to_pylist()):
+                    ids = np.append(enc.encode([text])[0].astype("<u4"), np.array([end_id], dtype="<u4"))
+                    first = len(ids) % size or size
+                    for piece, start in enumerate([0, *range(first, len(ids), size)]):
+                        length = first if piece == 0 else size
+                        part = ids[start : start + length]
+                        which.append(row)
+                        for col, value in zip(cols, (piece, start, length, zlib.crc32(part)), strict=True):
+                            col.append(value)
+                        if with_ids:
+                            held.append(part)
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                out = {"id": batch["id"].take(pa.array(which, pa.int64())), **{n: pa.array(c, k) for n, c, k in zip(("piece", "start", "length", "ids_crc32"), cols, kinds, strict=True)}}
+                if with_ids:
+                    ends = np.cumsum([0, *cols[2]]).astype(np.int32)
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held or [np.zeros(0, "<u4")]).astype(np.int32)))
+                yield pa.record_batch(out)
         enc.forget()
 
-    return picked.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return picked.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", open_bins: int = OPEN_BINS, pieces_per_packer: int = PIECES_PER_PACKER) -> DataFrame:
-    """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id`` and ``offset``.
+def pack(
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int = 0,
+    size: int = 2048,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    open_bins: int = OPEN_BINS,
+    pieces_per_packer: int = PIECES_PER_PACKER,
+    with_ids: bool = False,
+) -> DataFrame:
+    """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id`` and ``offset``; ``with_ids`` adds ``ids`` (array<int>).
 
     A null or empty text is its end id alone, one piece of one token. Repeated
     rows are packed each on its own. A null id is kept. Very long texts give as
@@ -102,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, id_
     """
     spark = docs.sparkSession
     # The pieces are written: numbers given to sequences must not change if a task is run again.
-    cut = written(pieces(docs, tokenizer, end_id, size, id_col, text_col), scratch(spark, "pieces"))
+    cut = written(pieces(docs, tokenizer, end_id, size, id_col, text_col, with_ids), scratch(spark, "pieces"))
     kind = cut.schema["id"].dataType.simpleString()
     packers = max(1, math.ceil(cut.where(F.col("length") < size).count() / pieces_per_packer))
     short = cut.where(F.col("length") < size).repartition(packers, F.xxhash64("id", "start", "length", "ids_crc32"))
@@ -118,7 +141,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, id_
             bins = pa.array([packer + packers * x for x, _ in placed], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, bins, pa.array([x for _, x in placed], pa.int64())], [*batch.schema.names, "sequence_id", "offset"])
 
-    packed = short.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    columns = f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    packed = short.mapInArrow(run, columns + ", sequence_id long, offset long")
     # Full pieces are sequences of their own, numbered below zero.
     full = cut.where(F.col("length") >= size).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    return packed.union(full).withColumnRenamed("id", id_col)
+    return packed.unionByName(full).withColumnRenamed("id", id_col)

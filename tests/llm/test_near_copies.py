@@ -1,4 +1,5 @@
 import random
+import tempfile
 
 import corpus_pipeline as cp
 import numpy as np
@@ -51,6 +52,25 @@ def test_links_are_those_of_all_pairs(spark):
     assert near_copies(spark.createDataFrame([], "id long, text string"), id_col="id").collect() == []
 
 
+def test_groups_of_many_cells(spark):
+    """A chain whose ends are unlike, one large cluster and pairs: the same components whatever the size of a cell."""
+    rng = random.Random(8)
+    chain = [f"c{i}" for i in range(700)]
+    texts = [" ".join(chain[i * 9 : i * 9 + 260]) for i in range(30)]
+    base = [f"b{i}" for i in range(300)]
+    for _ in range(40):
+        other = list(base)
+        other[rng.randrange(300)] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(other))
+    texts += near(rng, 10, 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(5)
+    at = tempfile.mkdtemp() + "/docs"
+    docs.write.parquet(at)
+    for cell in (3, 7, 1000):
+        got = near_copies(spark.read.parquet(at), id_col="id", cell=cell).collect()
+        assert groups([r[1] for r in sorted(got)]) == brute(texts)
+
+
 def test_bands_meet_at_the_threshold():
     """Of pairs of similarity 0.8 to 0.82, which are the hardest, at least 0.98 share a band."""
     rng = np.random.default_rng(1)

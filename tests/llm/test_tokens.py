@@ -108,6 +108,8 @@ def test_packing_odd_rows(spark):
     for open_bins, per in ((1, 3), (4, 1000)):
         checked(ODD, pack(given(spark, ODD), default_tokenizer(), 0, 64, open_bins=open_bins, pieces_per_packer=per).collect(), 64, 0)
     assert pack(given(spark, []), default_tokenizer()).collect() == []
+    whole = pack(given(spark, ODD), default_tokenizer(), 0, 64, with_ids=True).collect()
+    assert all(crc(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == r["length"] for r in whole) and len(whole) == sum(-(-(len(ids(t)) + 1) // 64) for _, t in ODD)
 
 
 def test_best_fit_takes_the_fullest_bin_and_closes_the_fullest():
