@@ -2,7 +2,13 @@
 
 Each stage reads all that its predecessor kept, its decisions take effect, and
 all but the last return the columns of ``documents``. ``run`` writes each
-stage's rows below the shared folder and reads them again for the next.
+stage's rows below the shared folder, reads them again for the next, and
+removes what a stage needed once its rows stand.
+
+In every stage a null or empty text is a text without words, texts count
+whole, null ids and rows that share an id are rows like any other, columns
+beyond those of ``documents`` are not read, and an empty table gives an empty
+result. What a stage decides about such rows stands at the stage.
 """
 
 from __future__ import annotations
@@ -10,19 +16,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch, written
+from lodestone.llm.common import scope, scratch, written
 from lodestone.llm.encoding import default_tokenizer
 from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.near_copies import near_copies
 from lodestone.llm.packing import pack
 from lodestone.llm.quality_crf import fit_quality, score_quality
+from lodestone.llm.simhash import near_duplicates
 from lodestone.llm.soft_mixing import label_domain, mix
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents below this quality are rejected.
 MIN_QUALITY = 0.3
+#: Near copies: words of a shingle, and the least Jaccard similarity.
+WIDTH, SIMILARITY = 5, 0.8
 #: Wanted shares of expected tokens: good documents keep the tokens they have, and the others shrink to these shares.
 MIX_WEIGHTS = {"good": 0.97, "low": 0.01, "toxic": 0.02}
+#: A rate this close to a whole number of copies is that number, so that good documents stay once.
+WHOLE_COPIES = 0.02
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,15 +41,23 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line CRF rejects go."""
+    """Documents that the line CRF rejects go.
+
+    A text without words is scored as one empty line. Rows of equal text are
+    kept or go together, whatever their ids. Without labels every score is 0.5
+    and every document stays.
+    """
     model = fit_quality(docs, _labels(spark, sf_dir))
-    rest = tuple(x for x in COLUMNS if x not in ("doc_id", "text"))
-    out = score_quality(docs, model, keep=("text", *rest))
+    out = score_quality(docs, model, keep=COLUMNS[1:])
     return out.where(F.col("score") >= MIN_QUALITY).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in at least ten documents go from every document; n_chars follows the text."""
+    """Lines found in at least ten documents go from every document; n_chars follows the text.
+
+    Every row counts as a document. No row goes, even if none of its lines is
+    left; a null text becomes ''.
+    """
     out = dedup_lines(docs, min_docs=10, keep=("lang", "source"))
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
@@ -46,31 +65,39 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles) the row of the smallest id stays, a null id last.
 
+    The SimHash operator gives candidates: rows whose fingerprints are linked.
+    Its bits do not tell pairs of similarity 0.8 from others (the README has
+    the figures), so ``near_copies`` adds the candidates of MinHash, and every
+    link has to hold by exact Jaccard similarity of 0.8 or more.
+
     Rows are numbered and go by their number: of rows with the same id and
     different texts each is kept or goes with its own group. Documents without
-    words are no copies of each other's content: each of them stays. Links are
-    those of Jaccard similarity 0.8 or more (``near_copies``): SimHash bits do
-    not tell such pairs from others.
+    words are no copies of each other's content: each of them stays.
     """
-    at = scratch(spark, "numbered")
-    numbered = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), at)
+    numbered = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), scratch(spark, "numbered"))
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    groups = near_copies(numbered.where(worded), width=5, similarity=0.8, id_col="row")
+    close = near_duplicates(numbered.where(worded), WIDTH, id_col="row").where("row <> component_id").select("row", "component_id")
+    groups = near_copies(numbered.where(worded), WIDTH, SIMILARITY, id_col="row", also=close)
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     first = groups.join(numbered.select("row", "doc_id"), "row").groupBy("component").agg(F.min(order).alias("least")).select("least.row")
     return numbered.where(worded).join(first, "row", "left_semi").unionByName(numbered.where(~worded)).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as its rate says: good ones stay, toxic and low ones thin out."""
+    """Each document comes as often as its rate says: good ones stay, toxic and low ones thin out.
+
+    Rows of equal id and text are drawn together. Without labels all rates are
+    equal and nothing is thinned by domain.
+    """
     labelled = _labels(spark, sf_dir).select("doc_id", label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
-    out = mix(docs, labelled, MIX_WEIGHTS, keep_total_of="good", keep=COLUMNS[1:])
-    return out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
+    out = mix(docs, labelled, MIX_WEIGHTS, keep_total_of="good", keep=COLUMNS[1:], slack=WHOLE_COPIES)
+    times = F.sequence(F.lit(1).cast("long"), F.col("copies"))
+    return out.where("copies > 0").withColumn("copy", F.explode(times)).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences of 2048 tokens."""
-    return pack(docs, default_tokenizer(), end_id=0, size=2048)
+    """Pieces of all documents with their token ids, packed into sequences of 2048 tokens; a text without words is its end id."""
+    return pack(docs, default_tokenizer(), end_id=0, size=2048, with_ids=True)
 
 
 STAGES = [
@@ -87,6 +114,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), scratch(spark, "stage"))
+        with scope(spark) as made:
+            at = scratch(spark, "stage")
+            docs = written(stage(spark, docs, sf_dir), at)
+            made.remove(at)
+            made.extend(before)
+            before = [at]
     return STAGES[-1][1](spark, docs, sf_dir)
