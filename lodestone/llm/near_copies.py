@@ -35,7 +35,7 @@ from lodestone.operators.ordering import numbered
 
 BANDS, ROWS, SEED = 32, 8, 42
 #: Sets that one cell of a group holds.
-CELL = 2000
+CELL = 500
 _RANDOM = np.random.default_rng(SEED)
 _TIMES = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _PLUS = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
