@@ -225,7 +225,8 @@ def score_texts(
 
     # A word has at most a row for each piece of a chunk, however frequent it is.
     local = kept(chunks.map(count, "chunk int, word long, n long"), "word-counts")
-    totals = kept(local.groupBy("word").agg(F.sum("n").alias("total")), "word-totals")
+    by_word = local.repartition("word")
+    totals = kept(by_word.groupBy("word").agg(F.sum("n").alias("total")), "word-totals")
     known = totals.where("total > 0")
     ends = chunks.table.select((F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % folds == fold).alias("out")).where("not out").count()
     words = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
@@ -233,7 +234,8 @@ def score_texts(
     top = known.orderBy(F.desc("total"), "word").limit(frequent).select("word").toArrow()["word"].to_numpy()
     symbol_of = np.sort(top)
     # A chunk's distinct words in order of their hash: a token is its place among them.
-    mine = kept(local.select("chunk", "word").distinct().join(totals, "word"), "chunk-words")
+    mine = kept(by_word.groupBy("word", "chunk").agg(F.lit(1).alias("one")).drop("one").join(totals, "word"), "chunk-words")
+    dropped(spark, paths.pop(0))
     load = chunks.side(mine)
 
     def listed(chunk: int) -> tuple[np.ndarray, np.ndarray]:
@@ -313,21 +315,25 @@ def score_texts(
         for batch in batches:
             row, _ = joined(batch)
             at = np.flatnonzero(rest[row])
-            cells = np.concatenate((row[at] * (2 * width) + context[row[at - 1]], row[at] * (2 * width) + width + context[row[at + 1]]))
-            cells, n = _sums(cells)
-            yield pa.record_batch({"word": pa.array(word[cells // (2 * width)]), "key": pa.array((cells % (2 * width)).astype(np.int32)), "n": pa.array(n)})
+            cells, n = _sums((row[at] * width + context[row[at - 1]]) * width + context[row[at + 1]])
+            yield pa.record_batch({"word": pa.array(word[cells // width**2]), "key": pa.array((cells % width**2).astype(np.int32)), "n": pa.array(n)})
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in [batch.slice(at, 4096) for at in range(0, len(batch), 4096)]:
-                ends_ = np.cumsum(some["contexts"].value_lengths().to_numpy())
+                sizes_ = some["contexts"].value_lengths().to_numpy()
                 flat = some["contexts"].flatten()
-                key, n = flat.field("key").to_numpy(), flat.field("n").to_numpy()
-                got = placed(list(zip(np.split(key, ends_[:-1]), np.split(n, ends_[:-1]), strict=True)), by_class)
+                key, n = flat.field("key").to_numpy().astype(np.int64), flat.field("n").to_numpy()
+                # A pair of classes around a word counts once before it and once after it.
+                of_word = np.repeat(np.arange(len(some)), sizes_) * (2 * width)
+                cells, n = _sums(np.concatenate((of_word + key // width, of_word + width + key % width)), np.concatenate((n, n)))
+                begin = np.searchsorted(cells, np.arange(1, len(some)) * (2 * width))
+                cells = cells % (2 * width)
+                got = placed(list(zip(np.split(cells, begin), np.split(n, begin), strict=True)), by_class)
                 yield pa.record_batch({"word": some["word"], "class": pa.array(got.astype(np.int32))})
 
-    met = chunks.map(contexts, "word long, key int, n long", train).groupBy("word", "key").agg(F.sum("n").alias("n"))
-    # At most 2 * width contexts a word.
+    # Rows are summed in their batch, then dealt by word once: at most width squared pairs of classes around a word.
+    met = chunks.map(contexts, "word long, key int, n long", train).repartition("word").groupBy("word", "key").agg(F.sum("n").alias("n"))
     per_word = met.groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("contexts"))
     rest = per_word.mapInArrow(choose, "word long, class int")
     first = pa.table({"word": pa.array(symbol_of), "class": pa.array(of[WORDS : WORDS + len(symbol_of)].astype(np.int32))})
