@@ -70,7 +70,8 @@ def q05_status_counts(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
 def q06_page_of_rows(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(50).limit(25)
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return ordering.page(rows, 25, 50, F.desc("o_totalprice"), F.col("o_orderkey"))[0]
 
 
 @query("""SELECT event_type, round(avg(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS mean_k, count(*) AS n
@@ -133,12 +134,12 @@ def q14_lexicon_score(spark, d):
 
 
 @query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS normal,
-substr(trim(regexp_replace(lower(substr(text, 1, 60)), '[^\p{L}\p{N}]', '_', 'g'), '_'), 1, 80) AS slug,
+substr(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]', '_', 'g'), '_'), 1, 80) AS slug,
 CASE WHEN length(c) <= 220 THEN c ELSE rtrim(substr(c, 1, 219)) || '…' END AS short
 FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents)""")
 def q15_text_normalise(spark, d):
     c = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.md5(text.normalised(c)).alias("normal"), text.slugify(F.substring(c, 1, 60)).alias("slug"), text.compact(c).alias("short"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.normalised(c)).alias("normal"), text.slugify(c).alias("slug"), text.compact(c).alias("short"))
 
 
 @query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '(?is)<(svg|noscript)\b[^>]*>.*?</(svg|noscript)>', ' ', 'g') AS h FROM pages),
@@ -161,10 +162,18 @@ def q17_exact_dup(spark, d):
     return dedup.exact_groups(table(spark, d, "documents"), "doc_id", F.col("text"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT w, min(doc_id) AS lo, max(doc_id) AS hi, (list_sort(list(doc_id)))[2] AS second, len(w) AS n, md5(array_to_string(w[1:len(w) // 2], ' ')) AS a, md5(array_to_string(w[len(w) // 2 + 1:], ' ')) AS b,
+md5(array_to_string(w[1:(len(w) - 1) // 2], ' ')) AS c, md5(array_to_string(w[len(w) - (len(w) - 1 - (len(w) - 1) // 2) + 1:], ' ')) AS d FROM t WHERE len(w) >= 3 GROUP BY w),
+p AS (SELECT x.lo AS i, y.lo AS j, x.w AS u, y.w AS v FROM l x JOIN l y ON x.n = y.n AND x.a = y.a AND x.lo <> y.lo UNION SELECT x.lo, y.lo, x.w, y.w FROM l x JOIN l y ON x.n = y.n AND x.b = y.b AND x.lo <> y.lo
+UNION SELECT x.lo, y.lo, x.w, y.w FROM l x JOIN l y ON x.n + 1 = y.n AND x.a = y.c UNION SELECT x.lo, y.lo, x.w, y.w FROM l x JOIN l y ON x.n + 1 = y.n AND x.b = y.d),
+s AS (SELECT i, j, len(u) AS m, len(v) AS n, coalesce(list_position(list_transform(range(1, len(u) + 1), lambda k: u[k] = v[k]), false) - 1, len(u)) AS pre,
+coalesce(list_position(list_transform(range(0, len(u)), lambda k: u[len(u) - k] = v[len(v) - k]), false) - 1, len(u)) AS suf FROM p),
+e AS (SELECT i, j FROM s WHERE pre + suf >= CASE WHEN m = n THEN m - 1 ELSE m END), near AS (SELECT i, min(j) AS j FROM (SELECT i, j FROM e UNION SELECT j, i FROM e) GROUP BY i),
+r AS (SELECT doc_id, least(CASE WHEN doc_id = lo THEN second ELSE lo END, near.j) AS match FROM t JOIN l USING (w) LEFT JOIN near ON near.i = l.lo)
+SELECT doc_id, match FROM r WHERE match IS NOT NULL""")
 def q18_fuzzy_dup(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.array_join(F.slice(text.tokens(F.col("text")), 1, 8), " ").alias("head"))
-    return dedup.within_one_word(docs, "doc_id", F.col("head"))
+    return dedup.within_one_word(table(spark, d, "documents"), "doc_id", F.col("text"))
 
 
 @query("""SELECT key, ends, lines FROM (
@@ -342,9 +351,10 @@ def q42_top_per_group(spark, d):
     return ordering.top_per_group(o, ["o_orderpriority"], 5, F.desc("o_totalprice"), F.col("o_orderkey")).select("o_orderpriority", "o_orderkey")
 
 
-@query("""SELECT n_nationkey, CAST(row_number() OVER (ORDER BY n_name, n_nationkey) AS BIGINT) AS n FROM nation""")
+@query("""SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) AS BIGINT) AS n FROM lineitem""")
 def q43_numbered(spark, d):
-    return ordering.numbered(table(spark, d, "nation").select("n_nationkey", "n_name"), "n", F.col("n_name"), F.col("n_nationkey")).select("n_nationkey", "n")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return ordering.numbered(rows, "n", F.col("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")).select("l_orderkey", "l_linenumber", "n")
 
 
 @query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
@@ -425,7 +435,11 @@ def q55_crosswalk(spark, d):
     return topics.crosswalk_index(topics.crosswalk(h, h), "outcome_term_id", "outcome_label").select("outcome_term_id", "outcome_label", "paper_count", "topic_count")
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id::VARCHAR AS paper_id, conv_id || '-' || turn AS belief_id, CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END AS s, CASE WHEN turn % 5 = 1 THEN 1 ELSE 0 END AS a FROM conversations),
+e AS (SELECT conv_id || '-' || (turn - 1) AS target, CASE WHEN role = 'user' THEN 'attack' ELSE 'support' END AS relation FROM conversations WHERE turn > 0),
+x AS (SELECT paper_id, count_if(relation = 'attack') AS direct_attack_edges, count_if(relation = 'support') AS direct_support_edges FROM e JOIN c ON target = belief_id GROUP BY 1)
+SELECT paper_id, CAST(sum(s) AS BIGINT) AS incoming_support_total, CAST(sum(a) AS BIGINT) AS incoming_attack_total, CAST(count_if(a > 0) AS BIGINT) AS contested_claim_count, 0 AS defeated_claim_count,
+CAST(coalesce(max(direct_attack_edges), 0) AS BIGINT) AS direct_attack_edges, CAST(coalesce(max(direct_support_edges), 0) AS BIGINT) AS direct_support_edges FROM c LEFT JOIN x USING (paper_id) GROUP BY 1""")
 def q56_argument_totals(spark, d):
     """Conversations as papers, turns as claims, and each answer as an edge to the turn before."""
     c = table(spark, d, "conversations")
@@ -449,13 +463,15 @@ def q58_title_matches(spark, d):
     return b.join(other, "item_id").select("item_id", titles_match(F.col("t"), F.col("u")).alias("match"), citations.publishable_title(F.col("t")).alias("title"))
 
 
-@query("""SELECT item_id, regexp_extract(text, '^(\\S+)', 1) AS first_word, length(text) > 50 AND ends_with(rtrim(text), '?') AS question, len(string_split(text, ' ')) AS n FROM benchmark""")
+@query("""SELECT item_id % 5 AS bucket, count_if(length(t) > 50 AND ends_with(rtrim(t), '?')) AS n_questions, count_if(regexp_matches(t, '\\b(AND|OR)\\b') AND contains(t, '"')) AS n_boolean
+FROM (SELECT item_id, text || CASE WHEN item_id % 3 = 0 THEN ' ?' WHEN item_id % 3 = 1 THEN ' AND "x"' ELSE '' END AS t FROM benchmark) GROUP BY 1""")
 def q59_well_formed(spark, d):
-    t = F.col("text")
-    return table(spark, d, "benchmark").select("item_id", F.regexp_extract(t, r"^(\S+)", 1).alias("first_word"), ((F.length(t) > 50) & F.rtrim(t).endswith("?")).alias("question"), F.size(F.split(t, " ")).cast("long").alias("n"))
+    tail = F.when(F.col("item_id") % 3 == 0, " ?").when(F.col("item_id") % 3 == 1, ' AND "x"').otherwise("")
+    rows = table(spark, d, "benchmark").select((F.col("item_id") % 5).alias("bucket"), F.concat("text", tail).alias("t"))
+    return rows.groupBy("bucket").agg(*(c.alias(n) for n, c in agg.well_formed(F.col("t")).items()))
 
 
 @query("""WITH e AS (SELECT event_type, list_sort(list(DISTINCT user_id % 7)) AS seen FROM events GROUP BY 1) SELECT event_type, CAST(len(list_intersect(seen, [0, 2, 4, 11])) AS INT) AS covered FROM e""")
 def q60_vocabulary(spark, d):
-    e = table(spark, d, "events").groupBy("event_type").agg(F.collect_set((F.col("user_id") % 7).cast("string")).alias("seen"))
-    return e.select("event_type", F.size(F.array_intersect("seen", F.array(*map(F.lit, ["0", "2", "4", "11"])))).alias("covered"))
+    seen = (F.col("user_id") % 7).cast("string")
+    return table(spark, d, "events").groupBy("event_type").agg(agg.vocabulary_covered(seen, ["0", "2", "4", "11"]).alias("covered"))

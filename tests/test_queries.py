@@ -7,6 +7,7 @@ import pytest
 from conftest import SF
 
 import __spark_entry__ as entry
+import lodestone.queries_operators  # noqa: F401 - registers its queries
 from lodestone.queries import ORACLES, QUERIES
 
 
