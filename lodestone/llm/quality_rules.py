@@ -33,9 +33,9 @@ BOILERPLATE = {
 }
 
 
-def boilerplate_pattern(phrases: dict[str, tuple[str, ...]], flags: str = "iu") -> str:
-    """One pattern of all languages' phrases: a line is judged by what it says, not by the language it is marked with."""
-    return rf"(?{flags})\b(?:{'|'.join(x for said in phrases.values() for x in said)})"
+def boilerplate_pattern(phrases: dict[str, tuple[str, ...]]) -> str:
+    """One pattern over lower-cased lines of all languages' phrases: a line is judged by what it says, not by the language it is marked with."""
+    return rf"\b(?:{'|'.join(x for said in phrases.values() for x in said)})"
 
 
 WINDOW = 8
@@ -58,12 +58,15 @@ def line_fails(
     symbols = F.length(F.regexp_replace(line, NO_SYMBOL, ""))
     upper = F.length(F.regexp_replace(line, NOT_UPPER, ""))
     words = F.size(F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), SPACES + "+"))
-    said = F.length(F.regexp_replace(F.regexp_replace(line, boilerplate_pattern(phrases), ""), SPACES + "+", ""))
+    low, pattern = F.lower(line), boilerplate_pattern(phrases)
+    # Few lines hold a phrase at all; only these are measured.
+    rest = F.length(F.regexp_replace(F.regexp_replace(low, pattern, ""), SPACES + "+", ""))
+    boilerplate = F.when(low.rlike(pattern), chars - rest >= boilerplate_share * chars).otherwise(False)
     broken = (
         (symbols > symbol_share * chars)
         | ((upper > upper_share * chars) & (chars >= 8))
         | line.rlike(NAVIGATION)
-        | (chars - said >= boilerplate_share * chars)
+        | boilerplate
         | (~line.rlike(SENTENCE_END) & (words < short_words))
     )
     return (chars > 0) & broken

@@ -142,7 +142,7 @@ WITH d AS (
     len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM lines
 ), judged AS (
   SELECT rn, l, chars, chars > 0 AND (symbols > 0.05 * chars OR (upper > 0.5 * chars AND chars >= 8) OR regexp_matches(l, '(^|\s)[|»›](\s|$)')
-    OR chars - length(regexp_replace(regexp_replace(l, '@BOILERPLATE', '', 'g'), '[\x20\x09-\x0D]+', '', 'g')) >= 0.5 * chars
+    OR chars - length(regexp_replace(regexp_replace(lower(l), '@BOILERPLATE', '', 'g'), '[\x20\x09-\x0D]+', '', 'g')) >= 0.5 * chars
     OR (NOT regexp_matches(l, '[.!?…:;"''”’»)\]。！？]\s*$') AND words < 5)) AS fails FROM measured
 ), lost AS (
   SELECT rn, coalesce(sum(chars) FILTER (WHERE fails), 0) AS gone, count(*) FILTER (WHERE chars > 0) - count(DISTINCT l) FILTER (WHERE chars > 0) AS dup FROM judged GROUP BY rn
@@ -155,7 +155,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND gone <= 0.3 * word_chars AS kept FROM counted
 """
 
-_OP3_SQL = _OP3_SQL.replace("@BOILERPLATE", boilerplate_pattern(BOILERPLATE, "i").replace("'", "''"))
+_OP3_SQL = _OP3_SQL.replace("@BOILERPLATE", boilerplate_pattern(BOILERPLATE).replace("'", "''"))
 
 #: DuckDB: every window of every document, by digest.
 _OP5_SQL = r"""
