@@ -92,6 +92,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.hard_negatives import mine_negatives
+
+    label = F.col("label").cast("long")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return mine_negatives(vectors, F.col("vec_id") % 50 == 0, noisy, positives=5, negatives=3, low=50, high=95, whole=100, scale=256)
+
+
 #: DuckDB: line dedup with the same keys and counts.
 _OP1_SQL = r"""
 WITH lines AS (
@@ -175,6 +184,31 @@ WITH w AS (
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (rn)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_quality_rules, op4_exact_topk, op5_substring_dedup, op6_best_fit_packing, op7_class_lm, op8_quality_crf, op9_soft_mixing, op10_simhash)}
+#: DuckDB: every anchor against every row, in integers.
+_OP11_SQL = """
+WITH good AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), parts AS (
+  SELECT vec_id, label, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM good
+), scores AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, any_value(a.label = r.label) AS same, sum(a.x * r.x) AS score
+  FROM parts a JOIN parts r ON a.d = r.d WHERE a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id GROUP BY 1, 2
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), ranked AS (
+  SELECT anchor_id, positive_id, positive_score, n.id AS negative_id, n.score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.id) AS rank
+  FROM positives p JOIN scores n USING (anchor_id)
+  WHERE NOT n.same AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, CAST(positive_score AS BIGINT) AS positive_score, CAST(negative_score AS BIGINT) AS negative_score
+FROM ranked WHERE rank <= 3
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_quality_rules, op4_exact_topk, op5_substring_dedup, op6_best_fit_packing, op7_class_lm, op8_quality_crf, op9_soft_mixing, op10_simhash, op11_hard_negatives)}
 
-ORACLES: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op3_quality_rules": _OP3_SQL, "op4_exact_topk": _OP4_SQL, "op5_substring_dedup": _OP5_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op3_quality_rules": _OP3_SQL, "op4_exact_topk": _OP4_SQL, "op5_substring_dedup": _OP5_SQL, "op11_hard_negatives": _OP11_SQL}
