@@ -101,6 +101,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_negatives(vectors, F.col("vec_id") % 50 == 0, noisy, positives=5, negatives=3, low=50, high=95, whole=100, scale=256)
 
 
+def op12_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.yinyang import cluster
+
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=40, rounds=5, seed=2, dims=64, scale=256)
+
+
 #: DuckDB: line dedup with the same keys and counts.
 _OP1_SQL = r"""
 WITH lines AS (
@@ -209,6 +215,37 @@ SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, CAST(posi
 FROM ranked WHERE rank <= 3
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_quality_rules, op4_exact_topk, op5_substring_dedup, op6_best_fit_packing, op7_class_lm, op8_quality_crf, op9_soft_mixing, op10_simhash, op11_hard_negatives)}
 
-ORACLES: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op3_quality_rules": _OP3_SQL, "op4_exact_topk": _OP4_SQL, "op5_substring_dedup": _OP5_SQL, "op11_hard_negatives": _OP11_SQL}
+
+def _lloyd_sql(k: int, rounds: int, seed: int, dims: int) -> str:
+    """Plain rounds: every vector against every centroid, in integers (doubles below 2^53)."""
+    floor = "CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)"
+    steps = [f"""good AS MATERIALIZED (
+  SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: {floor}) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims} AND len(embedding) = {dims}
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS j, v AS c FROM (SELECT v, sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM good ORDER BY h LIMIT {k})
+)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT rn, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(j, d * {k} + j) AS j, CAST(min(d) AS BIGINT) AS d
+  FROM (SELECT rn, vec_id, v, j, list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS d FROM good, c{r}) GROUP BY rn
+)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+  SELECT j, p, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (SELECT j, generate_subscripts(v, 1) AS p, unnest(v) AS x FROM a{r}) GROUP BY j, p
+), n{r} AS (
+  SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY p) AS c FROM m{r} GROUP BY j
+), c{r + 1} AS MATERIALIZED (
+  SELECT o.j, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN n{r} n ON n.j = o.j
+)""")
+    return "WITH " + ", ".join(steps) + f"""
+SELECT vec_id, CAST(a.j AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.j = c.j
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_quality_rules, op4_exact_topk, op5_substring_dedup, op6_best_fit_packing, op7_class_lm, op8_quality_crf, op9_soft_mixing, op10_simhash, op11_hard_negatives, op12_yinyang)}
+
+ORACLES: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op3_quality_rules": _OP3_SQL, "op4_exact_topk": _OP4_SQL, "op5_substring_dedup": _OP5_SQL, "op11_hard_negatives": _OP11_SQL, "op12_yinyang": _lloyd_sql(40, 5, 2, 64)}
