@@ -107,6 +107,14 @@ def op12_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=40, rounds=5, seed=2, dims=64, scale=256)
 
 
+def op13_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.secret_grammar import find_secrets, fit_formats
+
+    docs = _documents(spark, sf_dir)
+    out = find_secrets(docs, fit_formats(docs))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 #: DuckDB: line dedup with the same keys and counts.
 _OP1_SQL = r"""
 WITH lines AS (
@@ -246,6 +254,6 @@ FROM a{rounds} a JOIN c{rounds} c ON a.j = c.j
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_quality_rules, op4_exact_topk, op5_substring_dedup, op6_best_fit_packing, op7_class_lm, op8_quality_crf, op9_soft_mixing, op10_simhash, op11_hard_negatives, op12_yinyang)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_quality_rules, op4_exact_topk, op5_substring_dedup, op6_best_fit_packing, op7_class_lm, op8_quality_crf, op9_soft_mixing, op10_simhash, op11_hard_negatives, op12_yinyang, op13_secret_grammar)}
 
 ORACLES: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op3_quality_rules": _OP3_SQL, "op4_exact_topk": _OP4_SQL, "op5_substring_dedup": _OP5_SQL, "op11_hard_negatives": _OP11_SQL, "op12_yinyang": _lloyd_sql(40, 5, 2, 64)}
