@@ -206,8 +206,9 @@ def page_number(c: Column) -> Column:
 
 
 def sequential_id(prefix: str, before: Column, number: Column, width: int = 4) -> Column:
-    """prefix and a zero-padded number that goes on from a count."""
-    return F.concat(F.lit(prefix), F.lpad((before + number).cast("string"), width, "0"))
+    """prefix and a number that goes on from a count, with zeros up to ``width`` digits; longer numbers stay whole."""
+    digits = (before + number).cast("string")
+    return F.concat(F.lit(prefix), F.repeat(F.lit("0"), F.greatest(F.lit(width) - F.length(digits), F.lit(0))), digits)
 
 
 def digest_id(c: Column, length: int = 12) -> Column:

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.matching import duplicate_kind, match_confidence, titles_match
 from lodestone.functions.text import normalised, tokens
+from lodestone.operators.lexicon import least_held, least_holder
 
 
 def exact_groups(df: DataFrame, key: str, text: Column, kept: str = "keep_id") -> DataFrame:
@@ -115,61 +116,44 @@ def _one_edit(asked: DataFrame, held: DataFrame) -> DataFrame:
     return same.select("lo", "id").union(longer.select("lo", "id")).union(shorter.select("lo", "id")).withColumnRenamed("lo", "t")
 
 
-#: Sizes of the pieces by which a title of one word is looked for in longer words.
-GRAMS = (1, 2, 4, 8)
-_EDGE = 3
+def _title_matches(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(t, match): for each title of ``asked`` (t, distinct) the least ``lo`` of the titles of ``held`` (t distinct, lo) that match it.
 
-
-def _runs(w: Column, size: int, first: Column | int, last: Column) -> Column:
-    """The runs of ``size`` words that begin at places first to last (from 1), tagged by size; none if last < first."""
-    first = F.lit(first) if isinstance(first, int) else first
-    made = F.transform(F.sequence(first, F.greatest(first, last)), lambda i: F.concat(F.lit(f"{size}|"), F.array_join(F.slice(w, i, size), " ")))
-    return F.when(last >= first, made).otherwise(F.array().cast("array<string>"))
-
-
-def _inside_keys(w: Column) -> Column:
-    """Keys of a title, each of which any title that contains it has too.
-
-    The outer words may stand at the ends of longer words; the inner ones are
-    whole. Two words meet at their inner edges, a single word by its beginning.
+    Equal, one word apart, or one inside the other. Every kind costs a title a
+    row, however many others match it.
     """
-    n = F.size(w)
-    a, b = F.get(w, 0), F.get(w, 1)
-    edge = F.concat(F.lit("b|"), F.right(a, F.least(F.length(a), F.lit(_EDGE))), F.lit(" "), F.left(b, F.least(F.length(b), F.lit(_EDGE))))
-    gram = F.lit(None).cast("string")
-    for size in GRAMS:
-        gram = F.when(F.length(a) >= size, F.concat(F.lit(f"g{size}|"), F.left(a, F.lit(size)))).otherwise(gram)
-    return F.when(n >= 5, _runs(w, 3, 2, n - 3)).when(n == 4, _runs(w, 2, 2, F.lit(2))).when(n == 3, _runs(w, 1, 2, F.lit(2))).when(n == 2, F.array(edge)).otherwise(F.array(gram))
-
-
-def _holder_keys(w: Column) -> Column:
-    """All keys that a title has for those that it may contain."""
-    n = F.size(w)
-    sizes = [(i, j) for i in range(1, _EDGE + 1) for j in range(1, _EDGE + 1)]
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.get(w, i - 1).alias("u"), F.coalesce(F.get(w, i), F.lit("")).alias("v")))
-    edges = F.flatten(F.transform(pairs, lambda p: F.array(*(F.concat(F.lit("b|"), F.right(p["u"], F.lit(i)), F.lit(" "), F.left(p["v"], F.lit(j))) for i, j in sizes))))
+    equal = asked.join(held, "t").select("t", F.col("lo").alias("id"))
+    texts = held.select(F.col("t").alias("text"), F.col("lo").alias("id"))
+    inside = least_holder(texts, asked.select(F.col("t").alias("pattern"))).select(F.col("pattern").alias("t"), "id")
+    around = least_held(asked.select(F.col("t").alias("text")), texts.withColumnRenamed("text", "pattern")).select(F.col("text").alias("t"), "id")
+    return equal.union(_one_edit(asked, held)).union(inside).union(around).groupBy("t").agg(F.min("id").alias("match"))
 
-    def grams(size: int) -> Column:
-        def of(x: Column) -> Column:
-            places = F.sequence(F.lit(1), F.greatest(F.length(x) - size + 1, F.lit(1)))
-            return F.transform(places, lambda i: F.concat(F.lit(f"g{size}|"), F.substring(x, i, F.lit(size))))
 
-        return F.flatten(F.transform(w, of))
+_FIELDS = ("pdf_hash", "doi", "title", "authors")
 
-    return F.array_distinct(F.concat(_runs(w, 3, 1, n - 2), _runs(w, 2, 1, n - 1), _runs(w, 1, 1, n), edges, *map(grams, GRAMS)))
 
+def _cascade(n: DataFrame, k: DataFrame) -> DataFrame:
+    """(id, match_id, tier): by hash, DOI and title the least match_id of ``k`` (match_id, k_...) for rows of ``n`` (id, ...)."""
+    tier = lambda d, number: d.select("id", "match_id", F.lit(number).alias("tier"))
+    least = lambda d, c: d.groupBy(c.alias("value")).agg(F.min("match_id").alias("match_id"))
+    hashes = least(k.where("k_pdf_hash is not null"), F.col("k_pdf_hash"))
+    by_hash = n.join(hashes, F.col("pdf_hash") == F.col("value"))
+    doi = F.nullif(F.lower(F.btrim("doi")), F.lit(""))
+    by_doi = n.withColumn("d", doi).join(least(k.where("k_doi is not null"), F.lower("k_doi")), F.col("d") == F.col("value"))
+    titled = n.where(F.length(F.btrim("title")) > 10).select("id", normalised(F.col("title")).alias("t")).where("t <> ''")
+    held = k.select("match_id", normalised(F.col("k_title")).alias("t")).where("t <> ''").groupBy("t").agg(F.min("match_id").alias("lo"))
+    by_title = titled.join(_title_matches(titled.select("t").distinct(), held), "t").withColumnRenamed("match", "match_id")
+    return tier(by_hash, 1).union(tier(by_doi, 2)).union(tier(by_title, 3))
 
-def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
-    """(s, l): titles s (column t) that may stand in titles l: those that have the key of s that the fewest titles have.
 
-    Every candidate is verified by the caller. A key that no title has ends the search for its title.
-    """
-    words = F.split("t", " ")
-    keys = short.select(F.col("t").alias("s"), F.explode(_inside_keys(words)).alias("k"))
-    held = long.select(F.col("t").alias("l"), F.explode(_holder_keys(words)).alias("k")).join(keys.select("k").distinct(), "k", "left_semi")
-    counts = held.groupBy("k").agg(F.count("*").alias("n"))
-    rarest = keys.join(counts, "k").groupBy("s").agg(F.min_by("k", F.struct("n", "k")).alias("k"))
-    return rarest.join(held, "k").where(F.col("l").contains(F.col("s"))).select("s", "l")
+def _described(found: DataFrame, n: DataFrame, k: DataFrame) -> DataFrame:
+    """(id, match_id, match_type, confidence): the first tier of each id, and how strong the match is."""
+    first = found.groupBy("id").agg(F.min(F.struct("tier", "match_id")).alias("x")).select("id", "x.tier", "x.match_id")
+    found = first.join(n.select("id", "title", "authors"), "id").join(k, "match_id")
+    by_words = duplicate_kind(titles_match(F.col("title"), F.col("k_title")), F.col("authors"), F.col("k_authors"))
+    kind = F.when(F.col("tier") == 1, "exact_hash").when(F.col("tier") == 2, "exact_doi").otherwise(by_words)
+    out = found.withColumn("match_type", kind)
+    return out.select("id", "match_id", "match_type", match_confidence(F.col("match_type")).alias("confidence"))
 
 
 def duplicate_cascade(new: DataFrame, known: DataFrame, key: str = "article_id") -> DataFrame:
@@ -177,33 +161,25 @@ def duplicate_cascade(new: DataFrame, known: DataFrame, key: str = "article_id")
 
     Columns of both: key (unique), pdf_hash, doi, title, authors. The title
     tier asks only rows whose trimmed title has over ten characters. Equal
-    hashes, DOIs and titles meet as one row each. A title that stands in
-    another, at any place, is found by the rarest of its inner runs of words;
-    titles one word apart by hashes without a word.
+    hashes, DOIs and titles meet as one row each; titles one word apart by
+    hashes without a word; a title inside another by automata over the titles.
     """
-    n = new.select(F.col(key).alias("id"), *(F.col(c) for c in ("pdf_hash", "doi", "title", "authors")))
-    k = known.select(F.col(key).alias("match_id"), *(F.col(c).alias(f"k_{c}") for c in ("pdf_hash", "doi", "title", "authors")))
-    tier = lambda d, number: d.select("id", "match_id", F.lit(number).alias("tier"))
-    least = lambda d, c: d.groupBy(c.alias("value")).agg(F.min("match_id").alias("match_id"))
-    hashes = least(k.where("k_pdf_hash is not null"), F.col("k_pdf_hash"))
-    by_hash = n.join(hashes, F.col("pdf_hash") == F.col("value"))
-    doi = F.nullif(F.lower(F.btrim("doi")), F.lit(""))
-    by_doi = n.withColumn("d", doi).join(least(k, F.lower("k_doi")), F.col("d") == F.col("value"))
+    n = new.select(F.col(key).alias("id"), *_FIELDS)
+    k = known.select(F.col(key).alias("match_id"), *(F.col(c).alias(f"k_{c}") for c in _FIELDS))
+    return _described(_cascade(n, k), n, k).withColumnRenamed("id", key)
 
-    titled = n.where(F.length(F.btrim("title")) > 10).select("id", normalised(F.col("title")).alias("t")).where("t <> ''")
-    asked = titled.select("t").distinct()
-    held = k.select("match_id", normalised(F.col("k_title")).alias("t")).where("t <> ''").groupBy("t").agg(F.min("match_id").alias("lo"))
-    named = held.select(F.col("t").alias("h"), "lo")
-    equal = asked.join(held, "t").select("t", F.col("lo").alias("id"))
-    inside = _contained(asked, held).join(named, F.col("l") == F.col("h")).select(F.col("s").alias("t"), F.col("lo").alias("id"))
-    around = _contained(held, asked).join(named, F.col("s") == F.col("h")).select(F.col("l").alias("t"), F.col("lo").alias("id"))
-    best = equal.union(_one_edit(asked, held)).union(inside).union(around).groupBy("t").agg(F.min("id").alias("match_id"))
-    by_title = titled.join(best, "t")
-
-    first = F.row_number().over(Window.partitionBy("id").orderBy("tier", "match_id"))
-    found = tier(by_hash, 1).union(tier(by_doi, 2)).union(tier(by_title, 3)).withColumn("n", first).where("n = 1").drop("n")
-    found = found.join(n.select("id", "title", "authors"), "id").join(k, "match_id")
-    by_words = duplicate_kind(titles_match(F.col("title"), F.col("k_title")), F.col("authors"), F.col("k_authors"))
-    kind = F.when(F.col("tier") == 1, "exact_hash").when(F.col("tier") == 2, "exact_doi").otherwise(by_words)
-    out = found.withColumn("match_type", kind)
-    return out.select(F.col("id").alias(key), "match_id", "match_type", match_confidence(F.col("match_type")).alias("confidence"))
+
+def earlier_matches(rows: DataFrame, order: str, asks: Column) -> DataFrame:
+    """(order, match, match_type, confidence): for each row that asks its earliest match among the rows before it.
+
+    ``order`` is a unique long; columns as for ``duplicate_cascade``. Tiers come
+    first, as there: a row takes the earliest earlier row of equal hash, else of
+    equal DOI, else of a matching title. No row meets another: the least place
+    of each hash, DOI, title and title without a word tells whether there is an
+    earlier one, and which is the earliest. Rows with null hash, DOI and title
+    match nothing.
+    """
+    n = rows.where(asks).select(F.col(order).alias("id"), *_FIELDS)
+    k = rows.select(F.col(order).alias("match_id"), *(F.col(c).alias(f"k_{c}") for c in _FIELDS))
+    out = _described(_cascade(n, k).where("match_id < id"), n, k)
+    return out.withColumnsRenamed({"id": order, "match_id": "match"})

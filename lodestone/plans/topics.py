@@ -9,6 +9,7 @@ from lodestone.functions import taxonomy as tx
 from lodestone.functions.collections import move_to_front
 from lodestone.functions.text import collapsed, compact, present, slugify
 from lodestone.operators.joins import best_confidence
+from lodestone.operators.lexicon import held_values
 from lodestone.operators.ordering import near_top
 
 NONE = "array<string>"
@@ -83,20 +84,16 @@ def reconciled(memberships: DataFrame, patches: DataFrame, topics: DataFrame) ->
 
 
 def lexicon_hits(texts: DataFrame, lexicon: DataFrame, id_col: str, text_col: str, weight: str = "weight") -> DataFrame:
-    """(id, node, score): a text's weight for every hint it holds, over (node, hint) rows.
+    """(id, node, score): a text's weight for every hint it holds, over (node, hint) rows of any number.
 
-    The lexicon is a catalogue of hints (it is collected and bounded at 10,000
-    rows), so each text is read once and no text meets a hint in a join.
+    Texts are lower-cased, hints taken as they are; a repeated (node, hint)
+    counts once, and an empty one is no hint.
     """
-    hints = lexicon.select("node", "hint").distinct().limit(10_001).collect()
-    if len(hints) > 10_000:
-        raise ValueError("the lexicon has over 10,000 hints")
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    if not hints:
-        return texts.select(id_col, F.lit("").alias("node"), F.lit(0.0).alias("score")).limit(0)
-    pairs = F.array(*(F.struct(F.lit(r["node"]).alias("node"), F.lit(r["hint"]).alias("hint")) for r in sorted(hints)))
-    held = texts.select(id_col, weight, low.alias("low")).select(id_col, weight, F.explode(F.filter(pairs, lambda p: F.col("low").contains(p["hint"]))).alias("x"))
-    return held.groupBy(id_col, F.col("x.node").alias("node")).agg(F.sum(weight).alias("score"))
+    hints = lexicon.where("node is not null and hint <> ''").select("node", "hint").distinct()
+    patterns = hints.groupBy(F.col("hint").alias("pattern")).agg(F.collect_list("node").alias("values"))
+    rows = texts.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"), F.col(weight).alias("weight"))
+    found = held_values(rows.select(F.struct("id", "weight").alias("of"), "text"), patterns, "of", "text").select("of", "value", "n")
+    return found.groupBy(F.col("of.id").alias(id_col), F.col("value").alias("node")).agg(F.sum(F.col("of.weight") * F.col("n")).alias("score"))
 
 
 def article_scores(articles: DataFrame, lexicon: DataFrame, id_col: str = "paper_id") -> DataFrame:
