@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.matching import duplicate_kind, match_confidence, titles_match
 from lodestone.functions.text import normalised, tokens
 from lodestone.operators.lexicon import least_held, least_holder
+from lodestone.scratch import scratch, written
 
 
 def exact_groups(df: DataFrame, key: str, text: Column, kept: str = "keep_id") -> DataFrame:
@@ -77,14 +78,19 @@ def within_one_word(df: DataFrame, key: str, text: Column) -> DataFrame:
 
     Lists of at least three words. Equal lists collapse to one first; then only
     lists that share half of their words with another go on, so a unique text
-    costs four hashes. Matches are minima of groups of equal hashes (128 bits):
+    costs six hashes. Matches are minima of groups of equal hashes (128 bits):
     no pairs are made, however many lists lie one word apart.
     """
-    rows = df.select(F.col(key).alias("id"), tokens(text).alias("w")).where(F.size("w") >= 3)
-    lists = rows.groupBy("w").agg(F.min("id").alias("lo"), F.count("*").alias("n"))
-    keyed = lists.select("lo", F.explode(_half_keys(F.col("w"))).alias("k"))
+    spark = df.sparkSession
+    lists_of = lambda d: d.select(F.col(key).alias("id"), tokens(text).alias("w")).where(F.size("w") >= 3).withColumns({"h": F.xxhash64("w"), "g": F.xxhash64("w", F.lit(1))})
+    # Word lists stay where they are read: hashes stand for them, written once, as several plans need them.
+    rows = written(lists_of(df).select("id", "h", "g", _half_keys(F.col("w")).alias("keys")), scratch(spark, "word-lists"))
+    lists = rows.groupBy("h", "g").agg(F.min("id").alias("lo"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+    keyed = lists.select("lo", "h", "g", F.explode("keys").alias("k"))
     shared = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    gaps = _gap_rows(lists.join(keyed.join(shared, "k").select("lo").distinct(), "lo", "left_semi"))
+    asked = keyed.join(shared, "k").select(F.col("lo").alias("id"), "h", "g").distinct()
+    texts = lists_of(df.join(asked.select(F.col("id").alias(key)).distinct(), key, "left_semi")).join(asked, ["id", "h", "g"], "left_semi")
+    gaps = _gap_rows(texts.dropDuplicates(["id", "h", "g"]).select(F.col("id").alias("lo"), "w"))
     gone, whole = gaps.where("pos >= 0"), gaps.where("pos < 0")
     # Of a place's group the two smallest: a list takes the smallest that it is not itself.
     least = gone.groupBy("a", "b", "pos").agg(F.min("lo").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -96,9 +102,9 @@ def within_one_word(df: DataFrame, key: str, text: Column) -> DataFrame:
     longer = gone.groupBy("a", "b").agg(F.min("lo").alias("near")).join(shorter, ["a", "b"]).select(F.col("whole").alias("lo"), "near")
     inner = gone.join(shorter, ["a", "b"]).select("lo", F.col("whole").alias("near"))
     near = first_ones.union(others).union(longer).union(inner).groupBy("lo").agg(F.min("near").alias("near"))
-    out = rows.join(lists.select("w", "lo", "n"), "w").join(near, "lo", "left")
+    out = rows.join(lists.select("h", "g", "lo", "n"), ["h", "g"]).join(near, "lo", "left")
     # Among equal lists the lowest key, or for that key itself the next row of its list.
-    again = rows.join(lists.where("n > 1").select("w", "lo"), "w").where("id <> lo").groupBy("lo").agg(F.min("id").alias("again"))
+    again = rows.join(lists.where("n > 1").select("h", "g", "lo"), ["h", "g"]).where("id <> lo").groupBy("lo").agg(F.min("id").alias("again"))
     equal = F.when(F.col("id") == F.col("lo"), F.col("again")).otherwise(F.col("lo"))
     out = out.join(again, "lo", "left").withColumn("match", F.least(equal, "near"))
     return out.where("match is not null").select(F.col("id").alias(key), F.col("match"))
