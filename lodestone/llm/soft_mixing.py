@@ -3,15 +3,19 @@
 A classifier learned from the labelled table gives every document a posterior
 over domains. Each document then gets a nonnegative rate (how often it should
 be seen) so that the expected tokens of every domain, sum of rate * tokens *
-posterior, match its target. The rates stay as close to 1 as the targets
-allow: they come from projected gradient steps on the squared gaps, scaled by
-how the totals answer to the rates (the posteriors' second moments over the
-documents that still have a rate), starting from rate 1.
-
-A step needs the totals and these moments at the current rates, one aggregate
-of a few numbers for each pair of domains. The rate of a document is a fold over the steps' few numbers, so
-nothing is kept or rewritten for each document between steps, and a lost
-executor costs its tasks of one aggregate.
+posterior, match its target. The rates come from projected gradient steps on the squared
+gaps, starting from rate 1. Each step tries the plain gradient step of length
+1/L (L: the largest eigenvalue of the posteriors' second moments), which never
+raises the squares, and steps scaled by the second moments of the documents
+that are at no bound, with ridges; the one that leaves the smallest squares is
+taken, and none if all would leave larger ones. So the squares fall until they
+are at their least over nonnegative rates.
+
+A step needs the totals and moments at the rates that it would lead to: one
+aggregate of a few numbers for each try and pair of domains. The rate of a
+document is a fold over the steps' few numbers, so nothing is kept or rewritten
+for each document between steps, and a lost executor costs its tasks of one
+aggregate.
 
 The classifier is a Bernoulli naive Bayes over a bounded vocabulary: words,
 and marks for surface traits, that speak most for each domain. It is fitted on
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,9 +36,11 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import scratch, written
 
-FIT_DOCS, WORDS_PER_DOMAIN, MAX_STEPS = 6000, 40, 60
-#: A step that moves every total by at most this share of the budget is the last.
-STILL = 1e-6
+FIT_DOCS, WORDS_PER_DOMAIN = 6000, 40
+#: The descent ends where so many steps together shorten the gaps by at most this share of the budget.
+STILL_STEPS, STILL = 12, 1e-5
+#: Ridges of the scaled steps, as shares of the moments' trace.
+RIDGES = (1e-12, 1e-6, 1e-4, 1e-3, 1e-2, 1e-1)
 #: A vocabulary token is at least this many times as frequent in its domain's documents as in the others: words of one language alone say nothing.
 ODDS = 4.0
 SPACES = r"[\x20\x09-\x0D]+"
@@ -132,58 +139,80 @@ def fit_domains(
     return DomainModel(domains, prior, absent, shifts)
 
 
-def _rate(p: str, steps: list[list[float]]) -> Column:
-    """Rate 1, moved against each step's gaps and kept nonnegative."""
+def _moved(rate: Column, p: Column, step: Column, top: float | None) -> Column:
+    """A rate moved against a step, between 0 and ``top``."""
+    inner = F.aggregate(F.zip_with(p, step, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    moved = F.greatest(F.lit(0.0), rate - inner)
+    return moved if top is None else F.least(F.lit(float(top)), moved)
+
+
+def _rate(p: str, steps: list[list[float]], top: float | None = None) -> Column:
+    """Rate 1, moved against each step in turn."""
     if not steps:
         return F.lit(1.0)
     taken = F.array(*(F.array(*map(F.lit, s)) for s in steps))
-    return F.aggregate(taken, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(F.col(p), g, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)))
+    return F.aggregate(taken, F.lit(1.0), lambda r, g: _moved(r, F.col(p), g, top))
 
 
 @dataclass
 class Fit:
-    """The steps of the descent, each domain's gap at the end (share of the budget), and whether all are within the tolerance.
-
-    ``settled`` is false where ``max_steps`` ended a descent that still moved.
-    """
+    """The steps of the descent, each domain's gap at the end (share of the budget), whether all are within the tolerance, and all gaps' length by step."""
 
     steps: list[list[float]]
     gaps: list[float]
     met: bool
-    settled: bool = True
-
+    lengths: list[float]
 
-def fit_rates(scored: DataFrame, targets: list[float], max_steps: int = MAX_STEPS, tolerance: float = 1e-4) -> Fit:
-    """Steps that bring the domains' expected tokens to ``targets`` (tokens), over (n_tokens, p).
 
-    They go on until every gap is within ``tolerance`` of the budget, until a
-    step no longer changes any total (then no nonnegative rates come closer),
-    or for ``max_steps``. The result says which, and how far the totals are.
-    """
-    k = len(targets)
-    n, p = F.col("n_tokens"), [F.get("p", i) for i in range(k)]
-    sums = [F.col("rate") * n * p[i] for i in range(k)]
-    # How the totals answer to a step, over the documents that are not at rate 0.
-    sums += [F.when(F.col("rate") > 0, n).otherwise(0) * p[i] * p[j] for i in range(k) for j in range(k)]
+def descend(evaluate: Callable[[list[list[float]], list[list[float]]], np.ndarray], targets: list[float], tolerance: float = 1e-4) -> Fit:
+    """Steps of the descent. ``evaluate(steps, tries)`` gives for each try, after the steps, the totals and the moments of documents within bounds."""
+    wanted = np.array(targets, dtype=float)
+    k, budget = len(targets), max(wanted.sum(), 1.0)
     steps: list[list[float]] = []
-    budget, wanted = max(sum(targets), 1.0), np.array(targets)
-    before, scale = None, 1.0
+    row = evaluate(steps, [[0.0] * k])[0]
+    gap, answer = row[:k] - wanted, row[k:].reshape(k, k)
+    widest = max(float(np.linalg.eigvalsh(answer)[-1]), 1e-300)
+    lengths = [float(np.linalg.norm(gap)) / budget]
     while True:
-        rated = scored.withColumn("rate", _rate("p", steps))
-        row = np.array([float(x) for x in rated.agg(*(F.coalesce(F.sum(x), F.lit(0.0)).alias(f"s{i}") for i, x in enumerate(sums))).first()])
-        gap, answer = row[:k] - wanted, row[k:].reshape(k, k)
-        gaps = (gap / budget).tolist()
         if (np.abs(gap) <= tolerance * budget).all():
-            return Fit(steps, gaps, True)
-        if before is not None and (np.abs(gap - before) <= STILL * budget).all():
-            return Fit(steps, gaps, False)
-        if len(steps) >= max_steps:
-            return Fit(steps, gaps, False, False)
-        # A step that made the squares grow was too long: the next ones are shorter.
-        scale = scale / 2 if before is not None and gap @ gap > before @ before else min(1.0, 1.5 * scale)
-        ridge = 1e-9 * (np.trace(answer) + 1e-300)
-        steps.append((scale * np.linalg.solve(answer + ridge * np.eye(k), gap)).tolist())
-        before = gap
+            return Fit(steps, (gap / budget).tolist(), True, lengths)
+        if len(lengths) > STILL_STEPS and lengths[-1 - STILL_STEPS] - lengths[-1] <= STILL:
+            return Fit(steps, (gap / budget).tolist(), False, lengths)
+        inside = max(float(np.linalg.eigvalsh(answer)[-1]), 1e-300)
+        trace = np.trace(answer) + 1e-300
+        tries = [gap / widest, gap / inside, *(np.linalg.solve(answer + ridge * trace * np.eye(k), gap) for ridge in RIDGES)]
+        tries = [t.tolist() for t in tries if np.isfinite(t).all()]
+        rows = evaluate(steps, tries)
+        left = np.linalg.norm(rows[:, :k] - wanted, axis=1) / budget
+        best = int(left.argmin())
+        if left[best] < lengths[-1]:
+            steps.append(tries[best])
+            gap, answer = rows[best, :k] - wanted, rows[best, k:].reshape(k, k)
+        lengths.append(min(float(left[best]), lengths[-1]))
+
+
+def fit_rates(scored: DataFrame, targets: list[float], tolerance: float = 1e-4, top: float | None = None) -> Fit:
+    """Steps that bring the domains' expected tokens to ``targets`` (tokens), over (n_tokens, p), with rates up to ``top``.
+
+    They go on until every gap is within ``tolerance`` of the budget, or until
+    twelve steps together no longer shorten the gaps: no nonnegative rates come
+    (noticeably) closer then. The gaps are never longer than at rate 1.
+    """
+    k = len(targets)
+    p = [F.get("p", i) for i in range(k)]
+
+    def evaluate(steps: list[list[float]], tries: list[list[float]]) -> np.ndarray:
+        rated = scored.select("n_tokens", "p", _rate("p", steps, top).alias("base"), F.posexplode(F.array(*(F.array(*map(F.lit, t)) for t in tries))).alias("at", "step"))
+        rated = rated.select("n_tokens", "p", "at", _moved(F.col("base"), F.col("p"), F.col("step"), top).alias("rate"))
+        within = F.col("rate") > 0 if top is None else (F.col("rate") > 0) & (F.col("rate") < top)
+        sums = [F.col("rate") * F.col("n_tokens") * x for x in p]
+        sums += [F.when(within, F.col("n_tokens")).otherwise(0) * x * y for x in p for y in p]
+        out = np.zeros((len(tries), len(sums)))
+        for row in rated.groupBy("at").agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in sums)).collect():
+            out[row[0]] = row[1:]
+        return out
+
+    return descend(evaluate, targets, tolerance)
 
 
 def mix(
@@ -199,7 +228,7 @@ def mix(
     words: int = WORDS_PER_DOMAIN,
     keep: tuple[str, ...] = (),
     slack: float = 0.0,
-    max_steps: int = MAX_STEPS,
+    max_rate: float | None = None,
     report: dict[str, float] | None = None,
 ) -> DataFrame:
     """Per row: id, ``n_tokens`` (words), ``p`` (posterior in the order of ``weights``), ``rate`` and ``copies``.
@@ -213,8 +242,10 @@ def mix(
     only rates near 0 and between whole numbers are drawn.
 
     Targets that no nonnegative rates meet (a domain without tokens, say) are
-    met as closely as the least squares allow; a warning names the gaps. A
-    ``report`` dictionary takes each domain's gap as a share of the budget.
+    met as closely as the least squares allow, never worse than rate 1 meets
+    them; a warning names the gaps. ``max_rate`` bounds the rates, and with them
+    the copies of a document. A ``report`` dictionary takes each domain's gap as
+    a share of the budget.
 
     A null or empty text has no tokens; its rate is its posterior's. Repeated
     rows get equal rates and copies. Null ids are scored. Where nothing is
@@ -232,15 +263,14 @@ def mix(
     share = sum(weights.values())
     if total is None:
         total = held[domains.index(keep_total_of)] * share / weights[keep_total_of] if keep_total_of else sum(held)
-    fit = fit_rates(scored, [total * w / share for w in weights.values()], max_steps)
+    fit = fit_rates(scored, [total * w / share for w in weights.values()], top=max_rate)
     gaps = dict(zip(domains, fit.gaps, strict=True))
     if report is not None:
         report.update(gaps)
     if not fit.met:
-        why = "no nonnegative rates meet the targets" if fit.settled else f"the rates did not settle in {max_steps} steps"
-        warnings.warn(f"{why}; gaps as shares of the budget: {gaps}", stacklevel=2)
+        warnings.warn(f"no nonnegative rates meet the targets; gaps as shares of the budget: {gaps}", stacklevel=2)
     whole = F.round("rate")
     near = (whole >= 1) & (F.abs(F.col("rate") - whole) <= slack)
     copies = F.when(near, whole).otherwise(F.floor(F.col("rate") + F.col("chance"))).cast("long")
-    out = scored.withColumn("rate", _rate("p", fit.steps))
+    out = scored.withColumn("rate", _rate("p", fit.steps, max_rate))
     return out.withColumn("copies", copies).select(F.col("id").alias(id_col), "n_tokens", "p", "rate", "copies", *(F.col(f"keep_{x}").alias(x) for x in keep))
