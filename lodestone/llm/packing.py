@@ -128,9 +128,12 @@ def pack(
     cut = written(pieces(docs, tokenizer, end_id, size, id_col, text_col, with_ids), scratch(spark, "pieces"))
     kind = cut.schema["id"].dataType.simpleString()
     packers = max(1, math.ceil(cut.where(F.col("length") < size).count() / pieces_per_packer))
-    short = cut.where(F.col("length") < size).repartition(packers, F.xxhash64("id", "start", "length", "ids_crc32"))
+    # A row's place in its file tells equal rows apart, so that they spread over all packers too.
+    place = F.xxhash64("id", "start", "length", "ids_crc32", "_metadata.file_name", "_metadata.row_index")
+    names = cut.columns
+    short = cut.where(F.col("length") < size).withColumn("place", place).repartition(packers, "place")
     # Equal input order whenever a task is run again; the hash keeps long and short pieces mixed.
-    short = short.sortWithinPartitions(F.xxhash64("id", "length", "ids_crc32"), "id", "piece")
+    short = short.sortWithinPartitions(F.xxhash64("place", F.lit(1)), "place").select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -2,7 +2,7 @@ import functools
 import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from helpers import ODD, SF, given, table
@@ -119,3 +119,12 @@ def test_best_fit_takes_the_fullest_bin_and_closes_the_fullest():
     assert [fit.place(x) for x in (9, 5)] == [(2, 0), (3, 0)]
     assert fit.place(8) == (4, 0)  # bin 2, the fullest, closed
     assert fit.place(1) == (4, 8) and fit.place(1) == (4, 9) and fit.place(5) == (3, 5)
+
+
+def test_equal_rows_use_all_packers(spark):
+    """Rows that are equal in every column spread over the packers, and each is packed once."""
+    docs = spark.createDataFrame([(None, "")], "doc_id long, text string").crossJoin(spark.range(6000)).select("doc_id", "text")
+    got = pack(docs, default_tokenizer(), end_id=0, size=64, pieces_per_packer=500).collect()
+    packers = Counter(r["sequence_id"] % 12 for r in got)
+    assert len(packers) == 12 and max(packers.values()) < 3 * 500
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 6000
