@@ -282,23 +282,27 @@ def top_k(
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = -1, None
         for batch in batches:
-            for number, numbers in zip(batch["block"].to_pylist(), batch["groups"].to_pylist(), strict=True):
+            for pair in sorted(batch["id"].to_pylist()):
+                number, at = others[pair // spans], GROUPS_A_TASK * (pair % spans)
                 if number != last:
                     last, held = number, Block.load(file("block", number))
-                for g in numbers:
+                for g in asking[at : at + GROUPS_A_TASK]:
                     q, ids = queries(g)
                     yield _meet(held, number, q, ids, np.load(io.BytesIO(loaded(file("bars", g))))["bars"], k)[0]
 
-    def tasks(rows: list[tuple], schema: str) -> DataFrame:
-        return spark.createDataFrame(rows, schema).repartition(max(1, min(len(rows), 20_000)))
+    def tasks(numbers: DataFrame, n: int) -> DataFrame:
+        return numbers.repartition(max(1, min(n, 20_000)))
 
     found_at = [scratch(spark, "topk") for _ in range(2)]
-    # Blocks and groups pair up by their numbers; the vectors stay in their files.
-    found = written(tasks([(g,) for g in asking], "number long").mapInArrow(open_bars, _FOUND), found_at[0])
+    # Blocks and groups pair up by their numbers, which Spark counts out; the vectors stay in their files.
+    asked = spark.createDataFrame([(g,) for g in asking], "number long")
+    found = written(tasks(asked, len(asking)).mapInArrow(open_bars, _FOUND), found_at[0])
     others = [b for b in sorted(indexed) if b != first]
-    pairs = [(b, asking[i : i + GROUPS_A_TASK]) for b in others for i in range(0, len(asking), GROUPS_A_TASK)]
-    if pairs:
-        found = found.union(written(tasks(pairs, "block long, groups array<long>").mapInArrow(meet, _FOUND), found_at[1]))
+    spans = -(-len(asking) // GROUPS_A_TASK)
+    if others and spans:
+        # Numbers of blocks and groups without rows have no file; the two lists grow with the table by block, not by pair.
+        pairs = tasks(spark.range(len(others) * spans), len(others) * spans)
+        found = found.union(written(pairs.mapInArrow(meet, _FOUND), found_at[1]))
     dropped(spark, index_at)
     if report is not None:
         row = found.agg(F.sum("postings_read"), F.sum("postings_held")).first()
