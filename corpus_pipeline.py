@@ -34,6 +34,8 @@ WIDTH, SIMILARITY = 5, 0.8
 MIX_WEIGHTS = {"good": 0.97, "low": 0.01, "toxic": 0.02}
 #: A rate this close to a whole number of copies is that number, so that good documents stay once.
 WHOLE_COPIES = 0.02
+#: No document comes more often than this, whatever the targets ask.
+MAX_RATE = 4.0
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,11 +88,11 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as often as its rate says: good ones stay, toxic and low ones thin out.
 
-    Rows of equal id and text are drawn together. Without labels all rates are
-    equal and nothing is thinned by domain.
+    No document comes more than four times. Rows of equal id and text are drawn
+    together. Without labels all rates are equal and nothing is thinned by domain.
     """
     labelled = _labels(spark, sf_dir).select("doc_id", label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
-    out = mix(docs, labelled, MIX_WEIGHTS, keep_total_of="good", keep=COLUMNS[1:], slack=WHOLE_COPIES)
+    out = mix(docs, labelled, MIX_WEIGHTS, keep_total_of="good", keep=COLUMNS[1:], slack=WHOLE_COPIES, max_rate=MAX_RATE)
     times = F.sequence(F.lit(1).cast("long"), F.col("copies"))
     return out.where("copies > 0").withColumn("copy", F.explode(times)).select(*COLUMNS)
 

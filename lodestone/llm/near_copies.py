@@ -140,15 +140,25 @@ def _settled(docs: DataFrame, members: DataFrame, width: int, similarity: float,
     if heads.count() < rest.count():
         higher = _settled(docs, heads, width, similarity, cell).toDF("component", "higher")
         found = written(found.join(higher, "component", "left").select("whole", F.coalesce("higher", "component").alias("component")), scratch(spark, "near-merged"))
-        rest = dealt.join(many, "root").join(found, "whole")
-    return _across(docs, found, rest.select("id", "whole", "root", "component"), width, similarity, cell)
+    return found
 
 
-def _across(docs: DataFrame, found: DataFrame, rest: DataFrame, width: int, similarity: float, cell: int) -> DataFrame:
-    """Links between components of one group whose sets never met: cells of a group meet in pairs, unless both are of one component."""
+def _across(docs: DataFrame, found: DataFrame, members: DataFrame, buckets: DataFrame, width: int, similarity: float, cell: int) -> DataFrame:
+    """Links that the cells of a large group left out: between components that share a bucket (whole, bucket), which alone makes a candidate.
+
+    A bucket is compared once, even where several bands have the same members;
+    one of over ``cell`` members meets cell by cell. So the work follows the
+    candidates, not the group.
+    """
     spark = docs.sparkSession
-    apart = rest.groupBy("root").agg(F.count_distinct("component").alias("k")).where("k > 1").select("root")
-    open_ = rest.join(apart, "root")
+    large = members.join(found, "whole").groupBy("root").agg(F.count("*").alias("n"), F.count_distinct("component").alias("k"))
+    rest = members.join(large.where((F.col("n") > cell) & (F.col("k") > 1)).select("root"), "root").join(found, "whole")
+    if rest.isEmpty():
+        return found
+    held = written(rest.select("id", "whole", "component").join(buckets, "whole"), scratch(spark, "near-buckets"))
+    same = held.groupBy("bucket").agg(F.count_distinct("component").alias("k"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("whole")).alias("x"), F.min("whole").alias("lo"))
+    once = same.where("k > 1").groupBy("n", "x", "lo").agg(F.min("bucket").alias("bucket")).select("bucket")
+    open_ = held.join(once, "bucket").withColumnRenamed("bucket", "root")
     if open_.isEmpty():
         return found
     cells = written(_cells(open_, "root", ["component", "whole"], cell), scratch(spark, "near-cells"))
@@ -209,9 +219,14 @@ def near_copies(
     if also is not None:
         of = signatures.select("id", "whole")
         a, b = of.toDF(also.columns[0], "a"), of.toDF(also.columns[1], "b")
-        links = links.union(also.toDF(*also.columns).join(a, also.columns[0]).join(b, also.columns[1]).where("a <> b").select("a", "b"))
+        also_links = also.toDF(*also.columns).join(a, also.columns[0]).join(b, also.columns[1]).where("a <> b").select("a", "b")
+        links = links.union(also_links)
     groups = components(written(links.distinct(), scratch(spark, "minhash-links")))
     members = written(least.join(groups, least.whole == groups.node).select("id", "whole", "root"), scratch(spark, "near-members"))
     found = _settled(picked, members, width, similarity, cell)
+    shared = keyed.join(buckets.select("band", "key"), ["band", "key"]).select("whole", F.xxhash64("band", "key").alias("bucket"))
+    if also is not None:
+        shared = shared.union(also_links.select(F.explode(F.array("a", "b")).alias("whole"), F.xxhash64(F.least("a", "b"), F.greatest("a", "b"), F.lit("also")).alias("bucket")).distinct())
+    found = _across(picked, found, members, shared, width, similarity, cell)
     out = signatures.select("id", "whole").join(found, "whole", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("component", "whole").alias("component"))

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline as cp
+import numpy as np
 import pytest
 from helpers import SF, WORDS, table
 from test_line_dedup import brute as brute_lines
@@ -99,3 +100,12 @@ def test_odd_rows_are_packed(spark):
     out = cp.STAGES[4][1](spark, odd(spark), SF)
     checked(ODD_ROWS, out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset").collect(), 2048, 0)
     assert cp.STAGES[4][1](spark, odd(spark, []), SF).collect() == []
+
+
+def test_unreachable_targets_give_few_copies(spark):
+    """Hardly a good document among many low ones: no document comes more often than the bound, and all good ones stay."""
+    rng = np.random.default_rng(3)
+    low = [(i, " ".join(f"spam{rng.integers(9)} $$$" for _ in range(40))) for i in range(60)]
+    docs = odd(spark, [*low, (100, PROSE)])
+    out = Counter(r["doc_id"] for r in cp.STAGES[3][1](spark, docs, SF).collect())
+    assert max(out.values(), default=0) <= cp.MAX_RATE
