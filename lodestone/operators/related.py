@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.scratch import scratch, written
+
 
 def _shared(df: DataFrame, id_col: str, array: str) -> DataFrame:
     """(a, b, n): how many values of an array column two rows share."""
@@ -12,27 +14,74 @@ def _shared(df: DataFrame, id_col: str, array: str) -> DataFrame:
     return rows.alias("a").join(rows.alias("b"), "v").where(F.col(f"a.{id_col}") != F.col(f"b.{id_col}")).groupBy(F.col(f"a.{id_col}").alias("a"), F.col(f"b.{id_col}").alias("b")).agg(F.count("*").alias("n"))
 
 
-def related(df: DataFrame, id_col: str, features: dict[str, tuple[float, float | None]], flag: str | None = None, k: int = 4) -> DataFrame:
-    """(id, other, score, rank): the k best others by shared values.
+#: A value that more rows hold is answered by the best rows of its sets of values, not by pairs.
+HOT_ROWS = 1000
+
+
+def _sets_of(values: Column, caps: dict[str, float]) -> Column:
+    """The non-empty sets of a row's values (f, v), with at most ``caps`` values of a feature, each in the order of ``values``."""
+    ranked = F.transform(values, lambda x: F.struct(x["f"].alias("f"), x["v"].alias("v"), F.coalesce(*(F.when(x["f"] == c, F.lit(int(n))) for c, n in caps.items()), F.lit(1 << 30)).alias("cap")))
+
+    def more(sets: Column, x: Column) -> Column:
+        room = F.filter(sets, lambda s: F.size(F.filter(s, lambda y: y["f"] == x["f"])) < x["cap"])
+        return F.concat(sets, F.transform(room, lambda s: F.array_append(s, F.struct(x["f"].alias("f"), x["v"].alias("v")))))
+
+    none = F.array(F.array().cast("array<struct<f:string,v:string>>"))
+    return F.filter(F.aggregate(ranked, none, more), lambda s: F.size(s) > 0)
+
+
+def related(df: DataFrame, id_col: str, features: dict[str, tuple[float, float | None]], flag: str | None = None, k: int = 4, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(id, other, score, rank): the k best others by shared values, ties to the lower id; exact at any frequency of values.
+
+    ``features`` gives each array column points a shared value and a most (a
+    whole number, or none) of values that count. A row of ``flag`` adds a point
+    where both rows have it. Ids must be unique; null arrays and values share
+    nothing.
 
-    ``features`` gives each array column points a shared value and a most (or
-    none). A row of ``flag`` adds a point where both rows have it; pairs that
-    share the flag alone score 1, and of those only the k lowest ids can rank,
-    so only they become candidates.
+    Rows that share a value of at most ``hot_rows`` rows are scored as pairs. Of
+    the values that more rows hold, every row makes the sets it could share
+    with another one (sets of at most ``most`` values of a feature), and each
+    set keeps the k + 1 lowest ids that hold it. A row whose shared values are
+    all hot is among those of the set it shares, or else k rows of at least its
+    score and lower ids stand before it: so nothing is lost, and no two rows
+    meet for a hot value alone. A row with h hot values of a feature without a
+    most makes 2^h sets.
     """
-    parts = [_shared(df, id_col, c).select("a", "b", (F.least(F.col("n"), F.lit(most)) * points if most is not None else F.col("n") * points).cast("double").alias("s")) for c, (points, most) in features.items()]
-    scores = parts[0]
-    for p in parts[1:]:
-        scores = scores.union(p)
-    scores = scores.groupBy("a", "b").agg(F.sum("s").alias("s"))
-    if flag:
-        flagged = df.where(F.col(flag)).select(id_col)
-        lowest = flagged.orderBy(id_col).limit(k + 1)
-        extra = flagged.select(F.col(id_col).alias("a")).crossJoin(F.broadcast(lowest.select(F.col(id_col).alias("b")))).where("a <> b").select("a", "b", F.lit(0.0).alias("s"))
-        scores = scores.union(extra).groupBy("a", "b").agg(F.sum("s").alias("s"))
-        both = flagged.select(F.col(id_col).alias("a"), F.lit(1.0).alias("fa"))
-        other = flagged.select(F.col(id_col).alias("b"), F.lit(1.0).alias("fb"))
-        scores = scores.join(both, "a", "left").join(other, "b", "left").select("a", "b", (F.col("s") + F.coalesce(F.col("fa") * F.col("fb"), F.lit(0.0))).alias("s"))
+    spark = df.sparkSession
+    columns = list(features) + ([flag] if flag else [])
+    points = {c: p for c, (p, _) in features.items()} | ({flag: 1.0} if flag else {})
+    most = {c: m for c, (_, m) in features.items() if m is not None} | ({flag: 1} if flag else {})
+    arrays = [F.array_distinct(F.filter(F.col(c).cast("array<string>"), lambda x: x.isNotNull())).alias(c) for c in features]
+    arrays += [F.when(F.col(flag), F.array(F.lit("1"))).alias(flag)] if flag else []
+    rows = written(df.select(F.col(id_col).alias("id"), *(F.coalesce(x, F.array().cast("array<string>")).alias(c) for c, x in zip(columns, arrays, strict=True))), scratch(spark, "shared-values"))
+
+    def tagged(c: str) -> Column:
+        return F.transform(F.col(c), lambda x: F.struct(F.lit(c).alias("f"), x.alias("v")))
+
+    def held(c: str) -> Column:
+        return F.size(F.filter("t", lambda x: x["f"] == c))
+
+    pairs_of = F.flatten(F.array(*map(tagged, columns)))
+    values = rows.select("id", F.explode(pairs_of).alias("x")).select("id", "x.f", "x.v")
+    counts = written(values.groupBy("f", "v").agg(F.count("*").alias("n")).where("n > 1"), scratch(spark, "value-counts"))
+
+    def total(shared: dict[str, Column]) -> Column:
+        parts = [(F.least(n, F.lit(most[c])) if c in most else n) * F.lit(float(points[c])) for c, n in shared.items()]
+        return sum(parts[1:], parts[0])
+
+    rare = values.join(counts.where(F.col("n") <= hot_rows), ["f", "v"]).select("id", "f", "v")
+    met = rare.alias("a").join(rare.alias("b"), ["f", "v"]).where("a.id <> b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    mine, other = rows.toDF("a", *(f"a_{c}" for c in columns)), rows.toDF("b", *(f"b_{c}" for c in columns))
+    exact = met.join(mine, "a").join(other, "b").select("a", "b", total({c: F.size(F.array_intersect(f"a_{c}", f"b_{c}")) for c in columns}).alias("s"))
+
+    hot = values.join(counts.where(F.col("n") > hot_rows), ["f", "v"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("held"))
+    sets = hot.select("id", F.explode(_sets_of(F.col("held"), most)).alias("t"))
+    keyed = written(sets.select("id", F.xxhash64("t").alias("h"), F.xxhash64("t", F.lit(1)).alias("g"), total({c: held(c) for c in columns}).alias("s")), scratch(spark, "value-sets"))
+    lowest = Window.partitionBy("h", "g").orderBy("id")
+    best = keyed.withColumn("nth", F.row_number().over(lowest)).where(F.col("nth") <= k + 1).select("h", "g", F.col("id").alias("b"))
+    near = keyed.withColumnRenamed("id", "a").join(best, ["h", "g"]).where("a <> b").select("a", "b", "s")
+
+    scores = exact.union(near).groupBy("a", "b").agg(F.max("s").alias("s"))
     w = Window.partitionBy("a").orderBy(F.desc("s"), "b")
     out = scores.where("s > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out.select(F.col("a").alias(id_col), F.col("b").alias("other"), F.col("s").alias("score"), "rank")
