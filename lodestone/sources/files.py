@@ -143,28 +143,6 @@ def jdbc_table(spark: SparkSession, url: str, name: str, **options: str) -> Data
     return spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options).load()
 
 
-def sqlite_table(spark: SparkSession, path: str, query: str, schema: str | T.StructType, batch: int = 10_000) -> DataFrame:
-    """Rows of a query over a SQLite file that every executor can open, streamed by one task in Arrow batches.
-
-    SQLite files have one reader's worth of data; for more, extract to Parquet
-    first or use ``jdbc_table`` with partitioning options.
-    """
-    fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-
-    def run(batches: Iterator) -> Iterator:
-        import sqlite3
-
-        import pandas as pd
-
-        for _ in batches:
-            with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-                cursor = db.execute(query)
-                while rows := cursor.fetchmany(batch):
-                    yield pd.DataFrame(rows, columns=[f.name for f in fields])
-
-    return spark.range(0, 1, 1, 1).mapInPandas(run, fields)
-
-
 def pdf_files(spark: SparkSession, glob: str) -> DataFrame:
     """path, content (binary) and length of PDF files."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(glob).select("path", "content", "length")

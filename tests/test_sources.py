@@ -6,9 +6,12 @@ import sqlite3
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.sources import files, sinks
+from lodestone.sources.documents import json_rows, write_document
 from lodestone.sources.markdown_tables import markdown_index
+from lodestone.sources.sqlite import SqliteReader, sqlite_table
 from lodestone.streaming.events import append_log, event_stream, windowed_counts
 
 
@@ -61,7 +64,7 @@ def test_database_and_pdf(spark, tmp_path):
     with sqlite3.connect(tmp_path / "x.db") as db:
         db.execute("CREATE TABLE t (a TEXT, n INTEGER)")
         db.executemany("INSERT INTO t VALUES (?, ?)", [("x", 1), ("y", None)])
-    assert sorted(r["a"] for r in files.sqlite_table(spark, f"{tmp_path}/x.db", "SELECT a, n FROM t", "a string, n long").collect()) == ["x", "y"]
+    assert sorted(r["a"] for r in sqlite_table(spark, f"{tmp_path}/x.db", "t").collect()) == ["x", "y"]
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4\nBT (Hello) Tj ET\n%%EOF")
     (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4 no text")
     rows = {r["path"][-5:]: r["status"] for r in files.pdf_text(files.pdf_files(spark, str(tmp_path))).collect()}
@@ -73,8 +76,8 @@ def test_sinks(spark, tmp_path):
     sinks.crlf_csv(df, f"{tmp_path}/c")
     assert b"".join(p.read_bytes() for p in (tmp_path / "c").glob("part*")).startswith(b"name,grade\r\na,88.5\r\n")
     assert [r[0] for r in df.select(sinks.roster_line(["name", "grade"], "grade")).collect()] == ["a,88", "b,"]
-    sinks.wrapped_script(spark, df, f"{tmp_path}/js", "DATA")
-    assert "".join(p.read_text() for p in (tmp_path / "js").glob("part*")).startswith('window.DATA = [{"name":"a"')
+    sinks.wrapped_script(df, f"{tmp_path}/data.js", "DATA", F.col("name"))
+    assert (tmp_path / "data.js").read_text() == 'window.DATA = [{"name":"a","grade":88.5},{"name":"b","grade":null}];\n'
     sinks.ordered_csv(df, f"{tmp_path}/o", ["grade", "lost", "name"])
     assert "".join(p.read_text() for p in (tmp_path / "o").glob("part*")).splitlines()[0] == "grade,lost,name"
     base = spark.createDataFrame([(1, "x", "p"), (2, "y", "q")], "k int, a string, b string")
@@ -83,11 +86,67 @@ def test_sinks(spark, tmp_path):
     assert sorted(r["k"] for r in sinks.ensured(base, changes, ["k"]).collect()) == [1, 2, 3]
     with pytest.raises(ValueError, match="not within"):
         sinks.refreshed(base, f"{tmp_path}/t")
+    with pytest.raises(FileNotFoundError):
+        sinks.current(spark, f"{tmp_path}/t")
     assert sinks.refreshed(base, f"{tmp_path}/t", 1, 9) == 2
+    # A table may be refreshed from itself; a refused version leaves the current one, and a publication can be taken back.
+    more = sinks.current(spark, f"{tmp_path}/t").union(base)
+    assert sinks.refreshed(more, f"{tmp_path}/t", 1, 9) == 4
+    with pytest.raises(ValueError, match="not within"):
+        sinks.refreshed(base.limit(0), f"{tmp_path}/t", 1, 9)
+    assert sinks.current(spark, f"{tmp_path}/t").count() == 4 and sinks.rolled_back(spark, f"{tmp_path}/t").count() == 2
+    assert len([p for p in (tmp_path / "t").iterdir() if p.is_dir()]) == 1
+    with pytest.raises(ValueError, match="no earlier"):
+        sinks.rolled_back(spark, f"{tmp_path}/t")
     sinks.json_payload(df, f"{tmp_path}/j")
     assert sinks.copy_if_present(spark, f"{tmp_path}/j", f"{tmp_path}/j2") and not sinks.copy_if_present(spark, f"{tmp_path}/none", f"{tmp_path}/j3")
 
 
+def test_sqlite_partitions_filters_and_columns(spark, tmp_path):
+    at = f"{tmp_path}/big.db"
+    with sqlite3.connect(at) as db:
+        db.execute("CREATE TABLE t (a TEXT COLLATE NOCASE, n INTEGER, x REAL, b BLOB, [odd name] TEXT)")
+        db.execute("WITH RECURSIVE c(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM c WHERE i < 1000000) INSERT INTO t SELECT CASE i % 3 WHEN 0 THEN 'Ab' WHEN 1 THEN 'aB' END, i % 1000, i / 4.0, NULL, 'é' FROM c")
+        db.execute("INSERT INTO t VALUES ('aB', 'no number', 'text', 'b', NULL)")
+        db.execute("CREATE TABLE w (k TEXT PRIMARY KEY, v INTEGER) WITHOUT ROWID")
+        db.execute("INSERT INTO w VALUES ('k', 1), ('l', 2)")
+        db.execute("CREATE TABLE e (a TEXT)")
+    whole = sqlite_table(spark, at, "t")
+    assert whole.dtypes == [("a", "string"), ("n", "bigint"), ("x", "double"), ("b", "binary"), ("odd name", "string")]
+    assert whole.rdd.getNumPartitions() >= 8
+    some = sqlite_table(spark, at, "t", "a string, n long", [("a", "=", "aB"), ("n", "<", 5)])
+    assert some.rdd.getNumPartitions() >= 8
+    with sqlite3.connect(at) as db:
+        want = db.execute("SELECT count(*), sum(n) FROM t WHERE a = 'aB' COLLATE BINARY AND n < 5 AND typeof(n) = 'integer'").fetchone()
+    assert some.agg(F.count("*"), F.sum("n")).first()[:] == want
+    count = lambda *w: sqlite_table(spark, at, "t", where=list(w)).count()
+    assert count(("a", "null", None)) == 333_333 and count(("n", "in", [1, 7])) == 2000 and count(("n", ">=", 990), ("a", "not null", None)) == 6667
+    assert whole.where("n IN (1, 7)").count() == 2000 and whole.count() == 1_000_001
+    with pytest.raises(ValueError, match="no comparison"):
+        count(("n", "like", 1))
+    assert whole.where("`odd name` IS NULL").select("n", "x").first()[:] == (None, None)
+    assert sqlite_table(spark, at, "w").orderBy("k").collect()[1][:] == ("l", 2) and sqlite_table(spark, at, "e").collect() == []
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("n", T.LongType())])
+    reader = SqliteReader(schema, {"path": at, "table": "t", "where": json.dumps([["a", "=", "aB"], ["n", "<", 5], ["n", "=", "5"]])})
+    assert reader.where == ['"a" COLLATE BINARY = ?', '"n" < ?'] and reader.values == ["aB", 5]
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) < 3000
+
+
+def test_one_document_from_many_tasks(spark, tmp_path):
+    rows = [{"topic_id": f"t{i:04d}", "label": f"Lighting é {i} \"x\"", "paper_ids": [f"P{i}", f"P{i + 1}"], "paper_count": i % 7, "note": None} for i in range(2000)]
+    df = spark.createDataFrame(rows, "topic_id string, label string, paper_ids array<string>, paper_count long, note string").repartition(11)
+    index = df.groupBy("paper_count").agg(F.count("*").alias("n"))
+    order = [F.desc("paper_count"), F.col("topic_id")]
+    write_document(f"{tmp_path}/d.json", ['{"summary":{"default_view":"defended"},"rows":[', '],"index":[', "]}"], [(df, json_rows(df), order), (index, json_rows(index), [F.col("paper_count")])], tasks=16)
+    counts = {}
+    for r in rows:
+        counts[r["paper_count"]] = counts.get(r["paper_count"], 0) + 1
+    want = {"summary": {"default_view": "defended"}, "rows": sorted(rows, key=lambda r: (-r["paper_count"], r["topic_id"])), "index": [{"paper_count": k, "n": n} for k, n in sorted(counts.items())]}
+    assert (tmp_path / "d.json").read_text() == json.dumps(want, separators=(",", ":"), ensure_ascii=False)
+    write_document(f"{tmp_path}/d.json", ["[", "]"], [(df.limit(0), json_rows(df), [])])
+    assert (tmp_path / "d.json").read_text() == "[]" and [p.name for p in tmp_path.iterdir()] == ["d.json"]
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     events = spark.read.parquet(f"{SF}/events.parquet")
