@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.collections import half_open_bin
 from lodestone.operators.filters import filled
+from lodestone.operators.graphs import components
 from lodestone.operators.ordering import counted_values
 
 
@@ -203,6 +204,26 @@ def heterogeneity(df: DataFrame, by: list[str], effect: str, se: str) -> DataFra
     return sums.select(*by, "k", (F.col("wx") / F.col("w")).alias("mean"), q.alias("q"), F.when((q > 0) & (F.col("k") > 1), F.greatest(F.lit(0.0), 100 * (q - (F.col("k") - 1)) / q)).otherwise(0.0).alias("i_squared"), "egger_intercept")
 
 
+def unique_samples(df: DataFrame, edges: DataFrame, claim: str, paper: str, n: str) -> DataFrame:
+    """(claim, papers, n_total, n_unique, overlap): sample sizes of a claim's papers, shared samples counted once.
+
+    ``edges`` (a, b): papers that share a sample. Papers of one claim that are
+    joined by edges between papers of that claim count with the largest of
+    their sizes. ``overlap`` tells whether there are any. A paper that stands in
+    a claim several times counts once, with its largest size; null sizes count
+    0. Edges of papers to themselves, or out of the claim, change nothing.
+    """
+    rows = df.where(F.col(claim).isNotNull() & F.col(paper).isNotNull()).groupBy(F.col(claim).alias("c"), F.col(paper).alias("p")).agg(F.max(F.coalesce(F.col(n), F.lit(0))).cast("long").alias("n"))
+    known = edges.select("a", "b").where("a <> b").distinct()
+    first = known.join(rows.select("c", F.col("p").alias("a")), "a")
+    both = first.join(rows.select("c", F.col("p").alias("b")), ["c", "b"])
+    linked = components(both.select(F.struct("c", F.col("a").alias("p")).alias("a"), F.struct("c", F.col("b").alias("p")).alias("b")))
+    grouped = rows.join(linked.select("node.c", "node.p", F.col("root.p").alias("root")), ["c", "p"], "left").withColumn("sample", F.coalesce("root", "p"))
+    once = grouped.groupBy("c", "sample").agg(F.max("n").alias("once"), F.sum("n").alias("n"), F.count("*").alias("papers"))
+    out = once.groupBy("c").agg(F.sum("papers").alias("papers"), F.sum("n").alias("n_total"), F.sum("once").alias("n_unique"), (F.max("papers") > 1).alias("overlap"))
+    return out.withColumnRenamed("c", claim)
+
+
 def passes(df: DataFrame, by: list[str], name: str, state: str, names: list[str]) -> DataFrame:
     """The latest-sorted state of each pass as columns."""
     return df.groupBy(*by).agg(*(F.max(F.when(F.col(name) == n, F.col(state))).alias(n) for n in names))

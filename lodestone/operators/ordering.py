@@ -117,17 +117,33 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     return parts.join(before, "__p").withColumn(name, F.col("__b") + F.col("__i")).drop("__p", "__i", "__b", "__at")
 
 
+def seeded(seed: int, *key: str) -> Column:
+    """A number of a row that is as good as random and the same for a seed everywhere: a hash of its key, as hexadecimal text."""
+    return F.md5(F.concat_ws(":", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key), F.lit(str(seed))))
+
+
 def sampled(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
     """n rows at random, the same for a seed whatever the partitioning: those of the smallest seeded hashes."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    return df.orderBy(seeded(seed, *key), *key).limit(n)
 
 
 def audit_sample(df: DataFrame, by: list[str], rate: float, seed: int, key: str) -> DataFrame:
-    """From each stratum max(1, floor(n * rate)) rows, by seeded hash."""
-    w = Window.partitionBy(*by)
-    n = F.greatest(F.lit(1), F.floor(F.count("*").over(w) * rate))
-    r = F.row_number().over(w.orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return df.withColumns({"__n": n, "__r": r}).where("__r <= __n").drop("__n", "__r")
+    """From each stratum max(1, floor(n * rate)) rows: those of the smallest seeded hashes.
+
+    The hash up to which a stratum's rows belong to its sample comes from
+    counts over ranges of hashes, so no task sees a stratum; rows then pass or
+    not on their own. Only rows of the very hash at which a sample ends (one
+    key's) are ranked, by key. Null strata are a stratum.
+    """
+    rows = df.withColumn("__h", seeded(seed, key))
+    counts = counted_values(rows.select(*by, "__h"), "__h", by)
+    wanted = F.greatest(F.lit(1), F.floor(F.col("total") * rate)).cast("long")
+    last = counts.withColumn("__want", wanted).where(F.col("upto") >= F.col("__want")).groupBy(*by).agg(F.min(F.struct("__h", (F.col("__want") - F.col("upto") + F.col("n")).alias("room"))).alias("__last"))
+    met = _joined(rows, last, by) if by else rows.crossJoin(F.broadcast(last))
+    inside = met.where(F.col("__h") < F.col("__last.__h"))
+    edge = met.where(F.col("__h") == F.col("__last.__h")).withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__h").orderBy(key)))
+    edge = edge.where(F.col("__r") <= F.col("__last.room")).drop("__r")
+    return inside.unionByName(edge).drop("__h", "__last")
 
 
 def longest_first(df: DataFrame, key: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import rules
-from lodestone.operators.joins import anti, latest, left_where
+from lodestone.operators.joins import anti, latest, left_where, with_constant
+from lodestone.operators.ordering import numbered
 
 DOSSIER = ["user_id", "offering_id", "deliverable_id"]
 
@@ -94,6 +95,32 @@ def assigned(questions: DataFrame, claims: DataFrame) -> DataFrame:
     return free.unionByName(rest).orderBy("tier", "total_articles", "question_id").limit(1).select("question_id", "round")
 
 
+def assigned_all(questions: DataFrame, claims: DataFrame, users: DataFrame, order: str, rounds: int = 99) -> DataFrame:
+    """(user_id, question_id, round): a question for every user, as if each in turn (by ``order``) were given one by ``assigned``.
+
+    A round's free questions go out by need before the next round opens. So the
+    n-th user gets the n-th free place, in the order of rounds and needs: places
+    are counted by round, only the rounds that are needed are laid out, and
+    places and users meet by their numbers. Users beyond the last round get the
+    least served question in round 2, as ``assigned`` says. Without questions
+    nobody gets one.
+    """
+    need = question_need(questions, claims).select("question_id", "total_articles").dropDuplicates(["question_id"])
+    taken = claims.select("question_id", F.col("round").cast("long").alias("round")).join(need.select("question_id"), "question_id", "left_semi").distinct()
+    asked = numbered(users.select("user_id", order), "n", F.col(order), F.col("user_id"))
+    sizes = with_constant(need.agg(F.count("*").alias("questions")), asked.agg(F.count("*").alias("users")))
+    # A row a round, so one window over them is small.
+    used = claims.sparkSession.range(1, rounds + 1).withColumnRenamed("id", "round").join(taken.groupBy("round").agg(F.count("*").alias("used")), "round", "left")
+    room = with_constant(used, sizes).withColumn("room", F.col("questions") - F.coalesce("used", F.lit(0)))
+    before = F.sum("room").over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1))
+    open_ = room.withColumn("before", F.coalesce(before, F.lit(0))).where("before < users AND room > 0").agg(F.collect_list("round").alias("rounds"))
+    places = with_constant(need, open_).select("question_id", "total_articles", F.explode("rounds").alias("round")).join(taken, ["question_id", "round"], "left_anti")
+    places = numbered(places, "n", F.col("round"), F.col("total_articles"), F.col("question_id")).select("n", "question_id", "round")
+    least = need.agg(F.min(F.struct("total_articles", "question_id")).alias("least")).where("least is not null")
+    out = with_constant(asked.join(places, "n", "left"), least)
+    return out.select("user_id", F.coalesce("question_id", "least.question_id").alias("question_id"), F.coalesce("round", F.lit(2).cast("long")).alias("round"))
+
+
 def repairable(questions: DataFrame, claims: DataFrame, user: str, round_: int, current: str = "") -> DataFrame:
     """Free questions of a round, and the user's own released or current ones."""
     own = claims.where((F.col("user_id") == user) & (F.col("round") == round_) & (F.col("released_at").isNotNull() | (F.col("question_id") == current))).select("question_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import taxonomy as tx
@@ -15,6 +15,7 @@ from lodestone.operators.joins import first_per_key, lookup, with_constant
 from lodestone.operators.ordering import top_per_group
 from lodestone.operators.related import related_topics
 from lodestone.plans.topics import article_scores, chosen_pairs, lexicon_hits
+from lodestone.sources.documents import json_rows, write_document
 from lodestone.scratch import scratch, written
 
 #: Papers shown, theories, sensors and fronts named for a topic.
@@ -199,3 +200,49 @@ def heuristic(articles: DataFrame, rows: DataFrame, iv_hints: DataFrame, dv_hint
     reason = F.when(both, "missing dominant IV and DV").when(F.col("missing_iv"), "missing dominant IV").otherwise("missing dominant DV")
     repair, excluded = _left_out(missing.join(members.select("paper_id").distinct(), "paper_id", "left_anti"), pattern, reason)
     return _assembled(articles, members, nodes, repair, excluded, missing, ordinal)
+
+
+def _branches(h: Hierarchy) -> tuple[DataFrame, Column, list[Column]]:
+    """The nested list of roots, environment nodes and their topics: a row a topic, which opens and closes what it is the first and last of."""
+    last = lambda c, value: F.col(c) == value
+    topic = F.struct("id", "label", "paper_count", "dv_focus", "dv_focus_label")
+    rows = h.topics.select("iv_root", "iv_node", "label", "paper_count", "dv_focus", F.to_json(topic).alias("topic"), "id")
+    child = h.children.select("iv_root", "iv_node", F.col("label").alias("child_label"), F.col("paper_count").alias("child_papers"))
+    root = h.roots.select("iv_root", F.col("label").alias("root_label"), F.col("paper_count").alias("root_papers"), "child_count")
+    rows = rows.join(child, ["iv_root", "iv_node"]).join(root, "iv_root")
+    in_root = [last("iv_node", tx.NO_ENVIRONMENT), F.desc("child_papers"), F.col("child_label"), F.col("iv_node")]
+    in_child = [last("dv_focus", tx.NO_OUTCOME), F.desc("paper_count"), F.col("label"), F.col("id")]
+    # A catalogue's topics below one root, without their papers.
+    child_rows, root_rows = Window.partitionBy("iv_root", "iv_node"), Window.partitionBy("iv_root")
+    places = {
+        "c_first": F.row_number().over(child_rows.orderBy(*in_child)) == 1,
+        "c_last": F.row_number().over(child_rows.orderBy(*in_child)) == F.count("*").over(child_rows),
+        "r_first": F.row_number().over(root_rows.orderBy(*in_root, *in_child)) == 1,
+        "r_last": F.row_number().over(root_rows.orderBy(*in_root, *in_child)) == F.count("*").over(root_rows),
+    }
+    rows = rows.withColumns(places)
+    opened = lambda fields, name: F.concat(F.expr(f"rtrim('}}', to_json(struct({fields})))"), F.lit(f',"{name}":['))
+    root_open = opened("iv_root AS id, root_label AS label, root_papers AS paper_count, child_count", "children")
+    child_open = opened("iv_node AS id, child_label AS label, child_papers AS paper_count", "topics")
+    text = F.concat(F.when(F.col("r_first"), root_open).otherwise(""), F.when(F.col("c_first"), child_open).otherwise(""), F.col("topic"), F.when(F.col("c_last"), "]}").otherwise(""), F.when(F.col("r_last"), "]}").otherwise(""))
+    return rows, text, [last("iv_root", "unspecified"), F.desc("root_papers"), F.col("root_label"), F.col("iv_root"), *in_root, *in_child]
+
+
+def write_hierarchy(h: Hierarchy, path: str, tasks: int = 16) -> None:
+    """The nested document of a topic view as one JSON file: summary, topics, roots with children with topics, repair and exclusion queues.
+
+    Topics carry their cross relations; their papers stand in the topic's
+    preview. Tasks write the rows of each list in order; the largest row is a
+    topic.
+    """
+    relations = h.related.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "target_id", "target_label", "kind", "score", "paper_count"))).alias("cross_relations"))
+    topics = h.topics.join(relations, "id", "left")
+    last = lambda c, value: F.col(c) == value
+    order = [last("iv_root", "unspecified"), last("dv_focus", tx.NO_OUTCOME), F.desc("paper_count"), F.col("label"), F.col("id")]
+    queue = [F.desc("claim_count"), F.col("paper_id"), F.col("reason")]
+    write_document(
+        path,
+        ['{"summary":', ',"topics":[', '],"roots":[', '],"repair_queue":[', '],"exclusion_queue":[', "]}"],
+        [(h.summary, json_rows(h.summary), []), (topics, json_rows(topics), order), _branches(h), (h.repair, json_rows(h.repair), queue), (h.excluded, json_rows(h.excluded), queue)],
+        tasks,
+    )
