@@ -14,9 +14,16 @@ most frequent words come first: on a table of their bigrams, one after another
 moves to the class that raises the likelihood most, until none moves (or
 ``passes`` are done). While they move, the other words stand in the table as
 context only, by powers of two of their counts. Then every other word, of any
-count, is exchanged against these classes in parallel: the counts of the
-classes before and after it, over the whole corpus, decide which class raises
-the likelihood most.
+count, is placed among these classes in parallel: the counts of the classes
+before and after it, over the whole corpus, decide which class raises the
+likelihood most.
+
+Then all training words are exchanged, the frequent ones too, in rounds. In a
+round each word is taken out of its class and put into the one that raises the
+likelihood most, by the counts of the classes that now stand before and after
+it: those of rare neighbours as well. All words move at once, so a round is
+kept only if the likelihood of the whole training corpus has risen; rounds go
+on until one does not raise it, or by less than ``settled`` a token.
 
 Transitions and emissions are counted over all training texts with the final
 classes. Unseen words are one type with a class of its own, whose transitions
@@ -27,7 +34,7 @@ are words seen once).
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +47,8 @@ from lodestone.llm.chunks import Chunks
 from lodestone.llm.common import dropped, longs, scratch, signed, text_bytes, written
 
 FREQUENT, CLASSES, PASSES = 1000, 48, 8
+#: Nats a token: a round of exchange over all words that raises the likelihood by less is the last.
+SETTLED = 0.02
 #: Symbols while the frequent words are clustered: powers of two of a count below END, then the end, then the frequent words.
 END, WORDS = 62, 63
 
@@ -145,6 +154,42 @@ def classes_of(table: np.ndarray) -> int:
     return len(table) - WORDS
 
 
+def exchanged(contexts: list[tuple[np.ndarray, np.ndarray]], own: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """For each word (keys, counts) of class ``own`` the class that raises the likelihood most once the word is taken out of its own.
+
+    ``table[c, d]`` counts class d after c over all training texts, the word's
+    own steps included; keys as for ``placed``. A word stays where no class is
+    better; of equal others it takes the lowest.
+    """
+    width = len(table)
+    rows, cols = table.sum(1), table.sum(0)
+    sizes = np.array([len(x) for x, _ in contexts])
+    key = np.concatenate([x for x, _ in contexts])
+    n = np.concatenate([x for _, x in contexts]).astype(float)
+    once = np.concatenate((nlogn(table[:, :classes] + 1) - nlogn(table[:, :classes]), (nlogn(table[:classes] + 1) - nlogn(table[:classes])).T))
+    gains = once[key]
+    many = np.flatnonzero(n > 1)
+    for part in np.array_split(many, max(1, len(many) // 65536)):
+        held = np.where((key[part] < width)[:, None], table[key[part] % width, :classes], table[:classes, key[part] % width].T)
+        gains[part] = nlogn(held + n[part, None]) - nlogn(held)
+    begin = np.cumsum(sizes) - sizes
+    mine = np.repeat(own, sizes)
+    held = np.where(key < width, table[key % width, mine], table[mine, key % width])
+    stays = np.add.reduceat(nlogn(held) - nlogn(held - n), begin)
+    gain = np.add.reduceat(gains, begin, axis=0)
+    before, after = np.add.reduceat(np.where(key < width, n, 0), begin), np.add.reduceat(np.where(key < width, 0, n), begin)
+    gain -= nlogn(rows[:classes] + after[:, None]) - nlogn(rows[:classes]) + nlogn(cols[:classes] + before[:, None]) - nlogn(cols[:classes])
+    stays -= nlogn(rows[own]) - nlogn(rows[own] - after) + nlogn(cols[own]) - nlogn(cols[own] - before)
+    gain[np.arange(len(own)), own] = -np.inf
+    best = np.argmax(gain, axis=1)
+    return np.where(gain[np.arange(len(own)), best] > stays + 1e-9, best, own)
+
+
+def likelihood(pairs: np.ndarray) -> float:
+    """The log likelihood of the training texts by their class pairs, but for what no class changes (each word's n log n)."""
+    return float(nlogn(pairs).sum() - nlogn(pairs.sum(1)).sum() - nlogn(pairs.sum(0)).sum())
+
+
 @dataclass
 class Model:
     """log10 transitions between classes (word classes, then the end, then unseen words) and log10 class sizes."""
@@ -181,6 +226,16 @@ def _sums(cells: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, n
     return cells[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _contexts(words: pa.RecordBatch, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(keys, counts) of each word of a batch: a pair of classes around it counts once before it and once after it."""
+    sizes, flat = words["contexts"].value_lengths().to_numpy(), words["contexts"].flatten()
+    key, n = flat.field("key").to_numpy().astype(np.int64), flat.field("n").to_numpy()
+    of_word = np.repeat(np.arange(len(words)), sizes) * (2 * width)
+    cells, n = _sums(np.concatenate((of_word + key // width, of_word + width + key % width)), np.concatenate((n, n)))
+    begin = np.searchsorted(cells, np.arange(1, len(words)) * (2 * width))
+    return np.split(cells % (2 * width), begin), np.split(n, begin)
+
+
 def score_texts(
     docs: DataFrame,
     folds: int = 7,
@@ -190,6 +245,8 @@ def score_texts(
     frequent: int = FREQUENT,
     classes: int = CLASSES,
     passes: int = PASSES,
+    settled: float = SETTLED,
+    report: dict[str, list[float]] | None = None,
 ) -> DataFrame:
     """Score every whole text; learn from those outside the held-out fold.
 
@@ -199,8 +256,10 @@ def score_texts(
     Repeated rows count again each time. A null id is learned from or held out
     as the text '' would be. Where nothing is learned, every token is unseen.
     An empty table gives an empty result. Other columns are not read.
-    ``frequent`` is the number of words that form the classes; every other
-    training word is then placed in one.
+    ``frequent`` is the number of words that the classes start from; every other
+    training word is then placed in one, and all are exchanged. A ``report``
+    dictionary takes the "likelihood" (nats a token, but for a constant) before
+    the rounds of exchange and after each that was kept.
     """
     chunks = Chunks(docs, id_col, text_col)
     spark, kind = chunks.spark, chunks.id_type
@@ -321,15 +380,8 @@ def score_texts(
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in [batch.slice(at, 4096) for at in range(0, len(batch), 4096)]:
-                sizes_ = some["contexts"].value_lengths().to_numpy()
-                flat = some["contexts"].flatten()
-                key, n = flat.field("key").to_numpy().astype(np.int64), flat.field("n").to_numpy()
-                # A pair of classes around a word counts once before it and once after it.
-                of_word = np.repeat(np.arange(len(some)), sizes_) * (2 * width)
-                cells, n = _sums(np.concatenate((of_word + key // width, of_word + width + key % width)), np.concatenate((n, n)))
-                begin = np.searchsorted(cells, np.arange(1, len(some)) * (2 * width))
-                cells = cells % (2 * width)
-                got = placed(list(zip(np.split(cells, begin), np.split(n, begin), strict=True)), by_class)
+                cells, n = _contexts(some, width)
+                got = placed(list(zip(cells, n, strict=True)), by_class)
                 yield pa.record_batch({"word": some["word"], "class": pa.array(got.astype(np.int32))})
 
     # Rows are summed in their batch, then dealt by word once: at most width squared pairs of classes around a word.
@@ -338,38 +390,88 @@ def score_texts(
     rest = per_word.mapInArrow(choose, "word long, class int")
     first = pa.table({"word": pa.array(symbol_of), "class": pa.array(of[WORDS : WORDS + len(symbol_of)].astype(np.int32))})
     assigned = kept(rest.union(spark.createDataFrame(first).select("word", F.col("class").cast("int"))), "word-classes")
-    unseen = classes + 1
-    load_classes = chunks.side(mine.join(assigned, "word", "left").select("chunk", "word", "total", F.coalesce("class", F.lit(unseen)).alias("class")))
+    unseen, k = classes + 1, classes + 2
+
+    def named(assigned: DataFrame) -> Callable[[int], tuple[np.ndarray, np.ndarray]]:
+        load = chunks.side(mine.join(assigned, "word", "left").select("chunk", "word", "total", F.coalesce("class", F.lit(unseen)).alias("class")))
+
+        def classed(chunk: int) -> tuple[np.ndarray, np.ndarray]:
+            """Each listed word's class and count, and the end's as the last."""
+            held = load(chunk)
+            if held is None:
+                return np.array([classes]), np.array([0])
+            order = np.argsort(held["word"].to_numpy())
+            return np.append(held["class"].to_numpy()[order], classes), np.append(held["total"].to_numpy()[order], 0)
+
+        return classed
+
+    def pair_counts(classed: Callable[[int], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Class pairs of the training texts, and those around words seen once with their class as unseen."""
+
+        def steps(chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            class_of, total = classed(chunk)
+            for batch in batches:
+                row, _ = joined(batch)
+                c, single = class_of[row].astype(np.int64), total[row] == 1
+                plain = c[:-1] * k + c[1:]
+                as_unseen = np.where(single, unseen, c)
+                near = single[:-1] | single[1:]
+                again = as_unseen[:-1][near] * k + as_unseen[1:][near]
+                at, n = _sums(np.concatenate((plain, k * k + again)))
+                yield pa.record_batch({"cell": pa.array(at), "n": pa.array(n)})
+
+        cells = chunks.map(steps, "cell long, n long", train).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        pairs = np.zeros(2 * k * k, dtype=np.int64)
+        pairs[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+        return pairs[: k * k].reshape(k, k), pairs[k * k :].reshape(k, k)
+
+    def regrouped(classed: Callable[[int], tuple[np.ndarray, np.ndarray]], pairs: np.ndarray) -> DataFrame:
+        """(word, class): every training word after one round of exchange against the class pairs."""
+        table = pairs.astype(float)
+
+        def around(chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            word, _ = listed(chunk)
+            class_of = classed(chunk)[0].astype(np.int64)
+            for batch in batches:
+                row, _ = joined(batch)
+                at = np.flatnonzero(row >= 0)
+                cells, n = _sums((row[at] * k + class_of[row[at - 1]]) * k + class_of[row[at + 1]])
+                place = cells // k**2
+                yield pa.record_batch({"word": pa.array(word[place]), "own": pa.array(class_of[place].astype(np.int32)), "key": pa.array((cells % k**2).astype(np.int32)), "n": pa.array(n)})
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for some in [batch.slice(at, 4096) for at in range(0, len(batch), 4096)]:
+                    cells, n = _contexts(some, k)
+                    got = exchanged(list(zip(cells, n, strict=True)), some["own"].to_numpy(), table, classes)
+                    yield pa.record_batch({"word": some["word"], "class": pa.array(got.astype(np.int32))})
+
+        met = chunks.map(around, "word long, own int, key int, n long", train).repartition("word").groupBy("word", "own", "key").agg(F.sum("n").alias("n"))
+        return met.groupBy("word", "own").agg(F.collect_list(F.struct("key", "n")).alias("contexts")).mapInArrow(choose, "word long, class int")
+
+    classed = named(assigned)
+    pairs, single = pair_counts(classed)
+    reached = [likelihood(pairs)]
+    while n_train:
+        old_side, old_classes = chunks.sides[-1], paths[-1]
+        after = kept(regrouped(classed, pairs), "word-classes")
+        after_classed = named(after)
+        after_pairs, after_single = pair_counts(after_classed)
+        gain = likelihood(after_pairs) - reached[-1]
+        if gain <= 0:
+            dropped(spark, chunks.sides.pop(), paths.pop())
+            break
+        dropped(spark, old_side, old_classes)
+        assigned, classed, pairs, single = after, after_classed, after_pairs, after_single
+        reached.append(reached[-1] + gain)
+        if gain < settled * n_train:
+            break
+    if report is not None:
+        report["likelihood"] = [x / max(1, n_train) for x in reached]
     sums = known.join(assigned, "word").groupBy("class").agg(F.sum("total").alias("n")).toArrow()
-    sizes = np.zeros(classes + 2)
+    sizes = np.zeros(k)
     sizes[sums["class"].to_numpy()] = sums["n"].to_numpy()
-
-    def classed(chunk: int) -> tuple[np.ndarray, np.ndarray]:
-        """Each listed word's class and count, and the end's as the last."""
-        held = load_classes(chunk)
-        if held is None:
-            return np.array([classes]), np.array([0])
-        order = np.argsort(held["word"].to_numpy())
-        return np.append(held["class"].to_numpy()[order], classes), np.append(held["total"].to_numpy()[order], 0)
-
-    def steps(chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class_of, total = classed(chunk)
-        k = classes + 2
-        for batch in batches:
-            row, _ = joined(batch)
-            c, single = class_of[row].astype(np.int64), total[row] == 1
-            plain = c[:-1] * k + c[1:]
-            as_unseen = np.where(single, unseen, c)
-            near = single[:-1] | single[1:]
-            again = as_unseen[:-1][near] * k + as_unseen[1:][near]
-            at, n = _sums(np.concatenate((plain, k * k + again)))
-            yield pa.record_batch({"cell": pa.array(at), "n": pa.array(n)})
-
-    k = classes + 2
-    cells = chunks.map(steps, "cell long, n long", train).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros(2 * k * k, dtype=np.int64)
-    pairs[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    model = Model.estimated(pairs[: k * k].reshape(k, k), pairs[k * k :].reshape(k, k), sizes)
+    model = Model.estimated(pairs, single, sizes)
     dropped(spark, *paths)
 
     def score(chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

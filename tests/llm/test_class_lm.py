@@ -7,7 +7,7 @@ from helpers import ODD, SF, WORDS, given, table
 
 import xxhash
 
-from lodestone.llm.class_lm import END, exchange, score_texts
+from lodestone.llm.class_lm import END, SETTLED, exchange, exchanged, likelihood, score_texts
 from lodestone.llm.class_lm import WORDS as FIRST
 from lodestone.llm.queries import op7_class_lm
 
@@ -68,6 +68,45 @@ def brute_scores(rows, frequent, classes, passes=8, folds=7, fold=2):
             gain.append(x - g(rows_ + sum(after.values())) + g(rows_) - g(cols + sum(before.values())) + g(cols))
         class_of[w] = max(range(classes), key=lambda c: (round(gain[c], 9), -c))
     k, end, unseen = classes + 2, classes, classes + 1
+
+    def class_pairs(of):
+        out = np.zeros((k, k))
+        for text in train:
+            row = [end, *(of[w] for w in text), end]
+            for a, b in zip(row, row[1:]):
+                out[a, b] += 1
+        return out
+
+    reach = lambda t: sum(map(g, t.ravel())) - sum(map(g, t.sum(0))) - sum(map(g, t.sum(1)))
+    while True:
+        t, after_of = class_pairs(class_of), {}
+        for w in count:
+            before, after = Counter(), Counter()
+            for text in train:
+                row = [None, *text, None]
+                for n in range(1, len(row) - 1):
+                    if row[n] == w:
+                        before[end if row[n - 1] is None else class_of[row[n - 1]]] += 1
+                        after[end if row[n + 1] is None else class_of[row[n + 1]]] += 1
+            total = sum(after.values())
+
+            def worth(c, own, before=before, after=after, total=total, t=t):
+                out = 0.0 if own else total
+                x = sum(g(t[d, c] + n - n * own) - g(t[d, c] - n * own) for d, n in before.items()) if not own else sum(g(t[d, c]) - g(t[d, c] - n) for d, n in before.items())
+                x += sum(g(t[c, d] + n) - g(t[c, d]) for d, n in after.items()) if not own else sum(g(t[c, d]) - g(t[c, d] - n) for d, n in after.items())
+                rows_, cols = t[c].sum(), t[:, c].sum()
+                return x - (g(rows_ + out) - g(rows_ - total * own) + g(cols + out) - g(cols - total * own))
+
+            own = class_of[w]
+            others = [(round(worth(c, 0), 9), -c) for c in range(classes) if c != own]
+            best = max(others, default=None)
+            after_of[w] = -best[1] if best and best[0] > worth(own, 1) + 1e-9 else own
+        gain = reach(class_pairs(after_of)) - reach(t)
+        if gain <= 0:
+            break
+        class_of = after_of
+        if gain < SETTLED * (sum(count.values()) + len(train)):
+            break
     pairs = np.zeros((k, k))
     for text in train:
         plain = [end, *(class_of[w] for w in text), end]
@@ -94,7 +133,9 @@ def test_scores_by_brute_force(spark):
     names = [f"w{i}" for i in range(40)]
     rows = [(i, " ".join(names[min(int(x), 39)] for x in rng.exponential(6, rng.integers(0, 30)))) for i in range(120)] + [(500, None), (501, "never seen words w1"), (None, "w2 w2")]
     for frequent, classes in ((6, 3), (100, 4), (1, 2)):
-        got = {str(r["doc_id"]): r["score"] for r in score_texts(given(spark, rows), frequent=frequent, classes=classes).collect()}
+        report = {}
+        got = {str(r["doc_id"]): r["score"] for r in score_texts(given(spark, rows), frequent=frequent, classes=classes, report=report).collect()}
+        assert report["likelihood"] == sorted(report["likelihood"])
         want = brute_scores(rows, frequent, classes)
         assert np.allclose([got[str(i)] for i, _ in rows], want, atol=1e-6)
 
@@ -128,3 +169,37 @@ def test_probabilities_sum_to_one(spark):
     got = {r["doc_id"]: r["score"] for r in score_texts(given(spark, train + asked), frequent=3, classes=2).collect()}
     # P(w) P(end | w) summed over w is below 1, and so is P(end).
     assert 0.2 < sum(10 ** got[i] for i, _ in asked) <= 1
+
+
+def test_exchange_weighs_moves_exactly():
+    """For single words: the class it takes is the one of the greatest likelihood of the whole corpus, with all other words in their places."""
+    rng = np.random.default_rng(9)
+    text = rng.integers(0, 30, 400)
+    of = rng.integers(0, 4, 30)
+
+    def pairs(classes):
+        row = np.concatenate(([4], classes[text], [4]))
+        out = np.zeros((6, 6))
+        np.add.at(out, (row[:-1], row[1:]), 1)
+        return out
+
+    for w in range(30):
+        at = np.flatnonzero(text == w)
+        row = np.concatenate(([4], of[text], [4]))
+        if not len(at) or (np.diff(at) == 1).any():  # a word beside itself moves with its context
+            continue
+        key, n = np.unique(np.concatenate((row[at], 6 + row[at + 2])), return_counts=True)
+        got = exchanged([(key, n)], of[w : w + 1], pairs(of), 4)[0]
+        worth = [likelihood(pairs(np.where(np.arange(30) == w, c, of))) for c in range(4)]
+        # Neighbours of the word's own class see it leave: the tables differ there by second order only.
+        assert worth[got] >= max(worth) - 1.0
+
+
+def test_rounds_find_what_one_placement_cannot(spark):
+    """Words that stand beside rare words alone: classes of the neighbours tell them apart, powers of two of their counts do not."""
+    rng = np.random.default_rng(3)
+    left, right = [f"l{i}" for i in range(150)], [f"r{i}" for i in range(150)]
+    rows = [(i, " ".join(w for _ in range(6) for w in (left[rng.integers(150)], right[rng.integers(150)]))) for i in range(300)]
+    report = {}
+    score_texts(given(spark, rows), frequent=4, classes=2, report=report).collect()
+    assert len(report["likelihood"]) >= 2 and report["likelihood"][-1] > report["likelihood"][0] + 0.05
