@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import lodestone.queries_intake  # noqa: F401 - registers its queries
 import lodestone.queries_layers  # noqa: F401 - registers its queries
+import lodestone.queries_texts  # noqa: F401 - registers its queries
 from lodestone.functions import citations, collections, rules, taxonomy, text
 from lodestone.functions.matching import authors_match, titles_match
 from lodestone.operators import aggregates as agg
