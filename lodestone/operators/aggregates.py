@@ -131,7 +131,7 @@ def participation(edges: DataFrame, ends: list[Column]) -> DataFrame:
 def edges_by_paper(edges: DataFrame, papers: str, source: str = "source", target: str = "target") -> DataFrame:
     """Edges whose JSON list of papers is exploded: count and sorted nodes for each paper. Malformed lists drop out."""
     rows = edges.select(F.explode(F.from_json(papers, "array<string>")).alias("paper_id"), source, target)
-    return rows.groupBy("paper_id").agg(F.count("*").alias("n_edges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(source, target))))).alias("nodes"))
+    return rows.groupBy("paper_id").agg(F.count("*").alias("n_edges"), F.array_sort(F.array_union(F.collect_set(source), F.collect_set(target))).alias("nodes"))
 
 
 def tag_counts(df: DataFrame, tags: str) -> DataFrame:

@@ -131,7 +131,7 @@ def hierarchy(assigned: DataFrame) -> DataFrame:
     dv_names = assigned.select("dv_focus").distinct().withColumn("__dv", tx.outcome_focus(F.col("dv_focus")))
     rows = assigned.join(iv_names, assigned.iv_node.eqNullSafe(iv_names.iv_node)).drop("iv_node").join(dv_names, assigned.dv_focus.eqNullSafe(dv_names.dv_focus)).drop("dv_focus")
     rows = rows.withColumnsRenamed({"__iv": "iv_node", "__dv": "dv_focus"})
-    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.col(c), F.array().cast(NONE))))))
+    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(F.col(c), F.array().cast(NONE))))))
     out = rows.groupBy("iv_node", "dv_focus").agg(F.array_sort(F.collect_set("paper_id")).alias("paper_ids"), flat("theories").alias("theories"), flat("sensors").alias("sensors"))
     iv, dv = F.col("iv_node"), F.col("dv_focus")
     return out.withColumns({"id": slugify(F.concat(iv, F.lit("__"), dv)), "label": tx.topic_label(iv, dv), "iv_root": tx.root(iv), "dv_root": tx.root(dv), "paper_count": F.size("paper_ids").cast("long")})

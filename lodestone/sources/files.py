@@ -125,11 +125,21 @@ def markdown_entries(spark: SparkSession, folder: str, least_words: int = 80) ->
 
 
 def yaml_rows(spark: SparkSession, path: str, key: str, schema: str | T.StructType) -> DataFrame:
-    """The list under a top-level key of a small YAML file, read on the driver. Needs the yaml package."""
-    import yaml
+    """The items of the list under a top-level key of YAML files (a path or pattern), each file parsed where it is read.
 
-    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
-    return spark.createDataFrame((yaml.safe_load(text) or {}).get(key) or [], schema)
+    A file without the key gives no row. Needs the yaml package.
+    """
+    fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+        import yaml
+
+        for batch in batches:
+            items = [x for text in batch["value"] for x in (yaml.safe_load(text) or {}).get(key) or []]
+            yield pd.DataFrame([[x.get(f.name) for f in fields] for x in items], columns=[f.name for f in fields], dtype=object)
+
+    return spark.read.text(path, wholetext=True).mapInPandas(run, fields)
 
 
 def first_available(spark: SparkSession, paths: list[str], schema: str | T.StructType) -> DataFrame:

@@ -102,6 +102,24 @@ def test_sinks(spark, tmp_path):
     assert sinks.copy_if_present(spark, f"{tmp_path}/j", f"{tmp_path}/j2") and not sinks.copy_if_present(spark, f"{tmp_path}/none", f"{tmp_path}/j3")
 
 
+def test_yaml_files(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("rooms:\n  - {name: hall, size: 3}\n  - name: attic\nother: 1\n")
+    (tmp_path / "b.yaml").write_text("rooms:\n  - {name: yard, size: 9, extra: x}\n")
+    (tmp_path / "c.yaml").write_text("")
+    got = files.yaml_rows(spark, f"{tmp_path}/*.yaml", "rooms", "name string, size long").collect()
+    assert sorted(map(tuple, got)) == [("attic", None), ("hall", 3), ("yard", 9)]
+
+
+def test_jdbc_table_pushes_filters_and_columns(spark):
+    url = "jdbc:derby:memory:lodestone;create=true"
+    spark.range(100).selectExpr("id", "concat('n', id) AS name", "id % 3 AS k").write.format("jdbc").option("url", url).option("dbtable", "rooms").save()
+    df = files.jdbc_table(spark, url, "rooms", partitionColumn="id", lowerBound="0", upperBound="100", numPartitions="4")
+    out = df.where("k = 1").select("name")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(k,1)" in plan and "ReadSchema: struct<NAME:string>" in plan.replace("name", "NAME") and out.rdd.getNumPartitions() == 4
+    assert sorted(r[0] for r in out.collect()) == sorted(f"n{i}" for i in range(100) if i % 3 == 1)
+
+
 def test_sqlite_partitions_filters_and_columns(spark, tmp_path):
     at = f"{tmp_path}/big.db"
     with sqlite3.connect(at) as db:
