@@ -139,19 +139,18 @@ def fit_domains(
     return DomainModel(domains, prior, absent, shifts)
 
 
-def _moved(rate: Column, p: Column, step: Column, top: float | None) -> Column:
+def _moved(rate: Column, p: list[Column], step: list[Column], top: float | None) -> Column:
     """A rate moved against a step, between 0 and ``top``."""
-    inner = F.aggregate(F.zip_with(p, step, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    moved = F.greatest(F.lit(0.0), rate - inner)
+    moved = F.greatest(F.lit(0.0), rate - sum((x * g for x, g in zip(p[1:], step[1:], strict=True)), p[0] * step[0]))
     return moved if top is None else F.least(F.lit(float(top)), moved)
 
 
-def _rate(p: str, steps: list[list[float]], top: float | None = None) -> Column:
-    """Rate 1, moved against each step in turn."""
-    if not steps:
-        return F.lit(1.0)
-    taken = F.array(*(F.array(*map(F.lit, s)) for s in steps))
-    return F.aggregate(taken, F.lit(1.0), lambda r, g: _moved(r, F.col(p), g, top))
+def _rate(p: list[Column], steps: list[list[float]], top: float | None = None) -> Column:
+    """Rate 1, moved against each step in turn: one expression, each step's around the one before."""
+    rate = F.lit(1.0)
+    for step in steps:
+        rate = _moved(rate, p, [F.lit(g) for g in step], top)
+    return rate
 
 
 @dataclass
@@ -199,11 +198,13 @@ def fit_rates(scored: DataFrame, targets: list[float], tolerance: float = 1e-4,
     (noticeably) closer then. The gaps are never longer than at rate 1.
     """
     k = len(targets)
-    p = [F.get("p", i) for i in range(k)]
+    p = [F.col(f"p{i}") for i in range(k)]
+    parts = scored.select("n_tokens", *(F.get("p", i).alias(f"p{i}") for i in range(k)))
 
     def evaluate(steps: list[list[float]], tries: list[list[float]]) -> np.ndarray:
-        rated = scored.select("n_tokens", "p", _rate("p", steps, top).alias("base"), F.posexplode(F.array(*(F.array(*map(F.lit, t)) for t in tries))).alias("at", "step"))
-        rated = rated.select("n_tokens", "p", "at", _moved(F.col("base"), F.col("p"), F.col("step"), top).alias("rate"))
+        listed = F.array(*(F.struct(*(F.lit(float(g)).alias(f"g{i}") for i, g in enumerate(t))) for t in tries))
+        rated = parts.withColumn("base", _rate(p, steps, top)).select("n_tokens", *p, "base", F.posexplode(listed).alias("at", "step"))
+        rated = rated.select("n_tokens", *p, "at", _moved(F.col("base"), p, [F.col(f"step.g{i}") for i in range(k)], top).alias("rate"))
         within = F.col("rate") > 0 if top is None else (F.col("rate") > 0) & (F.col("rate") < top)
         sums = [F.col("rate") * F.col("n_tokens") * x for x in p]
         sums += [F.when(within, F.col("n_tokens")).otherwise(0) * x * y for x in p for y in p]
@@ -245,7 +246,7 @@ def mix(
     met as closely as the least squares allow, never worse than rate 1 meets
     them; a warning names the gaps. ``max_rate`` bounds the rates, and with them
     the copies of a document. A ``report`` dictionary takes each domain's gap as
-    a share of the budget.
+    a share of the budget, and the number of "steps".
 
     A null or empty text has no tokens; its rate is its posterior's. Repeated
     rows get equal rates and copies. Null ids are scored. Where nothing is
@@ -267,10 +268,11 @@ def mix(
     gaps = dict(zip(domains, fit.gaps, strict=True))
     if report is not None:
         report.update(gaps)
+        report["steps"] = len(fit.lengths) - 1
     if not fit.met:
         warnings.warn(f"no nonnegative rates meet the targets; gaps as shares of the budget: {gaps}", stacklevel=2)
     whole = F.round("rate")
     near = (whole >= 1) & (F.abs(F.col("rate") - whole) <= slack)
     copies = F.when(near, whole).otherwise(F.floor(F.col("rate") + F.col("chance"))).cast("long")
-    out = scored.withColumn("rate", _rate("p", fit.steps, max_rate))
+    out = scored.withColumn("rate", _rate([F.get("p", k) for k in range(len(domains))], fit.steps, max_rate))
     return out.withColumn("copies", copies).select(F.col("id").alias(id_col), "n_tokens", "p", "rate", "copies", *(F.col(f"keep_{x}").alias(x) for x in keep))
