@@ -148,17 +148,21 @@ def _across(docs: DataFrame, found: DataFrame, members: DataFrame, buckets: Data
 
     A bucket is compared once, even where several bands have the same members;
     one of over ``cell`` members meets cell by cell. So the work follows the
-    candidates, not the group.
+    candidates. A group whose buckets together hold more members than its own
+    cells do, pair by pair, meets by these instead, which compares more.
     """
     spark = docs.sparkSession
     large = members.join(found, "whole").groupBy("root").agg(F.count("*").alias("n"), F.count_distinct("component").alias("k"))
-    rest = members.join(large.where((F.col("n") > cell) & (F.col("k") > 1)).select("root"), "root").join(found, "whole")
+    rest = members.join(large.where((F.col("n") > cell) & (F.col("k") > 1)).select("root", F.col("n").alias("of")), "root").join(found, "whole")
     if rest.isEmpty():
         return found
-    held = written(rest.select("id", "whole", "component").join(buckets, "whole"), scratch(spark, "near-buckets"))
-    same = held.groupBy("bucket").agg(F.count_distinct("component").alias("k"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("whole")).alias("x"), F.min("whole").alias("lo"))
-    once = same.where("k > 1").groupBy("n", "x", "lo").agg(F.min("bucket").alias("bucket")).select("bucket")
-    open_ = held.join(once, "bucket").withColumnRenamed("bucket", "root")
+    held = written(rest.select("id", "whole", "root", "of", "component").join(buckets, "whole"), scratch(spark, "near-buckets"))
+    same = held.groupBy("bucket").agg(F.min("root").alias("root"), F.min("of").alias("of"), F.count_distinct("component").alias("k"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("whole")).alias("x"), F.min("whole").alias("lo"))
+    once = written(same.where("k > 1").groupBy("root", "of", "n", "x", "lo").agg(F.min("bucket").alias("bucket")), scratch(spark, "near-once"))
+    cost = once.groupBy("root", "of").agg(F.sum("n").alias("sum")).withColumn("whole_group", F.col("of") * F.ceil(F.col("of") / cell) <= F.col("sum"))
+    by_group = rest.join(cost.where("whole_group").select("root"), "root")
+    by_bucket = held.drop("root").join(once.join(cost.where("NOT whole_group").select("root"), "root", "left_semi").select("bucket"), "bucket")
+    open_ = by_group.select("id", "whole", "component", "root").union(by_bucket.select("id", "whole", "component", F.col("bucket").alias("root")))
     if open_.isEmpty():
         return found
     cells = written(_cells(open_, "root", ["component", "whole"], cell), scratch(spark, "near-cells"))
