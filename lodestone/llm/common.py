@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.scratch import cleared, dropped, scope, scratch, shared_root, written
+from lodestone.scratch import cleared, dropped, filesystem, scope, scratch, shared_root, written
 
-__all__ = ["cleared", "dropped", "scope", "scratch", "shared_root", "written"]
+__all__ = ["cleared", "dropped", "filesystem", "scope", "scratch", "shared_root", "written"]
 
 #: The white space that separates words, as characters.
 SPACE = " \t\n\x0b\x0c\r"
@@ -39,13 +39,6 @@ def made(path: str) -> None:
     fs.create_dir(at, recursive=True)
 
 
-def filesystem(path: str):
-    """pyarrow's file system for a URI or plain path of the shared folder, and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)
