@@ -227,11 +227,17 @@ def _sums(cells: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, n
 
 
 def _contexts(words: pa.RecordBatch, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(keys, counts) of each word of a batch: a pair of classes around it counts once before it and once after it."""
+    """(keys, counts) of each word of a batch: a pair of classes around it counts once before it and once after it.
+
+    Keys from width squared on are single classes, before or after.
+    """
     sizes, flat = words["contexts"].value_lengths().to_numpy(), words["contexts"].flatten()
     key, n = flat.field("key").to_numpy().astype(np.int64), flat.field("n").to_numpy()
     of_word = np.repeat(np.arange(len(words)), sizes) * (2 * width)
-    cells, n = _sums(np.concatenate((of_word + key // width, of_word + width + key % width)), np.concatenate((n, n)))
+    pair = key < width**2
+    at, of_pair, both = of_word[~pair], of_word[pair], key[pair]
+    cells = np.concatenate((of_pair + both // width, of_pair + width + both % width, at + key[~pair] - width**2))
+    cells, n = _sums(cells, np.concatenate((n[pair], n[pair], n[~pair])))
     begin = np.searchsorted(cells, np.arange(1, len(words)) * (2 * width))
     return np.split(cells % (2 * width), begin), np.split(n, begin)
 
@@ -436,8 +442,14 @@ def score_texts(
                 row, _ = joined(batch)
                 at = np.flatnonzero(row >= 0)
                 cells, n = _sums((row[at] * k + class_of[row[at - 1]]) * k + class_of[row[at + 1]])
-                place = cells // k**2
-                yield pa.record_batch({"word": pa.array(word[place]), "own": pa.array(class_of[place].astype(np.int32)), "key": pa.array((cells % k**2).astype(np.int32)), "n": pa.array(n)})
+                place, pair = cells // k**2, cells % k**2
+                # Pairs of classes for rare words; single classes for words that have fewer of these.
+                single, m = _sums(np.concatenate((place * 2 * k + pair // k, place * 2 * k + k + pair % k)), np.concatenate((n, n)))
+                fewer = np.bincount(single // (2 * k), minlength=len(word)) < np.bincount(place, minlength=len(word))
+                pairs_of, singles_of = ~fewer[place], fewer[single // (2 * k)]
+                place = np.concatenate((place[pairs_of], single[singles_of] // (2 * k)))
+                key = np.concatenate((pair[pairs_of], k**2 + single[singles_of] % (2 * k)))
+                yield pa.record_batch({"word": pa.array(word[place]), "own": pa.array(class_of[place].astype(np.int32)), "key": pa.array(key.astype(np.int32)), "n": pa.array(np.concatenate((n[pairs_of], m[singles_of])))})
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
