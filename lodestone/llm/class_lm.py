@@ -122,27 +122,28 @@ def nlogn(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def placed(contexts: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray) -> np.ndarray:
-    """For each word (keys, counts) the class whose rows and columns gain most likelihood by it; ties go to the lower class.
+def _gains(key: np.ndarray, n: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """What ``n`` more bigrams with each context (``key``) add to each class."""
+    held = np.concatenate((table[:, :classes], table[:classes].T))
+    # Most words are rare: one more bigram is looked up.
+    gains = (nlogn(held + 1) - nlogn(held))[key]
+    many = np.flatnonzero(n > 1)
+    gains[many] = nlogn(held[key[many]] + n[many, None]) - nlogn(held[key[many]])
+    return gains
+
+
+def placed(key: np.ndarray, n: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For each word the class whose rows and columns gain most likelihood by it; ties go to the lower class.
 
     ``table[c, d]`` counts class d after class c over the frequent words, and
-    contexts alone beyond its first rows. A key below the number of columns is
+    contexts alone beyond its first rows. A word has ``sizes`` keys with their
+    counts ``n``, one word after another. A key below the number of columns is
     the class before the word, one above it (less that number) the class after.
     """
     k, width = classes_of(table), table.shape[1]
     rows, cols = table[:k].sum(1), table[:, :k].sum(0)
-    # What one more bigram with each context adds to each class: most words are rare, and look this up.
-    once = np.concatenate((nlogn(table[:, :k] + 1) - nlogn(table[:, :k]), (nlogn(table[:k] + 1) - nlogn(table[:k])).T))
-    sizes = np.array([len(x) for x, _ in contexts])
-    key = np.concatenate([x for x, _ in contexts])
-    n = np.concatenate([x for _, x in contexts]).astype(float)
-    gains = once[key]
-    many = np.flatnonzero(n > 1)
-    for part in np.array_split(many, max(1, len(many) // 65536)):
-        held = np.where((key[part] < width)[:, None], table[key[part] % width, :k], table[:k, key[part] % width].T)
-        gains[part] = nlogn(held + n[part, None]) - nlogn(held)
     begin = np.cumsum(sizes) - sizes
-    gain = np.add.reduceat(gains, begin, axis=0)
+    gain = np.add.reduceat(_gains(key, n, table, k), begin, axis=0)
     before = np.add.reduceat(np.where(key < width, n, 0), begin)[:, None]
     after = np.add.reduceat(np.where(key < width, 0, n), begin)[:, None]
     gain -= nlogn(rows + after) - nlogn(rows) + nlogn(cols + before) - nlogn(cols)
@@ -154,29 +155,20 @@ def classes_of(table: np.ndarray) -> int:
     return len(table) - WORDS
 
 
-def exchanged(contexts: list[tuple[np.ndarray, np.ndarray]], own: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
-    """For each word (keys, counts) of class ``own`` the class that raises the likelihood most once the word is taken out of its own.
+def exchanged(key: np.ndarray, n: np.ndarray, sizes: np.ndarray, own: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """For each word of class ``own`` the class that raises the likelihood most once the word is taken out of its own.
 
     ``table[c, d]`` counts class d after c over all training texts, the word's
-    own steps included; keys as for ``placed``. A word stays where no class is
-    better; of equal others it takes the lowest.
+    own steps included; keys and sizes as for ``placed``. A word stays where no
+    class is better; of equal others it takes the lowest.
     """
     width = len(table)
     rows, cols = table.sum(1), table.sum(0)
-    sizes = np.array([len(x) for x, _ in contexts])
-    key = np.concatenate([x for x, _ in contexts])
-    n = np.concatenate([x for _, x in contexts]).astype(float)
-    once = np.concatenate((nlogn(table[:, :classes] + 1) - nlogn(table[:, :classes]), (nlogn(table[:classes] + 1) - nlogn(table[:classes])).T))
-    gains = once[key]
-    many = np.flatnonzero(n > 1)
-    for part in np.array_split(many, max(1, len(many) // 65536)):
-        held = np.where((key[part] < width)[:, None], table[key[part] % width, :classes], table[:classes, key[part] % width].T)
-        gains[part] = nlogn(held + n[part, None]) - nlogn(held)
     begin = np.cumsum(sizes) - sizes
     mine = np.repeat(own, sizes)
     held = np.where(key < width, table[key % width, mine], table[mine, key % width])
     stays = np.add.reduceat(nlogn(held) - nlogn(held - n), begin)
-    gain = np.add.reduceat(gains, begin, axis=0)
+    gain = np.add.reduceat(_gains(key, n, table, classes), begin, axis=0)
     before, after = np.add.reduceat(np.where(key < width, n, 0), begin), np.add.reduceat(np.where(key < width, 0, n), begin)
     gain -= nlogn(rows[:classes] + after[:, None]) - nlogn(rows[:classes]) + nlogn(cols[:classes] + before[:, None]) - nlogn(cols[:classes])
     stays -= nlogn(rows[own]) - nlogn(rows[own] - after) + nlogn(cols[own]) - nlogn(cols[own] - before)
@@ -226,20 +218,53 @@ def _sums(cells: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, n
     return cells[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _contexts(words: pa.RecordBatch, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(keys, counts) of each word of a batch: a pair of classes around it counts once before it and once after it.
+def _around(row: np.ndarray, at: np.ndarray, class_of: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, context) of the classes around the tokens ``at`` of a row of places, by each place's class.
 
-    Keys from width squared on are single classes, before or after.
+    A context is one number, ``(count * (width + 2) * width + key) * width + own``.
+    A key below width squared is the pair of classes around a word; those from
+    it on are single classes, before or after, for words that have fewer of these.
     """
-    sizes, flat = words["contexts"].value_lengths().to_numpy(), words["contexts"].flatten()
-    key, n = flat.field("key").to_numpy().astype(np.int64), flat.field("n").to_numpy()
-    of_word = np.repeat(np.arange(len(words)), sizes) * (2 * width)
-    pair = key < width**2
-    at, of_pair, both = of_word[~pair], of_word[pair], key[pair]
-    cells = np.concatenate((of_pair + both // width, of_pair + width + both % width, at + key[~pair] - width**2))
-    cells, n = _sums(cells, np.concatenate((n[pair], n[pair], n[~pair])))
-    begin = np.searchsorted(cells, np.arange(1, len(words)) * (2 * width))
-    return np.split(cells % (2 * width), begin), np.split(n, begin)
+    cells, n = _sums((row[at] * width + class_of[row[at - 1]]) * width + class_of[row[at + 1]])
+    place, pair = cells // width**2, cells % width**2
+    single, m = _sums(np.concatenate((place * 2 * width + pair // width, place * 2 * width + width + pair % width)), np.concatenate((n, n)))
+    fewer = np.bincount(single // (2 * width), minlength=len(class_of)) < np.bincount(place, minlength=len(class_of))
+    as_pairs, as_single = ~fewer[place], fewer[single // (2 * width)]
+    place = np.concatenate((place[as_pairs], single[as_single] // (2 * width)))
+    key = np.concatenate((pair[as_pairs], width**2 + single[as_single] % (2 * width)))
+    n = np.concatenate((n[as_pairs], m[as_single]))
+    return place, (n * ((width + 2) * width) + key) * width + class_of[place]
+
+
+def _words(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(words, own classes, keys, counts, keys a word) of whole words, some at a time, from rows in order of the word.
+
+    Rows are as from ``_around``; a pair of classes counts once before the word
+    and once after it. Only one word's sums are held from batch to batch.
+    """
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        coded, own = np.divmod(batch["context"].to_numpy(), width)
+        n, key = np.divmod(coded, (width + 2) * width)
+        rows = [batch["word"].to_numpy(), own, key, n]
+        word, own, key, n = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        at = np.repeat(np.arange(len(first)) * 2 * width, np.diff(first, append=len(word)))
+        pair = key < width**2
+        both = key[pair]
+        cells = np.concatenate((at[pair] + both // width, at[pair] + width + both % width, at[~pair] + key[~pair] - width**2))
+        cells, n = _sums(cells, np.concatenate((n[pair], n[pair], n[~pair])))
+        begin = np.searchsorted(cells, np.arange(len(first)) * 2 * width)
+        # The last word may go on in the next batch.
+        last, key = begin[-1], cells % (2 * width)
+        held = [np.repeat(x[first[-1:]], len(key) - last) for x in (word, own)] + [key[last:] + width**2, n[last:]]
+        if last:
+            yield word[first[:-1]], own[first[:-1]], key[:last], n[:last], np.diff(begin)
+    if held:
+        word, own, key, n = held
+        yield word[:1], own[:1], key - width**2, n, np.array([len(key)])
 
 
 def score_texts(
@@ -290,8 +315,8 @@ def score_texts(
 
     # A word has at most a row for each piece of a chunk, however frequent it is.
     local = kept(chunks.map(count, "chunk int, word long, n long"), "word-counts")
-    by_word = local.repartition("word")
-    totals = kept(by_word.groupBy("word").agg(F.sum("n").alias("total")), "word-totals")
+    dealt = local.repartition("word")
+    totals = kept(dealt.groupBy("word").agg(F.sum("n").alias("total")), "word-totals")
     known = totals.where("total > 0")
     ends = chunks.table.select((F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % folds == fold).alias("out")).where("not out").count()
     words = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
@@ -299,7 +324,7 @@ def score_texts(
     top = known.orderBy(F.desc("total"), "word").limit(frequent).select("word").toArrow()["word"].to_numpy()
     symbol_of = np.sort(top)
     # A chunk's distinct words in order of their hash: a token is its place among them.
-    mine = kept(by_word.groupBy("word", "chunk").agg(F.lit(1).alias("one")).drop("one").join(totals, "word"), "chunk-words")
+    mine = kept(dealt.groupBy("word", "chunk").agg(F.lit(1).alias("one")).drop("one").join(totals, "word"), "chunk-words")
     dropped(spark, paths.pop(0))
     load = chunks.side(mine)
 
@@ -379,21 +404,19 @@ def score_texts(
         rest = np.append((total > 0) & (symbol[:-1] < WORDS), False)
         for batch in batches:
             row, _ = joined(batch)
-            at = np.flatnonzero(rest[row])
-            cells, n = _sums((row[at] * width + context[row[at - 1]]) * width + context[row[at + 1]])
-            yield pa.record_batch({"word": pa.array(word[cells // width**2]), "key": pa.array((cells % width**2).astype(np.int32)), "n": pa.array(n)})
+            place, met = _around(row, np.flatnonzero(rest[row]), context, width)
+            yield pa.record_batch({"word": pa.array(word[place]), "context": pa.array(met)})
+
+    def by_word(rows: DataFrame) -> DataFrame:
+        """All rows of a word in one task, one after another; they are summed as they stream by."""
+        return rows.repartition("word").sortWithinPartitions("word")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in [batch.slice(at, 4096) for at in range(0, len(batch), 4096)]:
-                cells, n = _contexts(some, width)
-                got = placed(list(zip(cells, n, strict=True)), by_class)
-                yield pa.record_batch({"word": some["word"], "class": pa.array(got.astype(np.int32))})
-
-    # Rows are summed in their batch, then dealt by word once: at most width squared pairs of classes around a word.
-    met = chunks.map(contexts, "word long, key int, n long", train).repartition("word").groupBy("word", "key").agg(F.sum("n").alias("n"))
-    per_word = met.groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("contexts"))
-    rest = per_word.mapInArrow(choose, "word long, class int")
+        for word, _, key, n, sizes in _words(batches, width):
+            yield pa.record_batch({"word": pa.array(word), "class": pa.array(placed(key, n, sizes, by_class).astype(np.int32))})
+
+    # Rows are summed in their batch before they are dealt by word.
+    rest = by_word(chunks.map(contexts, "word long, context long", train)).mapInArrow(choose, "word long, class int")
     first = pa.table({"word": pa.array(symbol_of), "class": pa.array(of[WORDS : WORDS + len(symbol_of)].astype(np.int32))})
     assigned = kept(rest.union(spark.createDataFrame(first).select("word", F.col("class").cast("int"))), "word-classes")
     unseen, k = classes + 1, classes + 2
@@ -440,26 +463,14 @@ def score_texts(
             class_of = classed(chunk)[0].astype(np.int64)
             for batch in batches:
                 row, _ = joined(batch)
-                at = np.flatnonzero(row >= 0)
-                cells, n = _sums((row[at] * k + class_of[row[at - 1]]) * k + class_of[row[at + 1]])
-                place, pair = cells // k**2, cells % k**2
-                # Pairs of classes for rare words; single classes for words that have fewer of these.
-                single, m = _sums(np.concatenate((place * 2 * k + pair // k, place * 2 * k + k + pair % k)), np.concatenate((n, n)))
-                fewer = np.bincount(single // (2 * k), minlength=len(word)) < np.bincount(place, minlength=len(word))
-                pairs_of, singles_of = ~fewer[place], fewer[single // (2 * k)]
-                place = np.concatenate((place[pairs_of], single[singles_of] // (2 * k)))
-                key = np.concatenate((pair[pairs_of], k**2 + single[singles_of] % (2 * k)))
-                yield pa.record_batch({"word": pa.array(word[place]), "own": pa.array(class_of[place].astype(np.int32)), "key": pa.array(key.astype(np.int32)), "n": pa.array(np.concatenate((n[pairs_of], m[singles_of])))})
+                place, met = _around(row, np.flatnonzero(row >= 0), class_of, k)
+                yield pa.record_batch({"word": pa.array(word[place]), "context": pa.array(met)})
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for some in [batch.slice(at, 4096) for at in range(0, len(batch), 4096)]:
-                    cells, n = _contexts(some, k)
-                    got = exchanged(list(zip(cells, n, strict=True)), some["own"].to_numpy(), table, classes)
-                    yield pa.record_batch({"word": some["word"], "class": pa.array(got.astype(np.int32))})
+            for word, own, key, n, sizes in _words(batches, k):
+                yield pa.record_batch({"word": pa.array(word), "class": pa.array(exchanged(key, n, sizes, own, table, classes).astype(np.int32))})
 
-        met = chunks.map(around, "word long, own int, key int, n long", train).repartition("word").groupBy("word", "own", "key").agg(F.sum("n").alias("n"))
-        return met.groupBy("word", "own").agg(F.collect_list(F.struct("key", "n")).alias("contexts")).mapInArrow(choose, "word long, class int")
+        return by_word(chunks.map(around, "word long, context long", train)).mapInArrow(choose, "word long, class int")
 
     classed = named(assigned)
     pairs, single = pair_counts(classed)

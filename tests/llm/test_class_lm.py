@@ -189,7 +189,7 @@ def test_exchange_weighs_moves_exactly():
         if not len(at) or (np.diff(at) == 1).any():  # a word beside itself moves with its context
             continue
         key, n = np.unique(np.concatenate((row[at], 6 + row[at + 2])), return_counts=True)
-        got = exchanged([(key, n)], of[w : w + 1], pairs(of), 4)[0]
+        got = exchanged(key, n, np.array([len(key)]), of[w : w + 1], pairs(of), 4)[0]
         worth = [likelihood(pairs(np.where(np.arange(30) == w, c, of))) for c in range(4)]
         # Neighbours of the word's own class see it leave: the tables differ there by second order only.
         assert worth[got] >= max(worth) - 1.0
