@@ -10,6 +10,8 @@ the task that reads a chunk's texts loads that chunk's part.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,14 +73,17 @@ class Chunks:
         """
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                column = batch["chunk"].to_numpy()
-                at = 0
-                while at < len(column):
-                    chunk = column[at]
-                    end = at + int((column[at:] == chunk).sum())
-                    yield from run(int(chunk), iter([batch.slice(at, end - at)]))
-                    at = end
+            def cut() -> Iterator[tuple[int, pa.RecordBatch]]:
+                for batch in batches:
+                    column = batch["chunk"].to_numpy()
+                    at = 0
+                    while at < len(column):
+                        end = at + int((column[at:] == column[at]).sum())
+                        yield int(column[at]), batch.slice(at, end - at)
+                        at = end
+
+            for chunk, parts in groupby(cut(), key=itemgetter(0)):
+                yield from run(chunk, map(itemgetter(1), parts))
 
         return (self.table if table is None else table).mapInArrow(each, schema)
 

@@ -36,6 +36,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,14 @@ def held_out(ids: pa.Array, folds: int, fold: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % folds == fold for x in ids.to_pylist()], dtype=bool)
 
 
+class Numbers(dict):
+    """Numbers words from 0 on as they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
@@ -303,13 +312,11 @@ def score_texts(
 
     def count(chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned: Counter = Counter()
+        others: set[bytes] = set()
         for batch in batches:
             for text, out in zip(text_bytes(batch["text"]), held_out(batch["id"], folds, fold), strict=True):
-                if out:
-                    for word in tokens(text):
-                        learned.setdefault(word, 0)
-                else:
-                    learned.update(tokens(text))
+                (others if out else learned).update(tokens(text))
+        learned.update(dict.fromkeys(others.difference(learned), 0))
         hashes = np.fromiter(map(digest, learned), dtype=np.uint64, count=len(learned))
         yield pa.record_batch({"chunk": pa.array(np.full(len(hashes), chunk, np.int32)), "word": signed(hashes), "n": pa.array(np.fromiter(learned.values(), np.int64, len(learned)))})
 
@@ -324,7 +331,8 @@ def score_texts(
     top = known.orderBy(F.desc("total"), "word").limit(frequent).select("word").toArrow()["word"].to_numpy()
     symbol_of = np.sort(top)
     # A chunk's distinct words in order of their hash: a token is its place among them.
-    mine = kept(dealt.groupBy("word", "chunk").agg(F.lit(1).alias("one")).drop("one").join(totals, "word"), "chunk-words")
+    # A chunk that several tasks read has a row from each of them.
+    mine = kept(dealt.drop("n").join(totals, "word"), "chunk-words")
     dropped(spark, paths.pop(0))
     load = chunks.side(mine)
 
@@ -332,22 +340,23 @@ def score_texts(
         held = load(chunk)
         if held is None:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        order = np.argsort(held["word"].to_numpy())
-        return held["word"].to_numpy()[order], held["total"].to_numpy()[order]
+        word, first = np.unique(held["word"].to_numpy(), return_index=True)
+        return word, held["total"].to_numpy()[first]
 
     def encode(chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, total = listed(chunk)
-        place: dict[bytes, int] = {}
+        number, place = Numbers(), np.zeros(0, dtype=np.int64)
         base_of = np.log10(total + 1.0) - np.log10(n_train + vocabulary + 1)
         base_end = float(np.log10(ends + 1.0) - np.log10(n_train + vocabulary + 1))
         for batch in batches:
-            texts = [tokens(x) for x in text_bytes(batch["text"])]
-            new = list({w for text in texts for w in text}.difference(place))
-            asked = np.fromiter(map(digest, new), dtype=np.uint64, count=len(new)).view(np.int64)
-            place.update(zip(new, np.searchsorted(word, asked).tolist(), strict=True))
+            known_before = len(number)
+            texts = [np.array(list(map(number.__getitem__, tokens(x))), dtype=np.int64) for x in text_bytes(batch["text"])]
+            new = islice(number, known_before, None)
+            asked = np.fromiter(map(digest, new), dtype=np.uint64, count=len(number) - known_before).view(np.int64)
+            place = np.concatenate((place, np.searchsorted(word, asked)))
             rows = [[] for _ in range(4)]
             for text in texts:
-                at = np.fromiter(map(place.__getitem__, text), dtype=np.int32, count=len(text))
+                at = place[text]
                 found = (len(text) + 1, int((total[at] > 0).sum()) + (ends > 0), float(base_of[at].sum()) + base_end, at.astype("<i4").tobytes())
                 for col, value in zip(rows, found, strict=True):
                     col.append(value)
@@ -422,15 +431,16 @@ def score_texts(
     unseen, k = classes + 1, classes + 2
 
     def named(assigned: DataFrame) -> Callable[[int], tuple[np.ndarray, np.ndarray]]:
-        load = chunks.side(mine.join(assigned, "word", "left").select("chunk", "word", "total", F.coalesce("class", F.lit(unseen)).alias("class")))
+        load = chunks.side(mine.select("word", "chunk").join(assigned, "word").select("chunk", "word", "class"))
 
         def classed(chunk: int) -> tuple[np.ndarray, np.ndarray]:
             """Each listed word's class and count, and the end's as the last."""
-            held = load(chunk)
-            if held is None:
-                return np.array([classes]), np.array([0])
-            order = np.argsort(held["word"].to_numpy())
-            return np.append(held["class"].to_numpy()[order], classes), np.append(held["total"].to_numpy()[order], 0)
+            word, total = listed(chunk)
+            class_of, held = np.full(len(word) + 1, unseen), load(chunk)
+            class_of[-1] = classes
+            if held is not None:
+                class_of[np.searchsorted(word, held["word"].to_numpy())] = held["class"].to_numpy()
+            return class_of, np.append(total, 0)
 
         return classed
 
@@ -485,15 +495,13 @@ def score_texts(
             dropped(spark, chunks.sides.pop(), paths.pop())
             break
         dropped(spark, old_side, old_classes)
-        assigned, classed, pairs, single = after, after_classed, after_pairs, after_single
+        classed, pairs, single = after_classed, after_pairs, after_single
         reached.append(reached[-1] + gain)
         if gain < settled * n_train:
             break
     if report is not None:
         report["likelihood"] = [x / max(1, n_train) for x in reached]
-    sums = known.join(assigned, "word").groupBy("class").agg(F.sum("total").alias("n")).toArrow()
-    sizes = np.zeros(k)
-    sizes[sums["class"].to_numpy()] = sums["n"].to_numpy()
+    sizes = np.append(pairs[:, :classes].sum(0), [0, 0]).astype(float)
     model = Model.estimated(pairs, single, sizes)
     dropped(spark, *paths)
 
