@@ -30,6 +30,8 @@ OPEN_BINS = 1024
 PIECES_PER_PACKER = 100_000
 #: Documents whose ids go on together.
 IDS_BATCH = 500
+#: Parts of texts whose ids a worker keeps from task to task while pieces are described (about 200 MB).
+KEPT_PARTS = 1_200_000
 
 
 class BestFit:
@@ -77,7 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        enc.most_parts = CACHE_PARTS
+        enc.most_parts = CACHE_PARTS if with_ids else KEPT_PARTS
         for whole in batches:
             # With ids a batch is heavy, so fewer rows go on at a time.
             step = IDS_BATCH if with_ids else max(1, len(whole))
@@ -100,7 +102,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str
                     ends = np.cumsum([0, *cols[2]]).astype(np.int32)
                     out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held or [np.zeros(0, "<u4")]).astype(np.int32)))
                 yield pa.record_batch(out)
-        enc.forget()
+        # Tasks that send ids hold much besides the cache; the others leave it to the worker's next task.
+        if with_ids:
+            enc.forget()
 
     return picked.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
 

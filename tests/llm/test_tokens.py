@@ -5,11 +5,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from helpers import ODD, SF, given, table
 from tokenizers import Tokenizer
 
 from lodestone.llm.encoding import default_tokenizer, encoder
-from lodestone.llm.packing import BestFit, pack
+from lodestone.llm.packing import BestFit, pack, pieces
 from lodestone.llm.queries import op2_token_store, op6_best_fit_packing
 from lodestone.llm.token_store import TokenStore, write_tokens
 
@@ -128,3 +129,22 @@ def test_equal_rows_use_all_packers(spark):
     packers = Counter(r["sequence_id"] % 12 for r in got)
     assert len(packers) == 12 and max(packers.values()) < 3 * 500
     assert len({(r["sequence_id"], r["offset"]) for r in got}) == 6000
+
+
+def test_packing_keeps_known_parts_for_the_next_task(spark):
+    """A worker that has encoded a word for packing knows its ids when its next task begins; with ids it forgets them."""
+
+    def knows(word):
+        def look(batches):
+            from lodestone.llm.encoding import _encoders
+
+            for batch in batches:
+                found = any(word in x.parts for x in _encoders.values())
+                yield pa.record_batch({"found": pa.array([found] * len(batch))})
+
+        return spark.range(0, 400, 1, 8).mapInArrow(look, "found boolean").where("found").count() > 0
+
+    for word, with_ids in (("keptwordofpacking", False), ("forgottenwordofpacking", True)):
+        docs = spark.createDataFrame([(i, f"a {word} {i}") for i in range(40)], "doc_id long, text string").repartition(8)
+        pieces(docs, default_tokenizer(), 0, 2048, with_ids=with_ids).count()
+        assert knows(word) == (not with_ids)
