@@ -5,7 +5,8 @@ import corpus_pipeline as cp
 import numpy as np
 from helpers import SF
 
-from lodestone.llm.near_copies import bands, linked, near_copies, shingles
+from lodestone.llm import near_copies as near_copies_module
+from lodestone.llm.near_copies import bands, linked, near_copies, parities, shingles
 
 
 def sets(texts):
@@ -87,3 +88,32 @@ def test_stage_removes_near_copies(spark):
     docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(r[0] for r in dict(cp.STAGES)[cp.STAGES[2][0]](spark, docs, SF).collect())
     assert got == [g[0] for g in brute(texts)] and len(got) < len(texts)
+
+
+def test_parities_never_rule_out_a_similar_pair():
+    """Sets differ by at least as many members as their parities differ in bits, at any size."""
+    rng = np.random.default_rng(3)
+    for size in (1, 9, 90, 900, 9000):
+        for own in (0, 1, size // 9, size):
+            common, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (size, own, own))
+            x, y = parities(np.concatenate((common, a))), parities(np.concatenate((common, b)))
+            assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= 2 * own
+
+
+def test_texts_that_share_a_passage_do_not_chain_to_one_group(spark, monkeypatch):
+    """Neighbours of similarity 0.6 often share a band; only the two real copies are a group that has to be compared."""
+    words = [f"p{i}" for i in range(12_000)]
+    texts = [" ".join(words[i * 50 : i * 50 + 200]) for i in range(200)]
+    texts.append(texts[0].replace("p100 ", "new "))
+    sizes, settled = [], near_copies_module._settled
+
+    def seen(docs, members, *rest):
+        sizes.extend(r["count"] for r in members.groupBy("root").count().collect())
+        return settled(docs, members, *rest)
+
+    monkeypatch.setattr(near_copies_module, "_settled", seen)
+    at = tempfile.mkdtemp() + "/docs"
+    spark.createDataFrame(list(enumerate(texts)), "id long, text string").write.parquet(at)
+    got = near_copies(spark.read.parquet(at), id_col="id").collect()
+    assert groups([r[1] for r in sorted(got)]) == brute(texts)
+    assert sizes == [2]
