@@ -52,6 +52,8 @@ FREQUENT, CLASSES, PASSES = 1000, 48, 8
 SETTLED = 0.02
 #: Symbols while the frequent words are clustered: powers of two of a count below END, then the end, then the frequent words.
 END, WORDS = 62, 63
+#: Documents whose words, and tokens whose classes, are looked at together.
+SLICE, STEP = 1000, 1 << 19
 
 
 def held_out(ids: pa.Array, folds: int, fold: int) -> np.ndarray:
@@ -221,12 +223,48 @@ def _sums(cells: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, n
     """Distinct cells and their sums."""
     if n is None:
         return np.unique(cells, return_counts=True)
-    order = np.argsort(cells, kind="stable")
-    cells, n = cells[order], n[order]
+    bits = int(n.max(initial=0)).bit_length()
+    if int(cells.max(initial=0)).bit_length() + bits < 63:
+        # Cell and count in one number sort faster than places do.
+        both = np.sort((cells << bits) | n)
+        cells, n = both >> bits, both & ((1 << bits) - 1)
+    else:
+        order = np.argsort(cells, kind="stable")
+        cells, n = cells[order], n[order]
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(cells)), bool), cells[1:] != cells[:-1])))
     return cells[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _tallied(parts: Iterator[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells below ``size`` of all parts, and how often each comes."""
+    total = np.zeros(size, dtype=np.int64)
+    for cells in parts:
+        total += np.bincount(cells, minlength=size)
+    cells = np.flatnonzero(total)
+    return cells, total[cells]
+
+
+def _stretches(row: np.ndarray) -> Iterator[np.ndarray]:
+    """``row`` in stretches of ``STEP`` steps from a token to the next; neighbours share the token between them."""
+    for at in range(0, len(row) - 1, STEP):
+        yield row[at : at + STEP + 1]
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _by_place(row: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """``at`` in parts of about ``STEP`` tokens, all tokens of a place in one part."""
+    part_of = (np.cumsum(np.bincount(row[at])) // STEP).astype(np.int32)
+    part = part_of[row[at]]
+    for number in np.unique(part_of):
+        if len(some := at[part == number]):
+            yield some
+
+
 def _around(row: np.ndarray, at: np.ndarray, class_of: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, context) of the classes around the tokens ``at`` of a row of places, by each place's class.
 
@@ -234,7 +272,7 @@ def _around(row: np.ndarray, at: np.ndarray, class_of: np.ndarray, width: int) -
     A key below width squared is the pair of classes around a word; those from
     it on are single classes, before or after, for words that have fewer of these.
     """
-    cells, n = _sums((row[at] * width + class_of[row[at - 1]]) * width + class_of[row[at + 1]])
+    cells, n = _sums((row[at].astype(np.int64) * width + class_of[row[at - 1]]) * width + class_of[row[at + 1]])
     place, pair = cells // width**2, cells % width**2
     single, m = _sums(np.concatenate((place * 2 * width + pair // width, place * 2 * width + width + pair % width)), np.concatenate((n, n)))
     fewer = np.bincount(single // (2 * width), minlength=len(class_of)) < np.bincount(place, minlength=len(class_of))
@@ -313,7 +351,7 @@ def score_texts(
     def count(chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned: Counter = Counter()
         others: set[bytes] = set()
-        for batch in batches:
+        for batch in _sliced(batches):
             for text, out in zip(text_bytes(batch["text"]), held_out(batch["id"], folds, fold), strict=True):
                 (others if out else learned).update(tokens(text))
         learned.update(dict.fromkeys(others.difference(learned), 0))
@@ -348,7 +386,7 @@ def score_texts(
         number, place = Numbers(), np.zeros(0, dtype=np.int64)
         base_of = np.log10(total + 1.0) - np.log10(n_train + vocabulary + 1)
         base_end = float(np.log10(ends + 1.0) - np.log10(n_train + vocabulary + 1))
-        for batch in batches:
+        for batch in _sliced(batches):
             known_before = len(number)
             texts = [np.array(list(map(number.__getitem__, tokens(x))), dtype=np.int64) for x in text_bytes(batch["text"])]
             new = islice(number, known_before, None)
@@ -372,7 +410,7 @@ def score_texts(
     def joined(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """All places of a batch's texts end to end with an end (-1) before, between and after, and where these ends are."""
         parts = [np.frombuffer(x.as_buffer(), "<i4") for x in batch["places"]]
-        row = np.full(sum(map(len, parts)) + len(parts) + 1, -1, dtype=np.int64)
+        row = np.full(sum(map(len, parts)) + len(parts) + 1, -1, dtype=np.int32)
         at = np.cumsum([1, *(len(x) + 1 for x in parts)])
         for begin, x in zip(at, parts, strict=False):
             row[begin : begin + len(x)] = x
@@ -391,8 +429,8 @@ def score_texts(
     def bigrams(chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = symbols(*listed(chunk))
         for batch in batches:
-            row = of[joined(batch)[0]]
-            at, n = _sums(row[:-1] * size + row[1:])
+            row, _ = joined(batch)
+            at, n = _tallied((of[x[:-1]] * size + of[x[1:]] for x in _stretches(row)), size * size)
             yield pa.record_batch({"cell": pa.array(at), "n": pa.array(n)})
 
     # At most size * size cells of two numbers, packed.
@@ -413,8 +451,9 @@ def score_texts(
         rest = np.append((total > 0) & (symbol[:-1] < WORDS), False)
         for batch in batches:
             row, _ = joined(batch)
-            place, met = _around(row, np.flatnonzero(rest[row]), context, width)
-            yield pa.record_batch({"word": pa.array(word[place]), "context": pa.array(met)})
+            for some in _by_place(row, np.flatnonzero(rest[row])):
+                place, met = _around(row, some, context, width)
+                yield pa.record_batch({"word": pa.array(word[place]), "context": pa.array(met)})
 
     def by_word(rows: DataFrame) -> DataFrame:
         """All rows of a word in one task, one after another; they are summed as they stream by."""
@@ -449,14 +488,17 @@ def score_texts(
 
         def steps(chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             class_of, total = classed(chunk)
+
+            def stepped(row: np.ndarray) -> Iterator[np.ndarray]:
+                for x in _stretches(row):
+                    c, single = class_of[x].astype(np.int64), total[x] == 1
+                    yield c[:-1] * k + c[1:]
+                    as_unseen = np.where(single, unseen, c)
+                    near = single[:-1] | single[1:]
+                    yield k * k + as_unseen[:-1][near] * k + as_unseen[1:][near]
+
             for batch in batches:
-                row, _ = joined(batch)
-                c, single = class_of[row].astype(np.int64), total[row] == 1
-                plain = c[:-1] * k + c[1:]
-                as_unseen = np.where(single, unseen, c)
-                near = single[:-1] | single[1:]
-                again = as_unseen[:-1][near] * k + as_unseen[1:][near]
-                at, n = _sums(np.concatenate((plain, k * k + again)))
+                at, n = _tallied(stepped(joined(batch)[0]), 2 * k * k)
                 yield pa.record_batch({"cell": pa.array(at), "n": pa.array(n)})
 
         cells = chunks.map(steps, "cell long, n long", train).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
@@ -473,8 +515,9 @@ def score_texts(
             class_of = classed(chunk)[0].astype(np.int64)
             for batch in batches:
                 row, _ = joined(batch)
-                place, met = _around(row, np.flatnonzero(row >= 0), class_of, k)
-                yield pa.record_batch({"word": pa.array(word[place]), "context": pa.array(met)})
+                for some in _by_place(row, np.flatnonzero(row >= 0)):
+                    place, met = _around(row, some, class_of, k)
+                    yield pa.record_batch({"word": pa.array(word[place]), "context": pa.array(met)})
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for word, own, key, n, sizes in _words(batches, k):

@@ -7,6 +7,7 @@ from helpers import ODD, SF, WORDS, given, table
 
 import xxhash
 
+from lodestone.llm import class_lm
 from lodestone.llm.class_lm import END, SETTLED, exchange, exchanged, likelihood, score_texts
 from lodestone.llm.class_lm import WORDS as FIRST
 from lodestone.llm.queries import op7_class_lm
@@ -203,3 +204,30 @@ def test_rounds_find_what_one_placement_cannot(spark):
     report = {}
     score_texts(given(spark, rows), frequent=4, classes=2, report=report).collect()
     assert len(report["likelihood"]) >= 2 and report["likelihood"][-1] > report["likelihood"][0] + 0.05
+
+
+def test_large_chunks_are_looked_at_in_parts(monkeypatch):
+    """Parts of bounded size give what the whole gives: contexts a place, and tallies of steps."""
+    monkeypatch.setattr(class_lm, "STEP", 40)
+    rng = np.random.default_rng(6)
+    row = np.where(rng.random(3000) < 0.05, -1, rng.integers(0, 200, 3000)).astype(np.int32)
+    row[[0, -1]] = -1
+    class_of, width = np.append(rng.integers(0, 5, 200), 5), 6
+    at = np.flatnonzero(row >= 0)
+    parts = list(class_lm._by_place(row, at))
+    most = np.bincount(row[at]).max()
+    assert len(parts) > 50 and max(map(len, parts)) < 40 + most and sorted(np.concatenate(parts)) == at.tolist()
+    whole = sorted(zip(*(x.tolist() for x in class_lm._around(row, at, class_of, width)), strict=True))
+    split = [pair for some in parts for pair in zip(*(x.tolist() for x in class_lm._around(row, some, class_of, width)), strict=True)]
+    assert sorted(split) == whole
+    cells, n = class_lm._tallied((class_of[x[:-1]] * width + class_of[x[1:]] for x in class_lm._stretches(row)), width * width)
+    expected = np.unique(class_of[row[:-1]] * width + class_of[row[1:]], return_counts=True)
+    assert cells.tolist() == expected[0].tolist() and n.tolist() == expected[1].tolist()
+
+
+def test_sums_of_large_cells_and_counts():
+    """Cells too large to share a number with their counts are summed too."""
+    for cells, n in (([5, 1, 5], [2, 3, 4]), ([1 << 61, 7, 1 << 61], [1 << 40, 1, 5]), ([], [])):
+        got = class_lm._sums(np.array(cells, np.int64), np.array(n, np.int64))
+        want = {c: sum(m for d, m in zip(cells, n, strict=True) if d == c) for c in sorted(cells)}
+        assert dict(zip(*(x.tolist() for x in got), strict=True)) == want
