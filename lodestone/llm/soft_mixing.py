@@ -12,10 +12,12 @@ taken, and none if all would leave larger ones. So the squares fall until they
 are at their least over nonnegative rates.
 
 A step needs the totals and moments at the rates that it would lead to: one
-aggregate of a few numbers for each try and pair of domains. The rate of a
-document is a fold over the steps' few numbers, so nothing is kept or rewritten
-for each document between steps, and a lost executor costs its tasks of one
-aggregate.
+aggregate of a few numbers for each try and pair of domains. A rate follows
+from the posterior alone, so documents of equal posteriors are one row of the
+descent, with the tokens of all. The rate is a fold over an array of the steps'
+few numbers, so nothing is kept or rewritten between steps, a lost executor
+costs its tasks of one aggregate, and the plan of a step does not grow with the
+steps before it: the driver compiles it once.
 
 The classifier is a Bernoulli naive Bayes over a bounded vocabulary: words,
 and marks for surface traits, that speak most for each domain. It is fitted on
@@ -145,12 +147,27 @@ def _moved(rate: Column, p: list[Column], step: list[Column], top: float | None)
     return moved if top is None else F.least(F.lit(float(top)), moved)
 
 
+def _listed(steps: list[list[float]]) -> Column:
+    """Steps as one array of structs ``g0``, ``g1``, ...: data of the plan, not part of its code."""
+    return F.array(*(F.struct(*(F.lit(float(g)).alias(f"g{i}") for i, g in enumerate(step))) for step in steps))
+
+
 def _rate(p: list[Column], steps: list[list[float]], top: float | None = None) -> Column:
-    """Rate 1, moved against each step in turn: one expression, each step's around the one before."""
-    rate = F.lit(1.0)
-    for step in steps:
-        rate = _moved(rate, p, [F.lit(g) for g in step], top)
-    return rate
+    """Rate 1, moved against each step in turn."""
+    if not steps:
+        return F.lit(1.0)
+    return F.aggregate(_listed(steps), F.lit(1.0), lambda rate, step: _moved(rate, p, [step[f"g{i}"] for i in range(len(p))], top))
+
+
+def _sums(alike: DataFrame, k: int, steps: list[list[float]], tries: list[list[float]], top: float | None) -> DataFrame:
+    """For each try, after the steps: ``at``, the totals of the k domains, and the moments of rows within bounds."""
+    p = [F.col(f"p{i}") for i in range(k)]
+    rated = alike.select("n_tokens", *p, _rate(p, steps, top).alias("base"), F.posexplode(_listed(tries)).alias("at", "step"))
+    rated = rated.select("n_tokens", *p, "at", _moved(F.col("base"), p, [F.col(f"step.g{i}") for i in range(k)], top).alias("rate"))
+    within = F.col("rate") > 0 if top is None else (F.col("rate") > 0) & (F.col("rate") < top)
+    sums = [F.col("rate") * F.col("n_tokens") * x for x in p]
+    sums += [F.when(within, F.col("n_tokens")).otherwise(0) * x * y for x in p for y in p]
+    return rated.groupBy("at").agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in sums))
 
 
 @dataclass
@@ -198,18 +215,12 @@ def fit_rates(scored: DataFrame, targets: list[float], tolerance: float = 1e-4,
     (noticeably) closer then. The gaps are never longer than at rate 1.
     """
     k = len(targets)
-    p = [F.col(f"p{i}") for i in range(k)]
-    parts = scored.select("n_tokens", *(F.get("p", i).alias(f"p{i}") for i in range(k)))
+    alike = scored.groupBy(*(F.get("p", i).alias(f"p{i}") for i in range(k))).agg(F.sum("n_tokens").alias("n_tokens"))
+    alike = written(alike, scratch(scored.sparkSession, "alike"))
 
     def evaluate(steps: list[list[float]], tries: list[list[float]]) -> np.ndarray:
-        listed = F.array(*(F.struct(*(F.lit(float(g)).alias(f"g{i}") for i, g in enumerate(t))) for t in tries))
-        rated = parts.withColumn("base", _rate(p, steps, top)).select("n_tokens", *p, "base", F.posexplode(listed).alias("at", "step"))
-        rated = rated.select("n_tokens", *p, "at", _moved(F.col("base"), p, [F.col(f"step.g{i}") for i in range(k)], top).alias("rate"))
-        within = F.col("rate") > 0 if top is None else (F.col("rate") > 0) & (F.col("rate") < top)
-        sums = [F.col("rate") * F.col("n_tokens") * x for x in p]
-        sums += [F.when(within, F.col("n_tokens")).otherwise(0) * x * y for x in p for y in p]
-        out = np.zeros((len(tries), len(sums)))
-        for row in rated.groupBy("at").agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in sums)).collect():
+        out = np.zeros((len(tries), k + k * k))
+        for row in _sums(alike, k, steps, tries, top).collect():
             out[row[0]] = row[1:]
         return out
 

@@ -109,3 +109,12 @@ def test_unreachable_targets_give_few_copies(spark):
     docs = odd(spark, [*low, (100, PROSE)])
     out = Counter(r["doc_id"] for r in cp.STAGES[3][1](spark, docs, SF).collect())
     assert max(out.values(), default=0) <= cp.MAX_RATE
+
+
+@pytest.mark.filterwarnings("ignore:no nonnegative rates")
+def test_mixing_works_a_rate_out_once(spark):
+    """After many steps a rate stands once in the plan that writes the documents, with a bounded number of expressions."""
+    rng = np.random.default_rng(3)
+    low = [(i, " ".join(f"spam{rng.integers(9)} $$$" for _ in range(40))) for i in range(60)]
+    out = cp.STAGES[3][1](spark, odd(spark, [*low, (100, PROSE)]), SF)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("greatest(") == 1

@@ -8,7 +8,7 @@ from helpers import ODD, SF, given, table
 from pyspark.sql import functions as F
 
 from lodestone.llm.queries import MIX_WEIGHTS, op9_soft_mixing
-from lodestone.llm.soft_mixing import descend, fit_domains, fit_rates, mix
+from lodestone.llm.soft_mixing import _rate, descend, fit_domains, fit_rates, mix
 
 SF2 = SF.replace("0.001", "0.01")
 
@@ -150,6 +150,31 @@ def test_rates_against_brute_force(spark, targets):
     assert fit_rates(df, targets, top=1.5).lengths[-1] >= found.lengths[-1] - 1e-3
 
 
+def test_code_of_a_rate_does_not_grow_with_the_steps(spark):
+    """The driver compiles one code for all steps of a descent, however many came before."""
+    x = np.arange(8) / 8
+    df = spark.range(8).select((F.col("id") / 8).alias("p0"), (1 - F.col("id") / 8).alias("p1"))
+    codes = set()
+    for n in (2, 9, 60):
+        steps = [[0.02 * (-1) ** i, 0.003 * i] for i in range(n)]
+        out = df.select(_rate([F.col("p0"), F.col("p1")], steps, 1.5).alias("rate"))
+        assert np.allclose([r[0] for r in out.collect()], moved(np.stack([x, 1 - x], 1), steps, 1.5), atol=1e-12)
+        codes.add(out._jdf.queryExecution().debug().codegenToSeq().apply(0)._2())
+    assert len(codes) == 1
+
+
+def test_equal_posteriors_are_one_row_of_the_descent(spark, monkeypatch):
+    """Steps read a row for each posterior, and lead where all rows would lead."""
+    from lodestone.llm import soft_mixing
+
+    rows = [(n, [0.25 * (n % 4), 1 - 0.25 * (n % 4)]) for n in range(200)]
+    read = []
+    monkeypatch.setattr(soft_mixing, "written", lambda df, at: read.append(df.count()) or df, raising=False)
+    found = fit_rates(spark.createDataFrame(rows, "n_tokens long, p array<double>"), [5000.0, 9000.0])
+    again = descend(evaluated(np.array([float(r[0]) for r in rows]), np.array([r[1] for r in rows])), [5000.0, 9000.0])
+    assert read == [4] and found.met == again.met and np.allclose(found.steps, again.steps)
+
+
 def test_targets_out_of_reach_are_named(spark):
     """A domain that no document belongs to cannot have tokens: the fit ends, and says so."""
     df = spark.createDataFrame([(5, [1.0, 0.0]), (7, [1.0, 0.0])], "n_tokens long, p array<double>")
