@@ -33,6 +33,14 @@ def capped_ratio(a: Column, b: Column) -> Column:
     return F.when(F.coalesce(b, F.lit(0)) == 0, 0).otherwise(F.least(F.lit(100), F.floor(100 * a / b + 0.5))).cast("int")
 
 
+def rounded(c: Column, places: int) -> Column:
+    """A double to so many decimals as SQL's round: the scaled double to the nearest whole number, halves away from zero.
+
+    Spark's own round and bround judge the decimal digits that show the double.
+    """
+    return F.round(c * F.lit(10.0**places), 0) / F.lit(10.0**places)
+
+
 def lexicon_score(text: Column, hints: list[tuple[str, str]], weight: float = 1.0) -> Column:
     """map<node, score>: ``weight`` for each (node, hint) whose hint the lower-cased text holds."""
     low = F.lower(F.coalesce(text, F.lit("")))

@@ -209,3 +209,12 @@ def test_cascade_by_brute_force(spark):
                 want[i] = min(want.get(i, j), j)
     out = dedup.duplicate_cascade(spark.createDataFrame(new, schema), spark.createDataFrame(known, schema)).collect()
     assert {r["article_id"]: r["match_id"] for r in out} == want and all(r["match_type"] and r["confidence"] for r in out)
+
+
+def test_percentiles_halfway_between_tenths_round_as_in_sql(spark):
+    import duckdb
+
+    n = 2000  # every second share of 2,000 rows ends in five hundredths
+    want = duckdb.sql(f"SELECT i, round(100.0 * cume_dist() OVER (ORDER BY i), 1) FROM range({n}) t(i)").fetchall()
+    assert want[0] == (0, 0.1) and want[2] == (2, 0.2)
+    assert got(ordering.percentile_rank(spark.range(n).withColumnRenamed("id", "i"), "i").select("i", "percentile")) == sorted(want, key=repr)
