@@ -202,7 +202,8 @@ def title_of(c: Column, fallback: Column | str = "") -> Column:
 
 
 def page_number(c: Column) -> Column:
-    return F.try_to_number(F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?i)page[_ ]?(\d+)", 1), F.lit("")), F.lit("999999999")).cast("long")
+    """The number after 'page', of any length that a long holds; null without one."""
+    return F.regexp_extract(F.coalesce(c, F.lit("")), r"(?i)page[_ ]?(\d+)", 1).try_cast("long")
 
 
 def sequential_id(prefix: str, before: Column, number: Column, width: int = 4) -> Column:
