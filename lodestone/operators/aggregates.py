@@ -31,6 +31,18 @@ def summary(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     return both.select(*by, "n", "mean", zero("median").alias("median"), zero("upper_median").alias("upper_median"), "min", "max")
 
 
+def in_row_order(df: DataFrame, by: list[str], **of_group: Column) -> DataFrame:
+    """The rows of a Parquet table with sums or means of their group's doubles, added up in the order of the table's rows.
+
+    A sum of doubles changes with the order of its terms, and in an aggregate
+    that order is the one in which partitions meet. Here a group's rows are
+    sorted by file and place in the file, and a window (which spills) adds them.
+    """
+    w = Window.partitionBy(*by).orderBy("__file", "__row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = df.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+    return placed.withColumns({name: c.over(w) for name, c in of_group.items()}).drop("__file", "__row")
+
+
 def status_totals(df: DataFrame, by: list[str], status: Column, values: list[str], amount: Column) -> DataFrame:
     """A sum per status as columns, and the total; groups without rows in a status have 0."""
     return df.groupBy(*by).agg(*(F.coalesce(F.sum(F.when(status == v, amount)), F.lit(0.0)).alias(f"{v}_total") for v in values), F.coalesce(F.sum(amount), F.lit(0.0)).alias("total"))

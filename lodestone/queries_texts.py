@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import citations, collections, rules, text
 from lodestone.functions.matching import authors_match, titles_match
+from lodestone.operators import aggregates as agg
 from lodestone.operators import ordering
 from lodestone.plans import evidence
 from lodestone.queries import query
@@ -98,9 +99,10 @@ CASE WHEN tax >= 0.7 THEN 'high' WHEN tax >= 0.45 THEN 'medium' ELSE 'low' END A
 round(CASE WHEN e <> 0 THEN q * d * tax / e END, 6) AS rice, coalesce(doi, '') || '::' || title || '::' || coalesce(who, '') AS key
 FROM o LEFT JOIN l ON l_orderkey = o_orderkey""")
 def q144_ladders(spark, d):
-    """States, confidences, gaps and priorities of orders by their lines."""
-    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
-        F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("against"), F.sum("l_tax").alias("tax"), F.max("l_quantity").alias("q"), F.avg("l_discount").alias("d"), (F.min("l_linenumber") - 1).alias("e")
+    """States, confidences, gaps and priorities of orders by their lines, whose taxes and discounts are added in row order."""
+    lines = agg.in_row_order(table(spark, d, "lineitem"), ["l_orderkey"], tax=F.sum("l_tax"), d=F.avg("l_discount"))
+    li = lines.groupBy("l_orderkey").agg(
+        F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("against"), F.max("tax").alias("tax"), F.max("l_quantity").alias("q"), F.max("d").alias("d"), (F.min("l_linenumber") - 1).alias("e")
     )
     o = table(spark, d, "orders")
     state = F.when(F.col("o_orderstatus") == "O", " Accepted").when(F.col("o_orderstatus") == "F", "PROVISIONAL ").otherwise(F.col("o_orderpriority"))
@@ -109,7 +111,7 @@ def q144_ladders(spark, d):
     return o.join(li, o.o_orderkey == li.l_orderkey, "left").select(
         "o_orderkey", citations.metadata_confidence(doi, title, who).alias("confidence"), citations.review_state(state).alias("state"), citations.subject_status(F.col("n")).alias("subjects"),
         rules.gap_type(F.col("n"), F.col("against")).alias("gap"), rules.value_band(F.col("tax")).alias("band"), rules.need_level(F.col("n")).alias("need"),
-        F.round(rules.rice(F.col("q"), F.col("d"), F.col("tax"), F.col("e")), 6).alias("rice"), collections.dedupe_key(doi, title, who).alias("key"),
+        collections.rounded(rules.rice(F.col("q"), F.col("d"), F.col("tax"), F.col("e")), 6).alias("rice"), collections.dedupe_key(doi, title, who).alias("key"),
     )
 
 

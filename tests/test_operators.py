@@ -218,3 +218,35 @@ def test_percentiles_halfway_between_tenths_round_as_in_sql(spark):
     want = duckdb.sql(f"SELECT i, round(100.0 * cume_dist() OVER (ORDER BY i), 1) FROM range({n}) t(i)").fetchall()
     assert want[0] == (0, 0.1) and want[2] == (2, 0.2)
     assert got(ordering.percentile_rank(spark.range(n).withColumnRenamed("id", "i"), "i").select("i", "percentile")) == sorted(want, key=repr)
+
+
+def test_ladders_add_in_row_order_whatever_the_files(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rng, n = random.Random(6), 400
+    frame(spark, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string", *((i, i, "OFP"[i % 3], "5-LOW") for i in range(n))).write.parquet(f"{tmp_path}/orders.parquet")
+    for part in range(3):
+        lines = [(i, part * 3 + j + 2, rng.randrange(9) / 100, rng.randrange(11) / 100, float(rng.randrange(1, 51)), "NR"[i % 2]) for j in range(3) for i in range(n)]
+        df = frame(spark, "l_orderkey long, l_linenumber int, l_tax double, l_discount double, l_quantity double, l_returnflag string", *lines)
+        df.coalesce(1).write.parquet(f"{tmp_path}/{part}")
+        found = next((tmp_path / str(part)).glob("*.parquet"))
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        found.rename(tmp_path / "lineitem.parquet" / f"part-{part}.parquet")
+    c = duckdb.connect(config={"threads": 1})  # on more threads DuckDB adds in other orders
+    c.execute(f"CREATE VIEW orders AS FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    c.execute(f"CREATE VIEW lineitem AS FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert got(entry.queries()["q144_ladders"](spark, str(tmp_path))) == sorted(c.execute(entry.oracle_sql()["q144_ladders"]).fetchall(), key=repr)
+
+
+def test_halves_of_the_last_decimal_round_as_in_sql(spark):
+    import duckdb
+
+    from lodestone.functions.collections import rounded
+
+    want = [r[0] for r in duckdb.sql("SELECT round((2 * i + 1) / CAST(2000000 AS DOUBLE), 6) FROM range(5000) t(i) ORDER BY i").fetchall()]
+    df = spark.range(5000).select(((2 * F.col("id") + 1) / F.lit(2000000.0)).alias("v")).orderBy("v")
+    assert [r[0] for r in df.select(rounded(F.col("v"), 6)).collect()] == want
+    assert [r[0] for r in df.select(rounded(-F.col("v"), 6)).collect()] == [-x for x in want]
+    assert [r[0] for r in df.select(F.round("v", 6)).collect()] != want
