@@ -16,6 +16,7 @@ from lodestone.queries import query
 from lodestone.scratch import scratch
 from lodestone.sources import files, sinks
 from lodestone.sources.files import table
+from lodestone.sources.papers import write_papers
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -41,7 +42,7 @@ def q63_per_paper(spark, d):
     """JSON documents below nested folders, keyed by their content."""
     at = scratch(spark, "papers")
     rows = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("paper_id"), "s_name", (F.col("s_suppkey") % 3).alias("folder"))
-    rows.write.partitionBy("folder").option("maxRecordsPerFile", 1).json(at)
+    write_papers(rows, at, "folder")
     return files.per_paper(spark, f"{at}/*.json", "paper_id string, s_name string", recursive=True)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from lodestone.sources import files, sinks
 from lodestone.sources.documents import json_rows, write_document
 from lodestone.sources.markdown_tables import markdown_index
+from lodestone.sources.papers import write_papers
 from lodestone.sources.sqlite import SqliteReader, sqlite_table
 from lodestone.streaming.events import append_log, event_stream, windowed_counts
 
@@ -175,3 +176,30 @@ def test_stream(spark, tmp_path):
     q = windowed_counts(event_stream(spark, f"{tmp_path}/in", schema)).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("w").agg(F.sum("n")).first()[0] == events.count() == windowed_counts(events).agg(F.sum("n")).first()[0]
+
+
+def test_a_file_a_paper_from_many_tasks(spark, tmp_path):
+    rows = [(f"p{i}", "é\n\"x\"" if i % 2 else None, ["a", "b/c d%", "_x", "..", "", None][i % 6]) for i in range(500)] + [("p1", "again", "a"), ("p1", "again", "a")]
+    df = spark.createDataFrame(rows, "paper_id string, v string, folder string").coalesce(1)
+    read = lambda: sorted((tuple(r) for r in files.per_paper(spark, f"{tmp_path}/out/*.json", "paper_id string, v string", recursive=True).collect()), key=repr)
+    write_papers(df.limit(0), f"{tmp_path}/out", "folder")
+    assert read() == []
+    write_papers(df, f"{tmp_path}/out", "folder")
+    want = sorted(((k, v) for k, v, _ in rows), key=repr)
+    found = list((tmp_path / "out").rglob("*.json"))
+    assert read() == want and len(found) == len(rows) and all(len(f.read_text().splitlines()) == 1 for f in found)
+    assert len({f.relative_to(tmp_path / "out").parts[0] for f in found}) > 32
+    with pytest.raises(Exception, match="no such row"):
+        write_papers(df.withColumn("v", F.when(F.col("paper_id") == "p77", F.raise_error(F.lit("no such row"))).otherwise(F.col("v"))), f"{tmp_path}/out", "folder")
+    assert read() == want and not list((tmp_path / "out").glob(".parts-*"))
+    write_papers(df, f"{tmp_path}/out", "folder", tasks=3)
+    assert read() == sorted(want * 2, key=repr)
+
+
+def test_papers_of_a_table_in_one_partition_are_written_by_several_tasks(spark):
+    import re
+
+    import __spark_entry__ as entry
+
+    out = entry.queries()["q63_per_paper"](spark, SF)
+    assert out.count() == 10 and len({re.search(r"part-\d+|\d{8}-\d+", f.rsplit("/lodestone/")[-1]).group() for f in out.inputFiles()}) > 1
