@@ -149,9 +149,10 @@ def html_page(c: Column, decode: bool = True, headings: int = 30, excerpt: int =
         clean = F.regexp_replace(clean, pattern, " ")
     title = F.regexp_extract(clean, r"(?is)<title[^>]*>(.*?)</title>", 1)
     raw = F.regexp_extract_all(clean, F.lit(r"(?is)(<h([1-3])[^>]*>.*?</h\2>)"), F.lit(1))
-    # Headings are decoded in one call, joined by a character that no text of a heading holds once its blanks are collapsed.
-    bare = F.transform(raw, lambda h: F.regexp_replace(F.regexp_replace(h, r"<[^>]+>", " "), "\n", " "))
-    plain = F.transform(F.split(_unescape(F.array_join(bare, "\n")) if decode else F.array_join(bare, "\n"), "\n"), collapsed)
+    # Headings are decoded in one call, joined by a noncharacter, which no entity decodes to (a line end would be one of "&#10;").
+    bare = F.transform(raw, lambda h: F.regexp_replace(F.regexp_replace(h, r"<[^>]+>", " "), "\uffff", " "))
+    joined = F.array_join(bare, "\uffff")
+    plain = F.transform(F.split(_unescape(joined) if decode else joined, "\uffff"), collapsed)
     text = _shown(F.regexp_replace(clean, r"<[^>]+>", " "), decode)
     return {
         "title": _shown(title, decode),
